@@ -166,7 +166,7 @@ def chunk_manifest(
         .select(
             "chunk_id",
             "chunk_rows",
-            F.md5(F.array_join(col("lines.line"), "\n")).alias("checksum"),
+            F.md5(F.array_join(col("lines")["line"], "\n")).alias("checksum"),
         )
     )
     total = lines.agg(F.count(F.lit(1)).alias("n")).first()["n"]

@@ -89,7 +89,7 @@ def columns_to_rows(df: DataFrame, document: str, keys: Sequence[str] = ()) -> D
     return (
         long.groupBy(*[col(k) for k in keys], "pos")
         .agg(F.array_sort(F.collect_list(member)).alias("members"))
-        .select(*[col(k) for k in keys], "pos", _json_object(col("members.m")).alias("row"))
+        .select(*[col(k) for k in keys], "pos", _json_object(col("members")["m"]).alias("row"))
     )
 
 
@@ -231,7 +231,11 @@ def json_to_csv(df: DataFrame, document: str, order: str, path: str) -> DataFram
     rows = json_to_columns(df, document, order, [order])
     tied = with_tie(rows, from_scan=False)
     written = range_partition(tied, [col(order), col(TIE)]).drop(order, TIE)
-    written.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option(
-        "ignoreTrailingWhiteSpace", False
-    ).csv(path)
+    (
+        written.write.option("header", True)
+        .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+        .csv(path)
+    )
     return rows.drop(order)
