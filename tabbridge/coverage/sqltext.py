@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from tabbridge.coverage.registry import load, query, scratch_database
-from tabbridge.plans.sqlpass import execute_sql, execute_sql_into, sql_rows_as_text
-from tabbridge.sources.managed import ensure_database  # noqa: F401
 from tabbridge.plans.imports import import_table
+from tabbridge.plans.sqlpass import execute_sql, execute_sql_into, sql_rows_as_text
 
 TEXTS = {
     "sql_ranking_window": (
@@ -13,8 +12,8 @@ TEXTS = {
         """
         SELECT o_orderpriority, o_orderkey, o_totalprice, rank_no FROM (
             SELECT o_orderpriority, o_orderkey, o_totalprice,
-                   row_number() OVER (PARTITION BY o_orderpriority
-                                      ORDER BY o_totalprice DESC, o_orderkey) AS rank_no
+                   CAST(row_number() OVER (PARTITION BY o_orderpriority
+                        ORDER BY o_totalprice DESC, o_orderkey) AS BIGINT) AS rank_no
             FROM orders) t
         WHERE rank_no <= 5
         """,
@@ -54,7 +53,6 @@ ORACLE_TEXTS = {
                     ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS BIGINT) AS key_sum
         FROM orders
     """,
-    "sql_ranking_window": TEXTS["sql_ranking_window"][1],
 }
 
 

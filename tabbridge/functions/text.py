@@ -24,6 +24,7 @@ TIMESTAMP_SHAPE = (
     r"( \d{2}:\d{2}:\d{2}(\.\d{1,9})?|T\d{2}:\d{2}:\d{2}(Z|[+-]\d{2}:\d{2}))?$"
 )
 TIME_SHAPE = r"^([01]\d|2[0-3]):[0-5]\d:[0-5]\d$"
+FLOAT_SHAPE = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI]nf(inity)?|NaN)$"
 HEX_SHAPE = r"^([0-9A-Fa-f]{2})+$"
 
 EPOCH_NTZ = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
@@ -33,11 +34,19 @@ def trim(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITESPACE))
 
 
+def is_null_token(trimmed: Column) -> Column:
+    """Trimmed text is ``\\N``, ``\\\\N`` or the word NULL in any case."""
+    word = (F.octet_length(trimmed) == 4) & (F.upper(trimmed) == "NULL")
+    return trimmed.isin(*NULL_TOKENS) | word
+
+
+def is_missing(trimmed: Column) -> Column:
+    return (trimmed == "") | is_null_token(trimmed)
+
+
 def normalize_null(c: Column, replacement: str | None = "") -> Column:
     """NULL tokens (after trimming) become ``replacement``; other text is kept unchanged."""
-    t = trim(c)
-    is_token = t.isin(*NULL_TOKENS) | (F.upper(t) == "NULL")
-    return F.when(is_token, F.lit(replacement)).otherwise(c)
+    return F.when(is_null_token(trim(c)), F.lit(replacement)).otherwise(c)
 
 
 def clean_line_breaks(c: Column) -> Column:
@@ -99,27 +108,54 @@ def snapshot_text(c: Column, data_type: T.DataType) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
-def parse_text(raw: Column, data_type: T.DataType) -> Column:
-    """Typed value of trimmed text, NULL where the text does not fit the type."""
+def _words(words: tuple[str, ...]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+def parse_sql(trimmed: str, data_type: T.DataType) -> str:
+    """SQL text of the typed value of trimmed text, NULL where the text does not fit."""
     kind = data_type.simpleString()
+    cast = f"try_cast({trimmed} AS {kind})"
     if isinstance(data_type, T.StringType):
-        return raw
+        return trimmed
     if isinstance(data_type, T.BooleanType):
         return (
-            F.when(raw.isin(*TRUE_WORDS), F.lit(True))
-            .when(raw.isin(*FALSE_WORDS), F.lit(False))
+            f"CASE WHEN {trimmed} IN ({_words(TRUE_WORDS)}) THEN true "
+            f"WHEN {trimmed} IN ({_words(FALSE_WORDS)}) THEN false END"
         )
     if isinstance(data_type, T.DateType):
-        return F.when(raw.rlike(DATE_SHAPE), raw.try_cast(kind))
+        return f"IF({trimmed} RLIKE r'{DATE_SHAPE}', {cast}, NULL)"
     if isinstance(data_type, (T.TimestampType, T.TimestampNTZType)):
-        return F.when(raw.rlike(TIMESTAMP_SHAPE), raw.try_cast(kind))
+        return f"IF({trimmed} RLIKE r'{TIMESTAMP_SHAPE}', {cast}, NULL)"
     if isinstance(data_type, T.BinaryType):
-        return F.when(raw.rlike(HEX_SHAPE), F.unhex(raw))
-    if isinstance(data_type, (T.FloatType, T.DoubleType, T.DecimalType, T.IntegralType)):
-        return raw.try_cast(kind)
+        return f"IF({trimmed} RLIKE r'{HEX_SHAPE}', unhex({trimmed}), NULL)"
+    if isinstance(data_type, (T.FloatType, T.DoubleType)):
+        return f"IF({trimmed} RLIKE r'{FLOAT_SHAPE}', {cast}, NULL)"
+    if isinstance(data_type, (T.DecimalType, T.IntegralType)):
+        return cast
     raise ValueError(f"unsupported column type: {kind}")
 
 
+def quick_parse_sql(cell: str, data_type: T.DataType) -> str | None:
+    """Parse of untrimmed text in its usual form, NULL for anything else; no regex.
+
+    None where there is no quicker way than ``parse_sql``.
+    """
+    cast = f"try_cast({cell} AS {data_type.simpleString()})"
+    dashes = f"substr({cell}, 5, 1) = '-' AND substr({cell}, 8, 1) = '-'"
+    if isinstance(data_type, (T.IntegralType, T.DecimalType)):
+        return cast
+    if isinstance(data_type, (T.FloatType, T.DoubleType)):
+        # a type suffix such as 1.5d is Java's, not the format's
+        return f"IF(right({cell}, 1) IN ('d', 'D', 'f', 'F'), NULL, {cast})"
+    if isinstance(data_type, T.DateType):
+        return f"IF(length({cell}) = 10 AND {dashes}, {cast}, NULL)"
+    if isinstance(data_type, (T.TimestampType, T.TimestampNTZType)):
+        shape = f"length({cell}) = 19 AND {dashes} AND substr({cell}, 11, 1) = ' '"
+        return f"IF({shape}, {cast}, NULL)"
+    return None
+
+
 def key_text(columns: Iterable[Column]) -> Column:
     parts = [F.coalesce(c.cast("string"), F.lit(KEY_NULL)) for c in columns]
     return F.concat_ws(FIELD_SEPARATOR, *parts)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,11 +14,12 @@ from tabbridge.functions.names import col
 from tabbridge.functions.sizing import EXPORT_FILE_BYTES, file_rows_for
 from tabbridge.functions.text import (
     FIELD_SEPARATOR,
+    NULL_TOKENS,
+    WHITESPACE,
     clean_line_breaks,
-    normalize_null,
-    parse_text,
+    parse_sql,
+    quick_parse_sql,
     snapshot_text,
-    trim,
 )
 
 REJECT_REASON = "reject_reason"
@@ -69,13 +70,46 @@ def _raw(
     )
 
 
-def _cell(f: T.StructField) -> Column:
-    """Trimmed cell text; blank, absent and NULL-token cells are NULL."""
-    return F.nullif(trim(normalize_null(col(f.name))), F.lit(""))
+def _missing_sql(trimmed: str) -> str:
+    """SQL form of ``is_missing``."""
+    tokens = ", ".join(f"r'{t}'" for t in NULL_TOKENS)
+    return (
+        f"({trimmed} = '' OR {trimmed} IN ({tokens}) "
+        f"OR (octet_length({trimmed}) = 4 AND upper({trimmed}) = 'NULL'))"
+    )
+
+
+def _trim_sql(cell: str) -> str:
+    marks = "".join(f"\\u{ord(c):04x}" for c in WHITESPACE)
+    return f"btrim({cell}, '{marks}')"
+
+
+def _quote(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
-def _failed(raw: Column, value: Column) -> Column:
-    return raw.isNotNull() & value.isNull()
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _typed_sql(f: T.StructField, otherwise: str) -> str:
+    """Typed value of a cell as SQL text.
+
+    A well-formed cell takes the quick parse. Only when that gives NULL, the trimmed
+    text is looked at: a missing cell is NULL, another form of the value is parsed, and
+    anything else is ``otherwise`` (which may use the trimmed text ``t``). This part
+    sits in a lambda, so it is bound once and kept out of the generated code.
+    """
+    cell = _quote(f.name)
+    trimmed = _trim_sql(cell)
+    if isinstance(f.dataType, T.StringType):
+        return f"IF({_missing_sql(trimmed)}, NULL, {trimmed})"
+    slow = (
+        f"transform(array({trimmed}), t -> IF({_missing_sql('t')}, NULL, "
+        f"coalesce({parse_sql('t', f.dataType)}, {otherwise})))[0]"
+    )
+    quick = quick_parse_sql(cell, f.dataType)
+    return slow if quick is None else f"coalesce({quick}, {slow})"
 
 
 def read_delimited(
@@ -97,19 +131,12 @@ def read_delimited(
         raise ValueError("null_policy must be 'sql' or 'csv'")
     out = []
     for f in schema.fields:
-        raw = _cell(f)
-        value = parse_text(raw, f.dataType)
-        if isinstance(f.dataType, T.StringType):
-            value = F.coalesce(value, F.lit("")) if null_policy == "csv" else value
-        else:
-            message = F.concat(
-                F.lit(f"column {f.name}: cannot parse {f.dataType.simpleString()}: "), raw
-            )
-            value = F.when(
-                _failed(raw, value), F.raise_error(message).cast(f.dataType)
-            ).otherwise(value)
-        out.append(value.alias(f.name))
-    return _raw(spark, path, schema, multiline, sep).select(out)
+        what = _text(f"column {f.name}: cannot parse {f.dataType.simpleString()}: ")
+        value = _typed_sql(f, f"raise_error(concat({what}, t))")
+        if null_policy == "csv" and isinstance(f.dataType, T.StringType):
+            value = f"coalesce({value}, '')"
+        out.append(f"{value} AS {_quote(f.name)}")
+    return _raw(spark, path, schema, multiline, sep).selectExpr(*out)
 
 
 class Load(NamedTuple):
@@ -133,18 +160,21 @@ def load_with_rejects(
     yields data, rejects and counters in a single pass.
     """
     raw = _raw(spark, path, schema, multiline, sep)
-    cells = [_cell(f) for f in schema.fields]
-    values = [parse_text(c, f.dataType) for c, f in zip(cells, schema.fields)]
+    names = [_quote(f.name) for f in schema.fields]
+    typed = [_typed_sql(f, "NULL") for f in schema.fields]
+    parsed = raw.selectExpr(
+        f"named_struct({', '.join(f'{_text(f.name)}, {n}' for f, n in zip(schema.fields, names))})"
+        " AS raw",
+        f"named_struct({', '.join(f'{_text(f.name)}, {v}' for f, v in zip(schema.fields, typed))})"
+        " AS typed",
+    )
     bad = [
-        F.when(_failed(c, v), F.lit(f.name))
-        for c, v, f in zip(cells, values, schema.fields)
-        if not isinstance(f.dataType, T.StringType)
+        f"IF(typed.{n} IS NULL, transform(array({_trim_sql(f'raw.{n}')}), "
+        f"t -> IF({_missing_sql('t')}, NULL, {_text(f.name)}))[0], NULL)"
+        for f, n in zip(schema.fields, names)
     ]
-    reason = F.nullif(F.concat_ws(",", *bad), F.lit("")) if bad else F.lit(None).cast("string")
-    rows = raw.select(
-        F.struct(*[col(f.name) for f in schema.fields]).alias("raw"),
-        F.struct(*[v.alias(f.name) for v, f in zip(values, schema.fields)]).alias("typed"),
-        reason.alias(REJECT_REASON),
+    rows = parsed.selectExpr(
+        "raw", "typed", f"nullif(concat_ws(',', {', '.join(bad)}), '') AS {REJECT_REASON}"
     )
     counters = Observation()
     is_bad = F.col(REJECT_REASON).isNotNull()
