@@ -13,6 +13,7 @@ from tabbridge.operators.datagen import generate_rows, generate_schema
 from tabbridge.plans.housekeeping import expire_partitions
 from tabbridge.plans.imports import Target, import_by_key_range, import_table, import_targets
 from tabbridge.session import workspace
+from tabbridge.sources.assets import TableKey
 from tabbridge.sources.managed import (
     delete_where,
     table_name,
@@ -132,7 +133,7 @@ def import_range_rows(spark, sf):
 )
 def import_many(spark, sf):
     db = scratch_database(spark, "targets")
-    auto = {"type": "AUTO_INCREMENT", "columns": ["o_orderkey"]}
+    auto = TableKey("AUTO_INCREMENT", ["o_orderkey"])
     report = import_targets(
         spark,
         [

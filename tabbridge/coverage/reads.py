@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tabbridge.coverage.registry import load, query
+from tabbridge.functions.declared import ColumnInfo
 from tabbridge.functions.predicates import Filter, filters_from_lists
 from tabbridge.operators import counts
 from tabbridge.operators.tables import read_table, sort_table
 from tabbridge.plans import batch
+from tabbridge.session import workspace
+from tabbridge.sources.assets import Asset, Registry, read
+from tabbridge.sources.files import write_files
 
 
 @query(
@@ -28,6 +34,47 @@ def read_lineitem(spark, sf):
     )
 
 
+@query(
+    "read_asset",
+    """
+    SELECT o_orderkey, CAST(o_custkey AS INTEGER) AS o_custkey,
+           coalesce(nullif(o_orderstatus, 'P'), 'none') AS o_orderstatus
+    FROM orders WHERE o_totalprice >= 1000 ORDER BY o_orderkey
+    """,
+)
+def read_registered_asset(spark, sf):
+    """A registered asset with declared types and a default, through the general read."""
+    path = workspace(spark, "asset")
+    orders = load(spark, sf, "orders").withColumn(
+        "o_orderstatus", F.nullif("o_orderstatus", F.lit("P"))
+    )
+    write_files(orders, path, "csv")
+    registry = Registry(
+        [
+            Asset(
+                "orders",
+                "FILE_TYPE_CSV",
+                path,
+                [
+                    ColumnInfo("o_orderkey", "BIGINT", nullable=False),
+                    ColumnInfo("o_custkey", "INT"),
+                    ColumnInfo("o_orderstatus", "VARCHAR(8)", default="none"),
+                    ColumnInfo("o_totalprice", "DOUBLE"),
+                    ColumnInfo("o_orderdate", "DATETIME"),
+                    ColumnInfo("o_orderpriority", "VARCHAR(20)"),
+                ],
+            )
+        ]
+    )
+    return read(
+        spark,
+        registry.asset("orders"),
+        ["o_orderkey", "o_custkey", "o_orderstatus"],
+        [("o_totalprice", ">=", 1000)],
+        ["o_orderkey"],
+    )
+
+
 @query("read_table_all_columns", "SELECT * FROM customer WHERE c_acctbal > 0")
 def read_all_columns(spark, sf):
     return read_table(load(spark, sf, "customer"), filters=[("c_acctbal", ">", 0)])

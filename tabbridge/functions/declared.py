@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabbridge.functions.names import bare, col, require
@@ -148,3 +150,32 @@ def require_flat(schema: T.StructType) -> None:
         raise ValueError(f"nested columns are not supported: {nested}")
 
 
+
+
+@dataclass(frozen=True)
+class ColumnInfo:
+    """Declared column: type name of its dialect, NULL rule and default text."""
+
+    name: str
+    data_type: str
+    nullable: bool = True
+    default: str = ""
+
+
+def conform(df: DataFrame, columns: list[ColumnInfo], dialect: str = "mysql") -> DataFrame:
+    """The declared columns with their declared types, in declared order.
+
+    A NULL takes the column's default. A NULL left in a NOT NULL column fails the job.
+    """
+    require(df, [c.name for c in columns])
+    out = []
+    for c in columns:
+        kind = declared_type(c.data_type, dialect)
+        value = col(c.name).cast(kind)
+        if c.default:
+            value = F.coalesce(value, F.lit(c.default).cast(kind))
+        if not c.nullable:
+            missing = F.raise_error(f"column {c.name} must not be NULL").cast(kind)
+            value = F.coalesce(value, missing)
+        out.append(value.alias(bare(c.name)))
+    return df.select(out)

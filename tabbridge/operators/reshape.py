@@ -105,14 +105,16 @@ def columns_to_table(
     )
 
 
-def _kind_is_array(v: Column) -> Column:
-    return F.schema_of_variant(v).startswith("ARRAY")
-
-
 def _elements(v: Column) -> Column:
+    """Elements of an array, NULL for any other value."""
     return F.try_variant_get(v, "$", "array<variant>")
 
 
+def _members(v: Column) -> Column:
+    """Members of an object, NULL for any other value."""
+    return F.try_variant_get(v, "$", "map<string, variant>")
+
+
 def _element_json(v: Column) -> Column:
     return F.coalesce(F.to_json(v), F.lit("null"))
 
@@ -131,10 +133,10 @@ def documents_to_rows(df: DataFrame, document: str, keys: Sequence[str] = ()) ->
     require(df, [document, *keys])
     ids = [col(k) for k in keys]
     text = col("__text")
-    # an array of anything but objects does not fit a row list either
     parsed = F.try_parse_json(text)
-    as_map = F.try_variant_get(parsed, "$", "map<string, variant>")
-    as_list = F.try_variant_get(parsed, "$", "array<map<string, variant>>")
+    as_map = _members(parsed)
+    # a row list holds objects only
+    is_list = F.forall(_elements(parsed), lambda e: _members(e).isNotNull())
     message = F.concat(F.lit("documents: cannot parse JSON: "), F.substring(text, 1, 200))
     docs = (
         df.select(*ids, col(document).alias("__text"))
@@ -144,7 +146,7 @@ def documents_to_rows(df: DataFrame, document: str, keys: Sequence[str] = ()) ->
             parsed.alias("__doc"),
             F.array_sort(F.map_keys(as_map)).alias("__names"),
             as_map.alias("__map"),
-            F.when(as_map.isNotNull() | as_list.isNotNull(), F.lit(True))
+            F.when(as_map.isNotNull() | is_list, F.lit(True))
             .otherwise(F.raise_error(message).cast("boolean"))
             .alias("__ok"),
         )
@@ -155,11 +157,8 @@ def documents_to_rows(df: DataFrame, document: str, keys: Sequence[str] = ()) ->
         col("__names"),
         lambda n: F.struct(
             _json_string(n).alias("name"),
-            F.when(_kind_is_array(members[n]), _elements(members[n])).alias("items"),
-            F.when(
-                F.schema_of_variant(members[n]) == "STRING",
-                F.try_variant_get(members[n], "$", "string"),
-            ).alias("string"),
+            _elements(members[n]).alias("items"),
+            F.try_variant_get(members[n], "$", "string").alias("string"),
         ),
     )
     shaped = docs.where("__ok").select(*ids, "__doc", fields.alias("__fields"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import NamedTuple
@@ -16,10 +16,10 @@ from tabbridge.functions.names import bare, col, require
 from tabbridge.operators.counts import key_bounds
 from tabbridge.operators.stats import observed, observed_rows
 from tabbridge.operators.tables import select_columns
+from tabbridge.sources.assets import TableKey, auto_increment_key
 from tabbridge.sources.jdbc import Connection, read_jdbc, write_jdbc
 
 DEFAULT_BATCH_ROWS = 5000
-AUTO_INCREMENT = "AUTO_INCREMENT"
 
 RESULT_SCHEMA = T.StructType(
     [
@@ -108,22 +108,13 @@ def import_by_key_range(
     return RangeImport(table, done.rows, key_ranges(written, key, batch_rows))
 
 
-def auto_increment_key(keys: Sequence[Mapping[str, object]]) -> str | None:
-    """Column of the first single-column auto-increment key."""
-    for k in keys:
-        names = [str(c).strip() for c in k.get("columns", ())]
-        if k.get("type") == AUTO_INCREMENT and len(names) == 1 and names[0]:
-            return names[0]
-    return None
-
-
 @dataclass(frozen=True)
 class Target:
     source: DataFrame
     source_name: str
     table: str
     columns: Sequence[str] = ()
-    keys: Sequence[Mapping[str, object]] = ()
+    keys: Sequence[TableKey] = ()
 
 
 class ImportReport(NamedTuple):

@@ -74,7 +74,7 @@ def _missing_sql(trimmed: str) -> str:
     """SQL form of ``is_missing``."""
     tokens = ", ".join(f"r'{t}'" for t in NULL_TOKENS)
     return (
-        f"({trimmed} = '' OR {trimmed} IN ({tokens}) "
+        f"({trimmed} IS NULL OR {trimmed} = '' OR {trimmed} IN ({tokens}) "
         f"OR (octet_length({trimmed}) = 4 AND upper({trimmed}) = 'NULL'))"
     )
 

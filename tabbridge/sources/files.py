@@ -14,6 +14,8 @@ from tabbridge.operators.tables import project_by_name
 
 SPARK_FORMATS = ("csv", "json", "parquet", "orc", "text")
 ARROW = "arrow"
+# Reader mark for "no cell": with Spark's default a quoted empty cell would turn NULL too.
+CSV_NULL = "\x00NULL\x00"
 
 
 def file_format(name: str) -> str:
@@ -45,7 +47,12 @@ def read_files(
         return project_by_name(read_arrow(spark, path, schema), columns)
     reader = spark.read.format(fmt)
     if fmt == "csv":
-        reader = reader.option("header", True).option("inferSchema", False)
+        reader = (
+            reader.option("header", True)
+            .option("inferSchema", False)
+            .option("nullValue", CSV_NULL)
+            .option("escape", '"')
+        )
     reader = reader.options(**options)
     if schema is not None:
         reader = reader.schema(schema)
@@ -70,6 +77,7 @@ def write_files(
     if fmt == "csv":
         writer = (
             writer.option("header", True)
+            .option("escape", '"')
             .option("ignoreLeadingWhiteSpace", False)
             .option("ignoreTrailingWhiteSpace", False)
         )
@@ -175,7 +183,7 @@ def load_csv_file(
 ) -> DataFrame:
     """One headered CSV object as a table; a column list picks and orders its columns."""
     return read_files(
-        spark, path, "csv", schema, columns, sep=separator, multiLine=multiline, escape='"'
+        spark, path, "csv", schema, columns, sep=separator, multiLine=multiline
     )
 
 

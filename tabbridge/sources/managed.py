@@ -15,6 +15,7 @@ from tabbridge.functions.names import col, require
 from tabbridge.functions.predicates import Filter, predicate
 from tabbridge.operators.positions import number_unordered
 from tabbridge.operators.stats import observed, observed_rows
+from tabbridge.sources.files import CSV_NULL
 
 KEY_NAME = re.compile(r"^(pk|PK)_[0-9a-f]{5,10}$")
 MAX_NAME_BYTES = 64
@@ -106,6 +107,7 @@ def write_result_table(
         spark.read.option("header", True)
         .option("inferSchema", False)
         .option("multiLine", multiline)
+        .option("nullValue", CSV_NULL)
         .option("escape", '"')
         .csv(path)
     )

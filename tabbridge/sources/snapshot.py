@@ -53,7 +53,7 @@ def write_snapshot(
         line = spark.createDataFrame([(text,)], "value string").coalesce(1)
         line.write.option("lineSep", sep).text(f"{path}/{folder}")
 
-    one_line(snapshot_ddl(df.schema, table, dialect), "schema", "\n")
+    one_line(snapshot_ddl(df.schema, table, dialect).rstrip("\n"), "schema", "\n")
     one_line(FIELD_SEPARATOR.join(df.columns), "header", ROW_SEPARATOR)
     (
         df.select(F.concat_ws(FIELD_SEPARATOR, *[_cell(f) for f in df.schema.fields]))
