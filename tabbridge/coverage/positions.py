@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from tabbridge.coverage.registry import load, query
-from tabbridge.operators.positions import chunk_manifest, number_rows, page, read_chunk
+from tabbridge.operators.positions import chunk_manifest, number_rows, order_table, page, read_chunk
 from tabbridge.plans.housekeeping import retry_candidates
 
 
@@ -138,10 +138,10 @@ def manifest(spark, sf):
     WITH p AS (SELECT o_orderkey, o_custkey,
                       row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1 AS position
                FROM orders)
-    SELECT o_orderkey, o_custkey, position FROM p WHERE position BETWEEN 1250 AND 1999
+    SELECT o_orderkey, o_custkey FROM p WHERE position BETWEEN 1250 AND 1999
     """,
 )
 def resumed_chunk(spark, sf):
     """Second chunk of 1000 rows, resumed after the first 250."""
     orders = load(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    return read_chunk(number_rows(orders, ["o_custkey"], from_scan=True), 1, 1000, 250)
+    return read_chunk(order_table(orders, ["o_custkey"], from_scan=True), 1, 1000, 250)

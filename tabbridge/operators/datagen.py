@@ -144,27 +144,27 @@ def _draw(column: str, what: str, seed: int, below: int) -> Column:
     return F.pmod(mixed, F.lit(below).cast("long"))
 
 
-def _digest(column: str, seed: int) -> Column:
-    def block(i: Column) -> Column:
-        return F.sha2(F.concat_ws(":", F.lit(str(seed)), F.lit(column), col("id"), i), 512)
-
-    return block
+def _blocks(column: str, seed: int, count: Column, bits: int) -> Column:
+    """``count`` hashed blocks of ``bits``, as one hex text."""
+    stem = F.concat(F.lit(f"{seed}:{column}:"), col("id").cast("string"), F.lit(":"))
+    blocks = F.transform(
+        F.sequence(F.lit(1), count), lambda i: F.sha2(F.concat(stem, i.cast("string")), bits)
+    )
+    return F.array_join(blocks, "")
 
 
 def _letters(column: str, seed: int, length: Column) -> Column:
-    """Letters and digits: blocks of hashed base64 without its two signs."""
-    block = _digest(column, seed)
-    text = F.transform(
-        F.sequence(F.lit(0), F.floor(length / 80).cast("int")),
-        lambda i: F.translate(F.base64(F.unhex(block(i))), "+/=\r\n", "aZ"),
-    )
-    return F.substring(F.array_join(text, ""), F.lit(1), length)
+    """Letters and digits: base64 of hashed blocks (64 letters each) without its two signs."""
+    count = F.floor((length + 63) / 64).cast("int")
+    text = F.base64(F.unhex(_blocks(column, seed, count, 384)))
+    for sign, letter in (("+", "a"), ("/", "Z"), ("\r\n", "")):
+        text = F.replace(text, F.lit(sign), F.lit(letter))
+    return F.substring(text, F.lit(1), length)
 
 
 def _bytes(column: str, seed: int, length: Column) -> Column:
-    block = _digest(column, seed)
-    text = F.transform(F.sequence(F.lit(0), F.floor(length / 64).cast("int")), block)
-    return F.unhex(F.substring(F.array_join(text, ""), F.lit(1), length * 2))
+    text = _blocks(column, seed, F.floor((length + 63) / 64).cast("int"), 512)
+    return F.unhex(F.substring(text, F.lit(1), length * 2))
 
 
 # Exclusive upper bounds of generated integers, by declared type.

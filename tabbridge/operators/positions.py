@@ -66,7 +66,13 @@ def total_order(df: DataFrame, rules: Iterable[SortRule]) -> list[SortRule]:
     return [*rules, *[c for c in df.columns if c not in named]]
 
 
-def _stage_ordered(df: DataFrame, rules: Iterable[SortRule], from_scan: bool) -> DataFrame:
+def order_table(
+    df: DataFrame, rules: Iterable[SortRule], *, from_scan: bool = False
+) -> DataFrame:
+    """The rows in total order, staged with a stored row id that follows the order.
+
+    Ranges are sorted in parallel. ``rows_at`` and ``read_chunk`` cut rows out of it.
+    """
     order = order_columns(df, total_order(df, rules))
     ranged = range_partition(with_tie(df, from_scan), [*order, col(TIE)]).drop(TIE)
     return stage(ranged.withColumn(_ROW, F.monotonically_increasing_id()), "ordered")
@@ -82,27 +88,26 @@ def number_rows(
 ) -> DataFrame:
     """Global position of every row in the given order.
 
-    Ranges are sorted in parallel and staged; the position is the number of rows in
-    earlier ranges plus the index inside the range.
+    The position is the number of rows in earlier ranges plus the index inside the range.
     """
-    return _place(_stage_ordered(df, rules, from_scan), name, start)
+    return _place(order_table(df, rules, from_scan=from_scan), name, start)
 
 
-def _cut(staged: DataFrame, first: int, size: int) -> DataFrame:
+def rows_at(ordered: DataFrame, first: int, size: int) -> DataFrame:
     """Rows at positions first … first+size-1, in order.
 
     The rows before each range are known from per-partition counts, so the cut is a few
     intervals of the stored row id and the scan skips every other row group.
     """
     last, intervals = first + size - 1, []
-    for part in _offsets(staged).orderBy("__part").toLocalIterator():
+    for part in _offsets(ordered).orderBy("__part").toLocalIterator():
         lo = max(first - part["__before"], 0)
         hi = min(last - part["__before"], part["__n"] - 1)
         if lo <= hi:
             base = part["__part"] << ROW_ID_BITS
             intervals.append(col(_ROW).between(base + lo, base + hi))
     wanted = reduce(lambda a, b: a | b, intervals, F.lit(False))
-    return staged.where(wanted).orderBy(_ROW).drop(_ROW)
+    return ordered.where(wanted).orderBy(_ROW).drop(_ROW)
 
 
 class Page(NamedTuple):
@@ -133,7 +138,7 @@ def page(
     if first + size <= SHALLOW_PAGE_ROWS:
         order = order_columns(rows, total_order(rows, rules))
         return Page(rows.orderBy(*order).offset(first).limit(size), total)
-    return Page(_cut(_stage_ordered(rows, rules, from_scan), first, size), total)
+    return Page(rows_at(order_table(rows, rules, from_scan=from_scan), first, size), total)
 
 
 def row_text(df: DataFrame) -> Column:
@@ -187,14 +192,11 @@ def chunk_manifest(
 
 
 def read_chunk(
-    positioned: DataFrame, chunk_id: int, chunk_rows: int, resume: int = 0
+    ordered: DataFrame, chunk_id: int, chunk_rows: int, resume: int = 0
 ) -> DataFrame:
-    """Rows of one chunk of ``number_rows`` output, skipping ``resume`` rows already delivered."""
+    """Rows of one chunk of an ``order_table``, skipping ``resume`` rows already delivered."""
     if chunk_id < 0 or resume < 0:
         raise ValueError("chunk id and resume offset must not be negative")
     if resume >= chunk_rows:
         raise ValueError("resume offset exceeds the chunk")
-    first = chunk_id * chunk_rows
-    return positioned.where(
-        col("position").between(first + resume, first + chunk_rows - 1)
-    ).orderBy("position")
+    return rows_at(ordered, chunk_id * chunk_rows + resume, chunk_rows - resume)

@@ -16,31 +16,10 @@ SAMPLE_ROWS = 100
 TIERS = (100_000, 10_000_000, 100_000_000)
 
 
-def _sizes(df: DataFrame, sample_rows: int | None) -> DataFrame:
-    """One row: rows, sampled_rows, sampled_bytes."""
-    width = row_bytes(df.schema).alias("b")
-    if sample_rows is None:
-        return df.select(width).agg(
-            F.count(F.lit(1)).alias("rows"),
-            F.count(F.lit(1)).alias("sampled_rows"),
-            F.sum("b").alias("sampled_bytes"),
-        )
-    zero = F.lit(0).cast("long")
-    counted = df.agg(
-        F.count(F.lit(1)).alias("rows"), zero.alias("sampled_rows"), zero.alias("sampled_bytes")
-    )
-    sampled = (
-        df.limit(sample_rows)
-        .select(width)
-        .agg(
-            zero.alias("rows"),
-            F.count(F.lit(1)).alias("sampled_rows"),
-            F.sum("b").alias("sampled_bytes"),
-        )
-    )
-    return counted.unionByName(sampled).agg(
-        *[F.sum(c).alias(c) for c in ("rows", "sampled_rows", "sampled_bytes")]
-    )
+def _average_width(df: DataFrame, sample_rows: int) -> int:
+    """Average bytes of the first rows, which a limit fetches from as few files as it needs."""
+    widths = df.select(row_bytes(df.schema).alias("b")).limit(sample_rows).collect()
+    return sum(r["b"] for r in widths) // len(widths) if widths else 0
 
 
 def estimate_size(
@@ -51,19 +30,17 @@ def estimate_size(
     The average is an integer division over the first ``sample_rows`` rows, or over
     all rows with ``sample_rows=None``. An empty table has size 0.
     """
-    average = F.when(
-        col("sampled_rows") > 0, F.expr("sampled_bytes div sampled_rows")
-    ).otherwise(F.lit(0))
-    return (
-        _sizes(df, sample_rows)
-        .withColumn("avg_row_bytes", average.cast("long"))
-        .select(
-            "rows",
-            "avg_row_bytes",
-            (col("avg_row_bytes") * col("rows") * F.lit(float(factor)))
-            .cast("long")
-            .alias("table_bytes"),
+    if sample_rows is None:
+        facts = df.select(row_bytes(df.schema).alias("b")).agg(
+            F.count(F.lit(1)).alias("rows"), F.sum("b").alias("bytes")
         )
+        average = F.when(col("rows") > 0, F.expr("bytes div rows")).otherwise(F.lit(0))
+    else:
+        facts = df.agg(F.count(F.lit(1)).alias("rows"))
+        average = F.lit(_average_width(df, sample_rows))
+    size = col("avg_row_bytes") * col("rows") * F.lit(float(factor))
+    return facts.withColumn("avg_row_bytes", average.cast("long")).select(
+        "rows", "avg_row_bytes", size.cast("long").alias("table_bytes")
     )
 
 

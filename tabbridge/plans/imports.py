@@ -20,6 +20,10 @@ from tabbridge.sources.assets import TableKey, auto_increment_key
 from tabbridge.sources.jdbc import Connection, read_jdbc, write_jdbc
 
 DEFAULT_BATCH_ROWS = 5000
+# Overall verdicts.
+ALL_GOOD = "Import completed successfully"
+SOME_FAILED = "Import completed with some failures"
+ALL_FAILED = "Import failed for all targets"
 
 RESULT_SCHEMA = T.StructType(
     [
@@ -151,11 +155,8 @@ def import_targets(
         rows = list(pool.map(run, targets))
     results = spark.createDataFrame(rows, RESULT_SCHEMA)
     good = sum(1 for r in rows if r[3])
-    if good == len(rows):
-        return ImportReport(results, True, "Import completed successfully")
-    if good:
-        return ImportReport(results, False, "Import completed with some failures")
-    return ImportReport(results, False, "Import failed for all targets")
+    message = ALL_GOOD if good == len(rows) else SOME_FAILED if good else ALL_FAILED
+    return ImportReport(results, good == len(rows), message)
 
 
 def _declared(df: DataFrame, columns: Sequence[tuple[str, str]], dialect: str) -> DataFrame:

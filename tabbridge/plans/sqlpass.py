@@ -55,14 +55,14 @@ def bind_sql(text: str, args: Sequence[Any]) -> tuple[str, list[Any]]:
             return match.group(0)
         index = int(match.group(1)) - 1 if match.group(1) else len(values)
         if not 0 <= index < len(args):
-            raise ValueError("insufficient arguments for query")
+            raise ValueError("fewer values than placeholders")
         used.add(index)
         values.append(args[index])
         return "?"
 
     bound = _PLACEHOLDER.sub(take, text)
     if len(used) < len(args):
-        raise ValueError("too many arguments for query")
+        raise ValueError("more values than placeholders")
     return bound, values
 
 

@@ -122,14 +122,14 @@ def test_load_counters_come_with_the_write(spark, path):
 
 def test_snapshot_file_with_header(spark, path):
     lines = ["a\x01b", "1\x01x\ny", "2\x01", "a\x01b\x01c", "", "x\x01text"]
-    text_file(path, "data.csv", " ".join(lines) + " ")
+    text_file(path, "data.csv", "\u2028".join(lines) + "\u2028")
     schema = spark.createDataFrame([], "a int, b string").schema
     back = read_snapshot(spark, path, schema, header=True)
     assert rows(back.rows) == sorted([(1, "x\ny"), (2, None), (None, "text")], key=repr)
     assert back.bad.first()["bad_rows"] == 1
 
 
-@pytest.mark.parametrize("mark", ["\x01", " "])
+@pytest.mark.parametrize("mark", ["\x01", "\u2028"])
 def test_snapshot_refuses_separators_in_text(spark, path, mark):
     with pytest.raises(PySparkException, match="separator character"):
         write_snapshot(spark.createDataFrame([(f"a{mark}b",)], "s string"), path, "t")

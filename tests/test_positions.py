@@ -9,6 +9,7 @@ from tabbridge.operators.positions import (
     chunk_manifest,
     number_rows,
     number_unordered,
+    order_table,
     page,
     read_chunk,
 )
@@ -83,12 +84,12 @@ def test_chunks_cover_all_rows(table):
 
 def test_read_chunk_resumes(table):
     df, rows = table
-    placed = number_rows(df, ["k"])
-    got = [(r["k"], r["v"]) for r in read_chunk(placed, 4, 700, 150).collect()]
+    ordered = order_table(df, ["k"])
+    got = [(r["k"], r["v"]) for r in read_chunk(ordered, 4, 700, 150).collect()]
     assert got == sorted(rows)[2950:3000]
     for args in ((-1, 700, 0), (0, 700, 700)):
         with pytest.raises(ValueError):
-            read_chunk(placed, *args)
+            read_chunk(ordered, *args)
 
 
 def test_retry_candidates(spark):

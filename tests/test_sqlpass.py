@@ -22,10 +22,10 @@ def test_bind(text, args, want):
 @pytest.mark.parametrize(
     ("text", "args", "message"),
     [
-        ("SELECT ?", [], "insufficient"),
-        ("SELECT $2", [1], "insufficient"),
-        ("SELECT ?", [1, 2], "too many"),
-        ("SELECT 1", [1], "too many"),
+        ("SELECT ?", [], "fewer values"),
+        ("SELECT $2", [1], "fewer values"),
+        ("SELECT ?", [1, 2], "more values"),
+        ("SELECT 1", [1], "more values"),
     ],
 )
 def test_bind_counts(text, args, message):
