@@ -75,33 +75,58 @@ def _json_object(members: Column) -> Column:
     return F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}"))
 
 
-def columns_to_rows(df: DataFrame, document: str, keys: Sequence[str] = ()) -> DataFrame:
+def _one_per_name(
+    df: DataFrame, document: str, keys: Sequence[str], order: str | None
+) -> DataFrame:
+    """Long rows with each column once per result: the last document in ``order`` wins.
+
+    Repeats are dropped before the shuffle, so later groups hold distinct columns only.
+    """
+    ids = [*keys, order] if order and order not in keys else list(keys)
+    long = columns_to_rows_long(df, document, ids)
+    entry = F.struct("item_idx", "value")
+    rank = F.struct(*([col(order)] if order else []), entry)
+    return (
+        long.groupBy(*[col(k) for k in keys], "pos", "name")
+        .agg(F.max_by(entry, rank).alias("__e"))
+        .select(*[col(k) for k in keys], "pos", "name", "__e.item_idx", "__e.value")
+    )
+
+
+def columns_to_rows(
+    df: DataFrame, document: str, keys: Sequence[str] = (), order: str | None = None
+) -> DataFrame:
     """Column-oriented documents to row objects: keys, pos, row (JSON text).
 
     The documents of one result are zipped by position. Members follow item_idx; a
-    column that is too short leaves its member out. A group holds one row's members,
-    so its size is the number of columns.
+    column that is too short leaves its member out. A column that several documents
+    give is taken from the last one in ``order``. A group holds one row's members, so
+    its size is the number of columns.
     """
-    long = columns_to_rows_long(df, document, keys)
     member = F.struct(
         "item_idx", "name", F.concat(_json_string(col("name")), F.lit(":"), col("value")).alias("m")
     )
     return (
-        long.groupBy(*[col(k) for k in keys], "pos")
+        _one_per_name(df, document, keys, order)
+        .groupBy(*[col(k) for k in keys], "pos")
         .agg(F.array_sort(F.collect_list(member)).alias("members"))
         .select(*[col(k) for k in keys], "pos", _json_object(col("members")["m"]).alias("row"))
     )
 
 
 def columns_to_table(
-    df: DataFrame, document: str, names: Sequence[str], keys: Sequence[str] = ()
+    df: DataFrame,
+    document: str,
+    names: Sequence[str],
+    keys: Sequence[str] = (),
+    order: str | None = None,
 ) -> DataFrame:
     """Column-oriented documents to a wide table with the given columns, values as JSON text."""
+    wide = [F.max(F.when(col("name") == n, col("value"))).alias(n) for n in names]
     return (
-        columns_to_rows_long(df, document, keys)
+        _one_per_name(df, document, keys, order)
         .groupBy(*[col(k) for k in keys], "pos")
-        .pivot("name", list(names))
-        .agg(F.first("value"))
+        .agg(*wide)
     )
 
 

@@ -125,12 +125,16 @@ def _all_of(filters: Iterable[Filter | Sequence[Any]]) -> Column:
 
 
 def _swap(rows: DataFrame, table: str) -> None:
-    """Write the new content next to the table, then take its place."""
-    spark = rows.sparkSession
-    fresh = f"{table}__{uuid.uuid4().hex[:8]}"
+    """Write the new content next to the table, then take its place.
+
+    The old table is dropped last, so its rows exist at every moment.
+    """
+    spark, tag = rows.sparkSession, uuid.uuid4().hex[:8]
+    fresh, old = f"{table}__new_{tag}", f"{table}__old_{tag}"
     rows.write.format("parquet").saveAsTable(fresh)
-    spark.sql(f"DROP TABLE {table}")
+    spark.sql(f"ALTER TABLE {table} RENAME TO {old}")
     spark.sql(f"ALTER TABLE {fresh} RENAME TO {table}")
+    spark.sql(f"DROP TABLE {old}")
 
 
 def delete_where(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,9 +27,10 @@ def stream_append(
     """Load all files that arrived since the last run; returns the rows of this run.
 
     The schema is fixed before the first batch (taken from the source when not given).
-    Every batch is one labelled load: its label is the batch number, and it overwrites
-    only its own partition of the target, so a batch that is repeated after a failure
-    does not load twice. ``checkpoint`` and ``target`` are shared folders.
+    Every batch is one labelled load. The label names the checkpoint and the batch, and
+    the batch overwrites only the partition of its label: a batch repeated after a
+    failure does not load twice, and streams with other checkpoints keep apart.
+    ``checkpoint`` and ``target`` are shared folders.
     """
     schema = schema or spark.read.format(fmt).load(source).schema
     require_flat(schema)
@@ -38,11 +41,13 @@ def stream_append(
         .load(source)
     )
 
+    stream_id = hashlib.md5(checkpoint.rstrip("/").encode()).hexdigest()[:12]
     loaded: list[int] = []
 
     def load(batch: DataFrame, number: int) -> None:
         counted, watch = observed(batch)
-        counted.write.mode("overwrite").parquet(f"{target}/{LABEL}={label_prefix}_{number:012d}")
+        label = f"{label_prefix}_{stream_id}_{number:012d}"
+        counted.write.mode("overwrite").parquet(f"{target}/{LABEL}={label}")
         loaded.append(observed_rows(watch))
 
     query = (

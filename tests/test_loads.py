@@ -214,14 +214,33 @@ def test_stream_picks_up_only_new_files(spark):
     assert all(r["load_label"].startswith("import_") for r in ledger)
 
 
-def test_a_repeated_batch_is_not_loaded_twice(spark):
-    """A run that lost its progress writes the same labels over the same data."""
-    source, target = workspace(spark, "s"), workspace(spark, "s")
+def test_a_repeated_batch_is_not_loaded_twice(spark, monkeypatch):
+    """The batch is written, the run fails before its progress is recorded, and runs again."""
+    from tabbridge.streaming import append
+
+    source, target, marks = (workspace(spark, "s") for _ in range(3))
     part = spark.range(60)
     part.repartition(4).write.parquet(source)
-    for _ in range(2):
-        stream_append(spark, source, target, workspace(spark, "marks"), files_per_batch=100)
+
+    def lost(watch):
+        raise RuntimeError("driver lost")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(append, "observed_rows", lost)
+        with pytest.raises(Exception, match="driver lost"):
+            stream_append(spark, source, target, marks)
     assert appended(spark, target, part.schema).count() == 60
+    assert stream_append(spark, source, target, marks) == 60
+    assert appended(spark, target, part.schema).count() == 60
+
+
+def test_streams_into_one_table_keep_apart(spark):
+    target = workspace(spark, "s")
+    for _ in range(2):
+        source = workspace(spark, "s")
+        spark.range(30).write.parquet(source)
+        stream_append(spark, source, target, workspace(spark, "marks"))
+    assert appended(spark, target, spark.range(1).schema).count() == 60
 
 
 def test_expiry(spark, db):

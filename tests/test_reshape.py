@@ -98,6 +98,18 @@ def test_columns_long_and_wide(column_docs):
     assert got[("j", 0)] == ("1", '"x"')
 
 
+def test_later_document_replaces_a_column(spark):
+    df = spark.createDataFrame(
+        [
+            (2, '{"a":{"value":["new"],"item_idx":0}}'),
+            (1, '{"a":{"value":["old","rest"],"item_idx":0},"b":{"value":[1],"item_idx":1}}'),
+        ],
+        "n int, doc string",
+    )
+    got = [r["row"] for r in columns_to_rows(df, "doc", order="n").orderBy("pos").collect()]
+    assert got == ['{"a":"new","b":1}', '{"a":"rest"}']
+
+
 def test_bad_column_document_fails(spark):
     df = spark.createDataFrame([("{oops",)], "doc string")
     with pytest.raises(PySparkException, match="cannot parse JSON"):
