@@ -8,6 +8,7 @@ from typing import Any, NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabbridge.functions.names import col
 from tabbridge.functions.ordering import (
@@ -24,6 +25,8 @@ from tabbridge.session import stage
 
 ROW_ID_BITS = 33  # low bits of monotonically_increasing_id: index inside the partition
 SHALLOW_PAGE_ROWS = 10_000
+NARROW_ROWS = 1_000_000  # fewer rows than this are ordered without looking for a narrower part
+NARROW_SAMPLE = 50_000
 
 _ROW = "__row"
 
@@ -110,6 +113,77 @@ def rows_at(ordered: DataFrame, first: int, size: int) -> DataFrame:
     return ordered.where(wanted).orderBy(_ROW).drop(_ROW)
 
 
+def _sorts_before(keys: Sequence[tuple[str, bool]], bound: Sequence[Column | None]) -> Column:
+    """The row's key comes before ``bound`` (NULLs first ascending, last descending)."""
+    out, same = F.lit(False), F.lit(True)
+    for (name, ascending), value in zip(keys, bound):
+        c = col(name)
+        if value is None:
+            less = F.lit(False) if ascending else c.isNotNull()
+            equal = c.isNull()
+        else:
+            less = c.isNull() | (c < value) if ascending else F.coalesce(c > value, F.lit(False))
+            equal = c.eqNullSafe(value)
+        out, same = out | (same & less), same & equal
+    return out
+
+
+def _sorts_after(keys: Sequence[tuple[str, bool]], bound: Sequence[Column | None]) -> Column:
+    """The row's key comes after ``bound``."""
+    out, same = F.lit(False), F.lit(True)
+    for (name, ascending), value in zip(keys, bound):
+        c = col(name)
+        if value is None:
+            more = c.isNotNull() if ascending else F.lit(False)
+            equal = c.isNull()
+        else:
+            more = F.coalesce(c > value, F.lit(False)) if ascending else c.isNull() | (c < value)
+            equal = c.eqNullSafe(value)
+        out, same = out | (same & more), same & equal
+    return out
+
+
+def _narrow(
+    df: DataFrame, rules: Sequence[SortRule], first: int, end: int, total: int
+) -> tuple[DataFrame, int]:
+    """A key interval that holds positions first … end-1, and the number of rows before it.
+
+    Bounds come from a sorted sample of the sort keys; exact counts of the rows on either
+    side decide whether they are used. So a bad sample costs a wider interval, never a row.
+    Each round reads the key columns of the remaining interval and shuffles next to nothing.
+    A hot key ends the search: all its rows are one interval.
+    """
+    keys = parse_rules(rules)
+    kinds = [df.schema[name].dataType for name, _ in keys]
+    part, before, inside = df, 0, total
+    while inside > NARROW_ROWS and not any(isinstance(k, T.BinaryType) for k in kinds):
+        sampled = (
+            part.select([col(name) for name, _ in keys])
+            .sample(min(1.0, NARROW_SAMPLE / inside), seed=before)
+            .orderBy(*order_columns(df, rules))
+            .select([col(name).cast("string") for name, _ in keys])
+            .collect()
+        )
+        spare = int(4 * len(sampled) ** 0.5) + 1
+        low = (first - before) * len(sampled) // inside - spare
+        high = -(-(end - before) * len(sampled) // inside) + spare
+
+        def bound(i: int, rows=sampled) -> list[Column | None]:
+            return [None if v is None else F.lit(v).cast(k) for v, k in zip(rows[i], kinds)]
+
+        ahead = _sorts_before(keys, bound(low)) if low > 0 else F.lit(False)
+        behind = _sorts_after(keys, bound(high)) if high < len(sampled) else F.lit(False)
+        cut = part.agg(
+            F.count_if(ahead).alias("ahead"), F.count_if(behind).alias("behind")
+        ).first()
+        kept = inside - cut["ahead"] - cut["behind"]
+        holds = before + cut["ahead"] <= first and end <= before + cut["ahead"] + kept
+        if not holds or kept > inside // 2:
+            break
+        part, before, inside = part.where(~ahead & ~behind), before + cut["ahead"], kept
+    return part, before
+
+
 class Page(NamedTuple):
     rows: DataFrame
     total: DataFrame  # one row: total_rows
@@ -126,19 +200,27 @@ def page(
 ) -> Page:
     """Page ``number`` (from 1) of the filtered, ordered rows and the filtered total.
 
-    Ties are broken by the remaining columns. Early pages are a top-k of few rows; a
-    deep page is cut out by row position, because a top-k of that depth would gather
-    all rows before it in one task. Past the end the page is empty.
+    Ties are broken by the remaining columns. Early pages are a top-k of few rows. A top-k
+    of greater depth would gather all rows before the page in one task, so a deep page is
+    looked for in a narrow interval of sort keys, and only that interval is ordered and
+    cut by position. Past the end the page is empty.
     """
     if number < 1 or size < 1:
         raise ValueError("page number and size start at 1")
     rows = where(df, filters)
     total = rows.agg(F.count(F.lit(1)).alias("total_rows"))
     first = (number - 1) * size
-    if first + size <= SHALLOW_PAGE_ROWS:
-        order = order_columns(rows, total_order(rows, rules))
-        return Page(rows.orderBy(*order).offset(first).limit(size), total)
-    return Page(rows_at(order_table(rows, rules, from_scan=from_scan), first, size), total)
+    rest = total_order(rows, rules)
+    if first + size > SHALLOW_PAGE_ROWS:
+        count = total.first()["total_rows"]
+        total = df.sparkSession.createDataFrame([(count,)], "total_rows long")
+        if first >= count:
+            return Page(rows.limit(0), total)
+        rows, before = _narrow(rows, rules, first, min(first + size, count), count)
+        first -= before
+        if first + size > SHALLOW_PAGE_ROWS:
+            return Page(rows_at(order_table(rows, rules, from_scan=from_scan), first, size), total)
+    return Page(rows.orderBy(*order_columns(rows, rest)).offset(first).limit(size), total)
 
 
 def row_text(df: DataFrame) -> Column:

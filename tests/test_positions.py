@@ -59,6 +59,41 @@ def test_pages(table, monkeypatch, shallow, number, size):
     assert got.total.first()["total_rows"] == len(rows)
 
 
+@pytest.mark.parametrize("rules", [["a"], [("a", "DESC"), "b"], ["b", ("a", "DESC")], [("t", "DESC")]])
+def test_deep_pages_in_a_narrow_interval(spark, monkeypatch, rules):
+    """NULLs, ties, both directions: every page of every interval, whatever the sample says."""
+    monkeypatch.setattr(positions, "SHALLOW_PAGE_ROWS", 20)
+    monkeypatch.setattr(positions, "NARROW_ROWS", 100)
+    monkeypatch.setattr(positions, "NARROW_SAMPLE", 600)
+    rng = random.Random(5)
+    start = dt.datetime(2024, 3, 31)
+    rows = [
+        (
+            None if i % 17 == 0 else rng.randrange(300) / 8,
+            None if i % 23 == 0 else f"s{rng.randrange(40)}",
+            start + dt.timedelta(minutes=rng.randrange(5000)),
+            i,
+        )
+        for i in range(2000)
+    ]
+    df = spark.createDataFrame(rows, "a double, b string, t timestamp_ntz, i int").repartition(4)
+    order = positions.order_columns(df, positions.total_order(df, rules))
+    want = [tuple(r) for r in df.orderBy(*order).collect()]
+    for number, size in ((2, 40), (13, 70), (49, 40), (20, 100), (29, 70)):
+        got = page(df, rules, number, size)
+        assert [tuple(r) for r in got.rows.collect()] == want[(number - 1) * size : number * size]
+        assert got.total.first()["total_rows"] == 2000
+
+
+def test_narrowing_narrows(spark, monkeypatch):
+    monkeypatch.setattr(positions, "NARROW_ROWS", 1000)
+    monkeypatch.setattr(positions, "NARROW_SAMPLE", 5000)
+    df = spark.range(100_000).selectExpr("(id * 7919) % 100000 AS k")
+    part, before = positions._narrow(df, ["k"], 60_000, 60_010, 100_000)
+    inside = part.agg(F.count("*"), F.min("k"), F.max("k")).first()
+    assert inside[0] <= 1000 and inside[1] == before <= 60_000 and inside[2] >= 60_009
+
+
 def test_page_filters_and_limits(table):
     df, rows = table
     got = page(df, [("v", "DESC")], 1, 5, [("k", "=", "hot")])
