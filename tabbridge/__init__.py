@@ -1,5 +1,3 @@
 """Governed table access and exchange as Spark jobs."""
 
-from tabbridge.session import session, shared_folder, workspace
-
-__all__ = ["session", "shared_folder", "workspace"]
+__version__ = "0.1.0"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -77,3 +78,16 @@ def size_tier(rows: Column, small: int, medium: int, large: int) -> Column:
         .when(rows <= large, "large")
         .otherwise("xlarge")
     )
+
+
+def tier_partitions(
+    rows: int | None, thresholds: Sequence[int], partitions: Sequence[int]
+) -> int:
+    """Partition count of the first tier whose threshold holds the rows, else of the last tier.
+
+    A table of unknown size gets the default.
+    """
+    if rows is None:
+        return DEFAULT_PARTITIONS
+    fitting = [p for limit, p in zip(thresholds, partitions) if rows <= limit]
+    return fitting[0] if fitting else partitions[-1]

@@ -23,7 +23,6 @@ TIMESTAMP_SHAPE = (
     r"^\d{4}-\d{2}-\d{2}"
     r"( \d{2}:\d{2}:\d{2}(\.\d{1,9})?|T\d{2}:\d{2}:\d{2}(Z|[+-]\d{2}:\d{2}))?$"
 )
-TIME_SHAPE = r"^([01]\d|2[0-3]):[0-5]\d:[0-5]\d$"
 FLOAT_SHAPE = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI]nf(inity)?|NaN)$"
 HEX_SHAPE = r"^([0-9A-Fa-f]{2})+$"
 

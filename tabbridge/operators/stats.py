@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import re
+from collections.abc import Mapping, Sequence
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tabbridge.functions.names import col
@@ -14,6 +15,7 @@ from tabbridge.functions.sizing import row_bytes, size_tier
 
 SAMPLE_ROWS = 100
 TIERS = (100_000, 10_000_000, 100_000_000)
+_STATISTICS = re.compile(r"(?P<bytes>\d+) bytes, (?P<rows>\d+) rows")
 
 
 def _average_width(df: DataFrame, sample_rows: int) -> int:
@@ -44,36 +46,61 @@ def estimate_size(
     )
 
 
+def catalog_statistics(spark: SparkSession, table: str) -> tuple[int, int] | None:
+    """(rows, bytes) that ANALYZE TABLE left in the catalog, without touching the data."""
+    described = spark.sql(f"DESCRIBE TABLE EXTENDED {table}")
+    found = described.where(col("col_name") == "Statistics").select("data_type").first()
+    match = _STATISTICS.search(found[0]) if found else None
+    return (int(match["rows"]), int(match["bytes"])) if match else None
+
+
+def _info_row(
+    facts: DataFrame, name: str, columns: list[str], tiers: tuple[int, int, int]
+) -> DataFrame:
+    return facts.select(
+        F.lit(name).alias("table_name"),
+        "record_count",
+        "record_size",
+        F.lit(len(columns)).alias("column_count"),
+        F.lit(",".join(columns)).alias("columns"),
+        size_tier(col("record_count"), *tiers).alias("size_tier"),
+    )
+
+
 def table_info(
-    tables: Mapping[str, DataFrame], exact: bool = True, tiers: tuple[int, int, int] = TIERS
+    tables: Mapping[str, DataFrame] | Sequence[str],
+    exact: bool = True,
+    tiers: tuple[int, int, int] = TIERS,
+    factor: float = 1.0,
 ) -> DataFrame:
     """One row per table: record count, byte size, columns, size tier.
 
-    Exact mode counts rows and reports size 0. Otherwise the size is estimated as in
-    ``estimate_size``.
+    ``tables`` are DataFrames by name, or names of managed tables. Exact mode counts
+    rows and reports size 0. Otherwise a managed table's catalog statistics are used
+    when it has rows in them, and the size is estimated as in ``estimate_size`` for
+    the rest.
     """
     if not tables:
         raise ValueError("no tables given")
+    named = isinstance(tables, Mapping)
+    spark = SparkSession.active()
 
-    def one(name: str, df: DataFrame) -> DataFrame:
+    def facts(name: str, df: DataFrame) -> DataFrame:
         if exact:
-            facts = df.agg(F.count(F.lit(1)).alias("record_count")).withColumn(
-                "record_size", F.lit(0).cast("long")
-            )
-        else:
-            facts = estimate_size(df).select(
-                col("rows").alias("record_count"), col("table_bytes").alias("record_size")
-            )
-        return facts.select(
-            F.lit(name).alias("table_name"),
-            "record_count",
-            "record_size",
-            F.lit(len(df.columns)).alias("column_count"),
-            F.lit(",".join(df.columns)).alias("columns"),
-            size_tier(col("record_count"), *tiers).alias("size_tier"),
+            counted = df.agg(F.count(F.lit(1)).alias("record_count"))
+            return counted.withColumn("record_size", F.lit(0).cast("long"))
+        known = None if named else catalog_statistics(spark, name)
+        if known and known[0] > 0:
+            return spark.createDataFrame([known], "record_count long, record_size long")
+        return estimate_size(df, factor).select(
+            col("rows").alias("record_count"), col("table_bytes").alias("record_size")
         )
 
-    return reduce(DataFrame.unionByName, [one(n, df) for n, df in tables.items()])
+    frames = tables if named else {name: spark.table(name) for name in tables}
+    return reduce(
+        DataFrame.unionByName,
+        [_info_row(facts(n, df), n, df.columns, tiers) for n, df in frames.items()],
+    )
 
 
 def observed(df: DataFrame, name: str | None = None) -> tuple[DataFrame, Observation]:

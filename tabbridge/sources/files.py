@@ -199,3 +199,20 @@ def part_number(path_column: str = "_metadata.file_name") -> Column:
     trailing = F.regexp_extract(name, r"(\d+)\.[A-Za-z]+$", 1).try_cast("long")
     spark_part = F.regexp_extract(name, r"^part-(\d+)-", 1).try_cast("long")
     return F.coalesce(trailing, spark_part)
+
+
+def file_manifest(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """path, size, modified (seconds) and file_id of every non-empty file; no content is read.
+
+    The id is the MD5 of path, size and modification time, so a changed file gets a new one.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    listed = files.load(path if isinstance(path, str) else list(path))
+    modified = F.unix_seconds("modificationTime")
+    return listed.select(
+        "path",
+        F.col("length").alias("size"),
+        modified.alias("modified"),
+        F.md5(F.concat_ws("_", "path", F.col("length").cast("string"), modified.cast("string")))
+        .alias("file_id"),
+    )

@@ -46,12 +46,14 @@ def write_table(
     key: str | None = None,
     key_name: str | None = None,
     partition_by: Sequence[str] = (),
+    partitions: int | None = None,
 ) -> int:
     """Create the table from the schema when it is missing, then append; returns the rows written.
 
     ``key="dense"`` adds a surrogate key without gaps (one extra staging pass),
     ``key="unique"`` a unique one in a single pass. An existing table keeps its key
-    column and continues after its largest key.
+    column and continues after its largest key. ``partitions`` spreads the write over
+    that many tasks (``tier_partitions`` picks a number by table size).
     """
     if key not in (None, "dense", "unique"):
         raise ValueError("key must be None, 'dense' or 'unique'")
@@ -72,6 +74,8 @@ def write_table(
         target = spark.table(table).columns
         require(df, target)
         df = df.select([col(c) for c in target])
+    if partitions:
+        df = df.repartition(partitions)
     counted, watch = observed(df)
     writer = counted.write.mode("append").format("parquet")
     if partition_by and not exists:

@@ -53,18 +53,29 @@ def export_parquet(
 
 
 def read_parts(
-    spark: SparkSession, path: str, columns: Sequence[str] = (), part_column: str | None = None
+    spark: SparkSession,
+    path: str,
+    columns: Sequence[str] = (),
+    part_column: str | None = None,
+    ordered: bool = False,
 ) -> DataFrame:
     """Parquet parts below a folder, columns in request order, missing ones an error.
 
-    ``part_column`` adds the part number, the key for the order of the parts.
+    ``part_column`` adds the part number. ``ordered`` sorts the rows by part number and
+    place in the part, which is the order a sorted export was written in.
     """
     table = spark.read.parquet(path)
+    number = part_number()
+    places = [number, F.col("_metadata.file_name"), F.col("_metadata.row_index")]
     rows = table.select(
         *[col(c) for c in table.columns],
-        *([part_number().alias(part_column)] if part_column else []),
+        *([number.alias(part_column)] if part_column else []),
+        *([p.alias(f"__place_{i}") for i, p in enumerate(places)] if ordered else []),
     )
-    return project_by_name(rows, [*columns, part_column] if columns and part_column else columns)
+    if ordered:
+        rows = rows.orderBy(*[f"__place_{i}" for i in range(len(places))])
+    wanted = [*(columns or table.columns), *([part_column] if part_column else [])]
+    return project_by_name(rows, wanted)
 
 
 def export_csv(

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from tabbridge.functions.names import ColumnsNotFound
 from tabbridge.session import workspace
 from tabbridge.sources.delimited import load_with_rejects, read_delimited, write_delimited
-from tabbridge.sources.files import file_format, load_csv_file, read_arrow, read_files, write_arrow, write_files
+from tabbridge.sources.files import file_format, file_manifest, load_csv_file, read_arrow, read_files, write_arrow, write_files
 from tabbridge.sources.parts import export_csv, export_parquet, part_rows, read_parts
 from tabbridge.sources.snapshot import read_snapshot, snapshot_ddl, write_snapshot
 
@@ -191,6 +191,8 @@ def test_export_file_cap_and_order(spark, path):
     assert sum(r["rows"] for r in counts) == 4000
     files = {f for f in parts.inputFiles()}
     assert len(files) >= 4  # 1000 rows of 8 planned bytes (+20 %) fill a file
+    want = [r["id"] for r in df.where("id < 4000").orderBy("v", ascending=False).collect()]
+    assert [r["id"] for r in read_parts(spark, path, ["id"], ordered=True).collect()] == want
 
 
 def test_part_numbers(spark, path):
@@ -215,6 +217,18 @@ def test_export_csv_separators(spark, path):
     assert rows(got) == [(1, "a;b", None), (2, "", " x ")]
 
 
+def test_file_manifest(spark, path):
+    text_file(path, "a.txt", "12345")
+    text_file(path, "b.txt", "é")
+    got = {Path(r["path"]).name: r for r in file_manifest(spark, path).collect()}
+    assert (got["a.txt"]["size"], got["b.txt"]["size"]) == (5, 2)
+    import hashlib
+
+    r = got["a.txt"]
+    text = f"{r['path']}_5_{r['modified']}"
+    assert r["file_id"] == hashlib.md5(text.encode()).hexdigest()
+
+
 def test_nested_columns_cannot_be_exported(spark, sf, path):
     with pytest.raises(ValueError, match="embedding"):
         export_parquet(spark.read.parquet(f"{sf}/embeddings.parquet"), path)

@@ -63,6 +63,11 @@ def test_append_matches_columns_by_name(spark, db, items):
         write_table(items.drop("name"), f"{db}.a")
 
 
+def test_write_over_given_partitions(spark, db, items):
+    write_table(items, f"{db}.p", partitions=3)
+    assert len(spark.table(f"{db}.p").inputFiles()) == 3
+
+
 @pytest.mark.parametrize("key", ["dense", "unique"])
 def test_surrogate_key(spark, db, items, key):
     for _ in range(2):

@@ -1,8 +1,10 @@
 import pytest
 
+from tabbridge.coverage.registry import scratch_database
 from tabbridge.operators.stats import (
     LoadFailed,
     RowCountMismatch,
+    catalog_statistics,
     check_load,
     estimate_size,
     load_verdict,
@@ -79,6 +81,22 @@ def test_table_info(spark):
     assert (rough["a"]["record_size"], rough["b"]["record_size"]) == (40, 5)
 
 
+def test_table_info_of_managed_tables(spark):
+    db = scratch_database(spark, "info")
+    spark.range(300).write.saveAsTable(f"{db}.known")
+    spark.range(7).write.saveAsTable(f"{db}.unknown")
+    spark.sql(f"ANALYZE TABLE {db}.known COMPUTE STATISTICS")
+    rows, size = catalog_statistics(spark, f"{db}.known")
+    assert rows == 300 and size > 0
+    assert catalog_statistics(spark, f"{db}.unknown") is None
+    names = [f"{db}.known", f"{db}.unknown"]
+    info = {r["table_name"]: r for r in table_info(names, exact=False).collect()}
+    assert (info[names[0]]["record_count"], info[names[0]]["record_size"]) == (300, size)
+    assert (info[names[1]]["record_count"], info[names[1]]["record_size"]) == (7, 56)
+    exact = {r["table_name"]: r["record_count"] for r in table_info(names).collect()}
+    assert exact == {names[0]: 300, names[1]: 7}
+
+
 def test_reconcile(spark):
     df, watch = observed(spark.range(50))
     df.write.format("noop").mode("overwrite").save()

@@ -16,7 +16,7 @@ from tabbridge.functions.declared import (
     require_flat,
     warehouse_type,
 )
-from tabbridge.functions.sizing import batch_rows_for, size_tier
+from tabbridge.functions.sizing import batch_rows_for, size_tier, tier_partitions
 from tabbridge.functions.text import (
     clean_line_breaks,
     hash_key,
@@ -201,3 +201,10 @@ def test_size_tier(spark):
     df = spark.createDataFrame([(n,) for n in (10, 11, 100, 101, 1000, 1001)], "n int")
     got = [r["t"] for r in df.select(size_tier(F.col("n"), 10, 100, 1000).alias("t")).collect()]
     assert got == ["small", "medium", "medium", "large", "large", "xlarge"]
+
+
+@pytest.mark.parametrize(
+    ("rows", "want"), [(None, 10), (0, 1), (10, 1), (11, 4), (1000, 16), (1001, 64), (10**9, 64)]
+)
+def test_tier_partitions(rows, want):
+    assert tier_partitions(rows, [10, 100, 1000, 10_000], [1, 4, 16, 64]) == want
