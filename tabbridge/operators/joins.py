@@ -27,6 +27,7 @@ JOIN_TYPES = {
 }
 
 HOT_SHARE = 0.05
+HOT_ROWS = 1_000_000  # a key with fewer rows fits a task, whatever its share
 TRACKED_KEYS = 10_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 
@@ -62,8 +63,10 @@ def _align_keys(
     return left, right
 
 
-def hot_key_hashes(df: DataFrame, on: Sequence[str], share: float = HOT_SHARE) -> list[int]:
-    """Hashes of the keys that hold at least ``share`` of the rows.
+def hot_key_hashes(
+    df: DataFrame, on: Sequence[str], share: float = HOT_SHARE, rows: int = HOT_ROWS
+) -> list[int]:
+    """Hashes of the keys that hold at least ``share`` of the rows, and ``rows`` of them.
 
     One pass over the key columns with a mergeable frequent-items sketch; what comes
     back is at most 1/share values. The answer only routes rows, so a sketch error
@@ -78,7 +81,8 @@ def hot_key_hashes(df: DataFrame, on: Sequence[str], share: float = HOT_SHARE) -
         )
         .first()
     )
-    return [t["item"] for t in found["top"] or [] if t["count"] >= max(2, share * found["n"])]
+    least = max(rows, share * found["n"])
+    return [t["item"] for t in found["top"] or [] if t["count"] >= least]
 
 
 def _fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
@@ -128,13 +132,14 @@ def join(
     on: Sequence[str],
     how: str = "inner",
     hot_share: float | None = HOT_SHARE,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Join on equally named columns; each key column appears once.
 
     Broadcast or sort-merge is left to the optimizer, which also splits the hot
     partitions of an inner join. An outer join cannot be split on its optional side,
-    so hot keys are looked up first and joined on their own; ``hot_share=None``
-    skips the lookup.
+    so keys with at least ``hot_share`` of a side's rows, and ``hot_rows`` of them, are
+    looked up first and joined on their own. ``hot_share=None`` skips the lookup.
     """
     on, how = require(left, on), join_type(how)
     require(right, on)
@@ -142,7 +147,9 @@ def join(
     if how == "inner" or hot_share is None or aligned is None:
         return left.join(right, on, how)
     left, right = aligned
-    hot = sorted({*hot_key_hashes(left, on, hot_share), *hot_key_hashes(right, on, hot_share)})
+    hot = sorted(
+        {h for side in (left, right) for h in hot_key_hashes(side, on, hot_share, hot_rows)}
+    )
     if not hot:
         return left.join(right, on, how)
     is_hot = _key_hash(on).isin(hot)

@@ -42,7 +42,7 @@ def brute(left, right, how):
 @pytest.mark.parametrize("share", [None, 0.05, 0.9])
 def test_join_equals_brute_force(sides, how, share):
     left, right, left_rows, right_rows = sides
-    got = joins.join(left, right, ["k"], how, hot_share=share)
+    got = joins.join(left, right, ["k"], how, hot_share=share, hot_rows=1)
     assert got.columns == ["k", "l", "r"]
     assert rows(got) == brute(left_rows, right_rows, how)
 
@@ -51,16 +51,21 @@ def test_join_equals_brute_force(sides, how, share):
 def test_hot_join_without_broadcast(sides, how, monkeypatch):
     monkeypatch.setattr(joins, "_fits_broadcast", lambda df: False)
     left, right, left_rows, right_rows = sides
-    assert rows(joins.join(left, right, ["k"], how)) == brute(left_rows, right_rows, how)
+    assert rows(joins.join(left, right, ["k"], how, hot_rows=1)) == brute(left_rows, right_rows, how)
 
 
 def test_hot_keys_are_found(sides):
     left, _, _, _ = sides
-    hot = joins.hot_key_hashes(left, ["k"], 0.1)
+    hot = joins.hot_key_hashes(left, ["k"], 0.1, 1)
     want = {r[0] for r in left.where("k = 1 OR k IS NULL").selectExpr("xxhash64(k)").collect()}
     assert set(hot) == want
 
 
+def test_small_groups_are_not_hot(sides):
+    left, _, _, _ = sides
+    assert joins.hot_key_hashes(left, ["k"]) == []
+
+
 def test_join_type_names():
     assert [joins.join_type(t) for t in ("JOIN_TYPE_LEFT", "outer", "nonsense", "INNER")] == [
         "left", "outer", "inner", "inner",
