@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabbridge.coverage.registry import load, query
+from tabbridge.coverage.registry import load, query, scratch_database
 from tabbridge.functions.text import FIELD_SEPARATOR, ROW_SEPARATOR
 from tabbridge.operators.stats import load_verdict
 from tabbridge.operators.tables import project_by_name
+from tabbridge.plans.imports import load_delimited
 from tabbridge.session import workspace
 from tabbridge.sources.delimited import (
     load_counters,
@@ -175,7 +176,7 @@ ORDER_TEXT = T.StructType(
 )
 
 
-def _orders_with_bad_cells(spark, sf):
+def _text_with_bad_cells(spark, sf):
     """Every 11th customer key is not a number, every 13th date is not a date."""
     path = workspace(spark, "load")
     orders = load(spark, sf, "orders").select(
@@ -189,7 +190,31 @@ def _orders_with_bad_cells(spark, sf):
         .alias("o_orderdate"),
     )
     write_delimited(orders, path)
-    return load_with_rejects(spark, path, ORDER_TEXT, multiline=False)
+    return path
+
+
+def _orders_with_bad_cells(spark, sf):
+    return load_with_rejects(spark, _text_with_bad_cells(spark, sf), ORDER_TEXT, multiline=False)
+
+
+@query(
+    "load_delimited",
+    """
+    SELECT o_orderkey, CAST(o_custkey AS INTEGER) AS o_custkey, o_totalprice,
+           (SELECT count(*) FROM orders) AS total, count(*) OVER () AS loaded,
+           (SELECT count(*) FROM orders WHERE o_orderkey % 11 = 0 OR o_orderkey % 13 = 0) AS failed
+    FROM orders WHERE o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0
+    """,
+)
+def load_into_table(spark, sf):
+    """One parse of the text gives the table, the rejects and the counters."""
+    table = f"{scratch_database(spark, 'load')}.orders"
+    path = _text_with_bad_cells(spark, sf)
+    report = load_delimited(
+        spark, path, ORDER_TEXT, table, workspace(spark, "rejects"), multiline=False
+    )
+    counters = {k: F.lit(v).cast("long") for k, v in report._asdict().items()}
+    return spark.table(table).drop("o_orderdate").withColumns(counters)
 
 
 @query(

@@ -255,7 +255,7 @@ def _generated(spark, sf):
 def generated(spark, sf):
     rows, schema = _generated(spark, sf)
     binary = [f.name for f in schema.fields if isinstance(f.dataType, T.BinaryType)]
-    return rows.withColumns({n: F.hex(col(n)) for n in binary})
+    return rows.withColumns({n: F.md5(col(n)) for n in binary})
 
 
 @query(

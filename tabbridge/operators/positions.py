@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
 from functools import reduce
 from typing import Any, NamedTuple
 
@@ -21,7 +22,7 @@ from tabbridge.functions.ordering import (
 )
 from tabbridge.functions.predicates import Filter, where
 from tabbridge.functions.text import FIELD_SEPARATOR, snapshot_text
-from tabbridge.session import stage
+from tabbridge.session import stage, staging
 
 ROW_ID_BITS = 33  # low bits of monotonically_increasing_id: index inside the partition
 SHALLOW_PAGE_ROWS = 10_000
@@ -46,6 +47,10 @@ def _offsets(staged: DataFrame) -> DataFrame:
     )
 
 
+def _with_row_id(df: DataFrame) -> DataFrame:
+    return df.withColumn(_ROW, F.monotonically_increasing_id())
+
+
 def _place(staged: DataFrame, name: str, start: int) -> DataFrame:
     index = col(_ROW).bitwiseAND(F.lit((1 << ROW_ID_BITS) - 1))
     return (
@@ -58,8 +63,14 @@ def _place(staged: DataFrame, name: str, start: int) -> DataFrame:
 
 def number_unordered(df: DataFrame, name: str, start: int = 1) -> DataFrame:
     """Dense unique numbers in scan order: no shuffle, the rows are staged once."""
-    staged = stage(df.withColumn(_ROW, F.monotonically_increasing_id()), "numbered")
-    return _place(staged, name, start)
+    return _place(stage(_with_row_id(df), "numbered"), name, start)
+
+
+@contextmanager
+def numbered(df: DataFrame, name: str, start: int = 1) -> Iterator[DataFrame]:
+    """``number_unordered`` for the length of a block; the staged rows go afterwards."""
+    with staging(_with_row_id(df), "numbered") as staged:
+        yield _place(staged, name, start)
 
 
 def total_order(df: DataFrame, rules: Iterable[SortRule]) -> list[SortRule]:
@@ -78,7 +89,7 @@ def order_table(
     """
     order = order_columns(df, total_order(df, rules))
     ranged = range_partition(with_tie(df, from_scan), [*order, col(TIE)]).drop(TIE)
-    return stage(ranged.withColumn(_ROW, F.monotonically_increasing_id()), "ordered")
+    return stage(_with_row_id(ranged), "ordered")
 
 
 def number_rows(

@@ -14,10 +14,13 @@ from pyspark.sql import types as T
 from tabbridge.functions.declared import declared_schema, require_flat
 from tabbridge.functions.names import bare, col, require
 from tabbridge.operators.counts import key_bounds
-from tabbridge.operators.stats import observed, observed_rows
+from tabbridge.operators.stats import check_load, observed, observed_rows
 from tabbridge.operators.tables import select_columns
+from tabbridge.session import staging
 from tabbridge.sources.assets import TableKey, auto_increment_key
+from tabbridge.sources.delimited import REJECT_REASON, load_with_rejects
 from tabbridge.sources.jdbc import Connection, read_jdbc, write_jdbc
+from tabbridge.sources.managed import write_table
 
 DEFAULT_BATCH_ROWS = 5000
 # Overall verdicts.
@@ -190,3 +193,38 @@ def import_from_relational(
     """A relational table to a managed table, by an explicit (name, type) column list."""
     rows = read_jdbc(spark, connection, source, key=key, **options)
     return _replace(_declared(rows, columns, connection.dialect), table)
+
+
+class LoadReport(NamedTuple):
+    total: int
+    loaded: int
+    failed: int
+
+
+def load_delimited(
+    spark: SparkSession,
+    path: str | Sequence[str],
+    schema: T.StructType,
+    table: str,
+    rejects: str | None = None,
+    multiline: bool = True,
+) -> LoadReport:
+    """Typed text into a table, with the three load counters.
+
+    The text is parsed once into a staged table, which is counted while it is written.
+    Without ``rejects`` a failed row fails the load and the target stays as it was; with
+    it, the failed rows and their reason go to that folder as Parquet.
+    """
+    load = load_with_rejects(spark, path, schema, multiline)
+    with staging(load.rows, "load") as staged:
+        counted = load.counters.get
+        report = LoadReport(
+            counted["total_rows"], counted["loaded_rows"], counted["failed_rows"]
+        )
+        if rejects is None:
+            check_load(*report)
+        bad = F.col(REJECT_REASON).isNotNull()
+        if rejects is not None:
+            staged.where(bad).select("raw.*", REJECT_REASON).write.parquet(rejects)
+        write_table(staged.where(~bad).select("typed.*"), table)
+    return report

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "tabbridge", master: str | None = None, **conf: str) -> SparkSession:
@@ -52,13 +54,43 @@ def workspace(spark: SparkSession, tag: str) -> str:
     return f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def stage(df, tag: str = "stage"):
+_staged: list[str] = []
+
+
+def stage(df: DataFrame, tag: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and return the re-read table.
 
     Used where two passes must see the same rows in the same partitions: unlike a
-    cache it survives the loss of executors, and it cuts the lineage.
+    cache it survives the loss of executors, and it cuts the lineage. The folder is
+    kept until ``clear_staged``.
     """
     spark = df.sparkSession
     path = workspace(spark, tag)
     df.write.parquet(path)
+    _staged.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def staging(df: DataFrame, tag: str = "stage") -> Iterator[DataFrame]:
+    """``stage`` for the length of a block; the folder is removed afterwards."""
+    spark, path = df.sparkSession, workspace(df.sparkSession, tag)
+    try:
+        df.write.parquet(path)
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        _discard(spark, path)
+
+
+def clear_staged(spark: SparkSession) -> int:
+    """Remove the folders this process has staged, once nothing reads them any more."""
+    paths = _staged.copy()
+    for path in paths:
+        _discard(spark, path)
+        _staged.remove(path)
+    return len(paths)
+
+
+def _discard(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tabbridge.functions.declared import require_flat
 from tabbridge.functions.names import col, require
 from tabbridge.functions.predicates import Filter, predicate
-from tabbridge.operators.positions import number_unordered
+from tabbridge.operators.positions import numbered
 from tabbridge.operators.stats import observed, observed_rows
 from tabbridge.sources.files import CSV_NULL
 
@@ -58,18 +58,26 @@ def write_table(
     if key not in (None, "dense", "unique"):
         raise ValueError("key must be None, 'dense' or 'unique'")
     require_flat(df.schema)
+    spark = df.sparkSession
+    if key is None:
+        return _append(df, table, partition_by, partitions)
+    known = _existing_key(spark, table)
+    name = known or key_name or f"pk_{uuid.uuid4().hex[:5]}"
+    top = spark.table(table).agg(F.max(col(name))).first()[0] if known else None
+    start = (top or 0) + 1
+    key_first = [col(name), *[col(c) for c in df.columns]]
+    if key == "unique":
+        keyed = df.withColumn(name, F.monotonically_increasing_id() + F.lit(start))
+        return _append(keyed.select(key_first), table, partition_by, partitions)
+    with numbered(df, name, start) as keyed:
+        return _append(keyed.select(key_first), table, partition_by, partitions)
+
+
+def _append(
+    df: DataFrame, table: str, partition_by: Sequence[str], partitions: int | None
+) -> int:
     spark = df.sparkSession
     exists = spark.catalog.tableExists(table)
-    if key:
-        known = _existing_key(spark, table)
-        name = known or key_name or f"pk_{uuid.uuid4().hex[:5]}"
-        top = spark.table(table).agg(F.max(col(name))).first()[0] if known else None
-        start = (top or 0) + 1
-        if key == "dense":
-            keyed = number_unordered(df, name, start)
-        else:
-            keyed = df.withColumn(name, F.monotonically_increasing_id() + F.lit(start))
-        df = keyed.select(col(name), *[col(c) for c in df.columns])
     if exists:
         target = spark.table(table).columns
         require(df, target)
@@ -77,12 +85,12 @@ def write_table(
     if partitions:
         df = df.repartition(partitions)
     counted, watch = observed(df)
-    writer = counted.write.mode("append").format("parquet")
-    if partition_by and not exists:
-        writer = writer.partitionBy(*partition_by)
     if exists:
         counted.write.insertInto(table)
     else:
+        writer = counted.write.format("parquet")
+        if partition_by:
+            writer = writer.partitionBy(*partition_by)
         writer.saveAsTable(table)
     return observed_rows(watch)
 

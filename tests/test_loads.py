@@ -1,4 +1,5 @@
 import datetime as dt
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +7,8 @@ from pyspark.sql import functions as F
 from tabbridge.coverage.registry import scratch_database
 from tabbridge.functions.names import ColumnsNotFound
 from tabbridge.operators.datagen import generate_schema, generate_table
+from tabbridge.operators.positions import number_unordered
+from tabbridge.operators.stats import LoadFailed
 from tabbridge.plans import batch
 from tabbridge.plans.housekeeping import (
     cutoff,
@@ -20,8 +23,9 @@ from tabbridge.plans.imports import (
     import_table,
     import_targets,
     key_ranges,
+    load_delimited,
 )
-from tabbridge.session import workspace
+from tabbridge.session import clear_staged, shared_folder, workspace
 from tabbridge.sources.assets import (
     Asset,
     Internal,
@@ -31,6 +35,7 @@ from tabbridge.sources.assets import (
     auto_increment_key,
     read,
 )
+from tabbridge.sources.delimited import write_delimited
 from tabbridge.sources.managed import (
     delete_where,
     result_column_names,
@@ -163,6 +168,31 @@ def test_import_targets_messages(spark, db, items):
     assert import_targets(spark, [good, good], parallel=1).success
 
 
+def test_load_delimited(spark, db):
+    path = workspace(spark, "text")
+    rows = spark.range(50).selectExpr("id", "IF(id % 10 = 3, 'x', CAST(id AS STRING)) AS v")
+    write_delimited(rows, path)
+    schema = spark.createDataFrame([], "id long, v int").schema
+    with pytest.raises(LoadFailed, match="total=50, loaded=45, failed=5"):
+        load_delimited(spark, path, schema, f"{db}.l")
+    assert not spark.catalog.tableExists(f"{db}.l")
+    bad = workspace(spark, "rejects")
+    assert load_delimited(spark, path, schema, f"{db}.l", bad) == (50, 45, 5)
+    assert spark.table(f"{db}.l").agg(F.sum("v"), F.count("*")).first() == (1225 - 115, 45)
+    rejects = spark.read.parquet(bad)
+    assert {(r["v"], r["reject_reason"]) for r in rejects.collect()} == {("x", "v")}
+
+
+def test_staged_folders_go_when_the_block_ends(spark, db, items):
+    write_table(items, f"{db}.k", key="dense")
+    left = [p.name for p in Path(shared_folder(spark)).iterdir() if p.name.startswith("numbered")]
+    numbered = number_unordered(items, "n")
+    kept = [p.name for p in Path(shared_folder(spark)).iterdir() if p.name.startswith("numbered")]
+    assert len(kept) == len(left) + 1 and numbered.count() == 1000
+    assert clear_staged(spark) >= 1
+    assert not any((Path(shared_folder(spark)) / name).exists() for name in set(kept) - set(left))
+
+
 def test_auto_increment_key():
     keys = [
         TableKey("PRIMARY", ["a"]),
