@@ -25,8 +25,11 @@ from tabbridge.functions.text import FIELD_SEPARATOR, snapshot_text
 from tabbridge.session import stage, staging
 
 ROW_ID_BITS = 33  # low bits of monotonically_increasing_id: index inside the partition
-SHALLOW_PAGE_ROWS = 10_000
-NARROW_ROWS = 1_000_000  # fewer rows than this are ordered without looking for a narrower part
+# A top-k gathers up to k rows of every partition in one task, so it is used for few rows …
+SHALLOW_PAGE_ROWS = 200
+# … or for more of them out of a part of the table that is known to be small.
+TOP_ROWS = 10_000
+NARROW_ROWS = 1_000_000
 NARROW_SAMPLE = 50_000
 
 _ROW = "__row"
@@ -156,8 +159,8 @@ def _sorts_after(keys: Sequence[tuple[str, bool]], bound: Sequence[Column | None
 
 def _narrow(
     df: DataFrame, rules: Sequence[SortRule], first: int, end: int, total: int
-) -> tuple[DataFrame, int]:
-    """A key interval that holds positions first … end-1, and the number of rows before it.
+) -> tuple[DataFrame, int, int]:
+    """A key interval that holds positions first … end-1, the rows before and inside it.
 
     Bounds come from a sorted sample of the sort keys; exact counts of the rows on either
     side decide whether they are used. So a bad sample costs a wider interval, never a row.
@@ -192,7 +195,7 @@ def _narrow(
         if not holds or kept > inside // 2:
             break
         part, before, inside = part.where(~ahead & ~behind), before + cut["ahead"], kept
-    return part, before
+    return part, before, inside
 
 
 class Page(NamedTuple):
@@ -211,9 +214,9 @@ def page(
 ) -> Page:
     """Page ``number`` (from 1) of the filtered, ordered rows and the filtered total.
 
-    Ties are broken by the remaining columns. Early pages are a top-k of few rows. A top-k
-    of greater depth would gather all rows before the page in one task, so a deep page is
-    looked for in a narrow interval of sort keys, and only that interval is ordered and
+    Ties are broken by the remaining columns. The first pages are a top-k of few rows. A
+    top-k of greater depth would gather all rows before the page in one task, so a later
+    page is looked for in a narrow interval of sort keys; only that interval is ordered and
     cut by position. Past the end the page is empty.
     """
     if number < 1 or size < 1:
@@ -227,9 +230,9 @@ def page(
         total = df.sparkSession.createDataFrame([(count,)], "total_rows long")
         if first >= count:
             return Page(rows.limit(0), total)
-        rows, before = _narrow(rows, rules, first, min(first + size, count), count)
+        rows, before, inside = _narrow(rows, rules, first, min(first + size, count), count)
         first -= before
-        if first + size > SHALLOW_PAGE_ROWS:
+        if inside > NARROW_ROWS or first + size > TOP_ROWS:
             return Page(rows_at(order_table(rows, rules, from_scan=from_scan), first, size), total)
     return Page(rows.orderBy(*order_columns(rows, rest)).offset(first).limit(size), total)
 

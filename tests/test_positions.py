@@ -47,11 +47,12 @@ def test_numbering_an_empty_table(spark):
     assert chunk_manifest(empty, ["k"], 10).count() == 0
 
 
-@pytest.mark.parametrize("shallow", [10_000, 0])
+@pytest.mark.parametrize(("shallow", "top"), [(10_000, 0), (0, 10_000), (0, 0)])
 @pytest.mark.parametrize(("number", "size"), [(1, 10), (7, 13), (231, 13), (1, 5000), (300, 13)])
-def test_pages(table, monkeypatch, shallow, number, size):
-    """Both ways of cutting a page give the same rows, in order."""
+def test_pages(table, monkeypatch, shallow, top, number, size):
+    """All ways of cutting a page give the same rows, in order."""
     monkeypatch.setattr(positions, "SHALLOW_PAGE_ROWS", shallow)
+    monkeypatch.setattr(positions, "TOP_ROWS", top)
     df, rows = table
     got = page(df, ["k"], number, size)
     want = sorted(rows)[(number - 1) * size : number * size]
@@ -63,6 +64,7 @@ def test_pages(table, monkeypatch, shallow, number, size):
 def test_deep_pages_in_a_narrow_interval(spark, monkeypatch, rules):
     """NULLs, ties, both directions: every page of every interval, whatever the sample says."""
     monkeypatch.setattr(positions, "SHALLOW_PAGE_ROWS", 20)
+    monkeypatch.setattr(positions, "TOP_ROWS", 90)
     monkeypatch.setattr(positions, "NARROW_ROWS", 100)
     monkeypatch.setattr(positions, "NARROW_SAMPLE", 600)
     rng = random.Random(5)
@@ -89,9 +91,9 @@ def test_narrowing_narrows(spark, monkeypatch):
     monkeypatch.setattr(positions, "NARROW_ROWS", 1000)
     monkeypatch.setattr(positions, "NARROW_SAMPLE", 5000)
     df = spark.range(100_000).selectExpr("(id * 7919) % 100000 AS k")
-    part, before = positions._narrow(df, ["k"], 60_000, 60_010, 100_000)
-    inside = part.agg(F.count("*"), F.min("k"), F.max("k")).first()
-    assert inside[0] <= 1000 and inside[1] == before <= 60_000 and inside[2] >= 60_009
+    part, before, inside = positions._narrow(df, ["k"], 60_000, 60_010, 100_000)
+    rows, low, high = part.agg(F.count("*"), F.min("k"), F.max("k")).first()
+    assert rows == inside <= 1000 and low == before <= 60_000 and high >= 60_009
 
 
 def test_page_filters_and_limits(table):
