@@ -21,7 +21,9 @@ from tabbridge.plans.housekeeping import retry_candidates
 )
 def number_orders(spark, sf):
     orders = load(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
-    return number_rows(orders, ["o_custkey", ("o_totalprice", "DESC")], from_scan=True)
+    return number_rows(
+        orders, ["o_custkey", ("o_totalprice", "DESC"), "o_orderkey"], from_scan=True
+    )
 
 
 @query(
@@ -35,7 +37,7 @@ def number_orders(spark, sf):
 def number_hot_key(spark, sf):
     """Three sort key values and many equal rows: the ranges still split them."""
     lineitem = load(spark, sf, "lineitem").select("l_returnflag", "l_linenumber", "l_quantity")
-    return number_rows(lineitem, ["l_returnflag"], from_scan=True)
+    return number_rows(lineitem, lineitem.columns, from_scan=True)
 
 
 _FILTERED = "FROM orders WHERE o_orderstatus = 'O'"
@@ -43,7 +45,8 @@ _FILTERED = "FROM orders WHERE o_orderstatus = 'O'"
 
 def _orders_page(spark, sf, number, size):
     orders = load(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    return page(orders, [("o_totalprice", "DESC")], number, size, [("o_orderstatus", "=", "O")])
+    rules = [("o_totalprice", "DESC"), "o_orderkey"]
+    return page(orders, rules, number, size, [("o_orderstatus", "=", "O")])
 
 
 @query(
@@ -77,7 +80,8 @@ def page_past_end(spark, sf):
 def page_deep(spark, sf):
     """A deep page is cut out by position, not by a top-k of all rows before it."""
     lineitem = load(spark, sf, "lineitem").drop("l_shipdate")
-    return page(lineitem, ["l_extendedprice"], 9, 1500, from_scan=True).rows
+    rules = ["l_extendedprice", *[c for c in lineitem.columns if c != "l_extendedprice"]]
+    return page(lineitem, rules, 9, 1500, from_scan=True).rows
 
 
 @query(
@@ -129,7 +133,7 @@ _LINES = """
 )
 def manifest(spark, sf):
     orders = load(spark, sf, "orders").select(*_CHUNK_COLUMNS)
-    return chunk_manifest(orders, ["o_custkey"], 1000, from_scan=True)
+    return chunk_manifest(orders, ["o_custkey", "o_orderkey"], 1000, from_scan=True)
 
 
 @query(
@@ -144,4 +148,4 @@ def manifest(spark, sf):
 def resumed_chunk(spark, sf):
     """Second chunk of 1000 rows, resumed after the first 250."""
     orders = load(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    return read_chunk(order_table(orders, ["o_custkey"], from_scan=True), 1, 1000, 250)
+    return read_chunk(order_table(orders, ["o_custkey", "o_orderkey"], from_scan=True), 1, 1000, 250)

@@ -42,7 +42,8 @@ def with_tie(df: DataFrame, from_scan: bool) -> DataFrame:
     each partition are sorted first and the number depends on their content only.
     """
     if not from_scan:
-        df = df.sortWithinPartitions(*[col(c) for c in df.columns])
+        columns = [col(c) for c in df.columns]
+        df = df.sortWithinPartitions(F.xxhash64(*columns), *columns)
     return df.withColumn(TIE, F.monotonically_increasing_id())
 
 

@@ -76,11 +76,13 @@ def numbered(df: DataFrame, name: str, start: int = 1) -> Iterator[DataFrame]:
         yield _place(staged, name, start)
 
 
-def total_order(df: DataFrame, rules: Iterable[SortRule]) -> list[SortRule]:
-    """The rules followed by all other columns, so that only equal rows tie."""
-    rules = list(rules)
-    named = {f for f, _ in parse_rules(rules)}
-    return [*rules, *[c for c in df.columns if c not in named]]
+def total_order(df: DataFrame, rules: Iterable[SortRule]) -> list[Column]:
+    """The sort rules, then a fingerprint of the whole row, so that only equal rows tie.
+
+    A fingerprint instead of the other columns keeps the keys small that range
+    partitioning samples, however long the texts of a row are.
+    """
+    return [*order_columns(df, rules), F.xxhash64(*[col(c) for c in df.columns])]
 
 
 def order_table(
@@ -90,8 +92,8 @@ def order_table(
 
     Ranges are sorted in parallel. ``rows_at`` and ``read_chunk`` cut rows out of it.
     """
-    order = order_columns(df, total_order(df, rules))
-    ranged = range_partition(with_tie(df, from_scan), [*order, col(TIE)]).drop(TIE)
+    order = [*total_order(df, rules), col(TIE)]
+    ranged = range_partition(with_tie(df, from_scan), order).drop(TIE)
     return stage(_with_row_id(ranged), "ordered")
 
 
@@ -214,7 +216,7 @@ def page(
 ) -> Page:
     """Page ``number`` (from 1) of the filtered, ordered rows and the filtered total.
 
-    Ties are broken by the remaining columns. The first pages are a top-k of few rows. A
+    Ties are broken by a fingerprint of the row, so repeated calls page alike. The first pages are a top-k of few rows. A
     top-k of greater depth would gather all rows before the page in one task, so a later
     page is looked for in a narrow interval of sort keys; only that interval is ordered and
     cut by position. Past the end the page is empty.
@@ -224,7 +226,6 @@ def page(
     rows = where(df, filters)
     total = rows.agg(F.count(F.lit(1)).alias("total_rows"))
     first = (number - 1) * size
-    rest = total_order(rows, rules)
     if first + size > SHALLOW_PAGE_ROWS:
         count = total.first()["total_rows"]
         total = df.sparkSession.createDataFrame([(count,)], "total_rows long")
@@ -234,7 +235,7 @@ def page(
         first -= before
         if inside > NARROW_ROWS or first + size > TOP_ROWS:
             return Page(rows_at(order_table(rows, rules, from_scan=from_scan), first, size), total)
-    return Page(rows.orderBy(*order_columns(rows, rest)).offset(first).limit(size), total)
+    return Page(rows.orderBy(*total_order(rows, rules)).offset(first).limit(size), total)
 
 
 def row_text(df: DataFrame) -> Column:

@@ -114,7 +114,7 @@ def read_arrow(spark: SparkSession, path: str | Sequence[str], schema: T.StructT
                     yield from table.to_batches()
 
     paths = path if isinstance(path, str) else list(path)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.arrow").load(paths)
+    files = spark.read.format("binaryFile").load(paths)
     return files.select("content").mapInArrow(decode, schema)
 
 

@@ -25,7 +25,7 @@ def table(spark):
 
 def test_positions_equal_sorted_order(table):
     df, rows = table
-    placed = number_rows(df, [("k", "DESC")]).orderBy("position").collect()
+    placed = number_rows(df, [("k", "DESC"), "v"]).orderBy("position").collect()
     assert [r["position"] for r in placed] == list(range(len(rows)))
     want = sorted(rows, key=lambda r: r[1])
     want.sort(key=lambda r: r[0], reverse=True)
@@ -54,7 +54,7 @@ def test_pages(table, monkeypatch, shallow, top, number, size):
     monkeypatch.setattr(positions, "SHALLOW_PAGE_ROWS", shallow)
     monkeypatch.setattr(positions, "TOP_ROWS", top)
     df, rows = table
-    got = page(df, ["k"], number, size)
+    got = page(df, ["k", "v"], number, size)
     want = sorted(rows)[(number - 1) * size : number * size]
     assert [tuple(r) for r in got.rows.collect()] == want
     assert got.total.first()["total_rows"] == len(rows)
@@ -79,8 +79,7 @@ def test_deep_pages_in_a_narrow_interval(spark, monkeypatch, rules):
         for i in range(2000)
     ]
     df = spark.createDataFrame(rows, "a double, b string, t timestamp_ntz, i int").repartition(4)
-    order = positions.order_columns(df, positions.total_order(df, rules))
-    want = [tuple(r) for r in df.orderBy(*order).collect()]
+    want = [tuple(r) for r in df.orderBy(*positions.total_order(df, rules)).collect()]
     for number, size in ((2, 40), (13, 70), (49, 40), (20, 100), (29, 70)):
         got = page(df, rules, number, size)
         assert [tuple(r) for r in got.rows.collect()] == want[(number - 1) * size : number * size]
@@ -107,7 +106,7 @@ def test_page_filters_and_limits(table):
 
 def test_chunks_cover_all_rows(table):
     df, rows = table
-    manifest = chunk_manifest(df, ["k"], 700).orderBy("chunk_id").collect()
+    manifest = chunk_manifest(df, ["k", "v"], 700).orderBy("chunk_id").collect()
     assert [(r["start_offset"], r["end_offset"], r["chunk_rows"]) for r in manifest] == [
         (0, 700, 700), (700, 1400, 700), (1400, 2100, 700), (2100, 2800, 700), (2800, 3000, 200),
     ]
@@ -121,7 +120,7 @@ def test_chunks_cover_all_rows(table):
 
 def test_read_chunk_resumes(table):
     df, rows = table
-    ordered = order_table(df, ["k"])
+    ordered = order_table(df, ["k", "v"])
     got = [(r["k"], r["v"]) for r in read_chunk(ordered, 4, 700, 150).collect()]
     assert got == sorted(rows)[2950:3000]
     for args in ((-1, 700, 0), (0, 700, 700)):
