@@ -101,21 +101,21 @@ def row_objects(spark, sf):
     _NUMBERED
     + """
     SELECT bucket, pos, CAST(event_id AS VARCHAR) AS id,
-           '"' || event_type || '"' AS "P1.events.kind"
+           '"' || event_type || '"' AS kind
     FROM n
     """,
 )
 def wide_rows(spark, sf):
-    return columns_to_table(
+    wide = columns_to_table(
         _column_documents(spark, sf), "doc", ["id", "P1.events.kind"], ["bucket"]
     )
+    return wide.withColumnRenamed("P1.events.kind", "kind")
 
 
 @query(
     "documents_to_rows",
     _NUMBERED
     + f"""
-    , a AS (SELECT bucket, 0 AS shift, pos, event_id, event_type FROM n)
     SELECT bucket, pos, concat('{{"id":', event_id, ',"kind":"', event_type, '"}}') AS row
     FROM n WHERE bucket % 4 IN (0, 1)
     UNION ALL
