@@ -196,9 +196,12 @@ def load_arrow_file(
 def part_number(path_column: str = "_metadata.file_name") -> Column:
     """Number of a part file: trailing digits (``export_12.parquet``), or Spark's part number."""
     name = F.col(path_column)
-    trailing = F.regexp_extract(name, r"(\d+)\.[A-Za-z]+$", 1).try_cast("long")
-    spark_part = F.regexp_extract(name, r"^part-(\d+)-", 1).try_cast("long")
-    return F.coalesce(trailing, spark_part)
+    # the anchored pattern first: it is cheap, and the other one is only tried without it
+    spark_part = F.regexp_extract(name, r"^part-(\d+)-[0-9a-f]{8}-", 1)
+    trailing = F.regexp_extract(name, r"(\d+)\.[A-Za-z]+$", 1)
+    return F.when(spark_part != "", spark_part.cast("long")).otherwise(
+        F.nullif(trailing, F.lit("")).cast("long")
+    )
 
 
 def file_manifest(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
