@@ -7,6 +7,7 @@ and ``False`` are usable filter values. Literals reach the plan through
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 from typing import Any, NamedTuple
@@ -68,6 +69,13 @@ def given_values(
     return [*scalars, *str_values, *int_values, *float_values, *bool_values]
 
 
+def literal(value: Any) -> Column:
+    """Constant column. A datetime without zone is wall-clock time, whatever the session zone."""
+    if isinstance(value, dt.datetime) and value.tzinfo is None:
+        return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
+    return F.lit(value)
+
+
 def _values(flt: Filter) -> list[Any]:
     value = flt.value
     values = list(value) if isinstance(value, (list, tuple, set, frozenset)) else [value]
@@ -82,10 +90,10 @@ def predicate(flt: Filter | Sequence[Any], text_like: bool = True) -> Column:
     flt = Filter(*flt)
     values, op, field = _values(flt), operator(flt.op), col(flt.field)
     if op == "IN":
-        return field.isin(values)
+        return field.isin([literal(v) for v in values])
     if op == "LIKE":
         return (field if text_like else field.cast("string")).like(str(values[0]))
-    return COMPARISONS[op](field, F.lit(values[0]))
+    return COMPARISONS[op](field, literal(values[0]))
 
 
 def filters_from_lists(

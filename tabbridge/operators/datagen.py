@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from tabbridge.functions.declared import declared_type
 from tabbridge.functions.names import col, require
+from tabbridge.functions.predicates import literal
 
 MAX_FIELDS = 16
 NULLABLE_SHARE = 0.3
@@ -199,7 +200,7 @@ def _value(f: T.StructField, seed: int, today: dt.date) -> Column:
     elif declared in ("DATE", "DATETIME"):
         value = F.date_sub(F.lit(today), draw(DAYS).cast("int"))
     else:
-        start = F.lit(dt.datetime.combine(today, dt.time())).cast("timestamp_ntz")
+        start = literal(dt.datetime.combine(today, dt.time()))
         value = F.timestamp_add("SECOND", -draw(DAYS * 86400).cast("int"), start)
     value = value.cast(f.dataType)
     if f.nullable:

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabbridge.functions.predicates import literal
 from tabbridge.operators.positions import Page, page
 
 DATE_PREFIX = "20"  # names of this century only
@@ -75,6 +76,6 @@ def retry_candidates(
     due = ledger.where(
         (F.col("retry_count") > 0)
         & F.col("status").isin("failed", "pending")
-        & (F.col("updated_at") < F.lit(now - RETRY_QUIET).cast("timestamp_ntz"))
+        & (F.col("updated_at") < literal(now - RETRY_QUIET))
     )
     return page(due, ["updated_at"], number, size)

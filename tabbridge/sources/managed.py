@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tabbridge.functions.declared import require_flat
 from tabbridge.functions.names import col, require
-from tabbridge.functions.predicates import Filter, predicate
+from tabbridge.functions.predicates import Filter, literal, predicate
 from tabbridge.operators.positions import numbered
 from tabbridge.operators.stats import observed, observed_rows
 from tabbridge.sources.files import CSV_NULL
@@ -172,7 +172,7 @@ def update_where(
     rows, watch = _counted_if(current, held)
     changed = rows.select(
         [
-            F.when(held, F.lit(values[f.name]).cast(f.dataType)).otherwise(col(f.name)).alias(f.name)
+            F.when(held, literal(values[f.name]).cast(f.dataType)).otherwise(col(f.name)).alias(f.name)
             if f.name in values
             else col(f.name)
             for f in current.schema.fields

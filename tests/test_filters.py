@@ -165,6 +165,20 @@ def test_timestamp_filter(spark):
     assert where(df, [("t", ">", "2024-01-02 00:00:00")]).count() == 1
 
 
+@pytest.mark.parametrize("zone", ["UTC", "America/Los_Angeles"])
+@pytest.mark.parametrize("kind", ["timestamp_ntz", "timestamp"])
+def test_datetime_filter_is_wall_clock(spark, zone, kind):
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = spark.sql(f"SELECT CAST('2024-01-02 03:00:00' AS {kind}) AS t")
+        at = dt.datetime(2024, 1, 2, 3)
+        assert where(df, [("t", "=", at)]).count() == 1
+        assert where(df, [("t", "IN", [at])]).count() == 1
+        assert where(df, [("t", ">", at)]).count() == 0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_tie_numbers_depend_on_content_only(spark):
     """A task that is run again may see its rows in another order; the numbers stay."""
     from tabbridge.functions.ordering import with_tie
