@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as contract
 from check_queries import compare, connect
+from tabbridge.coverage import ORACLES, QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -11,14 +12,15 @@ def duck(request):
     return connect("/root/testdata/sf0.001")
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, sf, duck, name):
     assert compare(spark, duck, sf, name) is None
 
 
 def test_only_generated_rows_lack_sql():
-    assert set(contract.queries()) - set(contract.oracle_sql()) == {"generate_rows"}
-    assert set(contract.oracle_sql()) <= set(contract.queries())
+    assert set(QUERIES) - set(ORACLES) == {"generate_rows"}
+    assert set(QUERIES) <= set(contract.queries())
+    assert set(ORACLES) <= set(contract.oracle_sql()) <= set(contract.queries())
 
 
 def test_entry_has_rows(spark):
