@@ -9,16 +9,19 @@ partitions of a set, H being its bound on the difference, one has equal content
 two share a signature. A set signs for its own band and, where a smaller partner could be
 there, for the band below. A set whose elements fill too few partitions also signs its empty ones.
 
-Sets that share a signature are checked: first by counts of their elements in 64 classes,
+Sets that share a signature are checked: first by counts of their elements in 256 classes,
 whose difference never exceeds that of the sets, then exactly on the elements. Signatures
 may be shared by very many sets (copies with edits, common passages), so pairs are not listed:
 
-1. in every bucket all sets are checked against the smallest one;
+1. the centre of a bucket is its smallest set; each set is checked against the centre it
+   meets most often;
 2. components of the links found so far are built; what is already connected needs no check;
-3. buckets of at most ``SMALL`` sets are checked across their remaining components;
+3. in buckets of at most ``SMALL`` sets all pairs of different components are checked;
 4. in larger buckets, only sets stay that have not enough other signatures to be found by
-   them (each set signs some more partitions than needed, so common content rarely matters);
-   they are checked against a few new centres at a time until nothing is left to compare.
+   them (each set signs some more partitions than needed, so common content rarely matters).
+   They are checked against a few centres each, and those that still share a bucket with
+   another component sign once more, each of their rarest elements being a partition: sets
+   this similar share one of the rarest n / 4 + 1 elements of each.
 
 Equal sets are one set (64-bit sums of element hashes), so exact copies cost nothing more.
 
@@ -31,7 +34,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabbridge.llm.grouping import HotKeys, by_key, components, keyed_batch, runs, seen_before
@@ -39,9 +42,9 @@ from tabbridge.llm.staging import Scratch, result, scratch
 from tabbridge.llm.words import FOLDED, Block, blocks, mix, shingles
 
 SHINGLE = 5
-SMALL = 32
-CENTRES = 16
-CLASSES = 64
+SMALL = 8
+CENTRES = 3
+CLASSES = 256
 _U = np.uint64
 
 
@@ -91,7 +94,7 @@ class Sets:
 
     def classes(self) -> np.ndarray:
         """Elements of each set in each of CLASSES classes."""
-        cell = self.doc * CLASSES + (self.hash >> _U(58)).astype(np.int64)
+        cell = self.doc * CLASSES + (self.hash >> _U(56)).astype(np.int64)
         return np.bincount(cell, minlength=len(self.size) * CLASSES).reshape(-1, CLASSES)
 
     def instances(self):
@@ -111,7 +114,7 @@ class Sets:
         miss a partner in the others.
         """
         for docs, band, bound in self.instances():
-            slack = 2 + BANDS[band] // 20
+            slack = 2 + BANDS[band] // 12
             parts = 12 + -(-BANDS[band] * 7 // 10)
             of_doc = np.full(len(self.size), -1, np.int64)
             of_doc[docs] = np.arange(len(docs))
@@ -156,7 +159,7 @@ def _profiles(batches):
                 spare[kind, docs] = left
                 if kind == 0:
                     odd[docs] = band & 1
-            wide = np.minimum(sets.classes(), 65535).astype("<u2")
+            wide = np.minimum(sets.classes(), 255).astype(np.uint8)
             parts.append((sets.size, sets.id, odd, spare[0], spare[1], [row.tobytes() for row in wide]))
         columns = [np.concatenate(c) if i < 5 else sum(c, []) for i, c in enumerate(zip(*parts))] or [[]] * 6
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
@@ -235,6 +238,13 @@ def _pack(batches):
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(packed, pa.binary())], names=["id", "elements"])
 
 
+def _list(batches):
+    for batch in _pack(batches):
+        found = [np.frombuffer(x, np.int64) for x in batch.column("elements").to_pylist()]
+        column = pa.array(found, pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), column], names=["id", "elements"])
+
+
 def _near(size_a, size_b, common):
     return 100 * common >= 75 * (size_a + size_b - common)
 
@@ -243,7 +253,7 @@ def _by_classes(batches):
     """Pairs whose class counts do not rule them out."""
     for batch in batches:
         one, two = (
-            np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, CLASSES).astype(np.int64) for c in ("c1", "c2")
+            np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, CLASSES).astype(np.int64) for c in ("c1", "c2")
         )
         n1, n2 = batch.column("n1").to_numpy(), batch.column("n2").to_numpy()
         differ = np.abs(one - two).sum(1)  # cut counts only make this smaller
@@ -260,18 +270,45 @@ def _by_elements(batches):
         yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
 
+def _texts(ids: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(id, text) of one document for each set id."""
+    texts = ids.join(sets.select("id", "doc_id", "tie"), "id").select("id", "doc_id", "tie")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
+    same = rows["doc_id"].eqNullSafe(texts["doc_id"]) & (rows["tie"] == texts["tie"])
+    return rows.join(texts, same).select("id", "text")
+
+
+def _by_rarest(ids: DataFrame, labels: DataFrame, docs: DataFrame, sets: DataFrame, tables: Scratch) -> DataFrame:
+    """Pairs of different components that share one of the rarest elements of both.
+
+    In a bucket, only sets outside its most frequent component are paired with the others.
+    """
+    lists = _texts(ids, docs, sets).mapInArrow(_list, "id long, elements array<long>").dropDuplicates(["id"])
+    rows = tables.put(lists.select("id", F.size("elements").alias("n"), F.explode("elements").alias("key")))
+    common = rows.groupBy("key").agg(F.count("*").alias("df"))
+    order = Window.partitionBy("id").orderBy("df", "key")
+    first = rows.join(common.where("df > 1"), "key").withColumn("unique", F.col("n") - F.count("*").over(Window.partitionBy("id")))
+    first = first.withColumn("place", F.col("unique") + F.row_number().over(order)).where("place <= floor(n / 4) + 1")
+    placed = tables.put(_placed(first.select("id", "n", "key"), labels))
+    tables.drop(rows)
+    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("m"))
+    most = sizes.groupBy("key").agg(F.max_by("component", F.struct("m", "component")).alias("most"), F.count("*").alias("k"))
+    few = placed.join(most.where("k > 1"), "key").where("component <> most")
+    few = few.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
+    alike = "component <> component2 and 4 * least(n, n2) >= 3 * greatest(n, n2)"
+    return (
+        placed.join(few, "key").where(alike)
+        .select(F.greatest("id", "id2").alias("a"), F.least("id", "id2").alias("b")).distinct()
+    )
+
+
 def _check(pairs: DataFrame, docs: DataFrame, sets: DataFrame, tables: Scratch) -> DataFrame:
     """The pairs (a, b) of set ids that are similar enough."""
     one = sets.select(F.col("id").alias("a"), F.col("n").alias("n1"), F.col("classes").alias("c1"))
     two = sets.select(F.col("id").alias("b"), F.col("n").alias("n2"), F.col("classes").alias("c2"))
     likely = tables.put(pairs.join(one, "a").join(two, "b").mapInArrow(_by_classes, "a long, b long"))
     wanted = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct()
-    texts = wanted.join(sets.select("id", "doc_id", "tie"), "id").select("id", "doc_id", "tie")
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
-    same = rows["doc_id"].eqNullSafe(texts["doc_id"]) & (rows["tie"] == texts["tie"])
-    packed = tables.put(
-        rows.join(texts, same).select("id", "text").mapInArrow(_pack, "id long, elements binary").dropDuplicates(["id"])
-    )
+    packed = tables.put(_texts(wanted, docs, sets).mapInArrow(_pack, "id long, elements binary").dropDuplicates(["id"]))
     x = packed.select(F.col("id").alias("a"), F.col("elements").alias("x"))
     y = packed.select(F.col("id").alias("b"), F.col("elements").alias("y"))
     linked = tables.put(likely.join(y, "b").join(x, "a").mapInArrow(_by_elements, "a long, b long"))
@@ -283,6 +320,21 @@ def _placed(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
+def _joined(labels: DataFrame, links: DataFrame, tables: Scratch) -> DataFrame:
+    """The labels after more links: only the components they touch are worked on."""
+    if not links.limit(1).count():
+        return labels
+    of_a = labels.select(F.col("id").alias("a"), F.col("component").alias("a1"))
+    of_b = labels.select(F.col("id").alias("b"), F.col("component").alias("b1"))
+    between = links.join(of_a, "a", "left").join(of_b, "b", "left").select(
+        F.coalesce("a1", "a").alias("a"), F.coalesce("b1", "b").alias("b")
+    )
+    moved = components(between, tables).select(F.col("id").alias("component"), F.col("component").alias("to"))
+    old = labels.join(moved, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+    new = moved.join(labels.select(F.col("id").alias("component")), "component", "left_anti")
+    return tables.put(old.unionByName(new.select(F.col("component").alias("id"), F.col("to").alias("component"))))
+
+
 def _apart(rows: DataFrame) -> DataFrame:
     """The rows (key, id, component) of the buckets with several components."""
     mixed = rows.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2")
@@ -310,9 +362,10 @@ def ngram_groups(docs: DataFrame, tables: Scratch) -> DataFrame:
     signed = docs.select("text").mapInArrow(_sign, "key long, salt int, id long")
     buckets = tables.put(by_key(signed).mapInArrow(_buckets, "key long, id long, centre long, large boolean"))
 
-    pair = [F.greatest("centre", "id").alias("a"), F.least("centre", "id").alias("b")]
-    links = _check(buckets.where("id <> centre").select(*pair).distinct(), docs, sets, tables)
-    labels = components(links, tables)
+    met = buckets.where("id <> centre").groupBy("id", "centre").agg(F.count("*").alias("n"))
+    often = met.groupBy("id").agg(F.max_by("centre", F.struct("n", -F.col("centre"))).alias("centre"))
+    pairs = often.select(F.greatest("centre", "id").alias("a"), F.least("centre", "id").alias("b")).distinct()
+    labels = components(_check(pairs, docs, sets, tables), tables)
 
     small = tables.put(_apart(_placed(buckets.where("not large").select("key", "id"), labels)))
     other = small.select("key", F.col("id").alias("id2"), F.col("component").alias("component2"))
@@ -320,32 +373,32 @@ def ngram_groups(docs: DataFrame, tables: Scratch) -> DataFrame:
         small.join(other, "key").where("id > id2 and component <> component2")
         .select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
     )
-    tried = buckets.where("id <> centre").select(*pair)
-    links = tables.put(links.unionByName(_check(cross.join(tried, ["a", "b"], "left_anti"), docs, sets, tables)))
+    labels = _joined(labels, _check(cross, docs, sets, tables), tables)
     tables.drop(small)
-    labels = components(links, tables)
 
     large = buckets.where("large").select("key", "id").distinct()
     own = (F.col("key").bitwiseAND(F.lit(1)) == F.col("odd")).alias("own")
-    met = large.join(sets.select("id", "odd", "own_spare", "low_spare"), "id").withColumn("own", own)
+    signed = large.join(sets.select("id", "odd", "own_spare", "low_spare"), "id").withColumn("own", own)
     spare = F.when(F.col("own"), F.first("own_spare")).otherwise(F.first("low_spare"))
-    missing = met.groupBy("id", "own").agg(F.count("*").alias("n"), spare.alias("spare")).where("n > spare")
-    left = tables.put(met.join(missing.select("id", "own"), ["id", "own"]).select("key", "id"))
-    while True:
+    missing = signed.groupBy("id", "own").agg(F.count("*").alias("n"), spare.alias("spare")).where("n > spare")
+    left = tables.put(signed.join(missing.select("id", "own"), ["id", "own"]).select("key", "id"))
+    for centres_each in (CENTRES, 2 * CENTRES):
         apart = tables.put(_apart(_placed(left, labels)))
-        tables.drop(left)
-        if not apart.limit(1).count():
-            break
-        centres = apart.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(CENTRES)).alias("slot")).agg(F.min_by("component", "id").alias("c1"), F.min("id").alias("centre"))
+        # centres of the bucket's largest component: the pairs are those outside it
+        sizes = apart.groupBy("key", "component").agg(F.count("*").alias("m"))
+        most = sizes.groupBy("key").agg(F.max_by("component", F.struct("m", "component")).alias("most"), F.max("m").alias("m"))
+        slot = F.pmod(F.xxhash64("id"), F.lit(centres_each)).alias("slot")
+        able = apart.join(most, "key").where("m = 1 or component = most")
+        centres = able.groupBy("key", slot).agg(F.min_by("component", "id").alias("c1"), F.min("id").alias("centre"))
         pairs = (
             apart.join(centres, "key").where("component <> c1")
             .select(F.greatest("centre", "id").alias("a"), F.least("centre", "id").alias("b")).distinct()
         )
-        links = tables.put(links.unionByName(_check(pairs, docs, sets, tables)))
-        labels = components(links, tables)
-        used = centres.select("key", F.col("centre").alias("id"))
-        left = tables.put(apart.select("key", "id").join(used, ["key", "id"], "left_anti"))
+        labels = _joined(labels, _check(pairs, docs, sets, tables), tables)
         tables.drop(apart)
+    rest = tables.put(_apart(_placed(left, labels)).select("id").distinct())
+    tables.drop(left)
+    labels = _joined(labels, _check(_by_rarest(rest, labels, docs, sets, tables), docs, sets, tables), tables)
 
     firsts = profiles.where("n_shingles > 0").groupBy("id").agg(F.min("doc_id").alias("least"))
     grouped = _placed(firsts, labels)
