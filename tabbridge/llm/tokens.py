@@ -8,9 +8,9 @@ metadata without the ids, or a range of documents without the other pages.
 
 Encoding uses the tokenizers library on the pieces of a text. A byte-level tokenizer that
 cuts at white space first gives the same ids for a text as for its pieces, cut before every
-single space between two visible characters; each task therefore encodes a distinct piece
-once and keeps a bounded table of them. Texts with longer runs of white space, or with white
-space at an end, are encoded whole.
+single space between two visible characters. A task therefore encodes a distinct piece once,
+all new ones of a text in one call, and keeps a bounded table of them. Texts with longer runs
+of white space around a space, or with a space at an end, are encoded whole.
 
 Defined results: a null text is an empty one and has only the end id; documents without id
 come first, documents with the same id follow each other by a hash of their text; an empty
@@ -19,7 +19,6 @@ table gives no rows.
 
 from __future__ import annotations
 
-import re
 import zlib
 from functools import cache
 
@@ -32,10 +31,9 @@ from tabbridge.llm.staging import step_settings
 from tabbridge.session import workspace
 
 END = 0
-CACHE_PIECES = 400_000
+CACHE_PIECES = 1_000_000
 ROW_GROUP_BYTES = 16 << 20
 PAGE_ROWS = 2048
-_BLANKS = re.compile(r"\s\s|^\s|\s$")
 _PIECES: dict[str, dict[str, bytes]] = {}
 
 
@@ -57,31 +55,51 @@ def _tokenizer(path: str):
     return loaded
 
 
-def _encode(tokenizer, texts: list[str]) -> list[bytes]:
-    found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-    return [np.asarray(x.ids, "<u4").tobytes() for x in found]
+def _encode(tokenizer, text: str) -> np.ndarray:
+    (found,) = tokenizer.encode_batch_fast([text], add_special_tokens=False)
+    return np.asarray(found.ids, "<u4")
+
+
+@cache
+def _token_bytes(path: str) -> np.ndarray:
+    """Bytes of each token; a byte-level vocabulary writes one character for a byte."""
+    vocabulary = _tokenizer(path).get_vocab()
+    sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+    for token, number in vocabulary.items():
+        sizes[number] = len(token)
+    return sizes
+
+
+def _encode_pieces(path: str, pieces: list[str]) -> list[bytes]:
+    """Ids of each piece: of their concatenation, which is cut where the pieces are."""
+    ids = _encode(_tokenizer(path), "".join(pieces))
+    ends = np.cumsum([len(p.encode()) for p in pieces])
+    after = np.searchsorted(np.cumsum(_token_bytes(path)[ids]), ends) + 1
+    raw, lo, out = memoryview(ids.tobytes()), 0, []
+    for hi in (after * 4).tolist():
+        out.append(bytes(raw[lo:hi]))
+        lo = hi
+    return out
 
 
 def encode_texts(texts: list[str | None], path: str) -> list[bytes]:
     """Little-endian 32-bit ids of every text, without the end id."""
-    tokenizer, known = _tokenizer(path), _PIECES.setdefault(path, {})
-    out = []
+    tokenizer, known, out = _tokenizer(path), _PIECES.setdefault(path, {}), []
     for text in texts:
         if not text:
             out.append(b"")
             continue
-        if _BLANKS.search(text):
-            out.append(_encode(tokenizer, [text])[0])
+        # all pieces but the first stand for themselves with the space before them
+        first, *pieces = text.split(" ")
+        missing = list(set(pieces).difference(known))
+        if not first or first[-1].isspace() or any(not p or p[0].isspace() or p[-1].isspace() for p in missing):
+            out.append(_encode(tokenizer, text).tobytes())
             continue
-        first, *rest = text.split(" ")
-        pieces = [first, *[" " + p for p in rest]]
-        missing = [p for p in dict.fromkeys(pieces) if p not in known]
         if missing:
-            if len(known) + len(missing) > CACHE_PIECES:
-                known.clear()
-                missing = list(dict.fromkeys(pieces))
-            known.update(zip(missing, _encode(tokenizer, missing)))
-        out.append(b"".join(map(known.__getitem__, pieces)))
+            known.update(zip(missing, _encode_pieces(path, [" " + p for p in missing])))
+        out.append(_encode(tokenizer, first).tobytes() + b"".join(map(known.__getitem__, pieces)))
+        if len(known) > CACHE_PIECES:
+            known.clear()
     return out
 
 
