@@ -49,7 +49,7 @@ STAGES = [
     ("token-ID output", token_ids),
 ]
 
-#: The fitted language models and the iterated mix have no SQL form; tests use brute force.
+#: The fitted language models and the iterated mix have no SQL form; the tests cover each stage's operator.
 ORACLE_SQL = None
 
 
