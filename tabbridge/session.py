@@ -82,6 +82,18 @@ def staging(df: DataFrame, tag: str = "stage") -> Iterator[DataFrame]:
         _discard(spark, path)
 
 
+@contextmanager
+def staged_within(spark: SparkSession) -> Iterator[None]:
+    """What is staged inside the block is removed at its end."""
+    kept = len(_staged)
+    try:
+        yield
+    finally:
+        for path in _staged[kept:]:
+            _discard(spark, path)
+            _staged.remove(path)
+
+
 def clear_staged(spark: SparkSession) -> int:
     """Remove the folders this process has staged, once nothing reads them any more."""
     paths = _staged.copy()
