@@ -12,8 +12,9 @@ from tabbridge.llm.decontamination import clean_documents
 from tabbridge.llm.language import keep_known
 from tabbridge.llm.mixing import mix
 from tabbridge.llm.ngram_join import keep_one_of_each
-from tabbridge.llm.staging import result
+from tabbridge.llm.staging import result, scratch
 from tabbridge.llm.tokens import tokenize_documents
+from tabbridge.session import staged_within
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +55,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = result(stage(spark, docs, sf_dir), "pipeline")
-    return docs
+    """The index of the corpus' token files. A stage's table goes once the next one is written."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    with scratch(spark, "pipeline") as tables:
+        for _, stage in STAGES[:-1]:
+            with staged_within(spark):
+                docs = tables.put(stage(spark, docs, sf_dir))
+            if last is not None:
+                tables.drop(last)
+            last = docs
+        _, finish = STAGES[-1]
+        return result(finish(spark, docs, sf_dir), "pipeline")
