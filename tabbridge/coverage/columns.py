@@ -161,6 +161,27 @@ def truncate_amounts(spark, sf):
     return load(spark, sf, "orders").select("o_orderkey", cut.cast("string").alias("amount"))
 
 
+@query(
+    "truncate_wide_decimal",
+    """
+    SELECT o_orderkey,
+           concat('12345678901234567890123', lpad(CAST(o_custkey AS VARCHAR), 7, '0'), '.',
+                  substr(lpad(CAST(o_custkey * 7919 % 1000000 AS VARCHAR), 6, '0'), 1, 2)) AS amount
+    FROM orders
+    """,
+)
+def truncate_wide_amounts(spark, sf):
+    """30 integer digits and six decimals, cut to two."""
+    text = F.concat(
+        F.lit("12345678901234567890123"),
+        F.lpad(F.col("o_custkey").cast("string"), 7, "0"),
+        F.lit("."),
+        F.lpad((F.col("o_custkey") * 7919 % 1000000).cast("string"), 6, "0"),
+    )
+    cut = truncate_decimal(text.cast("decimal(38,6)"), 38, 2)
+    return load(spark, sf, "orders").select("o_orderkey", cut.cast("string").alias("amount"))
+
+
 @query(
     "clean_line_breaks",
     """

@@ -312,7 +312,33 @@ def snapshot_bad_rows(spark, sf):
     )
     lines.write.option("lineSep", ROW_SEPARATOR).text(f"{path}/data")
     schema = project_by_name(suppliers, ["s_suppkey", "s_name"]).schema
-    return read_snapshot(spark, path, schema).bad
+    return read_snapshot(spark, path, schema).bad.select("bad_rows")
+
+
+@query(
+    "snapshot_bad_cells",
+    """
+    SELECT count(*) FILTER (o_orderkey % 7 = 0) AS wrong_fields,
+           count(*) FILTER (o_orderkey % 7 <> 0 AND o_orderkey % 5 = 0) AS wrong_values,
+           count(*) FILTER (o_orderkey % 7 = 0 OR o_orderkey % 5 = 0) AS bad_rows,
+           count(*) FILTER (o_orderkey % 7 <> 0 AND o_orderkey % 5 <> 0) AS good_rows,
+           CAST(sum(o_custkey) FILTER (o_orderkey % 7 <> 0 AND o_orderkey % 5 <> 0) AS BIGINT) AS key_sum
+    FROM orders
+    """,
+)
+def snapshot_bad_cells(spark, sf):
+    """Cells that are no value of their type make a bad row, not a NULL."""
+    path = workspace(spark, "snapshot")
+    orders = load(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    odd = F.when(F.col("o_orderkey") % 5 == 0, "oops").otherwise(F.col("o_custkey").cast("string"))
+    surplus = F.when(F.col("o_orderkey") % 7 == 0, "surplus")
+    lines = orders.select(
+        F.concat_ws(FIELD_SEPARATOR, F.col("o_orderkey").cast("string"), odd, F.col("o_orderdate").cast("string"), surplus)
+    )
+    lines.write.option("lineSep", ROW_SEPARATOR).text(f"{path}/data")
+    back = read_snapshot(spark, path, orders.schema)
+    good = back.rows.agg(F.count(F.lit(1)).alias("good_rows"), F.sum("o_custkey").alias("key_sum"))
+    return back.bad.crossJoin(good)  # one row each
 
 
 _SUPPLIER_SQL = "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier"

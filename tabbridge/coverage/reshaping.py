@@ -172,13 +172,24 @@ _RECORD_SQL = """
 
 @query("json_to_columns", f"SELECT event_id, {_RECORD_SQL} FROM events")
 def json_columns(spark, sf):
+    return json_to_columns(_records(spark, sf), "record", "event_id", ["event_id"], "first")
+
+
+@query(
+    "json_to_columns_union",
+    f"""
+    SELECT event_id, {_RECORD_SQL}, CASE WHEN event_id % 3 = 2 THEN 'x' ELSE '' END AS unlisted
+    FROM events
+    """,
+)
+def json_columns_union(spark, sf):
     return json_to_columns(_records(spark, sf), "record", "event_id", ["event_id"])
 
 
 @query("json_to_csv", f"SELECT {_RECORD_SQL} FROM events")
 def json_csv(spark, sf):
     path = workspace(spark, "json-csv")
-    json_to_csv(_records(spark, sf), "record", "event_id", path)
+    json_to_csv(_records(spark, sf), "record", "event_id", path, "first")
     return (
         spark.read.option("header", True).option("escape", '"').csv(path).na.fill("")
     )

@@ -45,20 +45,35 @@ def all_tables(spark, sf):
     return table_info({t: load(spark, sf, t) for t in TABLES}, tiers=TIERS)
 
 
+# DuckDB widths of a row, by the fixed widths of the types
+WIDTHS = {
+    "region": "4 + strlen(r_name)",
+    "nation": "4 + strlen(n_name) + 4",
+    "customer": "8 + strlen(c_name) + 4 + 8 + strlen(c_mktsegment)",
+    "supplier": "8 + strlen(s_name) + 4 + 8",
+    "part": "8 + strlen(p_name) + strlen(p_brand) + strlen(p_type) + 4 + 8",
+    "orders": "8 + 8 + strlen(o_orderstatus) + 8 + 20 + strlen(o_orderpriority)",
+    "lineitem": "8 * 3 + 4 + 8 * 4 + strlen(l_returnflag) + strlen(l_linestatus) + 20",
+    "events": "8 + 20 + 8 + strlen(event_type) + 8 + strlen(props)",
+    "documents": "8 + coalesce(strlen(text), 0) + coalesce(strlen(lang), 0) + coalesce(strlen(source), 0) + 8",
+    "embeddings": "8 + coalesce(4 * len(embedding), 0) + 4",
+    "pages": "8 + coalesce(strlen(url), 0) + coalesce(strlen(html), 0)",
+    "benchmark": "8 + coalesce(strlen(text), 0)",
+    "labels": "8 + 4 + 4",
+    "conversations": "8 + 8 + coalesce(strlen(role), 0) + coalesce(strlen(text), 0)",
+}
+
+
 @query(
     "table_info_estimated",
-    """
-    SELECT 'nation' AS table_name, count(*) AS record_count,
-           CAST(sum(4 + strlen(n_name) + 4) // count(*) * count(*) AS BIGINT) AS record_size
-    FROM nation
-    UNION ALL
-    SELECT 'region', count(*), CAST(sum(4 + strlen(r_name)) // count(*) * count(*) AS BIGINT)
-    FROM region
-    """,
+    " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, count(*) AS record_count, "
+        f"CAST(sum({width}) // count(*) * count(*) AS BIGINT) AS record_size FROM {t}"
+        for t, width in WIDTHS.items()
+    ),
 )
-def small_tables(spark, sf):
-    """Tables below the sample size: the sample is the whole table."""
-    info = table_info({t: load(spark, sf, t) for t in ("nation", "region")}, exact=False)
+def estimated_tables(spark, sf):
+    info = table_info({t: load(spark, sf, t) for t in TABLES}, exact=False)
     return info.select("table_name", "record_count", "record_size")
 
 
@@ -86,7 +101,7 @@ def _size_sql(table: str, width: str) -> str:
 def full_sizes(spark, sf):
     """The full-table variant: every row is measured."""
     sizes = [
-        estimate_size(load(spark, sf, t), 1.5, None).select(F.lit(t).alias("table_name"), "*")
+        estimate_size(load(spark, sf, t), 1.5).select(F.lit(t).alias("table_name"), "*")
         for t in ("customer", "documents", "orders", "events")
     ]
     first, *others = sizes
@@ -110,7 +125,7 @@ def null_sizes(spark, sf):
         F.nullif("p_brand", F.lit("Brand#2")).alias("p_brand"),
         F.nullif("p_size", F.lit(11)).alias("p_size"),
     )
-    return estimate_size(parts, sample_rows=None).select("rows", "avg_row_bytes")
+    return estimate_size(parts).select("rows", "avg_row_bytes")
 
 
 @query(

@@ -12,9 +12,11 @@ POLICIES = ("sql", "legacy", "csv")
 
 
 def truncate_decimal(c: Column, precision: int, scale: int) -> Column:
-    """Cut surplus decimals toward zero; a plain cast would round half up."""
-    wide = c.cast(T.DecimalType(38, 18)) if scale < 18 else c.cast(T.DecimalType(38, scale))
-    cut = F.when(wide < 0, F.ceil(wide, F.lit(scale))).otherwise(F.floor(wide, F.lit(scale)))
+    """Cut surplus decimals of a decimal column toward zero; a plain cast would round half up.
+
+    The column is cut at its own precision, so any number of integer digits will do.
+    """
+    cut = F.when(c < 0, F.ceil(c, F.lit(scale))).otherwise(F.floor(c, F.lit(scale)))
     return cut.cast(T.DecimalType(precision, scale))
 
 

@@ -48,10 +48,12 @@ OPERATOR_NAMES = {
 
 
 def operator(op: str) -> str:
-    """Canonical spelling; an unknown operator means equality."""
-    op = op.strip().upper()
-    op = OPERATOR_NAMES.get(op, op)
-    return op if op in COMPARISONS or op in ("LIKE", "IN") else "="
+    """Canonical spelling; an unknown operator is an error."""
+    name = op.strip().upper()
+    name = OPERATOR_NAMES.get(name, name)
+    if name not in COMPARISONS and name not in ("LIKE", "IN"):
+        raise ValueError(f"unknown filter operator '{op}'")
+    return name
 
 
 def given_values(
@@ -86,11 +88,13 @@ def _values(flt: Filter) -> list[Any]:
 
 
 def predicate(flt: Filter | Sequence[Any], text_like: bool = True) -> Column:
-    """One filter as a Column. IN takes all values, every other operator the first."""
+    """One filter as a Column. IN takes any number of values, every other operator one."""
     flt = Filter(*flt)
     values, op, field = _values(flt), operator(flt.op), col(flt.field)
     if op == "IN":
         return field.isin([literal(v) for v in values])
+    if len(values) > 1:
+        raise ValueError(f"filter '{flt.field}' {op} takes one value, not {len(values)}")
     if op == "LIKE":
         return (field if text_like else field.cast("string")).like(str(values[0]))
     return COMPARISONS[op](field, literal(values[0]))

@@ -36,6 +36,9 @@ def value_bytes(c: Column, data_type: T.DataType) -> Column:
         size = F.octet_length(c).cast("long")
     elif type(data_type) in FIXED_WIDTHS:
         size = F.when(c.isNotNull(), F.lit(FIXED_WIDTHS[type(data_type)]).cast("long"))
+    elif isinstance(data_type, T.ArrayType) and type(data_type.elementType) in FIXED_WIDTHS:
+        width = FIXED_WIDTHS[type(data_type.elementType)]
+        size = F.when(c.isNotNull(), F.size(c).cast("long") * width)
     else:
         size = F.octet_length(c.cast("string")).cast("long")
     return F.coalesce(size, F.lit(0).cast("long"))

@@ -14,14 +14,13 @@ from tabbridge.functions.declared import declared_type
 from tabbridge.functions.names import col, require
 from tabbridge.functions.predicates import literal
 
-MAX_FIELDS = 16
 NULLABLE_SHARE = 0.3
 NULL_PERCENT = 10
-MAX_TEXT = 1024
+OPEN_SIZE = 1024  # of types without a declared size
 DAYS = 365
 
 # Template type name -> declared type, by dialect.
-_POSTGRES_TEMPLATES = {
+_KINGBASE_TEMPLATES = {
     "int": "INTEGER",
     "smallint": "SMALLINT",
     "bigint": "BIGINT",
@@ -52,7 +51,6 @@ _MYSQL_TEMPLATES = {
     "char": "CHAR(255)",
     "text": "TEXT",
     "mediumtext": "MEDIUMTEXT",
-    "clob": "CLOB",
     "date": "DATE",
     "datetime": "DATETIME",
     "timestamp": "TIMESTAMP",
@@ -79,11 +77,43 @@ _KINGBASE_POOL = (
     "DATE", "TIMESTAMP", "BYTEA",
 )
 _VASTBASE_POOL = tuple(t for t in _KINGBASE_POOL if t != "CLOB")
+_GBASE_TEMPLATES = {
+    "int": "INT",
+    "tinyint": "TINYINT",
+    "smallint": "SMALLINT",
+    "bigint": "BIGINT",
+    "float": "FLOAT",
+    "double": "DOUBLE",
+    "decimal": "DECIMAL(10,2)",
+    "varchar": "VARCHAR(255)",
+    "char": "CHAR(255)",
+    "text": "TEXT",
+    "clob": "CLOB",
+    "date": "DATE",
+    "datetime": "DATETIME",
+    "timestamp": "TIMESTAMP",
+    "blob": "BLOB",
+}
+_VASTBASE_TEMPLATES = {
+    "int": "INTEGER",
+    "smallint": "SMALLINT",
+    "bigint": "BIGINT",
+    "real": "REAL",
+    "double": "DOUBLE PRECISION",
+    "numeric": "NUMERIC(10,2)",
+    "decimal": "NUMERIC(10,2)",
+    "varchar": "VARCHAR(255)",
+    "char": "CHAR(255)",
+    "text": "TEXT",
+    "date": "DATE",
+    "timestamp": "TIMESTAMP",
+    "bytea": "BYTEA",
+}
 TEMPLATES = {
     "mysql": _MYSQL_TEMPLATES,
-    "gbase": _MYSQL_TEMPLATES,
-    "kingbase": _POSTGRES_TEMPLATES,
-    "vastbase": _POSTGRES_TEMPLATES,
+    "gbase": _GBASE_TEMPLATES,
+    "kingbase": _KINGBASE_TEMPLATES,
+    "vastbase": _VASTBASE_TEMPLATES,
 }
 POOLS = {
     "mysql": _MYSQL_POOL,
@@ -100,7 +130,7 @@ def _max_size(declared: str) -> int:
     if name == "CHAR":
         return int(size.rstrip(")")) if size else 255
     if any(kind in name for kind in ("TEXT", "CLOB", "BLOB", "BYTEA")):
-        return MAX_TEXT
+        return OPEN_SIZE
     return 0
 
 
@@ -111,17 +141,18 @@ def generate_schema(
     max_size: int = 0,
     seed: int = 42,
 ) -> T.StructType:
-    """``id`` BIGINT and col_1 … col_n: 1 to 16 fields, about 30 % of them nullable.
+    """``id`` BIGINT and col_1 … col_n: ``fields`` columns, about 30 % of them nullable.
 
     The types cycle through the template list, or are drawn from the dialect's pool.
     Each field carries its declared type and text size in the metadata.
     """
     rng = random.Random(seed)
-    count = min(max(fields, 1), MAX_FIELDS)
+    if fields < 1:
+        raise ValueError(f"a schema needs at least one field, not {fields}")
     templates = TEMPLATES[dialect]
     pool = [templates.get(t.strip().lower(), "VARCHAR(255)") for t in types] or POOLS[dialect]
     out = [T.StructField("id", T.LongType(), False, {"declared": "BIGINT", "max_size": 0})]
-    for i in range(1, count):
+    for i in range(1, fields):
         declared = pool[(i - 1) % len(pool)] if types else rng.choice(pool)
         size = _max_size(declared)
         if max_size and size > max_size:
@@ -180,7 +211,7 @@ _INTEGER_BOUNDS = {
 
 def _value(f: T.StructField, seed: int, today: dt.date) -> Column:
     declared = f.metadata["declared"].split("(")[0]
-    size = min(f.metadata["max_size"] or 255, MAX_TEXT)
+    size = f.metadata["max_size"] or 255
 
     def draw(below: int, what: str = "value") -> Column:
         return _draw(f.name, what, seed, below)
@@ -194,7 +225,7 @@ def _value(f: T.StructField, seed: int, today: dt.date) -> Column:
     elif isinstance(f.dataType, T.DecimalType):
         value = draw(100_000).cast(T.DecimalType(20, 2)) / F.lit(100).cast(T.DecimalType(3, 0))
     elif isinstance(f.dataType, T.BinaryType):
-        value = _bytes(f.name, seed, (draw(MAX_TEXT, "length") + 1).cast("int"))
+        value = _bytes(f.name, seed, (draw(size, "length") + 1).cast("int"))
     elif isinstance(f.dataType, T.StringType):
         value = _letters(f.name, seed, (draw(size, "length") + 1).cast("int"))
     elif declared in ("DATE", "DATETIME"):

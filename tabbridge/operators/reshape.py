@@ -233,15 +233,28 @@ def first_record_keys(df: DataFrame, document: str, order: str) -> list[str]:
     return list(first.first()["k"] or [])
 
 
+def all_record_keys(df: DataFrame, document: str, order: str) -> list[str]:
+    """Member names of all records, in the order in which they first appear."""
+    names = df.select(
+        col(order).alias("__order"), F.posexplode(F.json_object_keys(col(document))).alias("__pos", "__name")
+    )
+    seen = names.groupBy("__name").agg(F.min(F.struct("__order", "__pos")).alias("__at"))
+    return [r["__name"] for r in seen.orderBy("__at", "__name").collect()]
+
+
 def json_to_columns(
-    df: DataFrame, document: str, order: str, keys: Sequence[str] = ()
+    df: DataFrame, document: str, order: str, keys: Sequence[str] = (), header: str = "union"
 ) -> DataFrame:
-    """JSON records to text columns named by the first record's members.
+    """JSON records to text columns named by the records' members.
 
-    Missing members are ''; nested values stay JSON text. Each record is parsed once.
+    ``header="union"`` takes the members of all records, ``"first"`` only those of the
+    first record and leaves the others out. Missing members are ''; nested values stay
+    JSON text.
     """
     require(df, [document, order, *keys])
-    header = first_record_keys(df, document, order)
+    if header not in HEADERS:
+        raise ValueError(f"header must be one of {tuple(HEADERS)}, not {header!r}")
+    header = HEADERS[header](df, document, order)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in header])
     record = F.from_json(col(document), schema, {"mode": "PERMISSIVE"})
     return df.select(*[col(k) for k in keys], record.alias("__r")).select(
@@ -250,9 +263,14 @@ def json_to_columns(
     )
 
 
-def json_to_csv(df: DataFrame, document: str, order: str, path: str) -> DataFrame:
+HEADERS = {"union": all_record_keys, "first": first_record_keys}
+
+
+def json_to_csv(
+    df: DataFrame, document: str, order: str, path: str, header: str = "union"
+) -> DataFrame:
     """Write ``json_to_columns`` as headered CSV in record order; returns what was written."""
-    rows = json_to_columns(df, document, order, [order])
+    rows = json_to_columns(df, document, order, [order], header)
     tied = with_tie(rows, from_scan=False)
     written = range_partition(tied, [col(order), col(TIE)]).drop(order, TIE)
     (

@@ -13,33 +13,19 @@ from pyspark.sql import functions as F
 from tabbridge.functions.names import col
 from tabbridge.functions.sizing import row_bytes, size_tier
 
-SAMPLE_ROWS = 100
 TIERS = (100_000, 10_000_000, 100_000_000)
 _STATISTICS = re.compile(r"(?P<bytes>\d+) bytes, (?P<rows>\d+) rows")
 
 
-def _average_width(df: DataFrame, sample_rows: int) -> int:
-    """Average bytes of the first rows, which a limit fetches from as few files as it needs."""
-    widths = df.select(row_bytes(df.schema).alias("b")).limit(sample_rows).collect()
-    return sum(r["b"] for r in widths) // len(widths) if widths else 0
-
-
-def estimate_size(
-    df: DataFrame, factor: float = 1.0, sample_rows: int | None = SAMPLE_ROWS
-) -> DataFrame:
+def estimate_size(df: DataFrame, factor: float = 1.0) -> DataFrame:
     """One row: rows, avg_row_bytes, table_bytes = average × rows × factor.
 
-    The average is an integer division over the first ``sample_rows`` rows, or over
-    all rows with ``sample_rows=None``. An empty table has size 0.
+    The average is an integer division over all rows. An empty table has size 0.
     """
-    if sample_rows is None:
-        facts = df.select(row_bytes(df.schema).alias("b")).agg(
-            F.count(F.lit(1)).alias("rows"), F.sum("b").alias("bytes")
-        )
-        average = F.when(col("rows") > 0, F.expr("bytes div rows")).otherwise(F.lit(0))
-    else:
-        facts = df.agg(F.count(F.lit(1)).alias("rows"))
-        average = F.lit(_average_width(df, sample_rows))
+    facts = df.select(row_bytes(df.schema).alias("b")).agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("b").alias("bytes")
+    )
+    average = F.when(col("rows") > 0, F.expr("bytes div rows")).otherwise(F.lit(0))
     size = col("avg_row_bytes") * col("rows") * F.lit(float(factor))
     return facts.withColumn("avg_row_bytes", average.cast("long")).select(
         "rows", "avg_row_bytes", size.cast("long").alias("table_bytes")

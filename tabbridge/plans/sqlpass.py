@@ -14,19 +14,27 @@ from tabbridge.functions.text import rows_as_text
 from tabbridge.operators.stats import observed, observed_rows
 from tabbridge.sources.managed import write_table
 
-# First words of statements that return rows.
-ROW_WORDS = ("SELECT", "WITH", "VALUES", "SHOW", "DESCRIBE", "DESC", "EXPLAIN")
-_INSERT = re.compile(
-    r"^(?P<head>INSERT\s+(?:INTO|OVERWRITE)\s+(?:TABLE\s+)?[`\w.]+\s*(?:\([^()]*\)\s*)?)"
-    r"(?P<query>(?:SELECT|WITH|VALUES|FROM|TABLE)\b.*)$",
-    re.IGNORECASE | re.DOTALL,
-)
-_PLACEHOLDER = re.compile(r"'(?:[^']|'')*'|\"[^\"]*\"|`[^`]*`|\?|\$(\d+)")
+_QUERY = r"(?P<query>(?:\(\s*)*(?:SELECT|WITH|VALUES|FROM|TABLE)\b.*)$"
+_BLANK = r"(?:--[^\n]*\n|/\*.*?\*/|\s)*"
+# Statements whose query is run with a counter. With IF NOT EXISTS it may not run at all.
+_COUNTED = [
+    re.compile(
+        rf"^{_BLANK}(?P<head>INSERT\s+(?:INTO|OVERWRITE)\s+(?:TABLE\s+)?[`\w.]+\s*"
+        rf"(?:PARTITION\s*\([^()]*\)\s*)?(?:\([^()]*\)\s*)?){_QUERY}",
+        re.IGNORECASE | re.DOTALL,
+    ),
+    re.compile(
+        rf"^{_BLANK}(?P<head>CREATE\s+TABLE\s+(?!IF\b)[`\w.]+\s.*?\bAS\s+){_QUERY}",
+        re.IGNORECASE | re.DOTALL,
+    ),
+]
+_WRITES = re.compile(r"\b(INSERT|SELECT|FROM|UPDATE|DELETE|MERGE)\b", re.IGNORECASE)
+_PLACEHOLDER = re.compile(r"--[^\n]*|/\*.*?\*/|'(?:[^']|'')*'|\"[^\"]*\"|`[^`]*`|\?|\$(\d+)", re.DOTALL)
 
 
 class SqlResult(NamedTuple):
     rows: DataFrame | None  # for statements that return rows
-    affected: int | None  # for INSERT; 0 for definitions
+    affected: int | None  # rows written; 0 for definitions, None where unknown
 
 
 @contextmanager
@@ -45,7 +53,7 @@ def _inside(spark: SparkSession, database: str | None) -> Iterator[None]:
 def bind_sql(text: str, args: Sequence[Any]) -> tuple[str, list[Any]]:
     """``?`` and ``$n`` placeholders to positional ones with their values in order.
 
-    Placeholders inside quotes are text. Too few or too many values is an error.
+    Placeholders inside quotes and comments are text. Too few or too many values is an error.
     """
     values: list[Any] = []
     used: set[int] = set()
@@ -71,18 +79,18 @@ def execute_sql(
 ) -> SqlResult:
     """Run one statement in a database.
 
-    Queries come back as a lazy DataFrame. Inserts report the rows they wrote, counted
-    while writing. Other statements report 0.
+    What has columns once Spark has analysed it is a row result, a lazy DataFrame for
+    queries. INSERT and CREATE TABLE AS report the rows they wrote, counted while writing;
+    definitions report 0, and writes in a form that cannot be counted None.
     """
     bound, values = bind_sql(text.strip().rstrip(";"), args)
-    words = bound.split(None, 1)
     with _inside(spark, database):
-        if words and words[0].upper() in ROW_WORDS:
-            return SqlResult(spark.sql(bound, args=values or None), None)
-        insert = _INSERT.match(bound)
+        insert = next((m for m in (p.match(bound) for p in _COUNTED) if m and "?" not in m["head"]), None)
         if insert is None:
-            spark.sql(bound, args=values or None)
-            return SqlResult(None, 0)
+            done = spark.sql(bound, args=values or None)
+            if done.columns:
+                return SqlResult(done, None)
+            return SqlResult(None, None if _WRITES.search(bound) else 0)
         counted, watch = observed(spark.sql(insert["query"], args=values or None))
         view = f"__insert_{uuid.uuid4().hex}"
         counted.createOrReplaceTempView(view)

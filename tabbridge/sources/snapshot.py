@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabbridge.functions.coerce import truncate_decimal
 from tabbridge.functions.declared import family, require_flat, warehouse_type
 from tabbridge.functions.names import col
 from tabbridge.functions.sizing import EXPORT_FILE_BYTES, file_rows_for
@@ -64,12 +66,15 @@ def write_snapshot(
 
 
 def _value(text: Column, data_type: T.DataType) -> Column:
-    """Typed cell; empty is NULL. Text that does not fit a number or date is NULL as well."""
+    """Typed cell; empty is NULL. Text that does not fit the type is NULL as well, see ``_misfit``."""
     text = F.nullif(text, F.lit(""))
     if isinstance(data_type, T.StringType):
         return text
     if isinstance(data_type, T.BooleanType):
-        return text == "true"
+        return F.when(text == "true", F.lit(True)).when(text == "false", F.lit(False))
+    if isinstance(data_type, T.DecimalType):
+        p, s = data_type.precision, data_type.scale
+        return truncate_decimal(text.try_cast(T.DecimalType(38, 38 - p + s)), p, s)
     if isinstance(data_type, T.BinaryType):
         digits = F.substring(text, 3, 1 << 30)
         is_hex = text.startswith("0x") & digits.rlike(HEX_SHAPE)
@@ -79,9 +84,16 @@ def _value(text: Column, data_type: T.DataType) -> Column:
     return text.try_cast(data_type)
 
 
+def _misfit(text: Column, data_type: T.DataType) -> Column:
+    """The cell holds text that is no value of its type."""
+    if isinstance(data_type, (T.StringType, T.BinaryType)):
+        return F.lit(False)
+    return (text != "") & _value(text, data_type).isNull()
+
+
 class Snapshot(NamedTuple):
     rows: DataFrame
-    bad: DataFrame  # one row: bad_rows
+    bad: DataFrame  # one row: bad_rows = wrong_fields + wrong_values
 
 
 def read_snapshot(
@@ -90,9 +102,10 @@ def read_snapshot(
     schema: T.StructType,
     header: bool = False,
 ) -> Snapshot:
-    """Rows of a snapshot and the number of lines with a wrong field count.
+    """Rows of a snapshot, and the number of lines that are none.
 
-    ``path`` is a folder written by ``write_snapshot``, or with ``header=True`` plain
+    Those are lines with a wrong field count, and lines with a cell that does not parse as
+    its column's type; surplus decimals are cut. ``path`` is a folder written by ``write_snapshot``, or with ``header=True`` plain
     snapshot files whose first line is the column header. The text stays splittable.
     """
     folder = path if header else f"{path}/data"
@@ -106,10 +119,15 @@ def read_snapshot(
         lines = lines.where(F.trim("value") != "")
     split = lines.select(cells.alias("cells"))
     fits = F.size("cells") == len(schema.fields)
-    rows = split.where(fits).select(
+    misfits = [_misfit(F.get("cells", F.lit(i)), f.dataType) for i, f in enumerate(schema.fields)]
+    odd = F.coalesce(reduce(lambda a, b: a | b, misfits), F.lit(False))
+    rows = split.where(fits & ~odd).select(
         [
-            _value(F.col("cells")[i], f.dataType).alias(f.name)
+            _value(F.get("cells", F.lit(i)), f.dataType).alias(f.name)
             for i, f in enumerate(schema.fields)
         ]
     )
-    return Snapshot(rows, split.agg(F.count_if(~fits).alias("bad_rows")))
+    counts = split.agg(
+        F.count_if(~fits).alias("wrong_fields"), F.count_if(fits & odd).alias("wrong_values")
+    )
+    return Snapshot(rows, counts.select((F.col("wrong_fields") + F.col("wrong_values")).alias("bad_rows"), "*"))

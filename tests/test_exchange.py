@@ -125,8 +125,8 @@ def test_snapshot_file_with_header(spark, path):
     text_file(path, "data.csv", "\u2028".join(lines) + "\u2028")
     schema = spark.createDataFrame([], "a int, b string").schema
     back = read_snapshot(spark, path, schema, header=True)
-    assert rows(back.rows) == sorted([(1, "x\ny"), (2, None), (None, "text")], key=repr)
-    assert back.bad.first()["bad_rows"] == 1
+    assert rows(back.rows) == sorted([(1, "x\ny"), (2, None)], key=repr)
+    assert back.bad.first().asDict() == {"bad_rows": 2, "wrong_fields": 1, "wrong_values": 1}
 
 
 @pytest.mark.parametrize("mark", ["\x01", "\u2028"])

@@ -124,9 +124,12 @@ def test_json_to_columns(spark):
         ],
         "n int, doc string",
     )
-    got = json_to_columns(df, "doc", "n", ["n"])
+    got = json_to_columns(df, "doc", "n", ["n"], "first")
     assert got.columns == ["n", "b", "a", "c", "d"]
     assert [tuple(r) for r in got.orderBy("n").collect()] == [
         (1, "1", '{"z":[1,2]}', "", "true"),
         (2, "x", "", "", ""),
     ]
+    every = json_to_columns(df, "doc", "n", ["n"])
+    assert every.columns == ["n", "b", "a", "c", "d", "unlisted"]
+    assert [r["unlisted"] for r in every.orderBy("n").collect()] == ["", "1"]

@@ -13,6 +13,7 @@ from tabbridge.plans.sqlpass import bind_sql, execute_sql, execute_sql_into, sql
         ("SELECT '?', \"$1\", `a?b`, ?", [5], ("SELECT '?', \"$1\", `a?b`, ?", [5])),
         ("SELECT 'it''s ?', ?", [5], ("SELECT 'it''s ?', ?", [5])),
         ("SELECT 1", [], ("SELECT 1", [])),
+        ("SELECT 1 /* why? */ -- $1?\n, ?", [5], ("SELECT 1 /* why? */ -- $1?\n, ?", [5])),
     ],
 )
 def test_bind(text, args, want):
@@ -47,6 +48,15 @@ def test_statements(spark):
     assert execute_sql(spark, "DROP TABLE t", (), db).affected == 0
 
 
+def test_row_results_by_analysis(spark):
+    for text in ("(SELECT 1 AS a) UNION (SELECT 2)", "-- note\nSELECT 1 AS a UNION SELECT 2", "FROM range(2) SELECT id AS a"):
+        assert execute_sql(spark, text).rows.count() == 2
+    db = scratch_database(spark, "sql")
+    assert execute_sql(spark, "CREATE TABLE t USING parquet AS SELECT id FROM range(7)", (), db).affected == 7
+    done = execute_sql(spark, "WITH q AS (SELECT id FROM range(3)) INSERT INTO t SELECT id FROM q", (), db)
+    assert done == (None, None) and spark.table(f"{db}.t").count() == 10
+
+
 def test_database_is_restored_after_an_error(spark):
     before = spark.catalog.currentDatabase()
     with pytest.raises(Exception, match="TABLE_OR_VIEW_NOT_FOUND"):

@@ -58,12 +58,13 @@ def test_estimate_uses_integer_average(spark):
     row = estimate_size(df).first()
     assert (row["rows"], row["avg_row_bytes"], row["table_bytes"]) == (3, 35 // 3, 33)
     assert estimate_size(df, 1.5).first()["table_bytes"] == 49
-    assert estimate_size(df, sample_rows=None).first() == row
 
 
-def test_estimate_samples_a_large_table(spark):
+def test_estimate_measures_every_row(spark):
     row = estimate_size(spark.range(100_000)).first()
     assert (row["avg_row_bytes"], row["table_bytes"]) == (8, 800_000)
+    late = spark.sql("SELECT IF(id < 900, '', repeat('x', 100)) AS s FROM range(0, 1000, 1, 1)")
+    assert estimate_size(late).first()["avg_row_bytes"] == 10
 
 
 def test_estimate_of_nothing(spark):
