@@ -18,7 +18,8 @@ rows. Slots follow document id (null first), then text; equal rows in any order.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from tabbridge.llm.staging import Scratch, result, scratch
 
 CODE_BITS = 20
-_ROUNDS = (10, 10, 11, 11, 10, 10)  # code, text hash, document hash
+_ROUNDS = (14, 14, 14, 20)  # code and text hash, then document hash
 _BITS = sum(_ROUNDS)
 FIXED_BYTES = 16
 
@@ -46,85 +47,103 @@ def _low(value: Column, bits: int) -> Column:
     return value.bitwiseAND(F.lit((1 << bits) - 1))
 
 
-def _cuts(points: DataFrame, nodes: DataFrame, tables: Scratch, tolerance: Column) -> DataFrame:
-    """(node, cut): keys of the chosen dimension below ``cut`` go left."""
-    keyed = points.join(nodes.select("node", "axis"), "node").select(
-        "node", "bytes", F.element_at("keys", F.col("axis")).alias("key")
-    )
-    open_nodes = nodes.select("node", "aim", "unit", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("below"))
-    done, left = None, _BITS
+class Node(NamedTuple):
+    """A node of the tree: its first shard and how many shards to make of it."""
+
+    first: int
+    parts: int
+    axis: int = 0  # the dimension it is split along; 0 while it is not
+    cut: int | None = None  # keys below go left; None where all rows do
+
+    def children(self) -> tuple[Node, Node]:
+        half = self.parts // 2
+        return Node(self.first, half), Node(self.first + half, self.parts - half)
+
+
+def _per_leaf(tree: dict[tuple[int, int], Node], node: Node, value: Callable[[Node], Column]) -> Column:
+    """An expression over ``keys`` with the value of the leaf that a row falls into."""
+    node = tree.get((node.first, node.parts), node)
+    if not node.axis:
+        return value(node)
+    left, right = (_per_leaf(tree, child, value) for child in node.children())
+    if node.cut is None:
+        return left
+    return F.when(F.element_at("keys", node.axis) < F.lit(node.cut), left).otherwise(right)
+
+
+def _cuts(rows: DataFrame, aims: dict[int, float], tolerances: dict[int, float]) -> dict[int, int]:
+    """Cuts of the nodes in ``rows`` (node, key, bytes).
+
+    A round is one job over all open nodes; one row for each of them comes back.
+    """
+    found: dict[int, int] = {}
+    state = {node: (0, 0) for node in aims}  # prefix of the bin, bytes below it
+    left = _BITS
     for round_bits in _ROUNDS:
         left -= round_bits
-        bin = _low(F.shiftright("key", left), round_bits)
-        rows = keyed.join(open_nodes, "node").where(
-            F.shiftright("key", left + round_bits) == F.col("prefix")
-        )
-        sums = rows.groupBy("node", bin.alias("bin")).agg(
-            F.sum("bytes").alias("weight"), F.first("aim").alias("aim"), F.first("unit").alias("unit"),
-            F.first("prefix").alias("prefix"), F.first("below").alias("below"),
-        )
-        upto = F.col("below") + F.sum("weight").over(Window.partitionBy("node").orderBy("bin"))
+        entries = [F.lit(x) for node, (prefix, _) in state.items() for x in (node, prefix)]
+        inside = F.shiftright("key", left + round_bits) == F.try_element_at(F.create_map(*entries), F.col("node"))
+        sums = rows.where(inside).groupBy("node", _low(F.shiftright("key", left), round_bits).alias("bin")).agg(F.sum("bytes").alias("weight"))
+        below = F.create_map(*[F.lit(x) for node, (_, b) in state.items() for x in (node, float(b))])
+        aim = F.create_map(*[F.lit(x) for node in state for x in (node, float(aims[node]))])
+        upto = F.element_at(below, F.col("node")) + F.sum("weight").over(Window.partitionBy("node").orderBy("bin"))
         crossing = (
             sums.withColumn("upto", upto)
-            .where(F.col("upto") >= F.col("aim"))
+            .where(F.col("upto") >= F.element_at(aim, F.col("node")))
             .groupBy("node")
-            .agg(F.min_by(F.struct("bin", "weight", "upto", "aim", "unit", "prefix"), "bin").alias("at"))
+            .agg(F.min_by(F.struct("bin", "weight", "upto"), "bin").alias("at"))
             .select("node", "at.*")
-            .withColumn("before", F.col("upto") - F.col("weight"))
-            .withColumn("settled", F.col("weight") <= tolerance if left else F.lit(True))
         )
-        crossing = tables.put(crossing)
-        nearer = F.col("aim") - F.col("before") <= F.col("upto") - F.col("aim")
-        edge = F.shiftleft(F.shiftleft("prefix", round_bits) + F.col("bin") + F.when(nearer, 0).otherwise(1), left)
-        settled = crossing.where("settled").select("node", edge.alias("cut"))
-        done = settled if done is None else done.unionByName(settled)
-        open_nodes = crossing.where("not settled").select(
-            "node", "aim", "unit",
-            (F.shiftleft("prefix", round_bits) + F.col("bin")).alias("prefix"), F.col("before").alias("below"),
-        )
-        if not open_nodes.limit(1).count():
+        later = {}
+        for node, bin, weight, total in crossing.collect():
+            before, place = total - weight, (state[node][0] << round_bits) + bin
+            if left and weight > tolerances[node]:
+                later[node] = (place, before)
+            else:
+                nearer = aims[node] - before <= total - aims[node]
+                found[node] = (place + (0 if nearer else 1)) << left
+        state = later
+        if not state:
             break
-    return done
-
-
-def kd_shards(
-    points: DataFrame, shards: int, tables: Scratch, dimensions: int, tolerance: float = 0.002
-) -> DataFrame:
-    """Adds ``shard`` to staged points (bytes, keys); ``tolerance`` is a part of a shard."""
-    spans = points.agg(*[F.min(F.element_at("keys", i + 1)).alias(f"a{i}") for i in range(dimensions)],
-                       *[F.max(F.element_at("keys", i + 1)).alias(f"b{i}") for i in range(dimensions)]).first()
-    whole = [max(1, ((spans[f"b{i}"] or 0) >> 42) - ((spans[f"a{i}"] or 0) >> 42)) for i in range(dimensions)]
-    tree = points.withColumn("node", F.lit(0)).withColumn("parts", F.lit(shards))
-    tree, widest_parts = tables.put(tree), shards
-    while widest_parts > 1:
-        inner = tree.where("parts > 1").groupBy("node", "parts").agg(
-            F.sum("bytes").alias("total"),
-            *[F.min(F.shiftright(F.element_at("keys", i + 1), 42)).alias(f"a{i}") for i in range(dimensions)],
-            *[F.max(F.shiftright(F.element_at("keys", i + 1), 42)).alias(f"b{i}") for i in range(dimensions)],
-        )
-        spread = [F.struct(((F.col(f"b{i}") - F.col(f"a{i}")) / whole[i]).alias("s"), F.lit(-i).alias("i")) for i in range(dimensions)]
-        half = F.floor(F.col("parts") / 2)
-        nodes = tables.put(
-            inner.select(
-                "node", "parts",
-                (1 - (F.greatest(*spread) if dimensions > 1 else spread[0])["i"]).alias("axis"),
-                (F.col("total") * half / F.col("parts")).alias("aim"),
-                (F.col("total") / F.col("parts")).alias("unit"),
-            )
-        )
-        cuts = _cuts(tree.where("parts > 1"), nodes, tables, F.col("unit") * tolerance)
-        chosen = nodes.join(cuts, "node").select("node", "axis", "cut")
-        right = F.col("cut").isNotNull() & (F.element_at("keys", F.coalesce("axis", F.lit(1))) >= F.col("cut"))
-        moved = tree.join(chosen, "node", "left").withColumn("right", F.coalesce(right, F.lit(False)))
-        split, half = F.col("parts") > 1, F.floor(F.col("parts") / 2).cast("int")
-        last, tree = tree, tables.put(
-            moved.withColumn("node", F.when(split & F.col("right"), F.col("node") + half).otherwise(F.col("node")))
-            .withColumn("parts", F.when(~split, F.col("parts")).when(F.col("right"), F.col("parts") - half).otherwise(half))
-            .select(tree.columns)
-        )
-        tables.drop(last, nodes)
-        widest_parts -= widest_parts // 2
-    return tree.withColumnRenamed("node", "shard").drop("parts")
+    return found
+
+
+def kd_shards(points: DataFrame, shards: int, dimensions: int, tolerance: float = 0.002) -> DataFrame:
+    """Adds ``shard`` to staged points (bytes, keys); ``tolerance`` is a part of a shard.
+
+    The tree is on the driver, ``shards - 1`` splits at most, and rows find their node by
+    comparing keys, so no level writes the rows again.
+    """
+    ends = [
+        f(F.shiftright(F.element_at("keys", i + 1), 42)).alias(f"{n}{i}") for i in range(dimensions) for n, f in (("a", F.min), ("b", F.max))
+    ]
+    root, tree, whole = Node(0, shards), {}, None
+    level = [root] if shards > 1 else []
+    while level:
+        at = _per_leaf(tree, root, lambda n: F.lit(n.first if n.parts > 1 else -1))
+        sums = points.groupBy(at.alias("node")).agg(F.sum("bytes").alias("total"), *ends).where("node >= 0")
+        found = {r["node"]: r for r in sums.collect()}
+        chosen = {}
+        for node in level:
+            r = found.get(node.first)
+            if r is None:
+                continue
+            spans = [r[f"b{i}"] - r[f"a{i}"] for i in range(dimensions)]
+            whole = whole or [max(1, s) for s in spans]
+            widest = max(range(dimensions), key=lambda i: (spans[i] / whole[i], -i))
+            chosen[node.first] = (node, widest + 1, r["total"])
+        axes = {first: axis for first, (_, axis, _) in chosen.items()}
+        key = _per_leaf(tree, root, lambda n: F.element_at("keys", axes.get(n.first, 1)))
+        rows = points.select(at.alias("node"), key.alias("key"), "bytes")
+        cuts = _cuts(
+            rows,
+            {f: t * (n.parts // 2) / n.parts for f, (n, _, t) in chosen.items()},
+            {f: t / n.parts * tolerance for f, (n, _, t) in chosen.items()},
+        ) if chosen else {}
+        for first, (node, axis, _) in chosen.items():
+            tree[node.first, node.parts] = node._replace(axis=axis, cut=cuts.get(first))
+        level = [child for node, _, _ in chosen.values() for child in node.children() if child.parts > 1]
+    return points.withColumn("shard", _per_leaf(tree, root, lambda n: F.lit(n.first)))
 
 
 def number_groups(rows: DataFrame, group: str, order: Sequence[str], name: str, tables: Scratch) -> DataFrame:
@@ -166,8 +185,7 @@ def shard_documents(docs: DataFrame, shards: int = 40, dims: dict[str, Column] |
                 F.array(*[F.shiftleft(code.cast("long"), 42) + tail for code in codes]).alias("keys"),
             )
         )
-        placed = kd_shards(points, shards, tables, len(codes)).drop("keys")
-        tables.drop(points)
+        placed = kd_shards(points, shards, len(codes)).drop("keys")
         numbered = number_groups(placed, "shard", ["doc_id", "text_crc32", "bytes"], "slot", tables)
         return result(
             numbered.select(
