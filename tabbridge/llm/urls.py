@@ -27,7 +27,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabbridge.llm.staging import result, scratch
+from tabbridge.llm.staging import Scratch, result, scratch
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -83,28 +83,24 @@ def segments(path: Column, depth: int, longest: int) -> Column:
 
 
 def templates(
-    leaves: DataFrame, depth: int, most_children: int, z_limit: float
+    leaves: DataFrame, depth: int, most_children: int, z_limit: float, tables: Scratch
 ) -> DataFrame:
     """``leaves`` (host, segs, n, n_block, n_labelled) with ``template``, the merged path.
 
-    ``node`` is the template of the levels done so far.
+    ``template`` holds the levels done so far and names the node. Each level is staged. A
+    node's totals are pre-aggregated and its heaviest children are a top-k per node, so no
+    task gathers the children of one node.
     """
     tree = leaves.withColumn("template", F.array().cast("array<string>"))
+    last = None
     for level in range(1, depth + 2):
         child = F.try_element_at("segs", F.lit(level))
-        children = (
-            tree.where(F.size("segs") >= level)
-            .groupBy("host", "template", child.alias("child"))
-            .agg(F.sum("n").alias("n"), F.sum("n_block").alias("b"), F.sum("n_labelled").alias("m"))
-        )
-        node = Window.partitionBy("host", "template")
-        by_weight = node.orderBy(F.desc("n"), "child")
-        all_b, all_m = F.sum("b").over(node), F.sum("m").over(node)
-        named = (
-            children.withColumn("place", F.row_number().over(by_weight))
-            .withColumn("all_b", all_b)
-            .withColumn("all_m", all_m)
-        )
+        inner = tree.where(F.size("segs") >= level)
+        sums = [F.sum("n_block").alias("b"), F.sum("n_labelled").alias("m")]
+        children = inner.groupBy("host", "template", child.alias("child")).agg(F.sum("n").alias("n"), *sums)
+        by_weight = Window.partitionBy("host", "template").orderBy(F.desc("n"), "child")
+        heaviest = children.withColumn("place", F.row_number().over(by_weight)).where(F.col("place") <= most_children)
+        whole = inner.groupBy("host", "template").agg(F.sum("n_block").alias("all_b"), F.sum("n_labelled").alias("all_m"))
         rest_b, rest_m = F.col("all_b") - F.col("b"), F.col("all_m") - F.col("m")
         pooled = F.col("all_b") / F.col("all_m")
         spread = F.sqrt(pooled * (1 - pooled) * (1 / F.col("m") + 1 / rest_m))
@@ -114,19 +110,17 @@ def templates(
         differs = (F.col("m") > 0) & (
             F.when(rest_m == 0, F.lit(True)).when(spread == 0, F.lit(False)).otherwise(z > z_limit)
         )
-        kept = differs & (F.col("place") <= most_children)
-        merged = named.select(
-            F.col("host").alias("h"), F.col("template").alias("t"), F.col("child").alias("c"),
-            F.when(kept, F.col("child")).otherwise(F.lit("*")).alias("name"),
-        )
-        tree = (
-            tree.join(merged, (F.col("host") == F.col("h")) & (F.col("template") == F.col("t")) & (child == F.col("c")), "left")
-            .withColumn(
-                "template",
-                F.when(F.col("name").isNull(), F.col("template")).otherwise(F.concat("template", F.array("name"))),
-            )
-            .drop("h", "t", "c", "name")
+        kept = heaviest.join(whole, ["host", "template"]).where(differs).select(
+            F.col("host").alias("h"), F.col("template").alias("t"), F.col("child").alias("c")
+        )
+        name = F.when(F.size("segs") < level, F.col("template")).otherwise(
+            F.concat("template", F.array(F.coalesce("c", F.lit("*"))))
         )
+        named = tree.join(kept, (F.col("host") == F.col("h")) & (F.col("template") == F.col("t")) & (child == F.col("c")), "left")
+        tree = tables.put(named.withColumn("template", name).drop("h", "t", "c"))
+        if last is not None:
+            tables.drop(last)
+        last = tree
     return tree
 
 
@@ -159,7 +153,8 @@ def judge_urls(
                 F.count(F.col("rule")).alias("n_labelled"),
             )
         )
-        tree = tables.put(templates(leaves, depth, most_children, z_limit))
+        tree = templates(leaves, depth, most_children, z_limit, tables)
+        tables.drop(leaves)
         of_template = tree.groupBy("host", "template").agg(
             F.sum("n_block").alias("b"), F.sum("n_labelled").alias("m")
         )
