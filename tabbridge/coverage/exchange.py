@@ -364,14 +364,14 @@ def files_text(spark, sf):
     return read_files(spark, path, "text")
 
 
-@query("files_arrow", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders")
+@query("files_arrow", "SELECT * FROM lineitem")
 def files_arrow(spark, sf):
+    """All columns; the second write takes the place of the first."""
     path = workspace(spark, "arrow")
-    orders = load(spark, sf, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"
-    )
-    write_files(orders, path, "arrow", max_rows_per_file=4000)
-    return read_files(spark, path, "arrow", orders.schema)
+    lineitem = load(spark, sf, "lineitem")
+    write_files(lineitem.where("l_linenumber = 1"), path, "arrow")
+    write_files(lineitem, path, "arrow", mode="overwrite", max_rows_per_file=40000)
+    return read_files(spark, path, "arrow", lineitem.schema)
 
 
 @query("load_arrow_file", "SELECT s_name, s_suppkey FROM supplier")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -71,7 +72,9 @@ def write_files(
     fmt = file_format(fmt)
     require_flat(df.schema)
     if fmt == ARROW:
-        write_arrow(df, path, max_rows_per_file or 1_000_000)
+        if options:
+            raise ValueError(f"arrow files take no options: {sorted(options)}")
+        write_arrow(df, path, max_rows_per_file or 1_000_000, mode)
         return
     writer = df.write.format(fmt).mode(mode)
     if fmt == "csv":
@@ -103,8 +106,8 @@ def read_arrow(spark: SparkSession, path: str | Sequence[str], schema: T.StructT
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                source = pa.py_buffer(content.as_py())
-                if source.to_pybytes()[:6] == b"ARROW1":
+                source = content.as_buffer()
+                if source.slice(0, 6).to_pybytes() == b"ARROW1":
                     reader = pa.ipc.open_file(source)
                     records = (reader.get_batch(i) for i in range(reader.num_record_batches))
                 else:
@@ -118,13 +121,36 @@ def read_arrow(spark: SparkSession, path: str | Sequence[str], schema: T.StructT
     return files.select("content").mapInArrow(decode, schema)
 
 
-def write_arrow(df: DataFrame, path: str, max_rows_per_file: int = 1_000_000) -> DataFrame:
-    """Numbered Arrow IPC files; returns a manifest (file, rows).
+def _prepare(spark: SparkSession, path: str, mode: str) -> tuple[str, bool]:
+    """The folder's address for executors, and whether to write, by Spark's save modes."""
+    if mode not in ("error", "errorifexists", "overwrite", "append", "ignore"):
+        raise ValueError(f"unknown save mode: {mode}")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    address = store.makeQualified(folder).toString()
+    if not store.exists(folder) or mode == "append":
+        return address, True
+    if mode == "overwrite":
+        store.delete(folder, True)
+        return address, True
+    if mode == "ignore":
+        return address, False
+    raise FileExistsError(f"{path} exists already")
+
+
+def write_arrow(
+    df: DataFrame, path: str, max_rows_per_file: int = 1_000_000, mode: str = "error"
+) -> DataFrame:
+    """Arrow IPC files named by write, task and number; returns a manifest (file, rows).
 
-    The target must be reachable from every executor. A file is written under an
-    attempt name and moved into place, so a repeated task leaves the same files.
+    The path is resolved on the driver as Spark resolves it, and must be reachable from every
+    executor. A file is written under an attempt name and moved into place, so a repeated
+    task leaves the same files. An overwrite empties the folder first: stage rows read from it.
     """
-    target = _arrow_schema(df.schema)
+    target, label = _arrow_schema(df.schema), uuid.uuid4().hex[:8]
+    path, wanted = _prepare(df.sparkSession, path, mode)
+    if not wanted:
+        return df.sparkSession.createDataFrame([], "file string, rows long")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -133,17 +159,17 @@ def write_arrow(df: DataFrame, path: str, max_rows_per_file: int = 1_000_000) ->
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        if "://" in path or path.startswith("file:"):
-            store, root = fs.FileSystem.from_uri(path)
+        if path.startswith("file:"):
+            store, root = fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
         else:
-            store, root = fs.LocalFileSystem(), path
+            store, root = fs.FileSystem.from_uri(path)
         store.create_dir(root, recursive=True)
         part, names, counts = 0, [], []
 
         def flush(held: list[pa.RecordBatch]) -> None:
             nonlocal part
             rows = sum(b.num_rows for b in held)
-            name = f"part-{context.partitionId():06d}-{part:04d}.arrow"
+            name = f"part-{label}-{context.partitionId():06d}-{part:04d}.arrow"
             attempt = f"{root}/.{name}.{context.taskAttemptId()}"
             with store.open_output_stream(attempt) as sink, pa.ipc.new_file(sink, target) as out:
                 for b in held:

@@ -182,6 +182,27 @@ def test_arrow_manifest(spark, path):
     assert names == sorted(r["file"] for r in manifest.collect())
 
 
+def test_arrow_save_modes(spark, path):
+    ten, five = spark.range(0, 10, 1, 4), spark.range(100, 105, 1, 2)
+
+    def ids():
+        return sorted(r["id"] for r in read_files(spark, path, "arrow", ten.schema).collect())
+
+    write_files(ten, path, "arrow")
+    with pytest.raises(FileExistsError):
+        write_files(five, path, "arrow")
+    write_files(five, path, "arrow", mode="ignore")
+    assert ids() == list(range(10))
+    write_files(five, path, "arrow", mode="append")
+    assert ids() == [*range(10), *range(100, 105)]
+    write_files(five, path, "arrow", mode="overwrite")
+    assert ids() == list(range(100, 105))
+    with pytest.raises(ValueError, match="save mode"):
+        write_files(five, path, "arrow", mode="replace")
+    with pytest.raises(ValueError, match="compression"):
+        write_files(five, path, "arrow", mode="append", compression="lz4")
+
+
 def test_export_file_cap_and_order(spark, path):
     df = spark.range(5000).selectExpr("id", "(id * 7919) % 5000 AS v")
     export_parquet(df, path, ["id"], [("id", "<", 4000)], [("v", "DESC")], max_file_bytes=9600)
