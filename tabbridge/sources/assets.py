@@ -139,8 +139,8 @@ def read(
 ) -> DataFrame:
     """General read: one lazy plan from any kind of source, nothing is staged.
 
-    An asset is opened as a scan plus row-wise steps, so its sort needs no pre-sort.
+    Files give their rows in the same order when a task is run again, so their sort needs no
+    pre-sort. A relational source does not, nor does a table that may be a view.
     """
-    return read_table(
-        source.open(spark), columns, filters, sort, from_scan=isinstance(source, Asset)
-    )
+    repeats = isinstance(source, Asset) and source.kind not in ("jdbc", "managed")
+    return read_table(source.open(spark), columns, filters, sort, from_scan=repeats)
