@@ -2,10 +2,10 @@
 
 Urls under a rule are the labelled ones: the rule's verdict is the label. For each host the
 paths form a tree of segments. Segments that look like identifiers (with a digit, or very
-long) become ``*`` at once. Level by level from the root, the rarer children of a node with
-many different children become ``*`` too, and so do children whose share of blocked labels does
-not differ from that of all the node's children by a two-proportion z test. What is left is a
-short list of templates per host; a template is rejected when its smoothed purity
+long) become ``*`` at once. Level by level from the root, every labelled child of a node is
+tested, and becomes ``*`` too unless its share of blocked labels differs from that of the
+node's other children by a two-proportion z test; children without labels become ``*``. A
+template is rejected when its smoothed purity
 
     (blocked + strength * prior) / (labelled + strength)
 
@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabbridge.llm.staging import Scratch, result, scratch
@@ -82,14 +82,12 @@ def segments(path: Column, depth: int, longest: int) -> Column:
     return F.when(F.size(parts) > depth, F.concat(head, F.array(F.lit("**")))).otherwise(head)
 
 
-def templates(
-    leaves: DataFrame, depth: int, most_children: int, z_limit: float, tables: Scratch
-) -> DataFrame:
-    """``leaves`` (host, segs, n, n_block, n_labelled) with ``template``, the merged path.
+def templates(leaves: DataFrame, depth: int, z_limit: float, tables: Scratch) -> DataFrame:
+    """``leaves`` (host, segs, n_block, n_labelled) with ``template``, the merged path.
 
-    ``template`` holds the levels done so far and names the node. Each level is staged. A
-    node's totals are pre-aggregated and its heaviest children are a top-k per node, so no
-    task gathers the children of one node.
+    ``template`` holds the levels done so far and names the node. Each level is staged. So are
+    a node's totals: they meet its children in a join of plain shuffles, which AQE can split
+    where one node has very many children.
     """
     tree = leaves.withColumn("template", F.array().cast("array<string>"))
     last = None
@@ -97,20 +95,19 @@ def templates(
         child = F.try_element_at("segs", F.lit(level))
         inner = tree.where(F.size("segs") >= level)
         sums = [F.sum("n_block").alias("b"), F.sum("n_labelled").alias("m")]
-        children = inner.groupBy("host", "template", child.alias("child")).agg(F.sum("n").alias("n"), *sums)
-        by_weight = Window.partitionBy("host", "template").orderBy(F.desc("n"), "child")
-        heaviest = children.withColumn("place", F.row_number().over(by_weight)).where(F.col("place") <= most_children)
-        whole = inner.groupBy("host", "template").agg(F.sum("n_block").alias("all_b"), F.sum("n_labelled").alias("all_m"))
+        labelled = inner.where(F.col("n_labelled") > 0)
+        children = labelled.groupBy("host", "template", child.alias("child")).agg(*sums)
+        whole = tables.put(
+            labelled.groupBy("host", "template").agg(F.sum("n_block").alias("all_b"), F.sum("n_labelled").alias("all_m"))
+        )
         rest_b, rest_m = F.col("all_b") - F.col("b"), F.col("all_m") - F.col("m")
         pooled = F.col("all_b") / F.col("all_m")
         spread = F.sqrt(pooled * (1 - pooled) * (1 / F.col("m") + 1 / rest_m))
         z = F.abs(F.col("b") / F.col("m") - rest_b / rest_m) / spread
         # unlabelled branches hold no evidence against each other; a labelled one that
         # differs from its siblings, or has none with labels, keeps its name
-        differs = (F.col("m") > 0) & (
-            F.when(rest_m == 0, F.lit(True)).when(spread == 0, F.lit(False)).otherwise(z > z_limit)
-        )
-        kept = heaviest.join(whole, ["host", "template"]).where(differs).select(
+        differs = F.when(rest_m == 0, F.lit(True)).when(spread == 0, F.lit(False)).otherwise(z > z_limit)
+        kept = children.join(whole, ["host", "template"]).where(differs).select(
             F.col("host").alias("h"), F.col("template").alias("t"), F.col("child").alias("c")
         )
         name = F.when(F.size("segs") < level, F.col("template")).otherwise(
@@ -118,6 +115,7 @@ def templates(
         )
         named = tree.join(kept, (F.col("host") == F.col("h")) & (F.col("template") == F.col("t")) & (child == F.col("c")), "left")
         tree = tables.put(named.withColumn("template", name).drop("h", "t", "c"))
+        tables.drop(whole)
         if last is not None:
             tables.drop(last)
         last = tree
@@ -130,7 +128,6 @@ def judge_urls(
     *,
     depth: int = 4,
     longest: int = 24,
-    most_children: int = 64,
     z_limit: float = 2.58,
     strength: float = 4.0,
     prior: float = 0.2,
@@ -148,12 +145,11 @@ def judge_urls(
         by_rule = verdict_of(F.col("rule"), rules)
         leaves = tables.put(
             rows.groupBy("host", "segs", "leaf").agg(
-                F.count("*").alias("n"),
                 F.count_if(by_rule == "block").alias("n_block"),
                 F.count(F.col("rule")).alias("n_labelled"),
             )
         )
-        tree = templates(leaves, depth, most_children, z_limit, tables)
+        tree = templates(leaves, depth, z_limit, tables)
         tables.drop(leaves)
         of_template = tree.groupBy("host", "template").agg(
             F.sum("n_block").alias("b"), F.sum("n_labelled").alias("m")

@@ -206,6 +206,16 @@ def test_urls_reject_a_template(spark):
     assert {r.verdict for r in got if r.page_id >= 100} == {"allow"}
 
 
+def test_urls_test_every_labelled_child(spark):
+    names = [f"{a}{b}" for a in "klmnopqrst" for b in "abcdefgh"]  # 80, all more frequent than /de
+    rows = [(k * 100 + i, f"http://h.org/{name}/{i}") for k, name in enumerate(names) for i in range(12)]
+    rows += [(10_000 + i, f"http://h.org/de/{i}") for i in range(10)]
+    got = urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), [urls.Rule("block", "org/de/")]).collect()
+    assert len(got) == len(rows)
+    assert {(r.template, r.verdict) for r in got if r.page_id >= 10_000} == {("/de/*", "block")}
+    assert {(r.template, r.verdict) for r in got if r.page_id < 10_000} == {("/*/*", "allow")}
+
+
 def test_top_k_with_ties_and_odd_vectors(spark):
     rng = np.random.default_rng(5)
     rows = [(i, [float(x) for x in rng.normal(size=8).astype(np.float32)]) for i in range(120)]
