@@ -10,7 +10,8 @@ Encoding uses the tokenizers library on the pieces of a text. A byte-level token
 cuts at white space first gives the same ids for a text as for its pieces, cut before every
 single space between two visible characters. A task therefore encodes a distinct piece once,
 all new ones of a text in one call, and keeps a bounded table of them. Texts with longer runs
-of white space around a space, or with a space at an end, are encoded whole.
+of white space around a space, or with a space at an end, are encoded whole. The file's added
+token ``<|endoftext|>`` holds no white space, so a cut never divides it.
 
 Defined results: a null text is an empty one and has only the end id; documents without id
 come first, documents with the same id follow each other by a hash of their text; an empty
@@ -50,9 +51,7 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    loaded = Tokenizer.from_file(path)
-    loaded.encode_special_tokens = True
-    return loaded
+    return Tokenizer.from_file(path)
 
 
 def _encode(tokenizer, text: str) -> np.ndarray:

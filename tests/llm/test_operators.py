@@ -250,6 +250,21 @@ def test_pieces_give_the_same_ids(text):
     assert tokens.encode_texts([text], path) == [tokens._encode(tokens._tokenizer(path), text).tobytes()]
 
 
+SPECIAL = ["see <|endoftext|> here", "<|endoftext|>", "a<|endoftext|>b c", "<|endoftext|> <|endoftext|><|endoftext|> x", "a\n<|endoftext|>\nb <|end oftext|> é", " <|endoftext|> ", "x  <|endoftext|>  y"]
+
+
+def test_tokens_are_those_of_the_file(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokens.default_tokenizer())
+    encode = lambda t: np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4")
+    assert encode(SPECIAL[0]).tolist() == [3826, 220, 50256, 994]
+    assert tokens.encode_texts(SPECIAL, tokens.default_tokenizer()) == [encode(t).tobytes() for t in SPECIAL]
+    got = tokens.tokenize_documents(spark.createDataFrame(list(enumerate(SPECIAL)), "doc_id long, text string")).collect()
+    want = [(i, len(encode(t)) + 1, zlib.crc32(encode(t).tobytes() + bytes(4))) for i, t in enumerate(SPECIAL)]
+    assert sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want
+
+
 def test_language_of_held_out_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     odd = spark.createDataFrame([Row(doc_id=-1, text=None), Row(doc_id=-2, text="12 %"), Row(doc_id=-3, text="")])
