@@ -167,12 +167,13 @@ def _narrow(
     Bounds come from a sorted sample of the sort keys; exact counts of the rows on either
     side decide whether they are used. So a bad sample costs a wider interval, never a row.
     Each round reads the key columns of the remaining interval and shuffles next to nothing.
-    A hot key ends the search: all its rows are one interval.
+    A hot key ends the search: all its rows are one interval. Without rules there is no key to
+    narrow by, and the whole table is the interval.
     """
     keys = parse_rules(rules)
     kinds = [df.schema[name].dataType for name, _ in keys]
     part, before, inside = df, 0, total
-    while inside > NARROW_ROWS and not any(isinstance(k, T.BinaryType) for k in kinds):
+    while keys and inside > NARROW_ROWS and not any(isinstance(k, T.BinaryType) for k in kinds):
         sampled = (
             part.select([col(name) for name, _ in keys])
             .sample(min(1.0, NARROW_SAMPLE / inside), seed=before)

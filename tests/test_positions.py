@@ -86,6 +86,17 @@ def test_deep_pages_in_a_narrow_interval(spark, monkeypatch, rules):
         assert got.total.first()["total_rows"] == 2000
 
 
+def test_deep_page_without_rules(spark, monkeypatch):
+    """Above NARROW_ROWS as below it, pages follow the fingerprint."""
+    df = spark.range(2000).selectExpr("id AS a", "id % 7 AS b").repartition(4)
+    monkeypatch.setattr(positions, "SHALLOW_PAGE_ROWS", 20)
+    want = [tuple(r) for r in df.orderBy(F.xxhash64("a", "b")).collect()]
+    for limit in (100, 10_000):
+        monkeypatch.setattr(positions, "NARROW_ROWS", limit)
+        got = page(df, [], 13, 130)
+        assert [tuple(r) for r in got.rows.collect()] == want[12 * 130 : 13 * 130]
+
+
 def test_narrowing_narrows(spark, monkeypatch):
     monkeypatch.setattr(positions, "NARROW_ROWS", 1000)
     monkeypatch.setattr(positions, "NARROW_SAMPLE", 5000)
