@@ -6,9 +6,10 @@ encoded from measures of its bytes and words and one hidden layer. A gated atten
 weighted mean representation gives the probability of label 1. Encoder, attention and output
 are trained together from document labels, by gradient descent on the log loss.
 
-Training uses a bounded sample: the ``most_docs`` labelled documents with the least hashes,
-each with at most ``most_passages`` evenly spaced passages. Scoring uses every passage in Arrow
-batches; the parameters are a few hundred numbers.
+Training uses a bounded sample of whole documents: the ``most_docs`` labelled ones with the
+least hashes, as far as all their passages stay within ``passage_budget``; a document that no
+longer fits is left out whole. Scoring uses every passage in Arrow batches; the parameters are
+a few hundred numbers.
 
 Defined results: null and wordless texts are one empty passage, scored like any other; a
 document with several labels counts with their mean, rounded up from one half; null labels are
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabbridge.llm.language import held_out
-from tabbridge.llm.staging import result, scratch
+from tabbridge.llm.staging import Scratch, result, scratch
 from tabbridge.llm.words import EXACT, Block, blocks
 
 PASSAGE = 64
@@ -146,33 +147,47 @@ def _bags(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
         yield *passages(block), len(block.bounds) - 1
 
 
-def _sampled(most_passages: int):
-    def sample(batches):
-        for batch in batches:
-            packed = []
-            for x, doc, docs in _bags(batch.column("text")):
-                bounds = np.searchsorted(doc, np.arange(docs + 1))
-                for lo, hi in zip(bounds[:-1], bounds[1:]):
-                    take = np.unique(np.linspace(lo, hi - 1, min(hi - lo, most_passages)).astype(np.int64))
-                    packed.append(x[take].tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("place"), batch.column("label"), pa.array(packed, pa.binary())], names=["place", "label", "x"]
-            )
-
-    return sample
-
-
-def learn(rows: DataFrame, labels: DataFrame, most_docs: int, most_passages: int, steps: int) -> Attention | None:
+def _whole_bags(batches):
+    for batch in batches:
+        sizes, packed = [], []
+        for x, doc, docs in _bags(batch.column("text")):
+            bounds = np.searchsorted(doc, np.arange(docs + 1))
+            sizes += np.diff(bounds).tolist()
+            packed += [x[lo:hi].tobytes() for lo, hi in zip(bounds[:-1], bounds[1:])]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("place"), batch.column("label"), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())],
+            names=["place", "label", "n", "x"],
+        )
+
+
+def _within(sizes: list, budget: int) -> list[tuple[int, int]]:
+    """(place, label) of the documents taken in order while all their passages fit."""
+    taken = []
+    for row in sizes:
+        if row["n"] <= budget:
+            taken.append((row["place"], row["label"]))
+            budget -= row["n"]
+    return taken
+
+
+def learn(
+    rows: DataFrame, labels: DataFrame, most_docs: int, passage_budget: int, steps: int, tables: Scratch
+) -> Attention | None:
     """Fit on labelled rows (doc_id, text) with labels (doc_id, label)."""
     each = labels.where(F.col("label").isNotNull()).groupBy("doc_id").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
     # ids of rows that exist, before any text moves
     marks = rows.select("doc_id").join(each, "doc_id", "left_semi").distinct()
     chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs).join(each, "doc_id")
     picked = rows.join(F.broadcast(chosen), "doc_id").select(F.xxhash64("doc_id", "text").alias("place"), "label", "text")
-    found = picked.mapInArrow(_sampled(most_passages), "place long, label int, x binary").collect()
-    if not found:
+    once = picked.dropDuplicates(["place", "label"])  # before anything goes to the driver
+    bags = tables.put(once.mapInArrow(_whole_bags, "place long, label int, n long, x binary"))
+    sizes = bags.select("place", "label", "n").orderBy("place", "label").limit(most_docs).collect()
+    taken = _within(sizes, passage_budget)
+    if not taken:
         return None
-    found = sorted({(r["place"], r["label"]): r for r in found}.values(), key=lambda r: (r["place"], r["label"]))
+    kept = rows.sparkSession.createDataFrame(taken, "place long, label int")
+    found = bags.join(F.broadcast(kept), ["place", "label"]).select("place", "label", "x").collect()
+    found.sort(key=lambda r: (r["place"], r["label"]))
     bags = [np.frombuffer(r["x"], np.float32).reshape(-1, MEASURES) for r in found]
     doc = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
     model = Attention()
@@ -200,14 +215,15 @@ def score_quality(
     fold: int = 0,
     threshold: float = 0.3,
     most_docs: int = 6000,
-    most_passages: int = 48,
+    passage_budget: int = 288_000,
     steps: int = 250,
 ) -> DataFrame:
     """doc_id, held_out, score and predicted; the held-out fold's labels are not learned from."""
     rows = docs.select("doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), "text")
     known = labels.select("doc_id", F.col("quality").alias("label"))
-    with scratch(docs.sparkSession, "quality"):
-        model = learn(rows.where(~F.col("held_out")).select("doc_id", "text"), known, most_docs, most_passages, steps)
+    with scratch(docs.sparkSession, "quality") as tables:
+        train = rows.where(~F.col("held_out")).select("doc_id", "text")
+        model = learn(train, known, most_docs, passage_budget, steps, tables)
         kind = docs.schema["doc_id"].dataType.simpleString()
         shared = docs.sparkSession.sparkContext.broadcast(model)
         scored = rows.mapInArrow(_scores(shared), f"doc_id {kind}, held_out boolean, score double")
