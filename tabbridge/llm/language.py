@@ -166,16 +166,17 @@ def learn(docs: DataFrame, per_language: int, most_rows: int, families: dict) ->
     """Fit on the texts of ``docs`` (doc_id, text, lang) with the least hashes."""
     place = F.xxhash64("doc_id", "text")
     known = docs.where(F.col("text").isNotNull() & (F.coalesce("lang", F.lit("")) != "") & (F.col("lang") != UNKNOWN))
-    marks = known.select("lang", place.alias("place"))
-    langs = max(1, marks.select("lang").distinct().count())
+    marks = known.select("lang", place.alias("place")).distinct()  # a repeated row takes one place
+    langs = max(1, known.select("lang").distinct().count())
     each = max(1, min(per_language, most_rows // langs))
     by_hash = Window.partitionBy("lang").orderBy("place")
-    chosen = marks.withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= each).select("lang", "place").distinct()
+    chosen = marks.withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= each).select("lang", "place")
     rows = known.withColumn("place", place).join(F.broadcast(chosen), ["lang", "place"]).select("lang", "place", "text")
-    found = rows.mapInArrow(_sample_features, "lang string, place long, x binary").collect()
+    once = rows.dropDuplicates(["lang", "place"])  # before anything goes to the driver
+    found = once.mapInArrow(_sample_features, "lang string, place long, x binary").collect()
     if not found:
         return None
-    found = sorted({(r["lang"], r["place"]): r for r in found}.values(), key=lambda r: (r["lang"], r["place"]))
+    found.sort(key=lambda r: (r["lang"], r["place"]))
     x = np.frombuffer(b"".join(bytes(r["x"]) for r in found), np.float32).reshape(len(found), WIDTH)
     return Model(x, [r["lang"] for r in found], families)
 
