@@ -9,10 +9,11 @@ bound is below the k-th score so far, which is exact. Ties of scores go to the s
 vec_id, so candidates whose bound equals the k-th score are still evaluated.
 
 The pivots are vectors of the table, at most ``pivots`` of them (a bounded sample, they only
-steer speed). Queries are read in blocks of at most ``query_block`` vectors, a proven bound of
-what is broadcast; all rows stream past each block in Arrow batches, every task keeps k
-rows per query, and a window of the tasks' winners closes the block. Blocks are numbered by
-a hash of the query id.
+steer speed). Query rows are numbered and read in blocks of ``query_block``, whatever their
+ids, a proven bound of what is broadcast; all rows stream past each block in Arrow batches,
+every task keeps k rows per query, and a window of the tasks' winners closes the block. A last
+window joins what several blocks found for one id. Of equal query rows (id and vector) k are
+enough, since they all find the same rows.
 
 Defined results: vectors that are null, or hold a null or non-finite component, take no part,
 nor do rows without vec_id; vectors are compared with vectors of their own length; rows that
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabbridge.llm.staging import result, scratch
+from tabbridge.operators.positions import numbered
 
 _FOUND = "query_id long, vec_id long, score long"
 _ROWS = 512  # queries by candidates evaluated at once: bounded tables in memory
@@ -100,7 +102,7 @@ class _Best:
         return np.repeat(self.ids, self.k)[real.ravel()], self.found[real], self.scores[real].astype(np.int64)
 
 
-def _search_block(queries: list, pivots: list, k: int):
+def _search_block(shared, k: int):
     def by_length(rows):
         out: dict[int, list] = {}
         for row in rows:
@@ -108,12 +110,13 @@ def _search_block(queries: list, pivots: list, k: int):
         return out
 
     def search(batches):
+        queries, pivots = shared.value
         corner = by_length(pivots)
         states = {
             n: _Best(
                 np.array([r["vec_id"] for r in rows], np.int64),
                 np.array([r["v"] for r in rows], np.float64).reshape(len(rows), n),
-                np.array([r["v"] for r in corner.get(n, [])], np.float64).reshape(-1, n),
+                np.array([r["v"] for r in corner.get(n, [])], np.float64).reshape(len(corner.get(n, [])), n),
                 k,
             )
             for n, rows in by_length(queries).items()
@@ -139,15 +142,18 @@ def top_k(
         rows = tables.put(integer_vectors(vectors))
         by_hash = F.xxhash64("vec_id")
         corners = rows.orderBy(by_hash, "vec_id").limit(pivots).collect()
-        asked = rows.where(F.col("vec_id") % every == 0)
-        parts = max(1, -(-asked.count() * 5 // (query_block * 4)))  # a quarter below the bound
-        slot = F.pmod(by_hash, F.lit(parts))
-        shared_pivots, winners = corners, None
-        for n in range(parts):
-            queries = asked.where(slot == n).collect()
-            found = rows.mapInArrow(_search_block(queries, shared_pivots, k), _FOUND)
-            best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-            top = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-            part = tables.put(top.select("query_id", "rank", "vec_id", "score"))
-            winners = part if winners is None else winners.unionByName(part)
-        return result(winners, "neighbours")
+        alike = Window.partitionBy("vec_id", "v").orderBy("vec_id")
+        asked = rows.where(F.col("vec_id") % every == 0).withColumn("copy", F.row_number().over(alike))
+        best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        ranked = lambda found: found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        winners = None
+        with numbered(asked.where(F.col("copy") <= k).select("vec_id", "v"), "row", 0) as queries:
+            parts = max(1, -(-queries.count() // query_block))
+            for n in range(parts):
+                block = queries.where(F.col("row").between(n * query_block, (n + 1) * query_block - 1))
+                shared = spark.sparkContext.broadcast((block.select("vec_id", "v").collect(), corners))
+                found = rows.mapInArrow(_search_block(shared, k), _FOUND)
+                part = tables.put(ranked(found).drop("rank"))
+                shared.destroy()
+                winners = part if winners is None else winners.unionByName(part)
+        return result(ranked(winners).select("query_id", "rank", "vec_id", "score"), "neighbours")
