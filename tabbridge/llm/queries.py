@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabbridge.llm import decontamination, language, mixing, neighbours, ngram_join, passages, quality, sharding, tokens, urls
+from tabbridge.llm import decontamination, digest_tree, language, mixing, neighbours, ngram_join, passages, quality, sharding, tokens, urls
 from tabbridge.llm.staging import result, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -127,3 +127,17 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op10_language_svm")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(_load(spark, folder, "documents"))
+
+
+_OP13 = """
+WITH d AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+       row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
+FROM d
+"""
+
+
+@_query("op13_digest_tree", _OP13)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return digest_tree.equal_texts(_load(spark, folder, "documents"))
