@@ -7,8 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabbridge.llm import decontamination, digest_tree, language, mixing, neighbours, ngram_join, passages, quality, sharding, tokens, urls
-from tabbridge.llm.staging import result, scratch
+from tabbridge.llm import (
+    decontamination,
+    digest_tree,
+    language,
+    mixing,
+    neighbours,
+    ngram_join,
+    passages,
+    periodic,
+    quality,
+    sharding,
+    tokens,
+    urls,
+)
+from tabbridge.llm.staging import result, scratch, step_settings
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -129,6 +142,13 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(_load(spark, folder, "documents"))
 
 
+@_query("op11_periodic_runs")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic.periodic_runs(_load(spark, folder, "documents"), change=periodic.repeat_tails)
+    with step_settings(spark):
+        return result(periodic.run_digests(found), "runs")
+
+
 _OP13 = """
 WITH d AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
