@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabbridge.llm import (
+    alignment,
     decontamination,
     digest_tree,
     language,
@@ -149,6 +150,11 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
         return result(periodic.run_digests(found), "runs")
 
 
+@_query("op12_merge_path_alignment")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.alignment_digests(_load(spark, folder, "documents"))
+
+
 _OP13 = """
 WITH d AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
