@@ -1,7 +1,9 @@
 """Token ids of two tokenizers for the same text, aligned where both end a token.
 
-1. Texts are encoded by both tokenizers in blocks. The byte where each token ends, counted over
-   the whole block, gives two ordered lists.
+1. Texts are encoded by both tokenizers in blocks. Neither has tokens that go from a visible
+   character to a space behind it, so a text is cut before such spaces, and a task encodes a
+   distinct part once and keeps a table of parts, bounded by its bytes. The byte where each
+   token ends, counted over the whole block, gives two ordered lists.
 2. Their merge is cut on diagonals: the binary search on the diagonal ``d`` finds how many of the
    first ``d`` ends of the merge come from each list. Pieces between two diagonals hold ``PIECE``
    ends, whatever the texts: a long one is many pieces, many short ones share one. Every piece
@@ -22,7 +24,9 @@ gives no rows; repeated rows are judged one by one and all count; other columns
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import re
+import zlib
+from collections.abc import Callable, Iterator
 from functools import cache
 from typing import NamedTuple
 
@@ -36,7 +40,11 @@ from tabbridge.llm.words import BLOCK_BYTES
 
 #: ends of both lists in a piece of the merge
 PIECE = 1 << 14
+#: bytes of the parts a task remembers, about
+CACHE_BYTES = 64 << 20
+_CHUNK = 1 << 14
 _SPACE = "▁"
+_CUT = re.compile(r" (?<=\S )")  # a space behind a visible character
 
 
 def default_tokenizers() -> tuple[str, str]:
@@ -46,11 +54,12 @@ def default_tokenizers() -> tuple[str, str]:
 
 
 class Side(NamedTuple):
-    """One tokenizer: its function from texts to ids, and the bytes of every id."""
+    """One tokenizer: its function from texts to ids behind a space, and the bytes of every id."""
 
-    encode: object
+    encode: Callable[[list[str]], list[list[int]]]
     tokens: list[bytes]
     sizes: np.ndarray
+    by_parts: bool  # no token goes from a visible character to a space
 
 
 def _byte_level() -> dict[str, int]:
@@ -60,13 +69,14 @@ def _byte_level() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(others)}
 
 
-def _side(encode, tokens: list[bytes]) -> Side:
-    return Side(encode, tokens, np.array([len(t) for t in tokens], np.int64))
+def _side(encode, tokens: list[bytes], by_parts: bool) -> Side:
+    return Side(encode, tokens, np.array([len(t) for t in tokens], np.int64), by_parts)
 
 
 @cache
 def byte_side(path: str) -> Side:
     """A byte-level tokenizer file; texts are encoded behind one space."""
+    import json
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -82,7 +92,10 @@ def byte_side(path: str) -> Side:
     def encode(texts: list[str]) -> list[list[int]]:
         return [found.ids for found in tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
 
-    return _side(encode, tokens)
+    split = json.loads(tokenizer.to_str())
+    words = split.get("pre_tokenizer") or {}
+    by_parts = split.get("normalizer") is None and words.get("type") == "ByteLevel" and words.get("use_regex", True)
+    return _side(encode, tokens, by_parts)
 
 
 @cache
@@ -97,10 +110,12 @@ def piece_side(path: str) -> Side:
         byte = model.is_byte(number)
         tokens.append(bytes([int(piece[3:5], 16)]) if byte else piece.replace(_SPACE, " ").encode())
 
+    blank = model.piece_to_id(_SPACE)  # the model puts no space before an empty text
+
     def encode(texts: list[str]) -> list[list[int]]:
-        return model.encode(texts, num_threads=1)
+        return [ids or [blank] for ids in model.encode(texts, num_threads=1)]
 
-    return _side(encode, tokens)
+    return _side(encode, tokens, not any(re.search(f"[^{_SPACE}]{_SPACE}", t.decode(errors="replace").replace(" ", _SPACE)) for t in tokens))
 
 
 def diagonal_cuts(a: np.ndarray, b: np.ndarray, piece: int) -> tuple[np.ndarray, np.ndarray]:
@@ -143,49 +158,106 @@ def overlaps(a: np.ndarray, b: np.ndarray, piece: int = PIECE) -> tuple[np.ndarr
     return np.concatenate(found_a), np.concatenate(found_b)
 
 
-def _bounds(lists: list[list[int]]) -> np.ndarray:
-    return np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
-
-
-def _encoded(side: Side, texts: list[str], raw: list[bytes]) -> tuple[list[list[int]], np.ndarray]:
-    """Ids of every text, and whether their bytes are those of the text behind a space."""
-    ids = side.encode(texts)
-    tokens = side.tokens
-    return ids, np.array([b"".join([tokens[i] for i in own]) == r for own, r in zip(ids, raw)], bool)
+def _same_bytes(side: Side, ids: list[int], raw: bytes) -> bool:
+    return b"".join([side.tokens[i] for i in ids]) == raw
 
 
-def _ends(side: Side, lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of the block, and the byte of the block where each token ends."""
-    ids = np.fromiter((i for own in lists for i in own), np.int64)
-    return ids, np.cumsum(side.sizes[ids])
+def _part_ids(side: Side, parts: list[str]) -> list[bytes | None]:
+    """32-bit ids of every part behind a space; None where their bytes are other ones.
 
-
-def _cuts(at: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of its text up to each overlap, and the overlaps before each text."""
-    of_text = np.searchsorted(at, bounds)
-    return at + 1 - np.repeat(bounds[:-1], np.diff(of_text)), of_text
+    Parts that end with a visible character are encoded many at a time and cut again.
+    """
+    out: dict[int, bytes | None] = {}
+    alone = [k for k, p in enumerate(parts) if not p or p[-1].isspace()]
+    joined = [k for k, p in enumerate(parts) if p and not p[-1].isspace()]
+    lo = 0
+    while lo < len(joined):
+        hi, size = lo, 0
+        while hi < len(joined) and (hi == lo or size < _CHUNK):
+            size += len(parts[joined[hi]])
+            hi += 1
+        some = [parts[k] for k in joined[lo:hi]]
+        text = " ".join(some)
+        (ids,) = side.encode([text])
+        if _same_bytes(side, ids, b" " + text.encode()):
+            raw = np.array(ids, "<u4")
+            ends = np.cumsum([1 + len(p.encode()) for p in some])
+            cuts = ((np.searchsorted(np.cumsum(side.sizes[raw]), ends) + 1) * 4).tolist()
+            data = raw.tobytes()
+            out.update((k, data[i:j]) for k, i, j in zip(joined[lo:hi], [0, *cuts], cuts))
+        else:
+            alone += joined[lo:hi]
+        lo = hi
+    for k, ids in zip(alone, side.encode([parts[k] for k in alone]) if alone else ()):
+        right = _same_bytes(side, ids, b" " + parts[k].encode())
+        out[k] = np.array(ids, "<u4").tobytes() if right else None
+    return [out[k] for k in range(len(parts))]
+
+
+class Encoder:
+    """Both tokenizers with a bounded table of the parts met."""
+
+    def __init__(self, a: Side, b: Side):
+        self.a, self.b = a, b
+        self.known: dict[str, tuple[bytes, bytes] | None] = {}
+        self.held = 0
+
+    def encode(self, texts: list[str | None]) -> tuple[list[bytes], list[bytes]]:
+        """Ids of every text by both; none for texts that are not given back."""
+        if self.held > CACHE_BYTES:
+            self.known.clear()
+            self.held = 0
+        by_parts = self.a.by_parts and self.b.by_parts
+        parts = [(_CUT.split(t) if by_parts else [t]) if t else [] for t in texts]
+        new = list({p for own in parts for p in own}.difference(self.known))
+        for p, x, y in zip(new, _part_ids(self.a, new), _part_ids(self.b, new)):
+            self.known[p] = None if x is None or y is None else (x, y)
+            self.held += 400 + 12 * len(p)
+        look = self.known.__getitem__
+        out_a, out_b = [], []
+        for own in parts:
+            ids = list(map(look, own))
+            if None in ids:
+                ids = []
+            out_a.append(b"".join([x for x, _ in ids]))
+            out_b.append(b"".join([y for _, y in ids]))
+        return out_a, out_b
+
+
+def _ids(lists: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a block, and the ids before each text."""
+    sizes = np.array([len(x) // 4 for x in lists], np.int64)
+    return np.frombuffer(b"".join(lists), "<u4").astype(np.int64), np.concatenate([[0], np.cumsum(sizes)])
+
+
+class Aligned(NamedTuple):
+    """The ids of a block's texts, and the ids up to the end of each group (of the block and of its text)."""
+
+    a_ids: np.ndarray
+    b_ids: np.ndarray
+    a_bounds: np.ndarray  # ids before each text
+    b_bounds: np.ndarray
+    a_at: np.ndarray  # last id of each group
+    b_at: np.ndarray
+    bounds: np.ndarray  # groups before each text
+
+
+def aligned_block(encoder: Encoder, texts: list[str | None]) -> Aligned:
+    lists_a, lists_b = encoder.encode(texts)
+    (a, a_bounds), (b, b_bounds) = _ids(lists_a), _ids(lists_b)
+    a_at, b_at = overlaps(np.cumsum(encoder.a.sizes[a]), np.cumsum(encoder.b.sizes[b]))
+    return Aligned(a, b, a_bounds, b_bounds, a_at, b_at, np.searchsorted(a_at, a_bounds))
 
 
 def _list_array(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.astype(np.int32)))
 
 
-def _aligned_block(a: Side, b: Side, texts: list[str | None]) -> list[pa.Array]:
-    raw = [b" " + t.encode() if t else b"" for t in texts]
-    given = [k for k, r in enumerate(raw) if r]
-    some, bytes_ = [texts[k] for k in given], [raw[k] for k in given]
-    ids_a, right_a = _encoded(a, some, bytes_)
-    ids_b, right_b = _encoded(b, some, bytes_)
-    lists_a, lists_b = [[] for _ in texts], [[] for _ in texts]
-    for n, k in enumerate(given):
-        if right_a[n] and right_b[n]:
-            lists_a[k], lists_b[k] = ids_a[n], ids_b[n]
-    all_a, end_a = _ends(a, lists_a)
-    all_b, end_b = _ends(b, lists_b)
-    at_a, at_b = overlaps(end_a, end_b)
-    bounds_a, bounds_b = _bounds(lists_a), _bounds(lists_b)
-    (cut_a, cuts), (cut_b, _) = _cuts(at_a, bounds_a), _cuts(at_b, bounds_b)
-    return [_list_array(all_a, bounds_a), _list_array(all_b, bounds_b), _list_array(cut_a, cuts), _list_array(cut_b, cuts)]
+def _list_arrays(found: Aligned) -> list[pa.Array]:
+    groups = np.diff(found.bounds)
+    cuts = [at + 1 - np.repeat(before[:-1], groups) for at, before in ((found.a_at, found.a_bounds), (found.b_at, found.b_bounds))]
+    ids = _list_array(found.a_ids, found.a_bounds), _list_array(found.b_ids, found.b_bounds)
+    return [*ids, *(_list_array(c, found.bounds) for c in cuts)]
 
 
 def _blocks(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
@@ -202,10 +274,10 @@ def _blocks(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
 
 def _align(path_a: str, path_b: str):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = byte_side(path_a), piece_side(path_b)
+        encoder = Encoder(byte_side(path_a), piece_side(path_b))
         for batch in batches:
             for first, texts in _blocks(batch.column("text")):
-                columns = _aligned_block(a, b, texts)
+                columns = _list_arrays(aligned_block(encoder, texts))
                 doc = batch.column("doc_id").slice(first, len(texts))
                 yield pa.RecordBatch.from_arrays([doc, *columns], names=["doc_id", "a_ids", "b_ids", "a_cuts", "b_cuts"])
 
@@ -249,19 +321,58 @@ def possible_links(path_a: str, path_b: str) -> np.ndarray:
     return pairs[:, 0] << 32 | pairs[:, 1]
 
 
-def _last(ids: pa.Array, cuts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The last id of each group of a batch, and the groups before each row."""
-    start, bounds = ids.offsets.to_numpy()[:-1], cuts.offsets.to_numpy()
-    values = ids.values.to_numpy(zero_copy_only=False).astype(np.int64)
-    at = np.repeat(start, np.diff(bounds)) + cuts.values.to_numpy(zero_copy_only=False)[bounds[0] : bounds[-1]] - 1
-    return values[at], bounds - bounds[0]
+class GroupText:
+    """``a1,a2|b1;a3|b2,b3``: the groups of a text as text, for all texts of a block."""
 
+    def __init__(self, a: Side, b: Side):
+        # an id of either side, behind it what separates it from the next one
+        self.pieces = [f"{i}{mark}" for n, end in ((len(a.tokens), "|"), (len(b.tokens), ";")) for mark in (",", end) for i in range(n)]
+        self.n_a, self.n_b = len(a.tokens), len(b.tokens)
 
-def _links(batch: pa.RecordBatch, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Number of each link of a batch among the possible ones, and the links before each row."""
-    a, bounds = _last(batch.column("a_ids"), batch.column("a_cuts"))
-    b, _ = _last(batch.column("b_ids"), batch.column("b_cuts"))
-    return np.searchsorted(pairs, a << 32 | b), bounds
+    def of(self, found: Aligned) -> list[str]:
+        code_a, code_b = found.a_ids.copy(), found.b_ids + 2 * self.n_a
+        code_a[found.a_at] += self.n_a
+        code_b[found.b_at] += self.n_b
+        # a token comes behind the other side's tokens of all groups before (b: of its own group, too)
+        a_before = np.concatenate([[0], found.a_at + 1])
+        b_before = np.concatenate([[0], found.b_at + 1])
+        codes = np.empty(len(code_a) + len(code_b), np.int64)
+        codes[np.arange(len(code_a)) + np.repeat(b_before[:-1], np.diff(a_before))] = code_a
+        codes[np.arange(len(code_b)) + np.repeat(a_before[1:], np.diff(b_before))] = code_b
+        text = list(map(self.pieces.__getitem__, codes.tolist()))
+        ends = (found.a_bounds + found.b_bounds).tolist()
+        return ["".join(text[i:j])[:-1] for i, j in zip(ends[:-1], ends[1:])]
+
+
+def _pack(links: np.ndarray, pairs: np.ndarray) -> bytes:
+    """The different links of a text by number among the possible ones, and how often each comes."""
+    keys, times = np.unique(links, return_counts=True)
+    numbers = np.searchsorted(pairs, keys)
+    return zlib.compress(np.concatenate([np.diff(numbers, prepend=0), times]).astype("<u4").tobytes(), 1)
+
+
+def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    deltas, times = np.frombuffer(zlib.decompress(packed), "<u4").astype(np.int64).reshape(2, -1)
+    return np.cumsum(deltas), times
+
+
+def _profile(path_a: str, path_b: str):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(byte_side(path_a), piece_side(path_b))
+        pairs, writer = possible_links(path_a, path_b), GroupText(encoder.a, encoder.b)
+        for batch in batches:
+            for first, texts in _blocks(batch.column("text")):
+                found = aligned_block(encoder, texts)
+                links = found.a_ids[found.a_at] << 32 | found.b_ids[found.b_at]
+                packed = [_pack(links[i:j], pairs) for i, j in zip(found.bounds[:-1], found.bounds[1:])]
+                digests = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in writer.of(found)]
+                sizes = [pa.array(np.diff(x)) for x in (found.a_bounds, found.b_bounds, found.bounds)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(first, len(texts)), *sizes, pa.array(digests, pa.string()), pa.array(packed, pa.binary())],
+                    names=["doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "links"],
+                )
+
+    return work
 
 
 def _count(path_a: str, path_b: str):
@@ -269,7 +380,9 @@ def _count(path_a: str, path_b: str):
         pairs = possible_links(path_a, path_b)
         total = np.zeros(len(pairs), np.int64)
         for batch in batches:
-            total += np.bincount(_links(batch, pairs)[0], minlength=len(pairs))
+            for packed in batch.column("links").to_pylist():
+                numbers, times = _unpack(packed)
+                total[numbers] += times
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays(
             [pa.array(pairs[some] >> 32), pa.array(pairs[some] & 0xFFFFFFFF), pa.array(total[some])], names=["a_id", "b_id", "n"]
@@ -278,51 +391,25 @@ def _count(path_a: str, path_b: str):
     return work
 
 
-def link_counts(aligned: DataFrame, byte_tokenizer: str | None = None, piece_tokenizer: str | None = None) -> DataFrame:
+def profile_alignment(docs: DataFrame, byte_tokenizer: str | None = None, piece_tokenizer: str | None = None) -> DataFrame:
+    """doc_id, n_a, n_b, n_groups, digest of the groups and the packed links of every row."""
+    path_a, path_b = default_tokenizers()
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(
+        _profile(byte_tokenizer or path_a, piece_tokenizer or path_b),
+        f"doc_id {kind}, n_a long, n_b long, n_groups long, groups_sha256 string, links binary",
+    )
+
+
+def link_counts(profiles: DataFrame, byte_tokenizer: str | None = None, piece_tokenizer: str | None = None) -> DataFrame:
     """a_id, b_id, n: how many links of the corpus hold a pair. At most ``possible_links`` rows."""
     path_a, path_b = default_tokenizers()
-    counted = aligned.select("a_ids", "b_ids", "a_cuts", "b_cuts").mapInArrow(
+    counted = profiles.select("links").mapInArrow(
         _count(byte_tokenizer or path_a, piece_tokenizer or path_b), "a_id long, b_id long, n long"
     )
     return counted.groupBy("a_id", "b_id").agg(F.sum("n").alias("n"))
 
 
-def group_text(a_ids: np.ndarray, b_ids: np.ndarray, a_cuts: np.ndarray, b_cuts: np.ndarray) -> str:
-    """``a1,a2|b1;a3|b2,b3``: the groups of a document as text."""
-    a_text, b_text = list(map(str, a_ids.tolist())), list(map(str, b_ids.tolist()))
-    a0 = b0 = 0
-    out = []
-    for a1, b1 in zip(a_cuts.tolist(), b_cuts.tolist()):
-        out.append(f"{','.join(a_text[a0:a1])}|{','.join(b_text[b0:b1])}")
-        a0, b0 = a1, b1
-    return ";".join(out)
-
-
-def _measure(path_a: str, path_b: str, counts):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, (n, is_best) = possible_links(path_a, path_b), counts.value
-        for batch in batches:
-            links, bounds = _links(batch, pairs)
-            texts = []
-            columns = [batch.column(c) for c in ("a_ids", "b_ids", "a_cuts", "b_cuts")]
-            flat = [c.values.to_numpy(zero_copy_only=False) for c in columns]
-            offsets = [c.offsets.to_numpy().tolist() for c in columns]
-            for k in range(batch.num_rows):
-                own = [v[o[k] : o[k + 1]] for v, o in zip(flat, offsets)]
-                texts.append(hashlib.sha256(group_text(*own).encode()).hexdigest() if len(own[0]) else "")
-            before = [np.concatenate([[0], np.cumsum(v[links])]) for v in (is_best.astype(np.int64), n)]
-            best, total = (sums[bounds[1:]] - sums[bounds[:-1]] for sums in before)
-            groups = np.diff(bounds)
-            sizes = [np.diff(c.offsets.to_numpy()) for c in columns[:2]]
-            numbers = [pa.array(x.astype(np.int64)) for x in (*sizes, groups, groups, best, total)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *numbers, pa.array(texts, pa.string())],
-                names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
-            )
-
-    return work
-
-
 def _held(spark, counts: DataFrame, pairs: np.ndarray):
     """Broadcast counts of the possible links, and which are the highest of their second id."""
     found = counts.toArrow()
@@ -334,20 +421,40 @@ def _held(spark, counts: DataFrame, pairs: np.ndarray):
     second = pairs & 0xFFFFFFFF
     highest = np.zeros(int(second.max(initial=0)) + 1, np.int64)
     np.maximum.at(highest, second, total)
-    return spark.sparkContext.broadcast((total, (total > 0) & (total == highest[second])))
+    return spark.sparkContext.broadcast((total, total == highest[second]))
+
+
+def _measure(counts):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, highest = counts.value
+        for batch in batches:
+            n_best, count_sum = [], []
+            for packed in batch.column("links").to_pylist():
+                numbers, times = _unpack(packed)
+                n_best.append(int(times[highest[numbers]].sum()))
+                count_sum.append(int((times * total[numbers]).sum()))
+            names = ["doc_id", "n_a", "n_b", "n_groups", "n_groups", "groups_sha256"]
+            columns = [batch.column(c) for c in names]
+            columns[5:5] = [pa.array(n_best, pa.int64()), pa.array(count_sum, pa.int64())]
+            names[4:5] = ["n_links", "n_best", "count_sum"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return work
 
 
 def measure_alignment(
     docs: DataFrame, tables: Scratch, byte_tokenizer: str | None = None, piece_tokenizer: str | None = None
 ) -> DataFrame:
-    """Per row the numbers of tokens, groups and links, how common its links are, and a digest."""
-    spark = docs.sparkSession
+    """Per row the numbers of tokens, groups and links, how common its links are, and a digest.
+
+    A group has one link: its last tokens.
+    """
     paths = tuple(given or own for given, own in zip((byte_tokenizer, piece_tokenizer), default_tokenizers()))
-    aligned = tables.put(align(docs, *paths))
-    counts = _held(spark, link_counts(aligned, *paths), possible_links(*paths))
+    profiles = tables.put(profile_alignment(docs, *paths))
+    counts = _held(docs.sparkSession, link_counts(profiles, *paths), possible_links(*paths))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return aligned.mapInArrow(
-        _measure(*paths, counts),
+    return profiles.mapInArrow(
+        _measure(counts),
         f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string",
     )
 

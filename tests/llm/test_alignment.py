@@ -116,10 +116,31 @@ def test_every_link_is_a_possible_one(libraries):
     possible = alignment.possible_links(*PATHS)
     assert len(possible) < 1_000_000 and (np.diff(possible) > 0).all()
     known = set(possible.tolist())
-    for *_, text in corpus():
-        aligned = alignment._aligned_block(alignment.byte_side(PATHS[0]), alignment.piece_side(PATHS[1]), [text])
-        a, b, cut_a, cut_b = (x[0].as_py() for x in aligned)
-        assert all((a[i - 1] << 32 | b[j - 1]) in known for i, j in zip(cut_a, cut_b))
+    found = alignment.aligned_block(alignment.Encoder(*sides()), [text for _, text in corpus()])
+    links = found.a_ids[found.a_at] << 32 | found.b_ids[found.b_at]
+    assert len(links) and set(links.tolist()) <= known
+
+
+def sides():
+    return alignment.byte_side(PATHS[0]), alignment.piece_side(PATHS[1])
+
+
+def test_parts_give_the_ids_of_the_whole_text(monkeypatch):
+    rng = random.Random(23)
+    parts = ["a", "word", " ", "  ", "\n", "\t", "\u00a0", "\u2028", "\x1c", "\x85", "é", "'s", "12", "%", "日本", "▁", "　", "\x00", "🙂"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(4000)]
+    a, b = sides()
+    assert a.by_parts and b.by_parts
+    for bound in (alignment.CACHE_BYTES, 2000):
+        monkeypatch.setattr(alignment, "CACHE_BYTES", bound)
+        encoder = alignment.Encoder(a, b)
+        for lo in range(0, len(texts), 500):
+            some = texts[lo : lo + 500]
+            for text, x, y in zip(some, *encoder.encode(some)):
+                whole = [side.encode([text])[0] if text else [] for side in (a, b)]
+                right = all(b"".join(side.tokens[i] for i in ids) == b" " + text.encode() for side, ids in zip((a, b), whole))
+                want = [ids if right and text else [] for ids in whole]
+                assert [np.frombuffer(v, "<u4").tolist() for v in (x, y)] == want, text
 
 
 def make(spark, rows):
@@ -135,14 +156,13 @@ def test_digests_of_documents(spark, libraries):
 
 def test_groups_give_back_the_text(spark):
     rows = [r for r in corpus() if r[1]]
-    sides = alignment.byte_side(PATHS[0]).tokens, alignment.piece_side(PATHS[1]).tokens
     texts = dict((r["doc_id"], r) for r in alignment.align(make(spark, rows)).collect())
     for doc_id, text in rows:
         row = texts[doc_id]
         if not row["a_ids"]:
             assert "▁" in text
             continue
-        for ids, cuts, tokens in (("a_ids", "a_cuts", sides[0]), ("b_ids", "b_cuts", sides[1])):
+        for ids, cuts, tokens in (("a_ids", "a_cuts", sides()[0].tokens), ("b_ids", "b_cuts", sides()[1].tokens)):
             assert b"".join(tokens[i] for i in row[ids]) == (" " + text).encode() and row[cuts][-1] == len(row[ids])
 
 
@@ -151,9 +171,9 @@ def test_text_above_a_megabyte(spark, libraries):
     assert len(long) > 1 << 20
     rows = [(1, long), (2, "kurz"), (3, long[:5000])]
     got = {r["doc_id"]: r for r in alignment.alignment_digests(make(spark, rows)).collect()}
-    sides = [side(long) for side in libraries]
-    ends = [set(np.cumsum([len(t) for t in tokens]).tolist()) for _, tokens in sides]
-    assert (got[1]["n_a"], got[1]["n_b"], got[1]["n_groups"]) == (len(sides[0][0]), len(sides[1][0]), len(ends[0] & ends[1]))
+    own = [side(long) for side in libraries]
+    ends = [set(np.cumsum([len(t) for t in tokens]).tolist()) for _, tokens in own]
+    assert (got[1]["n_a"], got[1]["n_b"], got[1]["n_groups"]) == (len(own[0][0]), len(own[1][0]), len(ends[0] & ends[1]))
 
 
 def test_empty_table(spark):
