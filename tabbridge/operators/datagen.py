@@ -76,7 +76,11 @@ _KINGBASE_POOL = (
     "VARCHAR(255)", "VARCHAR(512)", "VARCHAR(1024)", "TEXT", "CLOB",
     "DATE", "TIMESTAMP", "BYTEA",
 )
-_VASTBASE_POOL = tuple(t for t in _KINGBASE_POOL if t != "CLOB")
+_VASTBASE_POOL = (
+    "SMALLINT", "INTEGER", "BIGINT", "REAL", "DOUBLE PRECISION", "NUMERIC(10,2)",
+    "VARCHAR(255)", "VARCHAR(512)", "VARCHAR(1024)", "TEXT",
+    "DATE", "TIMESTAMP", "BYTEA",
+)
 _GBASE_TEMPLATES = {
     "int": "INT",
     "tinyint": "TINYINT",
