@@ -1,9 +1,8 @@
 """Token ids of two tokenizers for the same text, aligned where both end a token.
 
-1. Texts are encoded by both tokenizers in blocks. Neither has tokens that go from a visible
-   character to a space behind it, so a text is cut before such spaces, and a task encodes a
-   distinct part once and keeps a table of parts, bounded by its bytes. The byte where each
-   token ends, counted over the whole block, gives two ordered lists.
+1. Texts are encoded by both tokenizers in blocks. The byte where each token ends, counted over
+   the whole block, gives two ordered lists. A byte-level file whose merges stand in the order
+   of their ids is a table of ranks: its vocabulary then runs in the quicker of two libraries.
 2. Their merge is cut on diagonals: the binary search on the diagonal ``d`` finds how many of the
    first ``d`` ends of the merge come from each list. Pieces between two diagonals hold ``PIECE``
    ends, whatever the texts: a long one is many pieces, many short ones share one. Every piece
@@ -24,6 +23,7 @@ gives no rows; repeated rows are judged one by one and all count; other columns
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -40,11 +40,10 @@ from tabbridge.llm.words import BLOCK_BYTES
 
 #: ends of both lists in a piece of the merge
 PIECE = 1 << 14
-#: bytes of the parts a task remembers, about
-CACHE_BYTES = 64 << 20
-_CHUNK = 1 << 14
 _SPACE = "▁"
-_CUT = re.compile(r" (?<=\S )")  # a space behind a visible character
+# Fixed value: how byte-level files split a text before the merges.
+_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_LONG_BLANK = re.compile(r"\s{500}")  # more than the quicker library's pattern matcher stands
 
 
 def default_tokenizers() -> tuple[str, str]:
@@ -59,7 +58,6 @@ class Side(NamedTuple):
     encode: Callable[[list[str]], list[list[int]]]
     tokens: list[bytes]
     sizes: np.ndarray
-    by_parts: bool  # no token goes from a visible character to a space
 
 
 def _byte_level() -> dict[str, int]:
@@ -69,14 +67,29 @@ def _byte_level() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(others)}
 
 
-def _side(encode, tokens: list[bytes], by_parts: bool) -> Side:
-    return Side(encode, tokens, np.array([len(t) for t in tokens], np.int64), by_parts)
+def _side(encode, tokens: list[bytes]) -> Side:
+    return Side(encode, tokens, np.array([len(t) for t in tokens], np.int64))
+
+
+def _ranked(tokenizer, tokens: list[bytes]) -> Callable[[str], list[int]] | None:
+    """The same vocabulary by ranks, if the file's merges say no more than its ids do."""
+    import tiktoken
+
+    told = json.loads(tokenizer.to_str())
+    model, words = told["model"], told.get("pre_tokenizer") or {}
+    vocabulary, merges = model["vocab"], model["merges"]
+    plain = told.get("normalizer") is None and words.get("type") == "ByteLevel" and words.get("use_regex", True)
+    plain = plain and not model.get("ignore_merges") and not model.get("dropout") and not words.get("add_prefix_space")
+    first = len(vocabulary) - len(merges) - sum(t["content"] in vocabulary for t in told["added_tokens"])
+    if not plain or first != 256 or any(vocabulary.get(x + y) != first + k for k, (x, y) in enumerate(merges)):
+        return None
+    ranks = {tokens[k]: k for k in range(first + len(merges))}
+    return tiktoken.Encoding("ranks", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
 @cache
 def byte_side(path: str) -> Side:
     """A byte-level tokenizer file; texts are encoded behind one space."""
-    import json
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -88,14 +101,18 @@ def byte_side(path: str) -> Side:
     tokens = [b""] * (max(vocabulary.values()) + 1)
     for token, number in vocabulary.items():
         tokens[number] = bytes(map(byte.__getitem__, token)) if set(token) <= byte.keys() else token.encode()
+    ranked = _ranked(tokenizer, tokens)
+
+    def encode_one(text: str) -> list[int]:
+        if ranked is None or _LONG_BLANK.search(text):
+            (found,) = tokenizer.encode_batch_fast([text], add_special_tokens=False)
+            return found.ids
+        return ranked(text)
 
     def encode(texts: list[str]) -> list[list[int]]:
-        return [found.ids for found in tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        return [encode_one(" " + t) for t in texts]
 
-    split = json.loads(tokenizer.to_str())
-    words = split.get("pre_tokenizer") or {}
-    by_parts = split.get("normalizer") is None and words.get("type") == "ByteLevel" and words.get("use_regex", True)
-    return _side(encode, tokens, by_parts)
+    return _side(encode, tokens)
 
 
 @cache
@@ -110,12 +127,11 @@ def piece_side(path: str) -> Side:
         byte = model.is_byte(number)
         tokens.append(bytes([int(piece[3:5], 16)]) if byte else piece.replace(_SPACE, " ").encode())
 
-    blank = model.piece_to_id(_SPACE)  # the model puts no space before an empty text
 
     def encode(texts: list[str]) -> list[list[int]]:
-        return [ids or [blank] for ids in model.encode(texts, num_threads=1)]
+        return model.encode(texts, num_threads=1)
 
-    return _side(encode, tokens, not any(re.search(f"[^{_SPACE}]{_SPACE}", t.decode(errors="replace").replace(" ", _SPACE)) for t in tokens))
+    return _side(encode, tokens)
 
 
 def diagonal_cuts(a: np.ndarray, b: np.ndarray, piece: int) -> tuple[np.ndarray, np.ndarray]:
@@ -158,76 +174,26 @@ def overlaps(a: np.ndarray, b: np.ndarray, piece: int = PIECE) -> tuple[np.ndarr
     return np.concatenate(found_a), np.concatenate(found_b)
 
 
-def _same_bytes(side: Side, ids: list[int], raw: bytes) -> bool:
-    return b"".join([side.tokens[i] for i in ids]) == raw
+def _given_back(side: Side, ids: list[list[int]], raw: list[bytes]) -> list[bool]:
+    """Whether the bytes of the ids are those of the text behind a space."""
+    tokens = side.tokens
+    return [b"".join([tokens[i] for i in own]) == r for own, r in zip(ids, raw)]
 
 
-def _part_ids(side: Side, parts: list[str]) -> list[bytes | None]:
-    """32-bit ids of every part behind a space; None where their bytes are other ones.
+def encode_both(a: Side, b: Side, texts: list[str | None]) -> tuple[list[list[int]], list[list[int]]]:
+    """Ids of every text by both; none for texts that are not given back."""
+    given = [t for t in texts if t]
+    raw = [b" " + t.encode() for t in given]
+    ids_a, ids_b = a.encode(given), b.encode(given)
+    found = iter(zip(ids_a, ids_b, _given_back(a, ids_a, raw), _given_back(b, ids_b, raw)))
+    pairs = [next(found) if t else ([], [], True, True) for t in texts]
+    return tuple([own[side] if own[2] and own[3] else [] for own in pairs] for side in (0, 1))
 
-    Parts that end with a visible character are encoded many at a time and cut again.
-    """
-    out: dict[int, bytes | None] = {}
-    alone = [k for k, p in enumerate(parts) if not p or p[-1].isspace()]
-    joined = [k for k, p in enumerate(parts) if p and not p[-1].isspace()]
-    lo = 0
-    while lo < len(joined):
-        hi, size = lo, 0
-        while hi < len(joined) and (hi == lo or size < _CHUNK):
-            size += len(parts[joined[hi]])
-            hi += 1
-        some = [parts[k] for k in joined[lo:hi]]
-        text = " ".join(some)
-        (ids,) = side.encode([text])
-        if _same_bytes(side, ids, b" " + text.encode()):
-            raw = np.array(ids, "<u4")
-            ends = np.cumsum([1 + len(p.encode()) for p in some])
-            cuts = ((np.searchsorted(np.cumsum(side.sizes[raw]), ends) + 1) * 4).tolist()
-            data = raw.tobytes()
-            out.update((k, data[i:j]) for k, i, j in zip(joined[lo:hi], [0, *cuts], cuts))
-        else:
-            alone += joined[lo:hi]
-        lo = hi
-    for k, ids in zip(alone, side.encode([parts[k] for k in alone]) if alone else ()):
-        right = _same_bytes(side, ids, b" " + parts[k].encode())
-        out[k] = np.array(ids, "<u4").tobytes() if right else None
-    return [out[k] for k in range(len(parts))]
-
-
-class Encoder:
-    """Both tokenizers with a bounded table of the parts met."""
 
-    def __init__(self, a: Side, b: Side):
-        self.a, self.b = a, b
-        self.known: dict[str, tuple[bytes, bytes] | None] = {}
-        self.held = 0
-
-    def encode(self, texts: list[str | None]) -> tuple[list[bytes], list[bytes]]:
-        """Ids of every text by both; none for texts that are not given back."""
-        if self.held > CACHE_BYTES:
-            self.known.clear()
-            self.held = 0
-        by_parts = self.a.by_parts and self.b.by_parts
-        parts = [(_CUT.split(t) if by_parts else [t]) if t else [] for t in texts]
-        new = list({p for own in parts for p in own}.difference(self.known))
-        for p, x, y in zip(new, _part_ids(self.a, new), _part_ids(self.b, new)):
-            self.known[p] = None if x is None or y is None else (x, y)
-            self.held += 400 + 12 * len(p)
-        look = self.known.__getitem__
-        out_a, out_b = [], []
-        for own in parts:
-            ids = list(map(look, own))
-            if None in ids:
-                ids = []
-            out_a.append(b"".join([x for x, _ in ids]))
-            out_b.append(b"".join([y for _, y in ids]))
-        return out_a, out_b
-
-
-def _ids(lists: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _ids(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     """All ids of a block, and the ids before each text."""
-    sizes = np.array([len(x) // 4 for x in lists], np.int64)
-    return np.frombuffer(b"".join(lists), "<u4").astype(np.int64), np.concatenate([[0], np.cumsum(sizes)])
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
+    return np.concatenate([np.zeros(0, np.int64), *(np.array(x, np.int64) for x in lists)]), bounds
 
 
 class Aligned(NamedTuple):
@@ -242,10 +208,10 @@ class Aligned(NamedTuple):
     bounds: np.ndarray  # groups before each text
 
 
-def aligned_block(encoder: Encoder, texts: list[str | None]) -> Aligned:
-    lists_a, lists_b = encoder.encode(texts)
+def aligned_block(side_a: Side, side_b: Side, texts: list[str | None]) -> Aligned:
+    lists_a, lists_b = encode_both(side_a, side_b, texts)
     (a, a_bounds), (b, b_bounds) = _ids(lists_a), _ids(lists_b)
-    a_at, b_at = overlaps(np.cumsum(encoder.a.sizes[a]), np.cumsum(encoder.b.sizes[b]))
+    a_at, b_at = overlaps(np.cumsum(side_a.sizes[a]), np.cumsum(side_b.sizes[b]))
     return Aligned(a, b, a_bounds, b_bounds, a_at, b_at, np.searchsorted(a_at, a_bounds))
 
 
@@ -274,10 +240,10 @@ def _blocks(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
 
 def _align(path_a: str, path_b: str):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(byte_side(path_a), piece_side(path_b))
+        sides = byte_side(path_a), piece_side(path_b)
         for batch in batches:
             for first, texts in _blocks(batch.column("text")):
-                columns = _list_arrays(aligned_block(encoder, texts))
+                columns = _list_arrays(aligned_block(*sides, texts))
                 doc = batch.column("doc_id").slice(first, len(texts))
                 yield pa.RecordBatch.from_arrays([doc, *columns], names=["doc_id", "a_ids", "b_ids", "a_cuts", "b_cuts"])
 
@@ -358,11 +324,11 @@ def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def _profile(path_a: str, path_b: str):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(byte_side(path_a), piece_side(path_b))
-        pairs, writer = possible_links(path_a, path_b), GroupText(encoder.a, encoder.b)
+        sides = byte_side(path_a), piece_side(path_b)
+        pairs, writer = possible_links(path_a, path_b), GroupText(*sides)
         for batch in batches:
             for first, texts in _blocks(batch.column("text")):
-                found = aligned_block(encoder, texts)
+                found = aligned_block(*sides, texts)
                 links = found.a_ids[found.a_at] << 32 | found.b_ids[found.b_at]
                 packed = [_pack(links[i:j], pairs) for i, j in zip(found.bounds[:-1], found.bounds[1:])]
                 digests = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in writer.of(found)]

@@ -116,7 +116,7 @@ def test_every_link_is_a_possible_one(libraries):
     possible = alignment.possible_links(*PATHS)
     assert len(possible) < 1_000_000 and (np.diff(possible) > 0).all()
     known = set(possible.tolist())
-    found = alignment.aligned_block(alignment.Encoder(*sides()), [text for _, text in corpus()])
+    found = alignment.aligned_block(*sides(), [text for _, text in corpus()])
     links = found.a_ids[found.a_at] << 32 | found.b_ids[found.b_at]
     assert len(links) and set(links.tolist()) <= known
 
@@ -125,22 +125,31 @@ def sides():
     return alignment.byte_side(PATHS[0]), alignment.piece_side(PATHS[1])
 
 
-def test_parts_give_the_ids_of_the_whole_text(monkeypatch):
+def test_ranks_give_the_ids_of_the_file():
+    from tokenizers import Tokenizer
+
+    first = Tokenizer.from_file(PATHS[0])
+    first.encode_special_tokens = True
     rng = random.Random(23)
-    parts = ["a", "word", " ", "  ", "\n", "\t", "\u00a0", "\u2028", "\x1c", "\x85", "é", "'s", "12", "%", "日本", "▁", "　", "\x00", "🙂"]
-    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(4000)]
-    a, b = sides()
-    assert a.by_parts and b.by_parts
-    for bound in (alignment.CACHE_BYTES, 2000):
-        monkeypatch.setattr(alignment, "CACHE_BYTES", bound)
-        encoder = alignment.Encoder(a, b)
-        for lo in range(0, len(texts), 500):
-            some = texts[lo : lo + 500]
-            for text, x, y in zip(some, *encoder.encode(some)):
-                whole = [side.encode([text])[0] if text else [] for side in (a, b)]
-                right = all(b"".join(side.tokens[i] for i in ids) == b" " + text.encode() for side, ids in zip((a, b), whole))
-                want = [ids if right and text else [] for ids in whole]
-                assert [np.frombuffer(v, "<u4").tolist() for v in (x, y)] == want, text
+    parts = ["a", "word", " ", "  ", "\n", "\t", "\u00a0", "\u2028", "\x1c", "\x85", "é", "'s", "'S", "12", "%", "日本", "▁", "　", "\x00", "🙂", "²", "½", "ǅ", "\u0301"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(5000)]
+    texts += [" " * 5000 + "x", "\n" * 499, "\n" * 3000, "a" * 30_000, "^" * 30_000, "日" * 9000, "<|endoftext|>"]
+    for text, ids in zip(texts, sides()[0].encode(texts)):
+        assert ids == first.encode(" " + text, add_special_tokens=False).ids, text
+
+
+def test_files_with_other_merges_keep_their_library(tmp_path):
+    import json
+
+    told = json.load(open(PATHS[0]))
+    told["model"]["merges"][:2] = told["model"]["merges"][1::-1]
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(told))
+    from tokenizers import Tokenizer
+
+    other = Tokenizer.from_file(str(path))
+    assert alignment._ranked(other, alignment.byte_side(str(path)).tokens) is None
+    assert alignment.byte_side(str(path)).encode(["the tea at that"]) == [other.encode(" the tea at that", add_special_tokens=False).ids]
 
 
 def make(spark, rows):
