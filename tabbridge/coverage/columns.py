@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabbridge.coverage.registry import load, query
-from tabbridge.functions.coerce import coerce_values, truncate_decimal
+from tabbridge.functions.coerce import clock_text, coerce_values, seconds_of_day, truncate_decimal
 from tabbridge.functions.declared import cast_declared
 from tabbridge.functions.text import (
     clean_text_columns,
@@ -252,3 +252,28 @@ def stringify_times(spark, sf):
 )
 def parts_as_text(spark, sf):
     return rows_as_text(_parts_with_nulls(spark, sf).drop("p_retailprice"))
+
+
+@query(
+    "coerce_time_of_day",
+    """
+    SELECT event_id, user_id, value, props, event_type,
+           CASE WHEN event_type = 'error' THEN NULL
+                ELSE CAST(hour(ts) * 3600 + minute(ts) * 60 + second(ts) AS INTEGER) END AS seconds,
+           CASE WHEN event_type = 'error' THEN 0
+                ELSE CAST(hour(ts) * 3600 + minute(ts) * 60 + second(ts) AS INTEGER) END AS legacy_seconds,
+           CASE WHEN event_type = 'error' THEN NULL ELSE strftime(ts, '%H:%M:%S') END AS clock
+    FROM events
+    """,
+)
+def time_of_day(spark, sf):
+    """Clock text to seconds and back; text that is no time gives NULL, or midnight."""
+    text = F.when(F.col("event_type") == "error", "half past nine").otherwise(F.date_format("ts", "HH:mm:ss"))
+    events = load(spark, sf, "events").withColumn("text", text)
+    seconds = seconds_of_day(F.col("text"))
+    return events.select(
+        "event_id", "user_id", "value", "props", "event_type",
+        seconds.alias("seconds"),
+        seconds_of_day(F.col("text"), "legacy").alias("legacy_seconds"),
+        clock_text(seconds).alias("clock"),
+    )

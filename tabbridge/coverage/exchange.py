@@ -20,6 +20,7 @@ from tabbridge.sources.delimited import (
 from tabbridge.sources.files import (
     load_arrow_file,
     load_csv_file,
+    read_arrow,
     read_files,
     write_arrow,
     write_files,
@@ -382,6 +383,36 @@ def load_arrow_columns(spark, sf):
     return load_arrow_file(spark, path, suppliers.schema, ["s_name", "s_suppkey"])
 
 
+@query(
+    "arrow_files_split",
+    "SELECT *, true AS files_split, (SELECT count(*) FROM lineitem) AS written FROM lineitem",
+)
+def arrow_files_split(spark, sf):
+    """Files of many batches: several tasks read one file, and the manifest counts every row."""
+    path = workspace(spark, "arrow")
+    manifest = write_arrow(load(spark, sf, "lineitem").coalesce(2), path, max_rows_per_file=10_000_000)
+    rows = read_arrow(spark, path, load(spark, sf, "lineitem").schema, partition_bytes=1 << 20)
+    split = rows.rdd.getNumPartitions() > manifest.count()
+    written = manifest.groupBy().sum("rows").first()[0]
+    return rows.withColumns({"files_split": F.lit(split), "written": F.lit(written)})
+
+
+@query(
+    "load_arrow_file_columns",
+    """
+    SELECT o_orderpriority, strftime(o_orderdate, '%H:%M:%S') AS at, o_totalprice, o_orderkey, o_custkey, o_orderstatus
+    FROM orders
+    """,
+)
+def load_arrow_orders(spark, sf):
+    """All orders, columns picked in another order; a time of day is stored as seconds."""
+    path = workspace(spark, "arrow")
+    orders = load(spark, sf, "orders").withColumn("at", F.date_format("o_orderdate", "HH:mm:ss"))
+    write_arrow(orders, path, time_columns=["at"])
+    columns = ["o_orderpriority", "at", "o_totalprice", "o_orderkey", "o_custkey", "o_orderstatus"]
+    return load_arrow_file(spark, path, columns=columns)
+
+
 @query("load_csv_file", "SELECT doc_id, text FROM documents")
 def load_csv_columns(spark, sf):
     """CSV text with quotes, separators and line breaks, typed and projected."""

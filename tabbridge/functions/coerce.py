@@ -26,6 +26,24 @@ def date_text(c: Column) -> Column:
     return F.when(F.substring(text, 12, 8) == "00:00:00", F.substring(text, 1, 10)).otherwise(text)
 
 
+def seconds_of_day(text: Column, null_policy: str = "sql") -> Column:
+    """Text ``HH:mm:ss`` as seconds since midnight; decimals of a second are cut.
+
+    Other text and NULL give NULL, or midnight under ``legacy``.
+    """
+    parts = [F.regexp_extract(text, r"^([01]?\d|2[0-3]):([0-5]\d):([0-5]\d)([.,]\d+)?$", k) for k in (1, 2, 3)]
+    hours, minutes, seconds = (F.nullif(p, F.lit("")).cast("int") for p in parts)
+    found = hours * 3600 + minutes * 60 + seconds
+    return F.coalesce(found, F.lit(0)) if null_policy == "legacy" else found
+
+
+def clock_text(seconds: Column) -> Column:
+    """Seconds since midnight as ``HH:mm:ss``; NULL outside the day."""
+    part = lambda size, most: F.lpad(((seconds / size).cast("long") % most).cast("string"), 2, "0")
+    inside = seconds.between(0, 86_399)
+    return F.when(inside, F.concat_ws(":", part(3600, 24), part(60, 60), part(1, 60)))
+
+
 def _legacy(c: Column, data_type: T.DataType) -> Column:
     if isinstance(data_type, T.StringType):
         return F.coalesce(c, F.lit(" "))

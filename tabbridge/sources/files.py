@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -11,7 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabbridge.functions.declared import require_flat
+from tabbridge.functions.names import bare, require
 from tabbridge.operators.tables import project_by_name
+from tabbridge.sources import arrow_files
 
 SPARK_FORMATS = ("csv", "json", "parquet", "orc", "text")
 ARROW = "arrow"
@@ -43,9 +46,7 @@ def read_files(
     """
     fmt = file_format(fmt)
     if fmt == ARROW:
-        if schema is None:
-            raise ValueError("arrow files need a declared schema")
-        return project_by_name(read_arrow(spark, path, schema), columns)
+        return load_arrow_file(spark, path, schema, columns)
     reader = spark.read.format(fmt)
     if fmt == "csv":
         reader = (
@@ -89,38 +90,66 @@ def write_files(
     writer.options(**options).save(path)
 
 
-def _arrow_schema(schema: T.StructType) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
+def _arrow_format(spark: SparkSession) -> str:
+    spark.dataSource.register(arrow_files.ArrowFiles)
+    return arrow_files.NAME
 
-    return to_arrow_schema(schema)
 
+def _openable(address: str) -> bool:
+    """Whether Arrow's own file systems know the store of this address."""
+    try:
+        arrow_files.store_of(address)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError, ImportError):
+        return False
+    return True
 
-def read_arrow(spark: SparkSession, path: str | Sequence[str], schema: T.StructType) -> DataFrame:
-    """Arrow IPC files (file or stream form) as rows of a declared schema.
 
-    Each file is one unsplittable part, so exports keep them small (``write_arrow``).
-    Columns are matched by name and cast to the declared type; a missing one is an error.
-    """
-    target = _arrow_schema(schema)
+def _read_cells(spark: SparkSession, paths: str | list[str], schema: T.StructType) -> DataFrame:
+    """Files of a store that only Spark opens: each one is a cell, so files stay below 2 GB."""
+    target = arrow_files.arrow_schema(schema)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
                 source = content.as_buffer()
-                if source.slice(0, 6).to_pybytes() == b"ARROW1":
-                    reader = pa.ipc.open_file(source)
-                    records = (reader.get_batch(i) for i in range(reader.num_record_batches))
+                if source.slice(0, len(arrow_files.MAGIC)).to_pybytes() == arrow_files.MAGIC:
+                    yield from arrow_files.batches_of(source, target)
                 else:
-                    records = iter(pa.ipc.open_stream(source))
-                for record in records:
-                    table = pa.Table.from_batches([record]).select(target.names).cast(target)
-                    yield from table.to_batches()
+                    for record in pa.ipc.open_stream(source):
+                        yield from arrow_files.conform(record, target)
 
-    paths = path if isinstance(path, str) else list(path)
     files = spark.read.format("binaryFile").load(paths)
     return files.select("content").mapInArrow(decode, schema)
 
 
+def read_arrow(
+    spark: SparkSession,
+    path: str | Sequence[str],
+    schema: T.StructType | None = None,
+    partition_bytes: int | None = None,
+) -> DataFrame:
+    """Arrow IPC files (file or stream form) as rows of a declared schema.
+
+    Partitions are runs of record batches of about ``partition_bytes`` (Spark's setting for
+    files). Columns are matched by name and cast to the declared type; others are not read,
+    a missing one is an error. Without a schema that of the first file holds. A time of day
+    is text ``HH:mm:ss``, or seconds where an integer is declared.
+    """
+    paths = path if isinstance(path, str) else list(path)
+    files = sorted(spark.read.format("binaryFile").load(paths).inputFiles())
+    if files and not _openable(files[0]):
+        if schema is None:
+            raise ValueError("files of this store need a declared schema")
+        return _read_cells(spark, paths, schema)
+    if partition_bytes is None:
+        unit = spark._jvm.org.apache.spark.network.util.JavaUtils
+        partition_bytes = unit.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    reader = spark.read.format(_arrow_format(spark))
+    if schema is not None:
+        reader = reader.schema(schema)
+    return reader.option("files", json.dumps(files)).option("partition_bytes", partition_bytes).load()
+
+
 def _prepare(spark: SparkSession, path: str, mode: str) -> tuple[str, bool]:
     """The folder's address for executors, and whether to write, by Spark's save modes."""
     if mode not in ("error", "errorifexists", "overwrite", "append", "ignore"):
@@ -128,10 +157,7 @@ def _prepare(spark: SparkSession, path: str, mode: str) -> tuple[str, bool]:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     address = store.makeQualified(folder).toString()
-    if not store.exists(folder) or mode == "append":
-        return address, True
-    if mode == "overwrite":
-        store.delete(folder, True)
+    if not store.exists(folder) or mode in ("append", "overwrite"):
         return address, True
     if mode == "ignore":
         return address, False
@@ -139,64 +165,32 @@ def _prepare(spark: SparkSession, path: str, mode: str) -> tuple[str, bool]:
 
 
 def write_arrow(
-    df: DataFrame, path: str, max_rows_per_file: int = 1_000_000, mode: str = "error"
+    df: DataFrame,
+    path: str,
+    max_rows_per_file: int = 1_000_000,
+    mode: str = "error",
+    time_columns: Sequence[str] = (),
 ) -> DataFrame:
     """Arrow IPC files named by write, task and number; returns a manifest (file, rows).
 
     The path is resolved on the driver as Spark resolves it, and must be reachable from every
-    executor. A file is written under an attempt name and moved into place, so a repeated
-    task leaves the same files. An overwrite empties the folder first: stage rows read from it.
+    executor by one of Arrow's file systems. Files appear when all tasks have succeeded, and
+    only then an overwrite removes the old ones, so a failed write leaves the folder as it
+    was, and rows may be read from the folder they replace. ``time_columns`` (text
+    ``HH:mm:ss``) are stored as seconds of the day.
     """
-    target, label = _arrow_schema(df.schema), uuid.uuid4().hex[:8]
-    path, wanted = _prepare(df.sparkSession, path, mode)
-    if not wanted:
-        return df.sparkSession.createDataFrame([], "file string, rows long")
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        from pyarrow import fs
-        from pyspark import TaskContext
-
-        context = TaskContext.get()
-        if path.startswith("file:"):
-            store, root = fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
-        else:
-            store, root = fs.FileSystem.from_uri(path)
-        store.create_dir(root, recursive=True)
-        part, names, counts = 0, [], []
-
-        def flush(held: list[pa.RecordBatch]) -> None:
-            nonlocal part
-            rows = sum(b.num_rows for b in held)
-            name = f"part-{label}-{context.partitionId():06d}-{part:04d}.arrow"
-            attempt = f"{root}/.{name}.{context.taskAttemptId()}"
-            with store.open_output_stream(attempt) as sink, pa.ipc.new_file(sink, target) as out:
-                for b in held:
-                    out.write_batch(pa.RecordBatch.from_arrays(b.columns, schema=target))
-            store.move(attempt, f"{root}/{name}")
-            names.append(os.path.basename(name))
-            counts.append(rows)
-            part += 1
-
-        held, size = [], 0
-        for batch in batches:
-            while batch.num_rows:
-                head = batch.slice(0, max_rows_per_file - size)
-                batch = batch.slice(head.num_rows)
-                held.append(head)
-                size += head.num_rows
-                if size >= max_rows_per_file:
-                    flush(held)
-                    held, size = [], 0
-        if held:
-            flush(held)
-        yield pa.RecordBatch.from_pydict({"file": names, "rows": pa.array(counts, pa.int64())})
-
-    manifest = df.mapInArrow(encode, "file string, rows long").collect()
-    return df.sparkSession.createDataFrame(
-        [(r["file"], r["rows"]) for r in manifest], "file string, rows long"
-    )
+    if max_rows_per_file < 1:
+        raise ValueError("max_rows_per_file must be positive")
+    require(df, time_columns)
+    spark, label = df.sparkSession, uuid.uuid4().hex[:8]
+    address, wanted = _prepare(spark, path, mode)
+    files: list[tuple[str, int]] = []
+    if wanted:
+        writer = df.write.format(_arrow_format(spark)).mode("overwrite" if mode == "overwrite" else "append")
+        settings = {"label": label, "rows": max_rows_per_file, "times": json.dumps(list(time_columns))}
+        writer.options(**settings).save(address)
+        files = arrow_files.written(address, label)
+    return spark.createDataFrame(files, "file string, rows long")
 
 
 def load_csv_file(
@@ -214,8 +208,12 @@ def load_csv_file(
 
 
 def load_arrow_file(
-    spark: SparkSession, path: str, schema: T.StructType, columns: Sequence[str] = ()
+    spark: SparkSession, path: str | Sequence[str], schema: T.StructType | None = None, columns: Sequence[str] = ()
 ) -> DataFrame:
+    """Arrow files as a table; a column list picks and orders its columns, the others are not read."""
+    if schema is not None and columns:
+        wanted = {bare(c) for c in columns}
+        schema = T.StructType([f for f in schema.fields if f.name in wanted] or schema.fields)
     return project_by_name(read_arrow(spark, path, schema), columns)
 
 

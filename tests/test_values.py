@@ -6,7 +6,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabbridge.functions.coerce import coerce_values, truncate_decimal
+from tabbridge.functions.coerce import clock_text, coerce_values, seconds_of_day, truncate_decimal
 from tabbridge.functions.declared import (
     ColumnInfo,
     cast_declared,
@@ -208,3 +208,14 @@ def test_size_tier(spark):
 )
 def test_tier_partitions(rows, want):
     assert tier_partitions(rows, [10, 100, 1000, 10_000], [1, 4, 16, 64]) == want
+
+
+def test_time_of_day(spark):
+    texts = ["07:15:30", "7:15:30", "23:59:59.75", "00:00:00", "24:00:00", "07:60:00", "7:5:30", "quarter past", "", None, " 07:15:30"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select(seconds_of_day(F.col("t")).alias("s"), seconds_of_day(F.col("t"), "legacy").alias("l")).collect()
+    want = [26_130, 26_130, 86_399, 0, *[None] * 7]
+    assert [r["s"] for r in got] == want
+    assert [r["l"] for r in got] == [w or 0 for w in want]
+    back = spark.createDataFrame([(26_130,), (86_399,), (0,), (86_400,), (-1,), (None,)], "s int").select(clock_text(F.col("s")).alias("t"))
+    assert [r["t"] for r in back.collect()] == ["07:15:30", "23:59:59", "00:00:00", None, None, None]
