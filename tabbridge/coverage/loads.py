@@ -193,6 +193,30 @@ def update_rows(spark, sf):
     return spark.table(table)
 
 
+@query(
+    "rewrite_then_expire",
+    """
+    SELECT event_id, user_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts,
+           CASE WHEN event_type = 'view' AND value >= 10 THEN 'seen' ELSE event_type END AS event_type,
+           CASE WHEN event_type = 'view' AND value >= 10 THEN 0 ELSE value END AS value,
+           props, strftime(ts, '%Y%m%d') AS day
+    FROM events
+    WHERE strftime(ts, '%Y%m%d') >= '20240108'
+      AND NOT (event_type = 'error' AND strftime(ts, '%Y%m%d') < '20240120')
+      AND strftime(ts, '%Y%m%d') <> '20240125'
+    """,
+)
+def rewrite_then_expire(spark, sf):
+    """Deletes and an update by day keep the partitions, so that old days can be dropped after them."""
+    table = f"{scratch_database(spark, 'rewrite')}.events"
+    write_table(load(spark, sf, "events").withColumn("day", F.date_format("ts", "yyyyMMdd")), table, partition_by=["day"])
+    delete_where(spark, table, [("event_type", "=", "error"), ("day", "<", "20240120")])
+    delete_where(spark, table, [("day", "=", "20240125")])
+    update_where(spark, table, {"event_type": "seen", "value": 0.0}, [("event_type", "=", "view"), ("value", ">=", 10)])
+    expire_partitions(spark, table, "day", "20240108")
+    return spark.table(table).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+
+
 def _stream_events(spark, sf):
     """Two runs over the same files; the second one finds nothing new."""
     source, target, marks = (workspace(spark, t) for t in ("arrivals", "stream", "marks"))

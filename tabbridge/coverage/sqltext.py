@@ -193,3 +193,85 @@ def text_rows(spark, sf):
         spark,
         "SELECT o_orderkey, nullif(o_orderstatus, 'P') AS o_orderstatus, o_custkey > 100 AS big FROM orders",
     )
+
+
+_FORMS = [
+    ("by name", "INSERT INTO o BY NAME SELECT o_totalprice, o_orderkey, o_orderdate, o_orderstatus, o_orderpriority, o_custkey FROM orders"),
+    ("comment", "INSERT INTO o /* SELECT (none) */ SELECT * FROM orders WHERE o_orderstatus = 'F'"),
+    ("with", "WITH q AS (SELECT * FROM orders WHERE o_orderstatus = 'O') INSERT INTO o SELECT * FROM q"),
+    ("several", "FROM orders INSERT INTO o SELECT * WHERE o_custkey % 2 = 0 INSERT INTO o SELECT * WHERE o_custkey % 3 = 0"),
+    ("created", "CREATE TABLE IF NOT EXISTS made USING parquet AS SELECT * FROM orders WHERE o_totalprice > 1000"),
+    ("created again", "CREATE TABLE IF NOT EXISTS made USING parquet AS SELECT * FROM orders"),
+    ("definition", "CREATE TABLE plain (x INT) USING parquet COMMENT 'same AS SELECT 1'"),
+    ("update", "UPDATE o SET o_orderpriority = 'none' WHERE o_orderstatus = 'P' AND o_totalprice < 2000"),
+    ("delete", "DELETE FROM o AS x WHERE x.o_orderstatus = 'F' AND x.o_custkey % 5 = 0"),
+]
+
+
+@query(
+    "execute_sql_write_counts",
+    """
+    WITH n AS (SELECT count(*) AS a, count(*) FILTER (o_orderstatus = 'F') AS f,
+                      count(*) FILTER (o_orderstatus = 'O') AS o,
+                      count(*) FILTER (o_custkey % 2 = 0) + count(*) FILTER (o_custkey % 3 = 0) AS s,
+                      count(*) FILTER (o_totalprice > 1000) AS made,
+                      count(*) FILTER (o_orderstatus = 'P' AND o_totalprice < 2000) AS p1,
+                      count(*) FILTER (o_orderstatus = 'P' AND o_totalprice < 2000 AND o_custkey % 2 = 0)
+                      + count(*) FILTER (o_orderstatus = 'P' AND o_totalprice < 2000 AND o_custkey % 3 = 0) AS p2,
+                      count(*) FILTER (o_orderstatus = 'F' AND o_custkey % 5 = 0) AS d1,
+                      count(*) FILTER (o_orderstatus = 'F' AND o_custkey % 10 = 0)
+                      + count(*) FILTER (o_orderstatus = 'F' AND o_custkey % 15 = 0) AS d2 FROM orders)
+    SELECT 'by name' AS form, a AS affected FROM n UNION ALL SELECT 'comment', f FROM n
+    UNION ALL SELECT 'with', o FROM n UNION ALL SELECT 'several', s FROM n
+    UNION ALL SELECT 'created', made FROM n UNION ALL SELECT 'created again', 0 FROM n
+    UNION ALL SELECT 'definition', 0 FROM n UNION ALL SELECT 'update', p1 + p2 FROM n
+    UNION ALL SELECT 'delete', 2 * d1 + d2 FROM n
+    """,
+)
+def write_counts(spark, sf):
+    """Affected rows of every form of a write, all of them over the whole of orders."""
+    _views(spark, sf, ["orders"])
+    db = scratch_database(spark, "forms")
+    execute_sql(spark, "CREATE TABLE o USING parquet AS SELECT * FROM orders WHERE 1 = 0", (), db)
+    counts = [(form, execute_sql(spark, text, (), db).affected) for form, text in _FORMS]
+    return spark.createDataFrame(counts, "form string, affected long")
+
+
+@query(
+    "execute_sql_update_text",
+    """
+    SELECT o_orderkey, o_custkey, o_orderstatus,
+           CASE WHEN o_orderstatus = 'P' AND o_custkey % 2 = 0 THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice,
+           strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate,
+           CASE WHEN o_orderstatus = 'P' AND o_custkey % 2 = 0 THEN 'it''s ' || o_orderpriority ELSE o_orderpriority END AS o_orderpriority
+    FROM orders
+    """,
+)
+def update_text(spark, sf):
+    from pyspark.sql import functions as F
+
+    _views(spark, sf, ["orders"])
+    table = f"{scratch_database(spark, 'update')}.o"
+    execute_sql(spark, f"CREATE TABLE {table} USING parquet AS SELECT * FROM orders")
+    text = f"UPDATE {table} AS z SET z.o_totalprice = z.o_totalprice * ?, o_orderpriority = concat($3, o_orderpriority) WHERE z.o_orderstatus = $2 AND o_custkey % 2 = 0"
+    execute_sql(spark, text.replace("?", "$1"), [2, "P", "it's "])
+    return spark.table(table).withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd"))
+
+
+@query(
+    "execute_sql_delete_text",
+    """
+    SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount,
+           l_tax, l_returnflag, l_linestatus, strftime(l_shipdate, '%Y-%m-%d') AS l_shipdate
+    FROM lineitem WHERE NOT (l_returnflag = 'R' OR (l_quantity < 10 AND l_linestatus = 'O'))
+    """,
+)
+def delete_text(spark, sf):
+    """A partitioned table: whole partitions go by their metadata, others are written anew."""
+    from pyspark.sql import functions as F
+
+    _views(spark, sf, ["lineitem"])
+    table = f"{scratch_database(spark, 'delete')}.l"
+    execute_sql(spark, f"CREATE TABLE {table} USING parquet PARTITIONED BY (l_returnflag) AS SELECT * FROM lineitem")
+    execute_sql(spark, f"DELETE FROM {table} WHERE l_returnflag = 'R' OR (l_quantity < 10 AND l_linestatus = 'O')")
+    return spark.table(table).withColumn("l_shipdate", F.date_format("l_shipdate", "yyyy-MM-dd"))

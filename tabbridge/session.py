@@ -33,6 +33,19 @@ def session(app: str = "tabbridge", master: str | None = None, **conf: str) -> S
     return builder.getOrCreate()
 
 
+def isolated(spark: SparkSession) -> SparkSession:
+    """A session of its own with the settings, views and functions that ``spark`` has now.
+
+    Its current database and settings may be changed without a trace in ``spark``.
+    """
+    return SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+
+
+def forget_tables(spark: SparkSession) -> None:
+    """Tables another session may have written are listed anew."""
+    spark._jsparkSession.sessionState().catalog().invalidateAllCachedTables()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, named by ``spark.checkpoint.dir``.
 

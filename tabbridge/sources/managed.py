@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import decimal
 import re
 import uuid
 from collections.abc import Iterable, Mapping, Sequence
-from typing import Any
+from typing import Any, NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tabbridge.functions.declared import require_flat
@@ -15,6 +17,7 @@ from tabbridge.functions.names import col, require
 from tabbridge.functions.predicates import Filter, literal, predicate
 from tabbridge.operators.positions import numbered
 from tabbridge.operators.stats import observed, observed_rows
+from tabbridge.session import forget_tables, isolated
 from tabbridge.sources.files import CSV_NULL
 
 KEY_NAME = re.compile(r"^(pk|PK)_[0-9a-f]{5,10}$")
@@ -136,27 +139,166 @@ def _all_of(filters: Iterable[Filter | Sequence[Any]]) -> Column:
     return held
 
 
-def _swap(rows: DataFrame, table: str) -> None:
-    """Write the new content next to the table, then take its place.
+class _Spec(NamedTuple):
+    location: str
+    partitions: list[str]
 
-    The old table is dropped last, so its rows exist at every moment.
+
+def _spec(spark: SparkSession, table: str) -> _Spec:
+    told = [r["data_type"] for r in spark.sql(f"DESCRIBE TABLE EXTENDED {table}").collect() if r["col_name"] == "Location"]
+    if not told:
+        raise ValueError(f"{table} is not a table with files of its own")
+    # a column may have this name, too: the table's own entry comes last
+    return _Spec(told[-1], [c.name for c in spark.catalog.listColumns(table) if c.isPartition])
+
+
+def _discard(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _relocate(rows: DataFrame, table: str, location: str) -> None:
+    """Write new content beside the table's files, then point the table at it.
+
+    The table itself, its columns, comments and properties, stays what it is, and its old
+    files are removed last.
     """
     spark, tag = rows.sparkSession, uuid.uuid4().hex[:8]
-    fresh, old = f"{table}__new_{tag}", f"{table}__old_{tag}"
-    rows.write.format("parquet").saveAsTable(fresh)
-    spark.sql(f"ALTER TABLE {table} RENAME TO {old}")
-    spark.sql(f"ALTER TABLE {fresh} RENAME TO {table}")
-    spark.sql(f"DROP TABLE {old}")
+    fresh = f"{re.sub('__[0-9a-f]{8}$', '', location.rstrip('/'))}__{tag}"
+    beside = f"{table.rstrip('`')}__{tag}" + ("`" if table.endswith("`") else "")
+    spark.sql(f"CREATE TABLE {beside} LIKE {table} LOCATION '{fresh}'")
+    left = fresh
+    try:
+        rows.write.insertInto(beside)
+        spark.sql(f"ALTER TABLE {table} SET LOCATION '{fresh}'")
+        left = location
+    finally:
+        spark.sql(f"DROP TABLE {beside}")
+        _discard(spark, left)
+        spark.catalog.refreshTable(table)
+
+
+def sql_literal(value: Any) -> str:
+    """A value as SQL text."""
+    if value is None or isinstance(value, bool):
+        return {None: "NULL", True: "TRUE", False: "FALSE"}[value]
+    if isinstance(value, dt.datetime):
+        kind = "TIMESTAMP_NTZ" if value.tzinfo is None else "TIMESTAMP"
+        return f"{kind} '{value.isoformat(sep=' ')}'"
+    if isinstance(value, dt.date):
+        return f"DATE '{value.isoformat()}'"
+    if isinstance(value, (bytes, bytearray)):
+        return f"X'{bytes(value).hex()}'"
+    if isinstance(value, float):
+        return f"CAST('{value!r}' AS DOUBLE)"
+    if isinstance(value, decimal.Decimal):
+        return f"{value:f}BD"
+    if isinstance(value, int):
+        return str(value)
+    text = str(value).replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{text}'"
+
+
+def _partition_clause(values: Row) -> str:
+    return ", ".join(f"`{name}` = {sql_literal(value)}" for name, value in values.asDict().items())
+
+
+def _inside(names: Sequence[str], found: Sequence[Row]) -> Column:
+    """Partitions that hold all of ``found``, named one column at a time so that the scan is pruned."""
+    held = F.lit(True)
+    for name in names:
+        values = {r[name] for r in found}
+        known = [v for v in values if v is not None]
+        same = col(name).isin(known) if known else F.lit(False)
+        held = held & (same | col(name).isNull() if None in values else same)
+    return held
+
+
+def _changed(df: DataFrame, held: Column, changes: Mapping[str, Column]) -> DataFrame:
+    kept = {f.name: col(f.name) for f in df.schema.fields}
+    for f in df.schema.fields:
+        if f.name in changes:
+            kept[f.name] = F.when(held, changes[f.name].cast(f.dataType)).otherwise(col(f.name)).alias(f.name)
+    return df.select(list(kept.values()))
+
+
+def _read(spark: SparkSession, table: str, alias: str | None) -> DataFrame:
+    rows = spark.table(table)
+    return rows.alias(alias) if alias else rows
+
+
+def _rewrite_partitions(
+    spark: SparkSession,
+    table: str,
+    alias: str | None,
+    names: list[str],
+    held: Column,
+    changes: Mapping[str, Column] | None,
+) -> int:
+    """Rewrite just the partitions that hold chosen rows; others are neither read whole nor written.
+
+    Partitions of which nothing is left are dropped by their metadata.
+    """
+    own, keys = isolated(spark), [col(n) for n in names]
+    own.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    current = _read(own, table, alias)
+    hit = current.where(held).groupBy(*keys).agg(F.count(F.lit(1)).alias("__hit")).collect()
+    if not hit:
+        return 0
+    count = sum(r["__hit"] for r in hit)
+    touched = [Row(**{n: r[n] for n in names}) for r in hit]
+    if changes is None:
+        sizes = current.where(_inside(names, touched)).groupBy(*keys).agg(F.count(F.lit(1)).alias("__all")).collect()
+        total = {tuple(r[n] for n in names): r["__all"] for r in sizes}
+        gone = [p for p, r in zip(touched, hit) if total[tuple(p)] == r["__hit"]]
+        kept = [p for p in touched if p not in gone]
+        rows = current.where(_inside(names, kept)).where(~held) if kept else None
+    else:
+        moved = [n for n in names if n in changes]
+        if moved:  # the rows of the partitions they go to are written, too
+            there = _changed(current.where(held), F.lit(True), {n: changes[n] for n in moved}).select(*keys).distinct()
+            touched += [Row(**r.asDict()) for r in there.collect()]
+        rows = _changed(current.where(_inside(names, touched)), held, changes)
+        left = {tuple(r) for r in rows.select(*keys).distinct().collect()} if moved else set()
+        gone = [p for p in dict.fromkeys(touched) if moved and tuple(p) not in left]
+    if rows is not None:
+        rows.write.insertInto(table, overwrite=True)
+    for p in gone:
+        own.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({_partition_clause(p)})")
+    forget_tables(spark)
+    return count
+
+
+def rewrite_where(
+    spark: SparkSession,
+    table: str,
+    condition: Column,
+    changes: Mapping[str, Column] | None = None,
+    alias: str | None = None,
+) -> int:
+    """Delete the rows ``condition`` holds for, or change columns of them; returns how many.
+
+    The table keeps its partitions, properties and comments. Of a partitioned table only the
+    partitions that hold such rows are written anew, or dropped when none is left. The
+    condition and the changes may name columns by an ``alias`` of the table.
+    """
+    spec, current = _spec(spark, table), _read(spark, table, alias)
+    require(current, changes or {})
+    held = F.coalesce(condition, F.lit(False))
+    if spec.partitions:
+        return _rewrite_partitions(spark, table, alias, spec.partitions, held, changes)
+    # counted first, over the columns of the condition: without a hit nothing is rewritten
+    count = current.where(held).count()
+    if count:
+        _relocate(current.where(~held) if changes is None else _changed(current, held, changes), table, spec.location)
+    return count
 
 
 def delete_where(
     spark: SparkSession, table: str, filters: Iterable[Filter | Sequence[Any]]
 ) -> int:
-    """Delete the rows all filters hold for; returns how many. The table is rewritten once."""
-    held = F.coalesce(_all_of(filters), F.lit(False))
-    rows, watch = _counted_if(spark.table(table), held)
-    _swap(rows.where(~held), table)
-    return observed_rows(watch)
+    """Delete the rows all filters hold for; returns how many (see ``rewrite_where``)."""
+    return rewrite_where(spark, table, _all_of(filters))
 
 
 def update_where(
@@ -165,25 +307,8 @@ def update_where(
     values: Mapping[str, Any],
     filters: Iterable[Filter | Sequence[Any]],
 ) -> int:
-    """Set columns in the rows all filters hold for; returns how many."""
-    current = spark.table(table)
-    require(current, values)
-    held = F.coalesce(_all_of(filters), F.lit(False))
-    rows, watch = _counted_if(current, held)
-    changed = rows.select(
-        [
-            F.when(held, literal(values[f.name]).cast(f.dataType)).otherwise(col(f.name)).alias(f.name)
-            if f.name in values
-            else col(f.name)
-            for f in current.schema.fields
-        ]
-    )
-    _swap(changed, table)
-    return observed_rows(watch)
-
-
-def _counted_if(df: DataFrame, held: Column):
-    from pyspark.sql import Observation
+    """Set columns in the rows all filters hold for; returns how many (see ``rewrite_where``)."""
+    if not values:
+        raise ValueError("nothing to set")
+    return rewrite_where(spark, table, _all_of(filters), {n: literal(v) for n, v in values.items()})
 
-    watch = Observation()
-    return df.observe(watch, F.count_if(held).alias("rows")), watch

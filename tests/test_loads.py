@@ -38,6 +38,7 @@ from tabbridge.sources.assets import (
 from tabbridge.sources.delimited import write_delimited
 from tabbridge.sources.managed import (
     delete_where,
+    rewrite_where,
     result_column_names,
     table_name,
     truncate_table,
@@ -130,6 +131,89 @@ def test_delete_and_update(spark, db, items):
     assert [t.name for t in spark.catalog.listTables(db)] == ["m"]
 
 
+@pytest.fixture
+def days(spark, db):
+    """A table by day and half: days d0 … d3 and one without a day, ten rows each."""
+    table = f"{db}.days"
+    spark.sql(
+        f"CREATE TABLE {table} (a INT COMMENT 'key', b STRING, day STRING, half INT) USING parquet "
+        "PARTITIONED BY (day, half) COMMENT 'note' TBLPROPERTIES ('kept' = 'yes')"
+    )
+    rows = "id, concat('b', id % 3), if(id >= 40, NULL, concat('d', id div 10)), id % 2"
+    spark.sql(f"INSERT INTO {table} SELECT {rows} FROM range(50)")
+    yield table
+    told = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE TABLE EXTENDED {table}").collect()}
+    assert told["Comment"] == "note" and "kept=yes" in told["Table Properties"]
+    spark.sql(f"DROP TABLE {table}")
+
+
+def partitions(spark, table):
+    return sorted(r[0] for r in spark.sql(f"SHOW PARTITIONS {table}").collect())
+
+
+def files_of(spark, table, where):
+    return sorted(r[0] for r in spark.table(table).where(where).selectExpr("_metadata.file_path").distinct().collect())
+
+
+def test_delete_rewrites_touched_partitions_only(spark, days):
+    before = files_of(spark, days, "day <> 'd1'")
+    assert delete_where(spark, days, [("a", "IN", [10, 12, 14, 16, 18, 11])]) == 6
+    assert files_of(spark, days, "day <> 'd1'") == before
+    assert "day=d1/half=0" not in partitions(spark, days) and "day=d1/half=1" in partitions(spark, days)
+    assert sorted(r["a"] for r in spark.table(days).collect()) == [a for a in range(50) if a not in (10, 11, 12, 14, 16, 18)]
+
+
+def test_whole_partitions_are_dropped(spark, days):
+    before = files_of(spark, days, "day <> 'd2' OR day IS NULL")
+    assert delete_where(spark, days, [("day", "=", "d2")]) == 10
+    assert files_of(spark, days, "true") == before
+    assert len(partitions(spark, days)) == 8 and spark.table(days).count() == 40
+
+
+def test_partitions_without_a_value(spark, days):
+    assert update_where(spark, days, {"b": "none"}, [("a", ">=", 45)]) == 5
+    assert spark.table(days).where("b = 'none' AND day IS NULL").count() == 5
+    assert delete_where(spark, days, [("a", ">=", 40)]) == 10
+    assert len(partitions(spark, days)) == 8 and spark.table(days).count() == 40
+
+
+def test_update_moves_rows_between_partitions(spark, days):
+    assert update_where(spark, days, {"day": "d3"}, [("day", "=", "d0")]) == 10
+    assert {r["day"]: r["count"] for r in spark.table(days).groupBy("day").count().collect()} == {"d1": 10, "d2": 10, "d3": 20, None: 10}
+    assert update_where(spark, days, {"day": "new", "half": 7}, [("a", "=", 33)]) == 1
+    assert "day=new/half=7" in partitions(spark, days) and "day=d0/half=0" not in partitions(spark, days)
+    assert sorted(r["a"] for r in spark.table(days).collect()) == list(range(50))
+
+
+def test_rewrite_without_a_hit_changes_no_file(spark, db, days, items):
+    before = files_of(spark, days, "true")
+    assert delete_where(spark, days, [("a", ">", 100)]) == 0 and update_where(spark, days, {"b": "x"}, [("a", "<", 0)]) == 0
+    assert files_of(spark, days, "true") == before
+    import_table(items, f"{db}.plain")
+    before = files_of(spark, f"{db}.plain", "true")
+    assert delete_where(spark, f"{db}.plain", [("id", "<", 0)]) == 0
+    assert files_of(spark, f"{db}.plain", "true") == before
+    with pytest.raises(ValueError, match="nothing to set"):
+        update_where(spark, f"{db}.plain", {}, [("id", "=", 1)])
+
+
+def test_failed_rewrite_leaves_the_table(spark, db, items):
+    table = f"{db}.whole"
+    import_table(items, table)
+    before = files_of(spark, table, "true")
+    broken = F.when(F.col("id") == 999, F.raise_error(F.lit("broken row"))).otherwise(F.lit("x"))
+    with pytest.raises(Exception, match="broken row"):
+        rewrite_where(spark, table, F.col("id") > 5, {"name": broken})
+    assert files_of(spark, table, "true") == before and spark.table(table).count() == 1000
+    assert not [t.name for t in spark.catalog.listTables(db) if "__" in t.name]
+
+
+def test_views_have_no_files_to_rewrite(spark):
+    spark.range(3).createOrReplaceTempView("loads_view")
+    with pytest.raises(ValueError, match="files of its own"):
+        delete_where(spark, "loads_view", [("id", "=", 1)])
+
+
 def test_import_replaces(spark, db, items):
     import_table(items, f"{db}.i")
     done = import_table(items.where("id < 7"), f"{db}.i", ["name", "id"])
