@@ -18,6 +18,7 @@ from tabbridge.sources.delimited import (
     write_delimited,
 )
 from tabbridge.sources.files import (
+    file_manifest,
     load_arrow_file,
     load_csv_file,
     read_arrow,
@@ -93,6 +94,52 @@ def export_part_csv(spark, sf):
     return load_csv_file(spark, path, schema, separator="|", multiline=False)
 
 
+def _export_capped(spark, sf, form, cap):
+    """(rows read back, files, bytes of the largest file) of an export of all documents."""
+    path = workspace(spark, f"capped_{form}")
+    documents = load(spark, sf, "documents")
+    if form == "parquet":
+        export_parquet(documents, path, max_file_bytes=cap)
+        back = read_parts(spark, path)
+    elif form == "csv":
+        export_csv(documents, path, max_file_bytes=cap)
+        back = load_csv_file(spark, path, documents.schema)
+    elif form == "delimited":
+        write_delimited(documents, path, max_file_bytes=cap)
+        back = read_delimited(spark, path, documents.schema)
+    else:
+        write_snapshot(documents, path, "documents", max_file_bytes=cap)
+        back = read_snapshot(spark, path, documents.schema).rows
+        path = f"{path}/data"
+    return back, file_manifest(spark, path).where("path NOT LIKE '%/.%'")
+
+
+@query(
+    "export_file_sizes",
+    """
+    SELECT form, d.doc_id, nullif(trim(d.text, ' ' || chr(9) || chr(10) || chr(13)), '') AS text, d.lang, d.source, d.n_chars,
+           true AS below_cap, true AS several
+    FROM documents d, (VALUES ('parquet'), ('csv'), ('delimited'), ('snapshot')) f(form)
+    """,
+)
+def export_file_sizes(spark, sf):
+    """No file of an export is above the cap, however long the texts are, and all rows come back."""
+    sizes = load(spark, sf, "documents").agg(F.max(F.octet_length("text")).alias("longest"), F.sum(F.octet_length("text")).alias("all"))
+    longest, total = sizes.first()
+    cap = max(4 * longest, total // 20)
+    out = []
+    for form in ("parquet", "csv", "delimited", "snapshot"):
+        rows, files = _export_capped(spark, sf, form, cap)
+        n, largest = files.agg(F.count(F.lit(1)), F.max("size")).first()
+        text = F.nullif(F.trim(F.col("text"), F.lit(" \t\n\r")), F.lit(""))
+        out.append(
+            rows.withColumns(
+                {"text": text, "form": F.lit(form), "below_cap": F.lit(largest <= cap), "several": F.lit(n > 4)}
+            )
+        )
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
 DELIMITED_SCHEMA = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),

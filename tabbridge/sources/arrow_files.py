@@ -4,10 +4,8 @@ Reading: the driver takes the number of record batches from every file's footer,
 is a run of batches of about ``partition_bytes``, so a large file is read by many tasks and many
 small ones by one. Only the declared columns are taken out of a batch.
 
-Writing: tasks write batches, as they come, to files in a hidden folder beside the target. The
-commit moves the files of the successful attempts into place and removes what an overwrite
-replaces last; an abort removes the hidden folder. So a failed job changes nothing, and no task
-holds more than a batch.
+Writing: tasks write batches, as they come, to files that are published together (``publish``);
+no task holds more than a batch.
 """
 
 from __future__ import annotations
@@ -17,30 +15,16 @@ from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Any
-from urllib.parse import unquote
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import types as T
-from pyspark.sql.datasource import (
-    DataSource,
-    DataSourceArrowWriter,
-    DataSourceReader,
-    InputPartition,
-    WriterCommitMessage,
-)
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition
+
+from tabbridge.sources.publish import THREADS, Publisher, Task, store_of
 
 NAME = "tabbridge_arrow"
 MAGIC = b"ARROW1"
 PARTITION_BYTES = 128 << 20
-_THREADS = 32
-
-
-def store_of(address: str) -> tuple[fs.FileSystem, str]:
-    """The file system of an address as Spark writes it, and the path in it."""
-    if address.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + unquote(address.removeprefix("file:")).lstrip("/")
-    return fs.FileSystem.from_uri(address)
 
 
 def spark_schema(schema: pa.Schema) -> T.StructType:
@@ -149,7 +133,7 @@ class _Reader(DataSourceReader):
         self.files, self.schema, self.partition_bytes = files, schema, partition_bytes
 
     def partitions(self) -> list[InputPartition]:
-        with ThreadPoolExecutor(_THREADS) as pool:
+        with ThreadPoolExecutor(THREADS) as pool:
             footers = list(pool.map(_footer, self.files))
         return plan_spans([(f, *x) for f, x in zip(self.files, footers)], self.partition_bytes) or [_Spans([])]
 
@@ -165,98 +149,48 @@ class _Reader(DataSourceReader):
                         yield from conform(batch, target)
 
 
-@dataclass
-class _Written(WriterCommitMessage):
-    """Files of one task: (path in the hidden folder, rows)."""
-
-    files: list[tuple[str, int]]
+class _Writer(Publisher):
+    """Batches as they come, in files of a set number of rows."""
 
+    suffix = "arrow"
 
-class _Writer(DataSourceArrowWriter):
     def __init__(self, address: str, schema: T.StructType, overwrite: bool, label: str, rows: int, times: list[str]):
-        self.address, self.overwrite, self.label, self.rows = address, overwrite, label, rows
+        super().__init__(address, overwrite, label)
+        self.rows = rows
         plain = arrow_schema(schema)
         self.target = pa.schema([f.with_type(pa.time32("s")) if f.name in times else f for f in plain])
 
-    @property
-    def _hidden(self) -> str:
-        return f".writing-{self.label}"
-
     def _conform(self, batch: pa.RecordBatch) -> pa.RecordBatch:
         columns = []
         for column, field in zip(batch.columns, self.target):
             columns.append(clock_times(column) if pa.types.is_time(field.type) else column.cast(field.type))
         return pa.RecordBatch.from_arrays(columns, schema=self.target)
 
-    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
-        from pyspark import TaskContext
-
-        context = TaskContext.get()
-        store, root = store_of(self.address)
-        store.create_dir(f"{root}/{self._hidden}", recursive=True)
-        done: list[tuple[str, int]] = []
-        sink = out = None
+    def fill(self, task: Task, batches: Iterator[pa.RecordBatch]) -> None:
+        slices = self._slices(map(self._conform, batches))
+        following = next(slices, None)
+        while following is not None:
+            with task.file() as (sink, rows), pa.ipc.new_file(sink, self.target) as out:
+                last = False
+                while following is not None and not last:
+                    batch, last = following
+                    out.write_batch(batch)
+                    rows.append(batch.num_rows)
+                    following = next(slices, None)
+
+    def _slices(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, bool]]:
+        """Batches cut where files end, and whether one ends with this piece."""
         held = 0
-        try:
-            for batch in map(self._conform, iterator):
-                while batch.num_rows:
-                    if out is None:
-                        name = f"{self._hidden}/{context.partitionId():06d}-{context.taskAttemptId()}-{len(done):04d}"
-                        sink = store.open_output_stream(f"{root}/{name}")
-                        out, held = pa.ipc.new_file(sink, self.target), 0
-                    head = batch.slice(0, self.rows - held)
-                    batch = batch.slice(head.num_rows)
-                    out.write_batch(head)
-                    held += head.num_rows
-                    if held >= self.rows:
-                        out.close(), sink.close()
-                        done.append((name, held))
-                        out = None
-            if out is not None:
-                out.close(), sink.close()
-                done.append((name, held))
-                out = None
-        finally:
-            if out is not None:
-                sink.close()
-        return _Written(done)
-
-    def _visible(self, store: fs.FileSystem, root: str) -> list[fs.FileInfo]:
-        found = store.get_file_info(fs.FileSelector(root))
-        return [f for f in found if not f.base_name.startswith((".writing-", f"part-{self.label}-"))]
-
-    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        store, root = store_of(self.address)
-        store.create_dir(root, recursive=True)
-        old = self._visible(store, root) if self.overwrite else []
-        staged = sorted((f for m in messages if m for f in m.files), key=lambda f: f[0])
-        places: list[tuple[str, str, int]] = []
-        number: dict[str, int] = {}
-        for path, rows in staged:
-            task = path.rsplit("/", 1)[1].split("-")[0]
-            number[task] = k = number.get(task, -1) + 1
-            places.append((path, f"part-{self.label}-{task}-{k:04d}.arrow", rows))
-        if not places:  # a file without batches keeps the columns
-            name = f"part-{self.label}-000000-0000.arrow"
-            with store.open_output_stream(f"{root}/{name}") as sink, pa.ipc.new_file(sink, self.target):
-                pass
-        with ThreadPoolExecutor(_THREADS) as pool:
-            list(pool.map(lambda p: store.move(f"{root}/{p[0]}", f"{root}/{p[1]}"), places))
-            list(pool.map(lambda f: store.delete_dir(f.path) if f.type == fs.FileType.Directory else store.delete_file(f.path), old))
-        with store.open_output_stream(f"{root}/.written-{self.label}") as listing:
-            listing.write(json.dumps([[name, rows] for _, name, rows in places]).encode())
-        self._discard(store, root)
-
-    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        store, root = store_of(self.address)
-        for found in store.get_file_info(fs.FileSelector(root, allow_not_found=True)):
-            if found.base_name.startswith(f"part-{self.label}-"):
-                store.delete_file(found.path)
-        self._discard(store, root)
-
-    def _discard(self, store: fs.FileSystem, root: str) -> None:
-        if store.get_file_info(f"{root}/{self._hidden}").type == fs.FileType.Directory:
-            store.delete_dir(f"{root}/{self._hidden}")
+        for batch in batches:
+            while batch.num_rows:
+                head = batch.slice(0, self.rows - held)
+                batch = batch.slice(head.num_rows)
+                held = (held + head.num_rows) % self.rows
+                yield head, not held
+
+    def empty(self, sink: pa.NativeFile) -> None:
+        with pa.ipc.new_file(sink, self.target):  # no batch, but the columns
+            pass
 
 
 def clock_times(column: pa.Array) -> pa.Array:
@@ -267,13 +201,6 @@ def clock_times(column: pa.Array) -> pa.Array:
     return stamps.cast(pa.int64()).cast(pa.int32()).cast(pa.time32("s"))
 
 
-def written(address: str, label: str) -> list[tuple[str, int]]:
-    """(file, rows) of a finished write."""
-    store, root = store_of(address)
-    with store.open_input_stream(f"{root}/.written-{label}") as listing:
-        return [tuple(entry) for entry in json.loads(listing.read())]
-
-
 class ArrowFiles(DataSource):
     """Options: ``files`` (JSON list) to read; ``path``, ``label``, ``rows`` and ``times`` to write."""
 

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tabbridge.functions.declared import require_flat
 from tabbridge.functions.names import col
-from tabbridge.functions.sizing import EXPORT_FILE_BYTES, file_rows_for
+from tabbridge.functions.sizing import EXPORT_FILE_BYTES
 from tabbridge.functions.text import (
     FIELD_SEPARATOR,
     NULL_TOKENS,
@@ -21,6 +21,7 @@ from tabbridge.functions.text import (
     quick_parse_sql,
     snapshot_text,
 )
+from tabbridge.sources.capped import save_csv
 
 REJECT_REASON = "reject_reason"
 
@@ -42,16 +43,7 @@ def write_delimited(
         if clean_breaks and isinstance(f.dataType, T.StringType):
             text = clean_line_breaks(text)
         cells.append(F.when(col(f.name).isNull(), F.lit(null_token)).otherwise(text).alias(f.name))
-    (
-        df.select(cells)
-        .write.option("header", True)
-        .option("sep", FIELD_SEPARATOR)
-        .option("escape", '"')
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-        .option("maxRecordsPerFile", file_rows_for(df.schema, max_file_bytes))
-        .csv(path)
-    )
+    save_csv(df.select(cells), path, max_file_bytes, {"sep": FIELD_SEPARATOR})
 
 
 def _raw(

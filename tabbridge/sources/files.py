@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from tabbridge.functions.declared import require_flat
 from tabbridge.functions.names import bare, require
 from tabbridge.operators.tables import project_by_name
-from tabbridge.sources import arrow_files
+from tabbridge.sources import arrow_files, publish
 
 SPARK_FORMATS = ("csv", "json", "parquet", "orc", "text")
 ARROW = "arrow"
@@ -95,15 +95,6 @@ def _arrow_format(spark: SparkSession) -> str:
     return arrow_files.NAME
 
 
-def _openable(address: str) -> bool:
-    """Whether Arrow's own file systems know the store of this address."""
-    try:
-        arrow_files.store_of(address)
-    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError, ImportError):
-        return False
-    return True
-
-
 def _read_cells(spark: SparkSession, paths: str | list[str], schema: T.StructType) -> DataFrame:
     """Files of a store that only Spark opens: each one is a cell, so files stay below 2 GB."""
     target = arrow_files.arrow_schema(schema)
@@ -137,7 +128,7 @@ def read_arrow(
     """
     paths = path if isinstance(path, str) else list(path)
     files = sorted(spark.read.format("binaryFile").load(paths).inputFiles())
-    if files and not _openable(files[0]):
+    if files and not publish.openable(files[0]):
         if schema is None:
             raise ValueError("files of this store need a declared schema")
         return _read_cells(spark, paths, schema)
@@ -150,20 +141,6 @@ def read_arrow(
     return reader.option("files", json.dumps(files)).option("partition_bytes", partition_bytes).load()
 
 
-def _prepare(spark: SparkSession, path: str, mode: str) -> tuple[str, bool]:
-    """The folder's address for executors, and whether to write, by Spark's save modes."""
-    if mode not in ("error", "errorifexists", "overwrite", "append", "ignore"):
-        raise ValueError(f"unknown save mode: {mode}")
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    address = store.makeQualified(folder).toString()
-    if not store.exists(folder) or mode in ("append", "overwrite"):
-        return address, True
-    if mode == "ignore":
-        return address, False
-    raise FileExistsError(f"{path} exists already")
-
-
 def write_arrow(
     df: DataFrame,
     path: str,
@@ -183,13 +160,13 @@ def write_arrow(
         raise ValueError("max_rows_per_file must be positive")
     require(df, time_columns)
     spark, label = df.sparkSession, uuid.uuid4().hex[:8]
-    address, wanted = _prepare(spark, path, mode)
+    address, wanted = publish.resolve(spark, path, mode)
     files: list[tuple[str, int]] = []
     if wanted:
         writer = df.write.format(_arrow_format(spark)).mode("overwrite" if mode == "overwrite" else "append")
         settings = {"label": label, "rows": max_rows_per_file, "times": json.dumps(list(time_columns))}
         writer.options(**settings).save(address)
-        files = arrow_files.written(address, label)
+        files = publish.written(address, label)
     return spark.createDataFrame(files, "file string, rows long")
 
 

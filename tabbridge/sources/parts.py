@@ -21,6 +21,7 @@ from tabbridge.functions.ordering import (
 from tabbridge.functions.predicates import Filter, where
 from tabbridge.functions.sizing import EXPORT_FILE_BYTES, file_rows_for
 from tabbridge.operators.tables import project_by_name
+from tabbridge.sources.capped import save_csv, save_parquet
 from tabbridge.sources.files import part_number
 
 
@@ -37,7 +38,8 @@ def export_parquet(
     """Projected, filtered, sorted export to numbered part files below a size cap.
 
     Sorted exports are range-partitioned, so the part number order is the row order
-    and no task sees the whole table. Unsorted exports are not shuffled.
+    and no task sees the whole table. Unsorted exports are not shuffled. The cap holds for
+    the bytes of the files (see ``capped``); on stores that only Spark opens it is planned.
     """
     rows, rules = where(df, filters), list(sort)
     if rules:
@@ -47,9 +49,8 @@ def export_parquet(
         rows = range_partition(rows, [*order_columns(rows, rules), col(TIE)]).drop(TIE)
     rows = project_by_name(rows, columns)
     require_flat(rows.schema)
-    rows.write.option(
-        "maxRecordsPerFile", file_rows_for(rows.schema, max_file_bytes)
-    ).parquet(path)
+    if not save_parquet(rows, path, max_file_bytes):
+        rows.write.option("maxRecordsPerFile", file_rows_for(rows.schema, max_file_bytes)).parquet(path)
 
 
 def read_parts(
@@ -89,16 +90,12 @@ def export_csv(
     """CSV with column names in every part. NULL is an empty cell, '' a quoted one."""
     rows = project_by_name(df, columns)
     require_flat(rows.schema)
-    (
-        rows.write.option("header", True)
-        .option("sep", column_separator or ",")
-        .option("lineSep", line_separator or "\n")
-        .option("escape", '"')
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-        .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss[.SSSSSS]")
-        .option("maxRecordsPerFile", file_rows_for(rows.schema, max_file_bytes))
-        .csv(path)
+    save_csv(
+        rows,
+        path,
+        max_file_bytes,
+        {"sep": column_separator or ",", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss[.SSSSSS]"},
+        line_separator or "\n",
     )
 
 

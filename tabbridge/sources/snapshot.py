@@ -14,6 +14,7 @@ from tabbridge.functions.declared import family, require_flat, warehouse_type
 from tabbridge.functions.names import col
 from tabbridge.functions.sizing import EXPORT_FILE_BYTES, file_rows_for
 from tabbridge.functions.text import FIELD_SEPARATOR, HEX_SHAPE, ROW_SEPARATOR, snapshot_text
+from tabbridge.sources.capped import save_lines
 
 
 def snapshot_ddl(schema: T.StructType, table: str, dialect: str = "mysql") -> str:
@@ -57,12 +58,10 @@ def write_snapshot(
 
     one_line(snapshot_ddl(df.schema, table, dialect).rstrip("\n"), "schema", "\n")
     one_line(FIELD_SEPARATOR.join(df.columns), "header", ROW_SEPARATOR)
-    (
-        df.select(F.concat_ws(FIELD_SEPARATOR, *[_cell(f) for f in df.schema.fields]))
-        .write.option("lineSep", ROW_SEPARATOR)
-        .option("maxRecordsPerFile", file_rows_for(df.schema, max_file_bytes))
-        .text(f"{path}/data")
-    )
+    lines = df.select(F.concat_ws(FIELD_SEPARATOR, *[_cell(f) for f in df.schema.fields]).alias("line"))
+    if not save_lines(lines, f"{path}/data", max_file_bytes, "txt", ROW_SEPARATOR):
+        writer = lines.write.option("lineSep", ROW_SEPARATOR)
+        writer.option("maxRecordsPerFile", file_rows_for(df.schema, max_file_bytes)).text(f"{path}/data")
 
 
 def _value(text: Column, data_type: T.DataType) -> Column:

@@ -130,10 +130,10 @@ def test_streams_and_footed_files_together(spark, path):
 
 
 def test_stores_that_only_spark_opens(spark, path, monkeypatch):
-    from tabbridge.sources import files
+    from tabbridge.sources import publish
 
     write_arrow(spark.range(20).selectExpr("id", "'x' AS s"), path)
-    monkeypatch.setattr(files, "_openable", lambda _: False)
+    monkeypatch.setattr(publish, "openable", lambda _: False)
     schema = spark.createDataFrame([], "id long").schema
     assert sorted(r["id"] for r in read_arrow(spark, path, schema).collect()) == list(range(20))
     with pytest.raises(ValueError, match="declared schema"):
