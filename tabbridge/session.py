@@ -70,6 +70,12 @@ def workspace(spark: SparkSession, tag: str) -> str:
 _staged: list[str] = []
 
 
+def staged_folder(spark: SparkSession, tag: str) -> str:
+    """A path below the shared folder that ``clear_staged`` removes."""
+    _staged.append(workspace(spark, tag))
+    return _staged[-1]
+
+
 def stage(df: DataFrame, tag: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and return the re-read table.
 
@@ -78,9 +84,8 @@ def stage(df: DataFrame, tag: str = "stage") -> DataFrame:
     kept until ``clear_staged``.
     """
     spark = df.sparkSession
-    path = workspace(spark, tag)
+    path = staged_folder(spark, tag)
     df.write.parquet(path)
-    _staged.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -92,7 +97,7 @@ def staging(df: DataFrame, tag: str = "stage") -> Iterator[DataFrame]:
         df.write.parquet(path)
         yield spark.read.schema(df.schema).parquet(path)
     finally:
-        _discard(spark, path)
+        discard(spark, path)
 
 
 @contextmanager
@@ -103,7 +108,7 @@ def staged_within(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in _staged[kept:]:
-            _discard(spark, path)
+            discard(spark, path)
             _staged.remove(path)
 
 
@@ -111,11 +116,11 @@ def clear_staged(spark: SparkSession) -> int:
     """Remove the folders this process has staged, once nothing reads them any more."""
     paths = _staged.copy()
     for path in paths:
-        _discard(spark, path)
+        discard(spark, path)
         _staged.remove(path)
     return len(paths)
 
 
-def _discard(spark: SparkSession, path: str) -> None:
+def discard(spark: SparkSession, path: str) -> None:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

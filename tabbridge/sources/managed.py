@@ -17,7 +17,7 @@ from tabbridge.functions.names import col, require
 from tabbridge.functions.predicates import Filter, literal, predicate
 from tabbridge.operators.positions import numbered
 from tabbridge.operators.stats import observed, observed_rows
-from tabbridge.session import forget_tables, isolated
+from tabbridge.session import discard, forget_tables, isolated
 from tabbridge.sources.files import CSV_NULL
 
 KEY_NAME = re.compile(r"^(pk|PK)_[0-9a-f]{5,10}$")
@@ -152,11 +152,6 @@ def _spec(spark: SparkSession, table: str) -> _Spec:
     return _Spec(told[-1], [c.name for c in spark.catalog.listColumns(table) if c.isPartition])
 
 
-def _discard(spark: SparkSession, path: str) -> None:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def _relocate(rows: DataFrame, table: str, location: str) -> None:
     """Write new content beside the table's files, then point the table at it.
 
@@ -174,7 +169,7 @@ def _relocate(rows: DataFrame, table: str, location: str) -> None:
         left = location
     finally:
         spark.sql(f"DROP TABLE {beside}")
-        _discard(spark, left)
+        discard(spark, left)
         spark.catalog.refreshTable(table)
 
 
