@@ -65,6 +65,66 @@ def dense_key(spark, sf):
     )
 
 
+@query(
+    "write_table_dense_key_rows",
+    """
+    SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice,
+           strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, o_orderpriority,
+           true AS key_in_load, 2 * (SELECT count(*) FROM orders) AS highest
+    FROM orders, (VALUES (0), (1)) twice(load)
+    """,
+)
+def dense_key_rows(spark, sf):
+    """Whole rows of two appends: a scan numbered by file and row, and rows behind a shuffle."""
+    table = f"{scratch_database(spark, 'keyed')}.orders"
+    orders = load(spark, sf, "orders")
+    n = write_table(orders, table, key="dense", key_name="pk_00001")
+    write_table(orders.repartition(5), table, key="dense")
+    rows = spark.table(table)
+    # every order once among the first keys and once among the others, no key twice
+    seen = rows.groupBy("o_orderkey").agg(F.count_if(F.col("pk_00001") <= n).alias("early"), F.count(F.lit(1)).alias("n"))
+    kept = rows.join(seen.where("early = 1 AND n = 2"), "o_orderkey", "left").withColumn("key_in_load", F.col("n").isNotNull())
+    highest = rows.agg(F.when(F.count_distinct("pk_00001") == F.max("pk_00001"), F.max("pk_00001"))).first()[0]
+    return kept.drop("early", "n", "pk_00001").withColumns(
+        {"o_orderdate": F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"), "highest": F.lit(highest)}
+    )
+
+
+@query(
+    "write_table_append_all",
+    """
+    SELECT * REPLACE (strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS l_shipdate), false AS job FROM lineitem
+    UNION ALL SELECT * REPLACE (strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS l_shipdate), true FROM lineitem
+    """,
+)
+def append_all(spark, sf):
+    """All of lineitem twice; the second write gives its columns in another order."""
+    table = f"{scratch_database(spark, 'append')}.{table_name('lineitem', 'job8')}"
+    lineitem = load(spark, sf, "lineitem")
+    write_table(lineitem.withColumn("job", F.lit(False)), table)
+    write_table(lineitem.select(F.lit(True).alias("job"), *reversed(lineitem.columns)), table)
+    return spark.table(table).withColumn("l_shipdate", F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query(
+    "truncate_table_reload",
+    """
+    SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, user_id, event_type, value, props,
+           0 AS left_after FROM events
+    """,
+)
+def truncated_reload(spark, sf):
+    """All events written, emptied and written again."""
+    table = f"{scratch_database(spark, 'emptied')}.events"
+    events = load(spark, sf, "events")
+    write_table(events, table)
+    truncate_table(spark, table)
+    left = spark.table(table).count()
+    write_table(events, table)
+    rows = spark.table(table).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    return rows.withColumn("left_after", F.lit(left).cast("int"))
+
+
 @query(
     "write_table_unique_key",
     "SELECT count(*) AS rows, count(*) AS different FROM orders",
@@ -263,6 +323,32 @@ def expire_events(spark, sf):
     return spark.table(table)
 
 
+@query(
+    "expire_by_date_all_columns",
+    """
+    SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, user_id, event_type, value, props, strftime(ts, '%Y%m%d') AS day
+    FROM events WHERE strftime(ts, '%Y%m%d') >= '20240111'
+    """,
+)
+def expire_all_columns(spark, sf):
+    table = f"{scratch_database(spark, 'expiry')}.events"
+    write_table(load(spark, sf, "events").withColumn("day", F.date_format("ts", "yyyyMMdd")), table, partition_by=["day"])
+    expire_partitions(spark, table, "day", "20240111")
+    return spark.table(table).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query(
+    "stream_append_all_columns",
+    "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, user_id, event_type, value, props FROM events",
+)
+def stream_all_columns(spark, sf):
+    source, target, marks = (workspace(spark, t) for t in ("arrivals", "stream", "marks"))
+    events = load(spark, sf, "events")
+    events.repartition(5, "user_id").write.parquet(source)
+    stream_append(spark, source, target, marks, events.schema, files_per_batch=2)
+    return appended(spark, target, events.schema).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+
+
 GENERATED_TYPES = [
     "int", "tinyint", "bigint", "double", "decimal", "varchar", "text", "date", "timestamp", "blob",
 ]

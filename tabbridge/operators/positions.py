@@ -9,6 +9,7 @@ from typing import Any, NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,6 +73,46 @@ def number_unordered(df: DataFrame, name: str, start: int = 1) -> DataFrame:
     return _place(stage(_with_row_id(df), "numbered"), name, start)
 
 
+# Plans in which a row of a file comes out at most once, and where it lies is known.
+_ROWWISE = {"Project", "Filter", "SubqueryAlias", "View", "LogicalRelation"}
+FILE, AT = "__file", "__at"
+
+
+def _scan_only(plan: Any) -> bool:
+    children = plan.children()
+    return (
+        plan.getClass().getSimpleName() in _ROWWISE
+        and plan.deterministic()
+        and all(_scan_only(children.apply(i)) for i in range(children.size()))
+    )
+
+
+def numbered_scan(df: DataFrame, name: str, start: int = 1) -> DataFrame | None:
+    """Dense numbers of the rows of a Parquet scan, by file and place in the file; nothing is staged.
+
+    The rows of each file are counted from the scan's own row indexes, which reads no column.
+    None if ``df`` is no such scan, or leaves rows out in the middle of a file.
+    """
+    if not _scan_only(df._jdf.queryExecution().analyzed()):
+        return None
+    try:
+        place = [F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(AT)]
+        counted = df.select(*place).groupBy(FILE).agg(F.count(F.lit(1)).alias("__n"), F.max(AT).alias("__last"))
+        files = counted.collect()
+    except AnalysisException:  # no file scan, or no Parquet
+        return None
+    if any(f["__n"] != f["__last"] + 1 for f in files):
+        return None
+    before, offsets = start, []
+    for f in sorted(files):
+        offsets.append((f[FILE], before))
+        before += f["__n"]
+    known = df.sparkSession.createDataFrame(offsets, f"{FILE} string, __before long")
+    rows = df.select(*[col(c) for c in df.columns], *place)
+    placed = rows.join(F.broadcast(known), FILE)
+    return placed.select(*[col(c) for c in df.columns], (col("__before") + col(AT)).alias(name))
+
+
 @contextmanager
 def numbered(df: DataFrame, name: str, start: int = 1) -> Iterator[DataFrame]:
     """``number_unordered`` for the length of a block; the staged rows go afterwards."""

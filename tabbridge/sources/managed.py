@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tabbridge.functions.declared import require_flat
 from tabbridge.functions.names import col, require
 from tabbridge.functions.predicates import Filter, literal, predicate
-from tabbridge.operators.positions import numbered
+from tabbridge.operators.positions import numbered, numbered_scan
 from tabbridge.operators.stats import observed, observed_rows
 from tabbridge.session import discard, forget_tables, isolated
 from tabbridge.sources.files import CSV_NULL
@@ -23,6 +23,7 @@ from tabbridge.sources.files import CSV_NULL
 KEY_NAME = re.compile(r"^(pk|PK)_[0-9a-f]{5,10}$")
 MAX_NAME_BYTES = 64
 RESULT_KEY = "_auto_id"
+KEY_KIND = "tabbridge.key"  # table property
 _AS = re.compile(r"\sas\s", re.IGNORECASE)
 
 
@@ -53,9 +54,10 @@ def write_table(
 ) -> int:
     """Create the table from the schema when it is missing, then append; returns the rows written.
 
-    ``key="dense"`` adds a surrogate key without gaps (one extra staging pass),
-    ``key="unique"`` a unique one in a single pass. An existing table keeps its key
-    column and continues after its largest key. ``partitions`` spreads the write over
+    ``key="dense"`` adds a surrogate key without gaps: rows of a plain Parquet scan are numbered
+    by their place in the files, others are staged once. ``key="unique"`` adds a unique one in
+    a single pass. An existing table keeps its key column and its kind of key, and
+    continues after its largest key. ``partitions`` spreads the write over
     that many tasks (``tier_partitions`` picks a number by table size).
     """
     if key not in (None, "dense", "unique"):
@@ -65,17 +67,45 @@ def write_table(
     if key is None:
         return _append(df, table, partition_by, partitions)
     known = _existing_key(spark, table)
+    kind = _key_kind(spark, table) if known else None
+    if kind not in (None, key):
+        raise ValueError(f"{table} has a {kind} key, not a {key} one")
     name = known or key_name or f"pk_{uuid.uuid4().hex[:5]}"
     top = spark.table(table).agg(F.max(col(name))).first()[0] if known else None
     start = (top or 0) + 1
     key_first = [col(name), *[col(c) for c in df.columns]]
+    written = _append_keyed(df, table, key, name, start, key_first, partition_by, partitions)
+    if kind is None:
+        spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ('{KEY_KIND}' = '{key}')")
+    return written
+
+
+def _append_keyed(
+    df: DataFrame,
+    table: str,
+    key: str,
+    name: str,
+    start: int,
+    key_first: list[Column],
+    partition_by: Sequence[str],
+    partitions: int | None,
+) -> int:
     if key == "unique":
         keyed = df.withColumn(name, F.monotonically_increasing_id() + F.lit(start))
         return _append(keyed.select(key_first), table, partition_by, partitions)
+    placed = numbered_scan(df, name, start)
+    if placed is not None:
+        return _append(placed.select(key_first), table, partition_by, partitions)
     with numbered(df, name, start) as keyed:
         return _append(keyed.select(key_first), table, partition_by, partitions)
 
 
+def _key_kind(spark: SparkSession, table: str) -> str | None:
+    """Kind of the table's surrogate key, as noted when it was made."""
+    told = spark.sql(f"SHOW TBLPROPERTIES {table}").where(F.col("key") == KEY_KIND).first()
+    return told["value"] if told else None
+
+
 def _append(
     df: DataFrame, table: str, partition_by: Sequence[str], partitions: int | None
 ) -> int:

@@ -36,6 +36,7 @@ from tabbridge.sources.assets import (
     read,
 )
 from tabbridge.sources.delimited import write_delimited
+from tabbridge.operators.positions import numbered_scan
 from tabbridge.sources.managed import (
     delete_where,
     rewrite_where,
@@ -87,6 +88,32 @@ def test_surrogate_key(spark, db, items, key):
         assert keys == list(range(1, 2001))
 
 
+def test_kinds_of_key_are_not_mixed(spark, db, items):
+    for first, second in (("dense", "unique"), ("unique", "dense")):
+        write_table(items, f"{db}.mixed_{first}", key=first)
+        with pytest.raises(ValueError, match=f"has a {first} key"):
+            write_table(items, f"{db}.mixed_{first}", key=second)
+        assert spark.table(f"{db}.mixed_{first}").count() == 1000
+
+
+def test_scans_are_numbered_by_file_and_row(spark, tmp_path):
+    folder = str(tmp_path / "rows")
+    spark.range(0, 5000, 1, 4).selectExpr("id", "id % 9 AS v", "concat('t', id) AS `a.b`").write.parquet(folder)
+    scan = spark.read.parquet(folder)
+    for df in (scan, scan.select("v", "id"), scan.where("id >= 0"), scan.withColumn("w", F.col("v") * 2)):
+        placed = numbered_scan(df, "n", 11)
+        assert placed.columns == [*df.columns, "n"]
+        assert sorted(r["n"] for r in placed.select("n").collect()) == list(range(11, 5011))
+    pairs = [(r["n"], r["id"]) for r in numbered_scan(scan, "n", 0).select("n", "id").collect()]
+    assert pairs == [(r["n"], r["id"]) for r in numbered_scan(scan, "n", 0).select("n", "id").collect()]
+    # rows left out, made anew or moved are no plain scan
+    for df in (scan.where("v <> 3"), scan.union(scan), scan.repartition(3), scan.limit(9), scan.sample(0.5), spark.range(5), scan.selectExpr("explode(array(id, v)) AS x")):
+        assert numbered_scan(df, "n") is None
+    scan.write.json(folder + "j")
+    assert numbered_scan(spark.read.json(folder + "j"), "n") is None
+    assert numbered_scan(spark.read.schema(scan.schema).parquet(folder).where("id < 0"), "n").count() == 0
+
+
 def test_nested_columns_are_refused(spark, db, sf):
     with pytest.raises(ValueError, match="embedding"):
         write_table(spark.read.parquet(f"{sf}/embeddings.parquet"), f"{db}.e")
