@@ -197,6 +197,58 @@ def delimited_splittable(spark, sf):
     return rows.withColumn("day", F.col("day").cast("string"))
 
 
+@query(
+    "read_delimited_multiline",
+    f"""
+    SELECT doc_id, trim(replace(replace(text, '. ', '.' || chr(13) || chr(10)), ' a', chr(10) || '"a"'), {_SPACES}) AS text, lang, source,
+           n_chars, true AS one_file, true AS several_tasks
+    FROM documents
+    """,
+)
+def delimited_multiline(spark, sf):
+    """All columns of documents in one file, with line breaks and quotes in most texts, read by several tasks."""
+    path = workspace(spark, "delimited")
+    broken = F.replace(F.replace(F.col("text"), F.lit(". "), F.lit(".\r\n")), F.lit(" a"), F.lit('\n"a"'))
+    documents = load(spark, sf, "documents").withColumn("text", broken)
+    write_delimited(documents.coalesce(1), path, max_file_bytes=1 << 40)
+    files = file_manifest(spark, path).where("path NOT LIKE '%/.%'").count()
+    rows = read_delimited(spark, path, documents.schema, block_bytes=100_000)
+    tasks = rows.rdd.getNumPartitions()
+    return rows.withColumns({"one_file": F.lit(files == 1), "several_tasks": F.lit(tasks > 1)})
+
+
+@query(
+    "load_good_rows_all_columns",
+    """
+    SELECT o_orderkey, CAST(o_custkey AS INTEGER) AS o_custkey, o_totalprice,
+           strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_orderstatus, o_orderpriority
+    FROM orders WHERE o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0
+    """,
+)
+def load_good_rows_all(spark, sf):
+    schema = T.StructType([*ORDER_TEXT.fields, T.StructField("o_orderstatus", T.StringType()), T.StructField("o_orderpriority", T.StringType())])
+    good = load_with_rejects(spark, _text_with_bad_cells(spark, sf, whole=True), schema).good
+    return good.withColumn("o_orderdate", F.col("o_orderdate").cast("string"))
+
+
+@query(
+    "load_rejects_all_columns",
+    """
+    SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey,
+           CASE WHEN o_orderkey % 11 = 0 THEN 'c' ELSE '' END || o_custkey AS o_custkey,
+           CAST(o_totalprice AS VARCHAR) AS o_totalprice,
+           CASE WHEN o_orderkey % 13 = 0 THEN '1998-02-30' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS o_orderdate,
+           o_orderstatus, o_orderpriority,
+           concat_ws(',', CASE WHEN o_orderkey % 11 = 0 THEN 'o_custkey' END,
+                     CASE WHEN o_orderkey % 13 = 0 THEN 'o_orderdate' END) AS reject_reason
+    FROM orders WHERE o_orderkey % 11 = 0 OR o_orderkey % 13 = 0
+    """,
+)
+def load_rejects_all(spark, sf):
+    schema = T.StructType([*ORDER_TEXT.fields, T.StructField("o_orderstatus", T.StringType()), T.StructField("o_orderpriority", T.StringType())])
+    return load_with_rejects(spark, _text_with_bad_cells(spark, sf, whole=True), schema).rejects
+
+
 @query(
     "read_delimited_lineitem",
     """
@@ -224,7 +276,7 @@ ORDER_TEXT = T.StructType(
 )
 
 
-def _text_with_bad_cells(spark, sf):
+def _text_with_bad_cells(spark, sf, whole=False):
     """Every 11th customer key is not a number, every 13th date is not a date."""
     path = workspace(spark, "load")
     orders = load(spark, sf, "orders").select(
@@ -236,6 +288,7 @@ def _text_with_bad_cells(spark, sf):
         F.when(F.col("o_orderkey") % 13 == 0, "1998-02-30")
         .otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
         .alias("o_orderdate"),
+        *(["o_orderstatus", "o_orderpriority"] if whole else []),
     )
     write_delimited(orders, path)
     return path

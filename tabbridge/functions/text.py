@@ -130,7 +130,12 @@ def parse_sql(trimmed: str, data_type: T.DataType) -> str:
         return f"IF({trimmed} RLIKE r'{HEX_SHAPE}', unhex({trimmed}), NULL)"
     if isinstance(data_type, (T.FloatType, T.DoubleType)):
         return f"IF({trimmed} RLIKE r'{FLOAT_SHAPE}', {cast}, NULL)"
-    if isinstance(data_type, (T.DecimalType, T.IntegralType)):
+    if isinstance(data_type, T.DecimalType):
+        p, s = data_type.precision, data_type.scale
+        wide = f"try_cast({trimmed} AS decimal(38, {38 - p + s}))"
+        cut = f"try_cast(IF(d < 0, ceil(d, {s}), floor(d, {s})) AS {kind})"
+        return f"transform(array({wide}), d -> {cut})[0]"
+    if isinstance(data_type, T.IntegralType):
         return cast
     raise ValueError(f"unsupported column type: {kind}")
 
@@ -142,6 +147,11 @@ def quick_parse_sql(cell: str, data_type: T.DataType) -> str | None:
     """
     cast = f"try_cast({cell} AS {data_type.simpleString()})"
     dashes = f"substr({cell}, 5, 1) = '-' AND substr({cell}, 8, 1) = '-'"
+    if isinstance(data_type, T.DecimalType):
+        # surplus decimals are cut, and an exponent moves the point: both are left to ``parse_sql``
+        point = f"instr({cell}, '.')"
+        plain = f"({point} = 0 OR length({cell}) - {point} <= {data_type.scale}) AND instr(lower({cell}), 'e') = 0"
+        return f"IF(right({cell}, 1) BETWEEN '0' AND '9' AND {plain}, {cast}, NULL)"
     if isinstance(data_type, T.NumericType):
         # a failed cast is slow, and most text that is no number ends in another sign
         return f"IF(right({cell}, 1) BETWEEN '0' AND '9', {cast}, NULL)"

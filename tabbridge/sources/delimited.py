@@ -22,6 +22,7 @@ from tabbridge.functions.text import (
     snapshot_text,
 )
 from tabbridge.sources.capped import save_csv
+from tabbridge.sources.records import BLOCK_BYTES, read_cells, splittable
 
 REJECT_REASON = "reject_reason"
 
@@ -47,8 +48,16 @@ def write_delimited(
 
 
 def _raw(
-    spark: SparkSession, path: str | Sequence[str], schema: T.StructType, multiline: bool, sep: str
+    spark: SparkSession, path: str | Sequence[str], schema: T.StructType, multiline: bool, sep: str, block_bytes: int
 ) -> DataFrame:
+    """Cells as text. Text with line breaks in cells is read by many tasks of a file, too."""
+    paths = path if isinstance(path, str) else list(path)
+    if multiline:
+        listed = spark.read.format("binaryFile").load(paths).select("path", "length").collect()
+        files = [(r["path"], r["length"]) for r in listed]
+        if splittable([name for name, _ in files]):
+            options = {"sep": sep, "escape": '"', "mode": "PERMISSIVE"}
+            return read_cells(spark, files, schema.fieldNames(), options, block_bytes)
     text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
     return (
         spark.read.schema(text)
@@ -58,7 +67,7 @@ def _raw(
         .option("escape", '"')
         .option("multiLine", multiline)
         .option("mode", "PERMISSIVE")
-        .csv(path if isinstance(path, str) else list(path))
+        .csv(paths)
     )
 
 
@@ -111,13 +120,15 @@ def read_delimited(
     null_policy: str = "sql",
     multiline: bool = True,
     sep: str = FIELD_SEPARATOR,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Typed load that fails on the first cell that does not fit its type.
 
     The header of every part is skipped and columns go by position; short rows end in
-    missing cells, surplus cells are dropped. Missing cells are NULL, with
-    ``null_policy="csv"`` '' in text columns. ``multiline=False`` allows splitting of
-    parts that hold no line breaks inside cells.
+    missing cells, surplus cells are dropped, surplus decimals are cut. Missing cells are NULL,
+    with ``null_policy="csv"`` '' in text columns. Parts are split between tasks also where
+    cells hold line breaks (see ``records``); ``multiline=False`` states that none does, which
+    saves counting quotes first.
     """
     if null_policy not in ("sql", "csv"):
         raise ValueError("null_policy must be 'sql' or 'csv'")
@@ -128,7 +139,7 @@ def read_delimited(
         if null_policy == "csv" and isinstance(f.dataType, T.StringType):
             value = f"coalesce({value}, '')"
         out.append(f"{value} AS {_quote(f.name)}")
-    return _raw(spark, path, schema, multiline, sep).selectExpr(*out)
+    return _raw(spark, path, schema, multiline, sep, block_bytes).selectExpr(*out)
 
 
 class Load(NamedTuple):
@@ -144,6 +155,7 @@ def load_with_rejects(
     schema: T.StructType,
     multiline: bool = True,
     sep: str = FIELD_SEPARATOR,
+    block_bytes: int = BLOCK_BYTES,
 ) -> Load:
     """Typed load that keeps unparsable rows apart instead of failing.
 
@@ -151,7 +163,7 @@ def load_with_rejects(
     parse. The three counters are observed on ``rows``, so one write of ``rows``
     yields data, rejects and counters in a single pass.
     """
-    raw = _raw(spark, path, schema, multiline, sep)
+    raw = _raw(spark, path, schema, multiline, sep, block_bytes)
     names = [_quote(f.name) for f in schema.fields]
     typed = [_typed_sql(f, "NULL") for f in schema.fields]
     parsed = raw.selectExpr(
