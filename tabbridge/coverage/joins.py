@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tabbridge.coverage.registry import load, query
 from tabbridge.operators import joins
+from tabbridge.session import isolated
 
 
 def _sides(spark, sf):
@@ -102,7 +103,52 @@ def join_outer_hot_keys(spark, sf):
         .select("kind", F.lit("known").alias("note"))
         .unionByName(spark.createDataFrame([("absent", "extra")], "kind string, note string"))
     )
-    return joins.join(events, kinds, ["kind"], "outer", hot_rows=1)
+    return joins.join(events, kinds, ["kind"], "outer", hot_rows=1000)
+
+
+_SKEWED_SQL = """
+    WITH l AS (SELECT CAST(CASE WHEN l_orderkey % 3 = 0 THEN 0 ELSE l_orderkey END AS INTEGER) AS k, l_linenumber, l_partkey,
+                      l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus,
+                      strftime(l_shipdate, '%Y-%m-%d') AS l_shipdate FROM lineitem WHERE l_orderkey % 7 <> 1),
+         o AS (SELECT o_orderkey AS k, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate,
+                      o_orderpriority FROM orders WHERE o_orderkey % 5 <> 2)
+"""
+
+
+def _skewed_outer(spark, sf, how):
+    """A third of lineitem has one key, and neither side may be broadcast."""
+    own = isolated(spark)
+    own.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    key = F.when(F.col("l_orderkey") % 3 == 0, 0).otherwise(F.col("l_orderkey")).cast("int")
+    lineitem = load(own, sf, "lineitem").where("l_orderkey % 7 <> 1").withColumn("k", key).drop("l_orderkey")
+    orders = load(own, sf, "orders").where("o_orderkey % 5 <> 2").withColumnRenamed("o_orderkey", "k")
+    both = joins.join(lineitem, orders, ["k"], how, hot_rows=1000, from_scan=True)
+    plan = both._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    rows = both.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("l_shipdate", "o_orderdate")})
+    return rows.withColumn("scans", F.lit(plan.count("FileScan")))
+
+
+@query("join_outer_skewed", _SKEWED_SQL + "SELECT *, 2 AS scans FROM l FULL JOIN o USING (k)")
+def join_outer_skewed(spark, sf):
+    return _skewed_outer(spark, sf, "outer")
+
+
+@query("join_right_skewed", _SKEWED_SQL + "SELECT *, 2 AS scans FROM l RIGHT JOIN o USING (k)")
+def join_right_skewed(spark, sf):
+    return _skewed_outer(spark, sf, "right")
+
+
+@query(
+    "in_file_filter_all_columns",
+    """
+    SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_orderpriority
+    FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')
+    """,
+)
+def in_file_all_columns(spark, sf):
+    keys = load(spark, sf, "customer").where("c_mktsegment = 'BUILDING'")
+    kept = joins.in_file_filter(load(spark, sf, "orders"), "o_custkey", keys, "c_custkey")
+    return kept.withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd"))
 
 
 @query(

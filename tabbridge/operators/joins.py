@@ -7,14 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tabbridge.functions.names import col, require
 from tabbridge.functions.ordering import SortRule
-from tabbridge.functions.sizing import row_bytes
 from tabbridge.functions.text import hash_key
 from tabbridge.operators.tables import project_by_name, sort_table
 
@@ -29,9 +28,8 @@ JOIN_TYPES = {
 HOT_SHARE = 0.05
 HOT_ROWS = 1_000_000  # a key with fewer rows fits a task, whatever its share
 TRACKED_KEYS = 10_000
-BROADCAST_BYTES = 64 * 1024 * 1024
 
-_HASH = "__key_hash"
+_HASH, _LEFT, _RIGHT = "__key_hash", "__left", "__right"
 
 
 def join_type(name: str) -> str:
@@ -44,37 +42,35 @@ def _key_hash(on: Sequence[str]) -> Column:
 
 def _align_keys(
     left: DataFrame, right: DataFrame, on: Sequence[str]
-) -> tuple[DataFrame, DataFrame] | None:
-    """Both sides with keys that hash alike when they are equal.
-
-    Integer keys of different widths are widened. None when the key types leave
-    equality and hash apart (fractions, or two different kinds of type).
-    """
+) -> tuple[DataFrame, DataFrame]:
+    """Both sides with keys of one type, so that every kind of join gives the same columns."""
     for name in on:
         a, b = left.schema[name].dataType, right.schema[name].dataType
-        if isinstance(a, T.FractionalType) or isinstance(b, T.FractionalType):
-            return None
-        if a == b:
-            continue
-        if not (isinstance(a, T.IntegralType) and isinstance(b, T.IntegralType)):
-            return None
-        left = left.withColumn(name, col(name).cast("long"))
-        right = right.withColumn(name, col(name).cast("long"))
+        if a != b:
+            either = F.coalesce(F.lit(None).cast(a), F.lit(None).cast(b)).alias("k")
+            common = left.sparkSession.range(0).select(either).schema["k"].dataType
+            left, right = (side.withColumn(name, col(name).cast(common)) for side in (left, right))
     return left, right
 
 
-def hot_key_hashes(
+class HotKey(NamedTuple):
+    key: tuple
+    parts: int  # tasks its rows are dealt to
+
+
+def hot_keys(
     df: DataFrame, on: Sequence[str], share: float = HOT_SHARE, rows: int = HOT_ROWS
-) -> list[int]:
-    """Hashes of the keys that hold at least ``share`` of the rows, and ``rows`` of them.
+) -> list[HotKey]:
+    """Keys that hold about ``share`` of the rows at least, and ``rows`` of them.
 
-    One pass over the key columns with a mergeable frequent-items sketch; what comes
-    back is at most 1/share values. The answer only routes rows, so a sketch error
-    cannot change a result.
+    One pass over the key columns with a mergeable frequent-items sketch of their hashes, and
+    one that gives the keys of these few hashes. Every key returned occurs in ``df``; a sketch
+    error makes the list longer or shorter, which cannot change a join.
     """
     top = int(1 / share) + 1
+    known = df.select([col(n) for n in on]).dropna()
     found = (
-        df.select(_key_hash(on).alias(_HASH))
+        known.select(_key_hash(on).alias(_HASH))
         .agg(
             F.expr(f"approx_top_k({_HASH}, {top}, {TRACKED_KEYS})").alias("top"),
             F.count(F.lit(1)).alias("n"),
@@ -82,48 +78,35 @@ def hot_key_hashes(
         .first()
     )
     least = max(rows, share * found["n"])
-    return [t["item"] for t in found["top"] or [] if t["count"] >= least]
-
+    parts = {t["item"]: -(-t["count"] // rows) + 1 for t in found["top"] or [] if t["count"] >= least}
+    if not parts:
+        return []
+    keys = known.where(_key_hash(on).isin(list(parts))).withColumn(_HASH, _key_hash(on)).distinct().collect()
+    return [HotKey(tuple(r[n] for n in on), parts[r[_HASH]]) for r in keys]
 
-def _fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
-    size = df.agg(F.sum(row_bytes(df.schema) + 16).alias("b")).first()["b"]
-    return (size or 0) <= limit
 
+def _is_key(df: DataFrame, on: Sequence[str], key: tuple) -> Column:
+    same = [col(n) == F.lit(v).cast(df.schema[n].dataType) for n, v in zip(on, key)]
+    return reduce(lambda a, b: a & b, same)
 
-def _pad(rows: DataFrame, like: DataFrame) -> DataFrame:
-    """``rows`` with NULL in every column of ``like`` that it lacks."""
-    have = set(rows.columns)
-    return rows.select(
-        [
-            col(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name)
-            for f in like.schema.fields
-        ]
-    )
 
+def _parts(df: DataFrame, on: Sequence[str], hot: Sequence[HotKey]) -> Column:
+    """Tasks that the rows of a row's key are dealt to: 1 unless it is hot."""
+    out = F.lit(1)
+    for h in hot:
+        out = F.when(F.coalesce(_is_key(df, on, h.key), F.lit(False)), F.lit(h.parts)).otherwise(out)
+    return out
 
-def _hot_part(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:
-    """The join of the rows with hot keys.
 
-    Matches are an inner join: the smaller side is broadcast when its measured size
-    allows, so the other side is not shuffled at all; otherwise it is a shuffled inner
-    join, whose hot partitions AQE can split on both sides. Rows without a match are
-    found with the distinct hot keys of the other side, a handful of rows.
-    """
-    if _fits_broadcast(right):
-        both = left.join(F.broadcast(right), list(on), "inner")
-    elif _fits_broadcast(left):
-        both = F.broadcast(left).join(right, list(on), "inner")
-    else:
-        both = left.join(right, list(on), "inner")
-    parts = [both]
-    keys = [col(n) for n in on]
-    if how in ("left", "outer"):
-        known = right.select(*keys).distinct()
-        parts.append(_pad(left.join(F.broadcast(known), list(on), "left_anti"), both))
-    if how in ("right", "outer"):
-        known = left.select(*keys).distinct()
-        parts.append(_pad(right.join(F.broadcast(known), list(on), "left_anti"), both))
-    return reduce(DataFrame.unionByName, parts)
+def _salted(
+    df: DataFrame, on: Sequence[str], own: Sequence[HotKey], other: Sequence[HotKey], names: tuple[str, str], spread: Column
+) -> DataFrame:
+    """Rows dealt to the parts of their own hot key, and a copy for each part of the other side's."""
+    dealt = df.withColumn(names[0], F.pmod(spread, _parts(df, on, own)).cast("int"))
+    if not other:
+        return dealt.withColumn(names[1], F.lit(0))
+    copies = F.sequence(F.lit(0), _parts(df, on, other) - 1)
+    return dealt.select("*", F.explode(copies).alias(names[1]))
 
 
 def join(
@@ -133,28 +116,42 @@ def join(
     how: str = "inner",
     hot_share: float | None = HOT_SHARE,
     hot_rows: int = HOT_ROWS,
+    *,
+    from_scan: bool = False,
 ) -> DataFrame:
-    """Join on equally named columns; each key column appears once.
+    """Join on equally named columns; each key column appears once, in the common type.
 
     Broadcast or sort-merge is left to the optimizer, which also splits the hot
-    partitions of an inner join. An outer join cannot be split on its optional side,
-    so keys with at least ``hot_share`` of a side's rows, and ``hot_rows`` of them, are
-    looked up first and joined on their own. ``hot_share=None`` skips the lookup.
+    partitions of an inner join. An outer join cannot be split on its optional side. So keys
+    with at least ``hot_share`` of a side's rows, and ``hot_rows`` of them, are looked up first,
+    their rows are dealt to several parts, and the other side's few rows of such a key are
+    copied to each part. All of it is one join, which reads each side once: a row meets
+    every match in exactly one part, and a copy that meets none is dropped, since its key
+    is known to be on the other side. ``hot_share=None`` skips the lookup.
+
+    Rows are dealt by their content; ``from_scan=True`` states that both sides are file scans
+    and row-wise steps, and deals them by number, which parts equal rows, too.
     """
     on, how = require(left, on), join_type(how)
     require(right, on)
-    aligned = _align_keys(left, right, on)
-    if how == "inner" or hot_share is None or aligned is None:
+    left, right = _align_keys(left, right, on)
+    if how == "inner" or hot_share is None:
         return left.join(right, on, how)
-    left, right = aligned
-    hot = sorted(
-        {h for side in (left, right) for h in hot_key_hashes(side, on, hot_share, hot_rows)}
-    )
-    if not hot:
+    hot_left, hot_right = (hot_keys(side, on, hot_share, hot_rows) for side in (left, right))
+    if not hot_left and not hot_right:
         return left.join(right, on, how)
-    is_hot = _key_hash(on).isin(hot)
-    cold = left.where(~is_hot).join(right.where(~is_hot), on, how)
-    return cold.unionByName(_hot_part(left.where(is_hot), right.where(is_hot), on, how))
+
+    def spread(side: DataFrame) -> Column:
+        return F.monotonically_increasing_id() if from_scan else F.xxhash64(*[col(c) for c in side.columns])
+
+    salts = ["__i", "__j"]
+    a = _salted(left, on, hot_left, hot_right, ("__i", "__j"), spread(left)).withColumn(_LEFT, F.lit(True))
+    b = _salted(right, on, hot_right, hot_left, ("__j", "__i"), spread(right)).withColumn(_RIGHT, F.lit(True))
+    both = a.join(b, [*on, *salts], how)
+    # a row alone is a copy whose matches are in other parts, if its key is hot on the other side
+    lone_left = col(_RIGHT).isNull() & (_parts(both, on, hot_right) > 1)
+    lone_right = col(_LEFT).isNull() & (_parts(both, on, hot_left) > 1)
+    return both.where(~(lone_left | lone_right)).drop(*salts, _LEFT, _RIGHT)
 
 
 def add_hash_column(

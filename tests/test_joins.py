@@ -47,23 +47,59 @@ def test_join_equals_brute_force(sides, how, share):
     assert rows(got) == brute(left_rows, right_rows, how)
 
 
+@pytest.mark.parametrize("scan", [True, False])
 @pytest.mark.parametrize("how", ["left", "right", "outer"])
-def test_hot_join_without_broadcast(sides, how, monkeypatch):
-    monkeypatch.setattr(joins, "_fits_broadcast", lambda df: False)
+def test_hot_join_without_broadcast(spark, sides, how, scan):
     left, right, left_rows, right_rows = sides
-    assert rows(joins.join(left, right, ["k"], how, hot_rows=1)) == brute(left_rows, right_rows, how)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = joins.join(left, right, ["k"], how, hot_rows=5, from_scan=scan)
+        assert rows(got) == brute(left_rows, right_rows, how)
+        plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("SortMergeJoin") == 1 and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("how", ["left", "right", "outer"])
+def test_keys_that_are_hot_on_both_sides_or_only_one(spark, how):
+    """Parts of one side times parts of the other; a hot key the other side lacks; equal rows."""
+    left = [(1, 7)] * 40 + [(1, i) for i in range(30)] + [(2, i) for i in range(50)] + [(9, 1), (None, 2)]
+    right = [(1, -i) for i in range(45)] + [(3, 5)] * 60 + [(9, 1), (9, 2), (None, 3)]
+    a = spark.createDataFrame(left, "k int, l int").repartition(4)
+    b = spark.createDataFrame(right, "k int, r int").repartition(4)
+    assert {h.key: h.parts for h in joins.hot_keys(a, ["k"], 0.1, 10)} == {(1,): 8, (2,): 6}
+    for scan in (True, False):
+        assert rows(joins.join(a, b, ["k"], how, 0.1, 10, from_scan=scan)) == brute(left, right, how)
+
+
+def test_hot_text_and_fraction_keys(spark):
+    a = spark.createDataFrame([("x", 0.0, i) for i in range(30)] + [("y", float("nan"), 1)] * 9, "s string, f double, l int")
+    b = spark.createDataFrame([("x", -0.0, 1), ("y", float("nan"), 2), ("z", 1.0, 3)], "s string, f double, r int")
+    got = joins.join(a, b, ["s", "f"], "outer", 0.05, 4)
+    plain = joins.join(a, b, ["s", "f"], "outer", None)
+    assert list(map(repr, rows(got))) == list(map(repr, rows(plain))) and got.count() == 40
+
+
+def test_key_types_are_equal_for_all_kinds(spark):
+    a = spark.createDataFrame([(1, 2.5, "a")], "k int, f float, l string")
+    b = spark.createDataFrame([(1, 2.5, "b")], "k long, f double, r string")
+    for how in ("inner", "left", "right", "outer"):
+        for share in (None, 0.05):
+            got = joins.join(a, b, ["k", "f"], how, share, 1)
+            assert got.dtypes[:2] == [("k", "bigint"), ("f", "double")] and rows(got) == [(1, 2.5, "a", "b")]
 
 
 def test_hot_keys_are_found(sides):
-    left, _, _, _ = sides
-    hot = joins.hot_key_hashes(left, ["k"], 0.1, 1)
-    want = {r[0] for r in left.where("k = 1 OR k IS NULL").selectExpr("xxhash64(k)").collect()}
-    assert set(hot) == want
+    left, _, left_rows, _ = sides
+    (found,) = joins.hot_keys(left, ["k"], 0.1, 1)
+    assert found.key == (1,) and found.parts == sum(k == 1 for k, _ in left_rows) + 1
 
 
 def test_small_groups_are_not_hot(sides):
     left, _, _, _ = sides
-    assert joins.hot_key_hashes(left, ["k"]) == []
+    assert joins.hot_keys(left, ["k"]) == []
+    assert joins.hot_keys(left.where("k IS NULL"), ["k"], 0.1, 1) == []
 
 
 def test_join_type_names():
