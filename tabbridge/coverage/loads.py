@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from tabbridge.coverage.registry import load, query, scratch_database
 from tabbridge.functions.names import col
+from tabbridge.operators import datagen
 from tabbridge.operators.datagen import generate_rows, generate_schema
 from tabbridge.plans.housekeeping import expire_partitions
 from tabbridge.plans.imports import Target, import_by_key_range, import_table, import_targets
@@ -361,11 +362,62 @@ def _generated(spark, sf):
     return generate_rows(ids, schema, seed=7, today=GENERATED_DAY), schema
 
 
-@query("generate_rows")
+def _mixed_sql(number: str) -> str:
+    """``datagen.mix`` in SQL; a lambda binds the number, which each round uses twice."""
+    for shift, factor in zip((16, 15), datagen.MIX):
+        number = f"list_transform([{number}], lambda x: (xor(x, x >> {shift}) * {factor}) & 4294967295)[1]"
+    return f"list_transform([{number}], lambda x: xor(x, x >> 16))[1]"
+
+
+def _word_sql(column: str, what: str = "value", counter: str = "0", seed: int = 7) -> str:
+    key = datagen.stream_key(seed, column, what)
+    first = _mixed_sql(f"xor(id & 4294967295, {key}::BIGINT)")
+    return _mixed_sql(f"({first} + (id >> 32) + ({counter}) * {datagen.STEP}) & 4294967295")
+
+
+def _below_sql(column: str, limit: int, what: str = "value") -> str:
+    return f"(({_word_sql(column, what)} * {limit}) >> 32)"
+
+
+def _value_sql(f: T.StructField) -> str:
+    name, declared, size = f.name, f.metadata["declared"].split("(")[0], f.metadata["max_size"]
+    bounds = {"INT": 1 << 31, "TINYINT": 128}
+    if declared in bounds:
+        return _below_sql(name, bounds[declared])
+    if declared == "BIGINT":
+        return f"greatest(({_word_sql(name)} >> 1) * 4294967296 + {_word_sql(name, counter='1')}, 1)"
+    if declared == "DOUBLE":
+        return f"(({_word_sql(name)} >> 5) * 67108864 + ({_word_sql(name, counter='1')} >> 6))::DOUBLE / 9007199254740992 * 1000"
+    if declared == "DECIMAL":
+        return f"({_below_sql(name, 100_000)} / 100.0)::DECIMAL(10,2)"
+    day = f"DATE '{GENERATED_DAY}'"
+    if declared == "DATE":
+        return f"strftime({day} - {_below_sql(name, datagen.DAYS)}::INTEGER, '%Y-%m-%d')"
+    if declared == "TIMESTAMP":
+        return f"strftime({day}::TIMESTAMP - to_seconds({_below_sql(name, datagen.DAYS * 86_400)}), '%Y-%m-%d %H:%M:%S')"
+    places = f"range({_below_sql(name, size, 'length')} + 1)"
+    word = _word_sql(name, counter="k")
+    if declared == "BLOB":
+        return f"md5(unhex(array_to_string(list_transform({places}, lambda k: printf('%02X', {word} & 255)), '')))"
+    return f"array_to_string(list_transform({places}, lambda k: substr('{datagen.LETTERS}', (({word} * 62) >> 32)::INTEGER + 1, 1)), '')"
+
+
+def _generated_sql() -> str:
+    values = []
+    for f in generate_schema(11, GENERATED_TYPES, max_size=64, seed=7).fields[1:]:
+        value = _value_sql(f)
+        if f.nullable:
+            value = f"CASE WHEN {_below_sql(f.name, 100, 'null')} >= {datagen.NULL_PERCENT} THEN {value} END"
+        values.append(f"{value} AS {f.name}")
+    return f"SELECT id, {', '.join(values)} FROM (SELECT o_orderkey AS id FROM orders)"
+
+
+@query("generate_rows", _generated_sql())
 def generated(spark, sf):
+    """Every value of every row, recomputed in SQL."""
     rows, schema = _generated(spark, sf)
-    binary = [f.name for f in schema.fields if isinstance(f.dataType, T.BinaryType)]
-    return rows.withColumns({n: F.md5(col(n)) for n in binary})
+    forms = {T.BinaryType: F.md5, T.DateType: lambda c: F.date_format(c, "yyyy-MM-dd"), T.TimestampNTZType: lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")}
+    return rows.withColumns({f.name: forms[type(f.dataType)](col(f.name)) for f in schema.fields if type(f.dataType) in forms})
 
 
 @query(

@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import datetime as dt
+import decimal
 import random
-from collections.abc import Sequence
+import zlib
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tabbridge.functions.declared import declared_type
 from tabbridge.functions.names import col, require
-from tabbridge.functions.predicates import literal
 
 NULLABLE_SHARE = 0.3
 NULL_PERCENT = 10
@@ -138,6 +142,27 @@ def _max_size(declared: str) -> int:
     return 0
 
 
+# What a type name that no template has is taken for, by what it holds; first match.
+_GUESSES = (
+    (("int",), None),
+    (("char",), "VARCHAR(255)"),
+    (("text",), "TEXT"),
+    (("decimal", "numeric"), "DECIMAL(10,2)"),
+    (("date", "time"), "DATETIME"),
+)
+
+
+def _template(name: str, templates: dict[str, str]) -> str:
+    """Declared type for a template's type name; unknown names are guessed."""
+    name = name.strip().lower()
+    if name in templates:
+        return templates[name]
+    for parts, declared in _GUESSES:
+        if any(part in name for part in parts):
+            return declared or templates["int"]
+    return "VARCHAR(255)"
+
+
 def generate_schema(
     fields: int,
     types: Sequence[str] = (),
@@ -154,7 +179,7 @@ def generate_schema(
     if fields < 1:
         raise ValueError(f"a schema needs at least one field, not {fields}")
     templates = TEMPLATES[dialect]
-    pool = [templates.get(t.strip().lower(), "VARCHAR(255)") for t in types] or POOLS[dialect]
+    pool = [_template(t, templates) for t in types] or POOLS[dialect]
     out = [T.StructField("id", T.LongType(), False, {"declared": "BIGINT", "max_size": 0})]
     for i in range(1, fields):
         declared = pool[(i - 1) % len(pool)] if types else rng.choice(pool)
@@ -174,33 +199,58 @@ def generate_schema(
     return T.StructType(out)
 
 
-def _draw(column: str, what: str, seed: int, below: int) -> Column:
-    """A number in [0, below) fixed by the id."""
-    mixed = F.xxhash64(F.lit(seed), F.lit(column), F.lit(what), col("id"))
-    return F.pmod(mixed, F.lit(below).cast("long"))
+_WORD = np.uint64(0xFFFFFFFF)
+# Odd multipliers below 2^31, so that every product of the mixer fits 63 bits, in SQL as well.
+MIX = (0x7FEB352D, 0x297A2D39)
+STEP = 0x3C6EF35F
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 
 
-def _blocks(column: str, seed: int, count: Column, bits: int) -> Column:
-    """``count`` hashed blocks of ``bits``, as one hex text."""
-    stem = F.concat(F.lit(f"{seed}:{column}:"), col("id").cast("string"), F.lit(":"))
-    blocks = F.transform(
-        F.sequence(F.lit(1), count), lambda i: F.sha2(F.concat(stem, i.cast("string")), bits)
-    )
-    return F.array_join(blocks, "")
+def mix(x: np.ndarray) -> np.ndarray:
+    """Spread the bits of 32-bit numbers."""
+    for shift, factor in zip((16, 15), MIX):
+        x = ((x ^ (x >> np.uint64(shift))) * np.uint64(factor)) & _WORD
+    return x ^ (x >> np.uint64(16))
 
 
-def _letters(column: str, seed: int, length: Column) -> Column:
-    """Letters and digits: base64 of hashed blocks (64 letters each) without its two signs."""
-    count = F.floor((length + 63) / 64).cast("int")
-    text = F.base64(F.unhex(_blocks(column, seed, count, 384)))
-    for sign, letter in (("+", "a"), ("/", "Z"), ("\r\n", "")):
-        text = F.replace(text, F.lit(sign), F.lit(letter))
-    return F.substring(text, F.lit(1), length)
+def stream_key(seed: int, column: str, what: str) -> int:
+    """Number of the stream of draws for one use in one column."""
+    return zlib.crc32(f"{seed}:{column}:{what}".encode())
+
+
+class Draws:
+    """Numbers that depend on the seed, the column, the use, the id and a counter only.
+
+    ``mix(mix(low ^ key) + high + counter * STEP)``, modulo 2^32, where low and high are the
+    halves of the id: no state goes from row to row, so rows may be made anywhere in any order.
+    """
 
+    def __init__(self, ids: np.ndarray, seed: int, column: str):
+        self.ids, self.seed, self.column = ids.view(np.uint64), seed, column
 
-def _bytes(column: str, seed: int, length: Column) -> Column:
-    text = _blocks(column, seed, F.floor((length + 63) / 64).cast("int"), 512)
-    return F.unhex(F.substring(text, F.lit(1), length * 2))
+    def word(self, what: str, counter: int | np.ndarray = 0, rows: np.ndarray | None = None) -> np.ndarray:
+        """32-bit numbers for all rows, or for ``rows`` (with a counter each)."""
+        ids = self.ids if rows is None else self.ids[rows]
+        key = np.uint64(stream_key(self.seed, self.column, what))
+        steps = np.asarray(counter, np.uint64) * np.uint64(STEP)
+        return mix((mix((ids & _WORD) ^ key) + (ids >> np.uint64(32)) + steps) & _WORD)
+
+    def below(self, limit: int, what: str = "value") -> np.ndarray:
+        """Numbers from 0 to ``limit`` - 1; the limit is at most 2^31."""
+        return ((self.word(what) * np.uint64(limit)) >> np.uint64(32)).astype(np.int64)
+
+    def pieces(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Lengths from 1 to ``size``, and a 32-bit number for each place of all rows."""
+        lengths = self.below(size, "length") + 1
+        rows = np.repeat(np.arange(len(lengths)), lengths)
+        place = np.arange(len(rows)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        return lengths, self.word("value", place, rows)
+
+
+def _text_array(lengths: np.ndarray, data: np.ndarray, kind: pa.DataType) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    buffers = [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())]
+    return pa.Array.from_buffers(kind, len(lengths), buffers)
 
 
 # Exclusive upper bounds of generated integers, by declared type.
@@ -213,34 +263,54 @@ _INTEGER_BOUNDS = {
 }
 
 
-def _value(f: T.StructField, seed: int, today: dt.date) -> Column:
+def _values(f: T.StructField, draws: Draws, today: dt.date) -> pa.Array:
     declared = f.metadata["declared"].split("(")[0]
     size = f.metadata["max_size"] or 255
+    if declared in _INTEGER_BOUNDS:
+        return pa.array(draws.below(_INTEGER_BOUNDS[declared]))
+    if declared == "BIGINT":
+        high, low = draws.word("value"), draws.word("value", 1)
+        return pa.array(np.maximum(((high >> np.uint64(1)) << np.uint64(32) | low).astype(np.int64), 1))
+    if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+        high, low = draws.word("value") >> np.uint64(5), draws.word("value", 1) >> np.uint64(6)
+        return pa.array(((high << np.uint64(26)) | low).astype(np.float64) / float(1 << 53) * 1000)
+    if isinstance(f.dataType, T.DecimalType):
+        cents = pa.array(draws.below(100_000)).cast(pa.decimal128(20, 0))
+        return pc.divide(cents.cast(pa.decimal128(22, 2)), pa.scalar(decimal.Decimal(100), pa.decimal128(3, 0)))
+    if isinstance(f.dataType, T.BinaryType):
+        lengths, words = draws.pieces(size)
+        return _text_array(lengths, words.astype(np.uint8), pa.binary())
+    if isinstance(f.dataType, T.StringType):
+        lengths, words = draws.pieces(size)
+        letters = np.frombuffer(LETTERS.encode(), np.uint8)
+        return _text_array(lengths, letters[(words * np.uint64(len(LETTERS))) >> np.uint64(32)], pa.string())
+    midnight = np.datetime64(today, "D")
+    if declared in ("DATE", "DATETIME"):
+        days = pa.array(midnight - draws.below(DAYS).astype("timedelta64[D]"))
+        return days if isinstance(f.dataType, T.DateType) else days.cast(pa.timestamp("us"))
+    seconds = midnight.astype("datetime64[s]") - draws.below(DAYS * 86_400).astype("timedelta64[s]")
+    return pa.array(seconds).cast(pa.timestamp("us"))
 
-    def draw(below: int, what: str = "value") -> Column:
-        return _draw(f.name, what, seed, below)
 
-    if declared in _INTEGER_BOUNDS:
-        value = draw(_INTEGER_BOUNDS[declared])
-    elif declared == "BIGINT":
-        value = draw((1 << 63) - 1) + 1
-    elif isinstance(f.dataType, (T.FloatType, T.DoubleType)):
-        value = draw(1 << 53) / F.lit(float(1 << 53)) * 1000
-    elif isinstance(f.dataType, T.DecimalType):
-        value = draw(100_000).cast(T.DecimalType(20, 2)) / F.lit(100).cast(T.DecimalType(3, 0))
-    elif isinstance(f.dataType, T.BinaryType):
-        value = _bytes(f.name, seed, (draw(size, "length") + 1).cast("int"))
-    elif isinstance(f.dataType, T.StringType):
-        value = _letters(f.name, seed, (draw(size, "length") + 1).cast("int"))
-    elif declared in ("DATE", "DATETIME"):
-        value = F.date_sub(F.lit(today), draw(DAYS).cast("int"))
-    else:
-        start = literal(dt.datetime.combine(today, dt.time()))
-        value = F.timestamp_add("SECOND", -draw(DAYS * 86400).cast("int"), start)
-    value = value.cast(f.dataType)
-    if f.nullable:
-        value = F.when(_draw(f.name, "null", seed, 100) >= NULL_PERCENT, value)
-    return value
+def _fill(schema: T.StructType, seed: int, today: dt.date):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target = to_arrow_schema(schema)
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            columns = []
+            for f, kind in zip(schema.fields, target):
+                if f.name == "id":
+                    columns.append(batch.column(0))
+                    continue
+                draws = Draws(ids, seed, f.name)
+                values = _values(f, draws, today).cast(kind.type)
+                if f.nullable:
+                    keep = pa.array(draws.below(100, "null") >= NULL_PERCENT)
+                    values = pc.if_else(keep, values, pa.scalar(None, kind.type))
+                columns.append(values)
+            yield pa.RecordBatch.from_arrays(columns, names=target.names)
+
+    return rows
 
 
 def generate_rows(
@@ -248,16 +318,11 @@ def generate_rows(
 ) -> DataFrame:
     """One row per id of ``ids`` (a frame with a BIGINT ``id``), filled by type.
 
-    The result does not depend on the partitioning. NULL in 10 % of nullable values.
+    Values are drawn by counters (see ``Draws``), a batch of rows at a time, so they depend on
+    nothing but the seed, the column and the id. NULL in 10 % of nullable values.
     """
     require(ids, ["id"])
-    today = today or dt.date.today()
-    return ids.select(
-        [
-            col("id") if f.name == "id" else _value(f, seed, today).alias(f.name)
-            for f in schema.fields
-        ]
-    )
+    return ids.select(col("id").cast("long").alias("id")).mapInArrow(_fill(schema, seed, today or dt.date.today()), schema)
 
 
 def generate_table(

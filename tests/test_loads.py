@@ -1,11 +1,13 @@
 import datetime as dt
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tabbridge.coverage.registry import scratch_database
 from tabbridge.functions.names import ColumnsNotFound
+from tabbridge.operators import datagen
 from tabbridge.operators.datagen import generate_schema, generate_table
 from tabbridge.operators.positions import number_unordered
 from tabbridge.operators.stats import LoadFailed
@@ -419,6 +421,44 @@ def test_generated_schema():
         assert generate_schema(16, dialect=dialect) == generate_schema(16, dialect=dialect)
 
 
+def test_unknown_type_names_are_guessed():
+    names = ["hugeint", "nchar", "longtext", "numeric2", "timetz", "geometry", " INT ", "nvarchar2"]
+    for dialect, number in (("mysql", "INT"), ("kingbase", "INTEGER")):
+        schema = generate_schema(9, names, dialect)
+        declared = [f.metadata["declared"] for f in schema.fields[1:]]
+        assert declared == [number, "VARCHAR(255)", "TEXT", "DECIMAL(10,2)", "DATETIME", "VARCHAR(255)", number, "VARCHAR(255)"]
+
+
+def test_generated_values_keep_their_rules(spark):
+    """Every type of every dialect, with ids at both ends of the range."""
+    ids = spark.createDataFrame([(i,) for i in [0, 1, -1, 2**63 - 1, -(2**63), 2**32, *range(500, 900)]], "id long")
+    day = dt.date(2024, 2, 29)
+    for dialect, templates in datagen.TEMPLATES.items():
+        schema = generate_schema(len(templates) + 1, list(templates), dialect, seed=3)
+        rows = datagen.generate_rows(ids, schema, 3, day).collect()
+        assert len(rows) == 406
+        for f in schema.fields[1:]:
+            values = [r[f.name] for r in rows if r[f.name] is not None]
+            assert len(values) > 330 and len(set(values)) > 60, f
+            size = f.metadata["max_size"]
+            if isinstance(values[0], (str, bytes, bytearray)):
+                assert 1 <= min(map(len, values)) and max(map(len, values)) <= size
+            elif isinstance(values[0], dt.datetime):
+                assert dt.datetime(2023, 3, 1) <= min(values) and max(values) <= dt.datetime(2024, 2, 29)
+            elif isinstance(values[0], dt.date):
+                assert dt.date(2023, 3, 1) <= min(values) and max(values) <= day
+            else:
+                assert min(values) >= 0
+
+
+def test_draws_are_even():
+    draws = datagen.Draws(np.arange(200_000), 5, "c")
+    for limit in (2, 10, 100):
+        counts = np.bincount(draws.below(limit), minlength=limit)
+        assert abs(counts / (200_000 / limit) - 1).max() < 0.12
+    assert len(np.unique(draws.word("value"))) > 199_000 and abs(np.corrcoef(draws.word("a"), draws.word("b"))[0, 1]) < 0.01
+
+
 def test_generated_rows_do_not_depend_on_partitioning(spark):
     schema = generate_schema(16, dialect="mysql", seed=5)
     day = dt.date(2024, 7, 1)
