@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tabbridge.functions.names import col
 from tabbridge.functions.sizing import row_bytes, size_tier
+from tabbridge.sources.footers import footer_facts
 
 TIERS = (100_000, 10_000_000, 100_000_000)
 _STATISTICS = re.compile(r"(?P<bytes>\d+) bytes, (?P<rows>\d+) rows")
@@ -25,6 +26,10 @@ def estimate_size(df: DataFrame, factor: float = 1.0) -> DataFrame:
     facts = df.select(row_bytes(df.schema).alias("b")).agg(
         F.count(F.lit(1)).alias("rows"), F.sum("b").alias("bytes")
     )
+    return _sized(facts, factor)
+
+
+def _sized(facts: DataFrame, factor: float) -> DataFrame:
     average = F.when(col("rows") > 0, F.expr("bytes div rows")).otherwise(F.lit(0))
     size = col("avg_row_bytes") * col("rows") * F.lit(float(factor))
     return facts.withColumn("avg_row_bytes", average.cast("long")).select(
@@ -58,14 +63,18 @@ def table_info(
     exact: bool = True,
     tiers: tuple[int, int, int] = TIERS,
     factor: float = 1.0,
+    measure: str = "footers",
 ) -> DataFrame:
     """One row per table: record count, byte size, columns, size tier.
 
     ``tables`` are DataFrames by name, or names of managed tables. Exact mode counts
     rows and reports size 0. Otherwise a managed table's catalog statistics are used
-    when it has rows in them, and the size is estimated as in ``estimate_size`` for
-    the rest.
+    when it has rows in them. Sizes of the rest are estimated from the footers of Parquet
+    files, which reads no rows; with ``measure="rows"``, and for other frames, every row is
+    measured as in ``estimate_size``.
     """
+    if measure not in ("footers", "rows"):
+        raise ValueError("measure must be 'footers' or 'rows'")
     if not tables:
         raise ValueError("no tables given")
     named = isinstance(tables, Mapping)
@@ -78,11 +87,14 @@ def table_info(
         known = None if named else catalog_statistics(spark, name)
         if known and known[0] > 0:
             return spark.createDataFrame([known], "record_count long, record_size long")
-        return estimate_size(df, factor).select(
+        told = footers.get(name)
+        sized = _sized(spark.createDataFrame([told], "rows long, bytes long"), factor) if told else estimate_size(df, factor)
+        return sized.select(
             col("rows").alias("record_count"), col("table_bytes").alias("record_size")
         )
 
     frames = tables if named else {name: spark.table(name) for name in tables}
+    footers = {} if exact or measure == "rows" else footer_facts(frames)
     return reduce(
         DataFrame.unionByName,
         [_info_row(facts(n, df), n, df.columns, tiers) for n, df in frames.items()],

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tabbridge.coverage.registry import scratch_database
 from tabbridge.operators.stats import (
@@ -14,6 +15,7 @@ from tabbridge.operators.stats import (
     table_info,
     validate_row_count,
 )
+from tabbridge.sources.footers import footer_facts
 
 
 @pytest.mark.parametrize(
@@ -104,3 +106,44 @@ def test_reconcile(spark):
     assert reconcile_counts("t", 50, observed_rows(watch)) == 50
     with pytest.raises(RowCountMismatch, match="expected 51 rows, delivered 50"):
         reconcile_counts("t", 51, 50)
+
+
+def test_estimates_from_footers_read_no_row_group(spark, tmp_path):
+    """The pages are overwritten, the footers stay: counts and sizes still come out."""
+    import pyarrow.parquet as pq
+
+    folder = tmp_path / "t"
+    df = spark.range(0, 4000, 1, 3).selectExpr("id", "CAST(id % 5 AS INT) AS small", "if(id % 4 = 0, NULL, id * 1.5D) AS x", "sha2(CAST(id AS STRING), 256) AS text", "array(id, id) AS two")
+    df.write.parquet(str(folder))
+    for file in folder.glob("*.parquet"):
+        raw = bytearray(file.read_bytes())
+        start = len(raw) - 8 - int.from_bytes(raw[-8:-4], "little")
+        raw[4:start] = bytes(start - 4)
+        file.write_bytes(raw)
+        crc = file.parent / f".{file.name}.crc"
+        crc.unlink(missing_ok=True)
+        assert pq.read_metadata(file).num_rows > 0
+    rows = spark.read.parquet(str(folder))
+    with pytest.raises(Exception):
+        rows.agg(F.sum("id")).collect()
+    fixed = table_info({"t": rows.select("id", "small", "x", "two")}, exact=False).first()
+    assert (fixed["record_count"], fixed["record_size"]) == (4000, (4000 * 12 + 3000 * 8 + 8000 * 8) // 4000 * 4000)
+    whole = table_info({"t": rows}, exact=False).first()
+    assert 200_000 < whole["record_size"] - fixed["record_size"] < 4000 * 70
+
+
+def test_frames_that_are_no_plain_table_are_measured(spark, tmp_path):
+    folder = str(tmp_path / "t")
+    spark.range(100).selectExpr("id", "CAST(id AS STRING) AS t").write.parquet(folder)
+    scan = spark.read.parquet(folder)
+    assert {n: f[0] for n, f in footer_facts({"a": scan, "b": scan.select("t"), "c": scan.limit(1)}).items()} == {"a": 100, "b": 100}
+    for df in (scan.where("id > 5"), scan.selectExpr("id + 1 AS id"), scan.limit(3), scan.union(scan), spark.range(4), scan.distinct()):
+        assert footer_facts({"t": df}) == {}
+        assert table_info({"t": df}, exact=False).first()["record_count"] == df.count()
+    scan.write.json(folder + "j")
+    assert footer_facts({"t": spark.read.json(folder + "j")}) == {}
+    scan.write.saveAsTable("footer_table")
+    assert table_info(["footer_table"], exact=False).first()["record_count"] == 100
+    spark.sql("DROP TABLE footer_table")
+    with pytest.raises(ValueError, match="measure"):
+        table_info({"t": scan}, exact=False, measure="guess")
