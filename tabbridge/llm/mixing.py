@@ -15,8 +15,8 @@ copies by priority sampling: the fractional part of a rate is weighed against a
 document, and the cut of a source is the hash priority at which its tokens meet the target.
 
 Defined results: a null text has size 0; null is a source of its own; documents of size 0
-have rate 1; a source without tokens has target 0; rows that repeat a document id and size
-share their hash and are rounded alike; an empty table gives no rows. Columns of the input
+have rate 1; a source without tokens has target 0; rows that repeat a document id and size are
+numbered, and each is rounded by itself; an empty table gives no rows. Columns of the input
 named like a result column are not read.
 """
 
@@ -106,7 +106,9 @@ def solve_tilts(
         F.lit(1.0).alias("error"),
     )
     state = tables.put(start)
-    for _ in range(_LIMIT):
+    for step in range(_LIMIT + 1):
+        if step == _LIMIT:
+            raise RuntimeError(f"the mix has not converged in {_LIMIT} steps")
         r, u = rate(cap), F.col("size") / F.col("mean_size")
         sums = (
             histogram.join(state.where("not full"), "key")
@@ -154,9 +156,35 @@ def solve_tilts(
     return state
 
 
+def number_repeats(rows: DataFrame, tables: Scratch) -> DataFrame:
+    """``rows`` with ``repeat``: 0, or the number of a row among those of its (doc_id, size).
+
+    Numbers run on over the partitions a group lies in, so no task sees more of a group than
+    one partition holds of it, or one count for each partition. Which of a group's equal rows
+    has which number does not matter.
+    """
+    same = ["doc_id", "size"]
+    groups = tables.put(rows.groupBy(*same).agg(F.count("*").alias("n")).where("n > 1").select(*[F.col(c).alias(f"of_{c}") for c in same]))
+    if not groups.limit(1).count():
+        return rows.withColumn("repeat", F.lit(0).cast("long"))
+    is_one = F.col("doc_id").eqNullSafe(F.col("of_doc_id")) & (F.col("size") == F.col("of_size"))
+    marked = rows.withColumn("part", F.spark_partition_id()).join(groups.withColumn("many", F.lit(True)), is_one, "left")
+    marked = marked.drop("of_doc_id", "of_size")
+    many = tables.put(marked.where("many").drop("many"))  # both uses see the same parts
+    earlier = Window.partitionBy(*same).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = many.groupBy(*same, "part").agg(F.count("*").alias("n")).select(
+        *[F.col(c).alias(f"of_{c}") for c in same], F.col("part").alias("of_part"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")
+    )
+    at = F.row_number().over(Window.partitionBy(*same, "part").orderBy(F.lit(0))) - 1
+    placed = many.withColumn("at", at).join(counts, is_one & (F.col("part") == F.col("of_part")))
+    numbered = placed.withColumn("repeat", F.col("before") + F.col("at")).select(*rows.columns, "repeat")
+    single = marked.where("many IS NULL").withColumn("repeat", F.lit(0).cast("long")).select(*rows.columns, "repeat")
+    return single.unionByName(numbered)
+
+
 def priority(seed: int) -> Column:
     """Hash of the row in (0, 1) over the fractional part of its rate; null if that is 0."""
-    draw = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size")).bitwiseAND(F.lit((1 << 52) - 1))
+    draw = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"), F.col("repeat")).bitwiseAND(F.lit((1 << 52) - 1))
     part = F.col("rate") - F.floor("rate")
     return F.when((F.col("size") > 0) & (part > 0), (draw + F.lit(0.5)) / F.lit(float(1 << 52)) / part)
 
@@ -217,12 +245,13 @@ def plan_mix(
     cap: float = 2.0,
     seed: int = 0,
 ) -> tuple[DataFrame, DataFrame]:
-    """(rows, sources): staged (doc_id, source, size, key) and what each source was given."""
+    """(rows, sources): staged (doc_id, source, size, key, repeat) and what each source was given."""
     rows = tables.put(
         docs.select("doc_id", "source", word_count(F.col("text")).alias("size")).withColumn(
             "key", source_key(F.col("source"))
         )
     )
+    rows = tables.put(number_repeats(rows, tables))
     targets = source_targets(rows, tables, weights, share, cap)
     tilts = solve_tilts(rows, targets, tables, cap)
     rated = rows.join(tilts, "key").withColumn("rate", rate(cap)).withColumn("priority", priority(seed))
@@ -232,7 +261,7 @@ def plan_mix(
 
 
 def copies(sized: DataFrame, sources: DataFrame, cap: float = 2.0, seed: int = 0) -> DataFrame:
-    """Rows with doc_id, size and key, plus their source's figures, ``rate`` and ``copies``.
+    """Rows with doc_id, size, key and repeat, plus their source's figures, ``rate`` and ``copies``.
 
     A rate of exactly ``cap`` is whole; otherwise the fraction's copy is given below the cut.
     """
@@ -261,7 +290,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
             word_count(F.col("text")).alias("size"),
             source_key(F.col("source")).alias("key"),
         )
-        dealt = copies(packed, sources, **own)
+        dealt = copies(number_repeats(packed, tables), sources, **own)
         return result(
             dealt.withColumn("copy", F.explode(F.sequence(F.lit(1), F.greatest("copies", F.lit(1)))))
             .where(F.col("copies") > 0)
