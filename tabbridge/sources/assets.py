@@ -7,15 +7,17 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabbridge.functions.declared import ColumnInfo, conform, declared_type
+from tabbridge.functions.names import col
 from tabbridge.functions.ordering import SortRule
 from tabbridge.functions.predicates import Filter
 from tabbridge.operators.tables import read_table
 from tabbridge.sources.delimited import read_delimited
 from tabbridge.sources.files import file_format, read_files
-from tabbridge.sources.jdbc import Connection, read_jdbc
+from tabbridge.sources.jdbc import Connection, count_jdbc, key_bounds_jdbc, read_jdbc
 from tabbridge.sources.managed import table_name
 from tabbridge.sources.snapshot import read_snapshot
 
@@ -88,6 +90,19 @@ class Asset:
             rows = read_files(spark, self.place, fmt, declared)
         return conform(rows, list(self.columns), self.dialect) if self.columns else rows
 
+    def count(self, spark: SparkSession) -> int:
+        """Number of rows; a relational table is counted inside its source."""
+        if self.kind == "jdbc" and self.connection is not None:
+            return count_jdbc(spark, self.connection, self.place)
+        return self.open(spark).count()
+
+    def key_bounds(self, spark: SparkSession, key: str) -> tuple[int | None, int | None]:
+        """Smallest and largest value of an integer key; of a relational table, by its source."""
+        if self.kind == "jdbc" and self.connection is not None:
+            return key_bounds_jdbc(spark, self.connection, self.place, key)
+        low, high = self.open(spark).agg(F.min(col(key)), F.max(col(key))).first()
+        return low, high
+
     def _declared(self) -> T.StructType:
         schema = self.schema()
         if schema is None:

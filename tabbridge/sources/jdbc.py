@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -35,6 +36,9 @@ POSTGRES_TLS = {1: "require", 2: "verify-ca", 3: "verify-full"}
 MAX_CONNECTIONS = 64  # parallel readers on one source database
 
 
+_PART = re.compile(r"""(`[^`]*`|"[^"]*")(?:\.|$)|([^.]+)(?:\.|$)""")
+
+
 @dataclass(frozen=True)
 class Tls:
     level: int = 1
@@ -94,9 +98,34 @@ class Connection:
                     ]
         return options + [f"{k}={v}" for k, v in tls.extra.items()]
 
+    @property
+    def mark(self) -> str:
+        """The dialect's quote mark of identifiers."""
+        return '"' if self.scheme in ("kingbase8", "vastbase") else "`"
+
     def quote(self, name: str) -> str:
-        mark = '"' if self.scheme in ("kingbase8", "vastbase") else "`"
-        return mark + bare(name).replace(mark, mark * 2) + mark
+        """One identifier; dots belong to the name."""
+        return self.mark + bare(name).replace(self.mark, self.mark * 2) + self.mark
+
+    def quote_table(self, name: str) -> str:
+        """A table name, with the names of its schema or database before dots.
+
+        A part that stands in quote marks keeps its dots.
+        """
+        parts = [a or b for a, b in _PART.findall(name.strip())]
+        if not parts or any(not bare(p) for p in parts):
+            raise ValueError(f"not a table name: {name!r}")
+        return ".".join(map(self.quote, parts))
+
+    def ansi_quotes(self) -> dict[str, str]:
+        """Options that make a source take ``"`` for identifiers, as Spark writes them.
+
+        Spark knows the quote marks of some products only; for the others it uses ``"``, which a
+        source of the MySQL family reads as text unless the session is told otherwise.
+        """
+        if self.scheme != "gbase":
+            return {}
+        return {"sessionInitStatement": "SET SESSION sql_mode = CONCAT(@@sql_mode, ',ANSI_QUOTES')"}
 
     def options(self) -> dict[str, str]:
         return {
@@ -104,6 +133,7 @@ class Connection:
             "driver": self.driver,
             "user": self.user,
             "password": self.password,
+            **self.ansi_quotes(),
         }
 
 
@@ -146,17 +176,52 @@ def read_jdbc(
         return spark.read.format("jdbc").options(**options, **more).load()
 
     if key is None:
-        return project_by_name(load(dbtable=connection.quote(table)), columns)
-    quoted = connection.quote(key)
-    bounds = load(
-        query=f"SELECT MIN({quoted}) AS low, MAX({quoted}) AS high FROM {connection.quote(table)}"
-    ).select(F.col("low").cast("long"), F.col("high").cast("long")).first()
+        return project_by_name(load(dbtable=_source_table(connection, table)), columns)
+    bounds = load(query=bounds_query(connection, table, key)).select(F.col("low").cast("long"), F.col("high").cast("long")).first()
     ranged = (
         range_options(key, bounds[0], bounds[1], batch_rows, max_connections)
         if bounds[0] is not None
         else {}
     )
-    return project_by_name(load(dbtable=connection.quote(table), **ranged), columns)
+    return project_by_name(load(dbtable=_source_table(connection, table), **ranged), columns)
+
+
+def bounds_query(connection: Connection, table: str, key: str) -> str:
+    """Smallest and largest key, computed inside the source."""
+    mark = _source_mark(connection)
+    quoted = mark + bare(key).replace(mark, mark * 2) + mark
+    return f"SELECT MIN({quoted}) AS low, MAX({quoted}) AS high FROM {_source_table(connection, table)}"
+
+
+def count_query(connection: Connection, table: str) -> str:
+    """Number of rows, computed inside the source."""
+    return f"SELECT COUNT(*) AS n FROM {_source_table(connection, table)}"
+
+
+def _source_mark(connection: Connection) -> str:
+    """The mark that holds in a session with the connection's options."""
+    return '"' if connection.ansi_quotes() else connection.mark
+
+
+def _source_table(connection: Connection, table: str) -> str:
+    return connection.quote_table(table).replace(connection.mark, _source_mark(connection))
+
+
+def count_jdbc(spark: SparkSession, connection: Connection, table: str, **extra: str) -> int:
+    """Rows of a relational table; only the number leaves the source."""
+    options = {**connection.options(), **extra}
+    rows = spark.read.format("jdbc").options(**options, query=count_query(connection, table)).load()
+    return int(rows.first()[0])
+
+
+def key_bounds_jdbc(
+    spark: SparkSession, connection: Connection, table: str, key: str, **extra: str
+) -> tuple[int | None, int | None]:
+    """Smallest and largest value of an integer key, computed inside the source."""
+    options = {**connection.options(), **extra}
+    rows = spark.read.format("jdbc").options(**options, query=bounds_query(connection, table, key)).load()
+    low, high = rows.select(F.col("low").cast("long"), F.col("high").cast("long")).first()
+    return low, high
 
 
 def write_jdbc(
@@ -172,7 +237,7 @@ def write_jdbc(
     (
         df.write.format("jdbc")
         .options(**connection.options(), **extra)
-        .option("dbtable", connection.quote(table))
+        .option("dbtable", _source_table(connection, table))
         .option("batchsize", batch_rows)
         .option("numPartitions", max_connections)
         .mode(mode)
