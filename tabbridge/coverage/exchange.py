@@ -10,7 +10,7 @@ from tabbridge.functions.text import FIELD_SEPARATOR, ROW_SEPARATOR
 from tabbridge.operators.stats import load_verdict
 from tabbridge.operators.tables import project_by_name
 from tabbridge.plans.imports import load_delimited
-from tabbridge.session import workspace
+from tabbridge.session import isolated, workspace
 from tabbridge.sources.delimited import (
     load_counters,
     load_with_rejects,
@@ -489,9 +489,11 @@ def load_arrow_columns(spark, sf):
 )
 def arrow_files_split(spark, sf):
     """Files of many batches: several tasks read one file, and the manifest counts every row."""
-    path = workspace(spark, "arrow")
-    manifest = write_arrow(load(spark, sf, "lineitem").coalesce(2), path, max_rows_per_file=10_000_000)
-    rows = read_arrow(spark, path, load(spark, sf, "lineitem").schema, partition_bytes=1 << 20)
+    path, own = workspace(spark, "arrow"), isolated(spark)
+    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+    manifest = write_arrow(load(own, sf, "lineitem").coalesce(2), path, max_rows_per_file=10_000_000)
+    size = file_manifest(spark, path).where("path LIKE '%.arrow'").agg(F.sum("size")).first()[0]
+    rows = read_arrow(spark, path, load(spark, sf, "lineitem").schema, partition_bytes=size // 5)
     split = rows.rdd.getNumPartitions() > manifest.count()
     written = manifest.groupBy().sum("rows").first()[0]
     return rows.withColumns({"files_split": F.lit(split), "written": F.lit(written)})
