@@ -23,7 +23,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter
 from tabbridge.functions.names import col
 from tabbridge.functions.sizing import file_rows_for
 from tabbridge.sources.arrow_files import arrow_schema
-from tabbridge.sources.publish import Publisher, Task, openable, resolve
+from tabbridge.sources.publish import Publisher, Task, openable, register, resolve
 
 NAME = "tabbridge_capped"
 GROUP_BYTES = 16 << 20
@@ -178,9 +178,9 @@ def _save(df: DataFrame, path: str, cap: int, **options: str) -> bool:
     address, _ = resolve(spark, path, "error")
     if not openable(address):
         return False
-    spark.dataSource.register(CappedFiles)
+    form = register(spark, CappedFiles)
     settings = {"label": uuid.uuid4().hex[:8], "cap": str(cap), **options}
-    df.write.format(NAME).mode("append").options(**settings).save(address)
+    df.write.format(form).mode("append").options(**settings).save(address)
     return True
 
 

@@ -91,8 +91,7 @@ def write_files(
 
 
 def _arrow_format(spark: SparkSession) -> str:
-    spark.dataSource.register(arrow_files.ArrowFiles)
-    return arrow_files.NAME
+    return publish.register(spark, arrow_files.ArrowFiles)
 
 
 def _read_cells(spark: SparkSession, paths: str | list[str], schema: T.StructType) -> DataFrame:

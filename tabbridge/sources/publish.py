@@ -18,7 +18,7 @@ from urllib.parse import unquote
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSourceArrowWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 THREADS = 32
 
@@ -39,6 +39,13 @@ def openable(address: str) -> bool:
     return True
 
 
+def register(spark: SparkSession, source: type[DataSource]) -> str:
+    """Make a data source known to a session, and to the active one, where Spark looks it up."""
+    for session in (spark, SparkSession.active()):
+        session.dataSource.register(source)
+    return source.name()
+
+
 def resolve(spark: SparkSession, path: str, mode: str) -> tuple[str, bool]:
     """The folder's address for executors, and whether to write, by Spark's save modes."""
     if mode not in ("error", "errorifexists", "overwrite", "append", "ignore"):

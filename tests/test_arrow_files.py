@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tabbridge.session import workspace
+from tabbridge.session import isolated, workspace
 from tabbridge.sources.arrow_files import plan_spans
 from tabbridge.sources.files import load_arrow_file, read_arrow, read_files, write_arrow, write_files
 
@@ -138,3 +138,12 @@ def test_stores_that_only_spark_opens(spark, path, monkeypatch):
     assert sorted(r["id"] for r in read_arrow(spark, path, schema).collect()) == list(range(20))
     with pytest.raises(ValueError, match="declared schema"):
         read_arrow(spark, path)
+
+
+def test_sessions_beside_the_active_one(spark, path):
+    own = isolated(spark)
+    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    write_arrow(own.range(0, 95, 1, 1), path)
+    with pa.OSFile(str(next(Path(path).glob("part-*")))) as source:
+        assert pa.ipc.open_file(source).num_record_batches == 10
+    assert read_arrow(own, path).count() == 95 == read_arrow(spark, path).count()
