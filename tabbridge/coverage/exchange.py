@@ -197,6 +197,16 @@ def delimited_splittable(spark, sf):
     return rows.withColumn("day", F.col("day").cast("string"))
 
 
+#: bytes of a table that one task reads to write a file
+WRITER_BYTES = 128 << 20
+
+
+def _writers(spark, sf, table, least=1):
+    """Tasks that write a table: few files, but no task takes more of it as it grows."""
+    size = file_manifest(spark, f"{sf}/{table}.parquet").agg(F.sum("size")).first()[0] or 0
+    return max(least, -(-size // WRITER_BYTES))
+
+
 @query(
     "read_delimited_multiline",
     f"""
@@ -206,15 +216,18 @@ def delimited_splittable(spark, sf):
     """,
 )
 def delimited_multiline(spark, sf):
-    """All columns of documents in one file, with line breaks and quotes in most texts, read by several tasks."""
-    path = workspace(spark, "delimited")
+    """All columns of documents in one file a writing task, with line breaks and quotes in most texts.
+
+    Small tables have one writer. Every file is read by several tasks.
+    """
+    path, writers = workspace(spark, "delimited"), _writers(spark, sf, "documents")
     broken = F.replace(F.replace(F.col("text"), F.lit(". "), F.lit(".\r\n")), F.lit(" a"), F.lit('\n"a"'))
     documents = load(spark, sf, "documents").withColumn("text", broken)
-    write_delimited(documents.coalesce(1), path, max_file_bytes=1 << 40)
+    write_delimited(documents.coalesce(writers), path, max_file_bytes=1 << 40)
     files = file_manifest(spark, path).where("path NOT LIKE '%/.%'").count()
     rows = read_delimited(spark, path, documents.schema, block_bytes=100_000)
     tasks = rows.rdd.getNumPartitions()
-    return rows.withColumns({"one_file": F.lit(files == 1), "several_tasks": F.lit(tasks > 1)})
+    return rows.withColumns({"one_file": F.lit(files <= writers), "several_tasks": F.lit(tasks > files)})
 
 
 @query(

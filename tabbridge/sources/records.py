@@ -8,8 +8,9 @@ are even.
 2. Each block then finds its first true record boundary and gives the records that begin in it,
    reading on behind its end until the last one is whole.
 
-Nothing but the counts is shuffled, and a task holds one block. The text follows the usual rule
-that a cell with a quote is quoted and its quotes are doubled.
+Nothing but the counts is shuffled, and a task holds one block at a time. The number of tasks
+follows the bytes, so small blocks share them. The text follows the usual rule that a cell with
+a quote is quoted and its quotes are doubled.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from tabbridge.functions.names import col
 from tabbridge.sources.publish import openable, store_of
 
 BLOCK_BYTES = 32 << 20
+FEW_TASKS = 256
 MOST_TASKS = 100_000
 _AHEAD = 1 << 16
 _QUOTE, _BREAK = ord('"'), ord("\n")
@@ -105,7 +107,8 @@ def read_records(spark: SparkSession, files: Sequence[tuple[str, int]], block_by
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(col("length") - 1, F.lit(0).cast("long")), F.lit(block_bytes).cast("long"))
     blocks = sizes.where("length > 0").select("path", "length", F.explode(starts).alias("start"))
     blocks = blocks.select("path", "start", F.least(F.lit(block_bytes).cast("long"), col("length") - col("start")).alias("size"))
-    tasks = min(sum(-(-n // block_bytes) for _, n in files) or 1, MOST_TASKS)
+    wanted = max(FEW_TASKS, -(-sum(n for _, n in files) // BLOCK_BYTES))  # small blocks share tasks
+    tasks = min(sum(-(-n // block_bytes) for _, n in files) or 1, wanted, MOST_TASKS)
     counted = blocks.repartition(tasks).mapInArrow(_quotes, "path string, start long, size long, quotes long")
     earlier = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     odd = F.coalesce(F.sum("quotes").over(earlier), F.lit(0)) % 2 == 1
