@@ -11,6 +11,7 @@ from tabbridge.operators.stats import load_verdict
 from tabbridge.operators.tables import project_by_name
 from tabbridge.plans.imports import load_delimited
 from tabbridge.session import isolated, workspace
+from tabbridge.sources.arrow_files import PARTITION_BYTES
 from tabbridge.sources.delimited import (
     load_counters,
     load_with_rejects,
@@ -502,11 +503,11 @@ def load_arrow_columns(spark, sf):
 )
 def arrow_files_split(spark, sf):
     """Files of many batches: several tasks read one file, and the manifest counts every row."""
-    path, own = workspace(spark, "arrow"), isolated(spark)
+    path, own, writers = workspace(spark, "arrow"), isolated(spark), _writers(spark, sf, "lineitem", 2)
     own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
-    manifest = write_arrow(load(own, sf, "lineitem").coalesce(2), path, max_rows_per_file=10_000_000)
+    manifest = write_arrow(load(own, sf, "lineitem").coalesce(writers), path, max_rows_per_file=10_000_000)
     size = file_manifest(spark, path).where("path LIKE '%.arrow'").agg(F.sum("size")).first()[0]
-    rows = read_arrow(spark, path, load(spark, sf, "lineitem").schema, partition_bytes=size // 5)
+    rows = read_arrow(spark, path, load(spark, sf, "lineitem").schema, partition_bytes=min(size // (2 * writers + 1), PARTITION_BYTES))
     split = rows.rdd.getNumPartitions() > manifest.count()
     written = manifest.groupBy().sum("rows").first()[0]
     return rows.withColumns({"files_split": F.lit(split), "written": F.lit(written)})

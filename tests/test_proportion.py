@@ -31,3 +31,14 @@ def test_larger_tables_have_more_writers(spark, tmp_path, monkeypatch):
         assert exchange._writers(spark, folder, "documents") == writers
         got = QUERIES["read_delimited_multiline"](spark, folder).collect()
         assert len(got) == 600 and all(r["one_file"] and r["several_tasks"] for r in got)
+
+
+def test_larger_tables_have_more_arrow_files(spark, tmp_path, monkeypatch):
+    items = spark.range(20000).selectExpr("id AS l_orderkey", "cast(id AS string) AS l_comment")
+    folder, size = _folder(spark, tmp_path, "lineitem", items)
+    monkeypatch.setitem(exchange.__dict__, "WRITER_BYTES", -(-size // 4))
+    written = []
+    monkeypatch.setitem(exchange.__dict__, "write_arrow", lambda df, *a, f=exchange.write_arrow, **k: written.append(f(df, *a, **k)) or written[-1])
+    got = QUERIES["arrow_files_split"](spark, folder).collect()
+    assert written[0].count() == 4
+    assert len(got) == 20000 and all(r["files_split"] and r["written"] == 20000 for r in got)
