@@ -21,7 +21,8 @@ may be shared by very many sets (copies with edits, common passages), so pairs a
    them (each set signs some more partitions than needed, so common content rarely matters).
    They are checked against a few centres each, and those that still share a bucket with
    another component sign once more, each of their rarest elements being a partition: sets
-   this similar share one of the rarest n / 4 + 1 elements of each.
+   this similar share one of the rarest n / 4 + 1 elements of each, at places that leave
+   enough elements behind for both sizes.
 
 Equal sets are one set (64-bit sums of element hashes), so exact copies cost nothing more.
 
@@ -281,7 +282,9 @@ def _texts(ids: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
 def _by_rarest(ids: DataFrame, labels: DataFrame, docs: DataFrame, sets: DataFrame, tables: Scratch) -> DataFrame:
     """Pairs of different components that share one of the rarest elements of both.
 
-    In a bucket, only sets outside its most frequent component are paired with the others.
+    Sets of n and m elements need ceil(3 (n + m) / 7) common ones, and an element at place p of
+    n, rarest first, has only n - p others behind it. The rarest common element of two similar
+    sets therefore tells by its place in one how large the other may be, its ``reach``.
     """
     lists = _texts(ids, docs, sets).mapInArrow(_list, "id long, elements array<long>").dropDuplicates(["id"])
     rows = tables.put(lists.select("id", F.size("elements").alias("n"), F.explode("elements").alias("key")))
@@ -289,15 +292,35 @@ def _by_rarest(ids: DataFrame, labels: DataFrame, docs: DataFrame, sets: DataFra
     order = Window.partitionBy("id").orderBy("df", "key")
     first = rows.join(common.where("df > 1"), "key").withColumn("unique", F.col("n") - F.count("*").over(Window.partitionBy("id")))
     first = first.withColumn("place", F.col("unique") + F.row_number().over(order)).where("place <= floor(n / 4) + 1")
-    placed = tables.put(_placed(first.select("id", "n", "key"), labels))
+    placed = tables.put(_placed(first.selectExpr("id", "n", "key", "7 * (n - place + 1) div 3 - n AS reach"), labels))
     tables.drop(rows)
+    return _within_reach(placed)
+
+
+def _size_band(size: str) -> str:
+    return f"cast(floor(ln({size}) * 20) AS int)"
+
+
+def _within_reach(placed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components with a common key, each of a size in the other's reach.
+
+    Both sets of a pair list the bands its sizes can lie in, so sets that only share the key
+    do not meet. Sets of a key's most frequent component only meet those outside it.
+    """
     sizes = placed.groupBy("key", "component").agg(F.count("*").alias("m"))
     most = sizes.groupBy("key").agg(F.max_by("component", F.struct("m", "component")).alias("most"), F.count("*").alias("k"))
-    few = placed.join(most.where("k > 1"), "key").where("component <> most")
-    few = few.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
-    alike = "component <> component2 and 4 * least(n, n2) >= 3 * greatest(n, n2)"
+    rows = placed.join(most.where("k > 1"), "key").withColumn("often", F.col("component") == F.col("most"))
+    small = rows.where("reach >= n").selectExpr(
+        "key", "id", "n", "reach", "component", f"{_size_band('n')} AS small",
+        f"explode(sequence({_size_band('n')}, {_size_band('least(reach, 4 * n div 3)')})) AS large", "often",
+    ).withColumn("sides", F.explode(F.expr("if(often, array(1), array(2, 3))")))
+    large = rows.where("4 * reach >= 3 * n").selectExpr(
+        "key", "id AS id2", "n AS n2", "reach AS reach2", "component AS component2", f"{_size_band('n')} AS large",
+        f"explode(sequence({_size_band('(3 * n + 3) div 4')}, {_size_band('least(reach, n)')})) AS small", "often",
+    ).withColumn("sides", F.explode(F.expr("if(often, array(2), array(1, 3))")))
+    alike = "component <> component2 and (n < n2 or n = n2 and id < id2) and n2 <= reach and n <= reach2 and 4 * n >= 3 * n2"
     return (
-        placed.join(few, "key").where(alike)
+        small.drop("often").join(large.drop("often"), ["key", "small", "large", "sides"]).where(alike)
         .select(F.greatest("id", "id2").alias("a"), F.least("id", "id2").alias("b")).distinct()
     )
 
