@@ -22,7 +22,7 @@ named like a result column are not read.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -156,15 +156,16 @@ def solve_tilts(
     return state
 
 
-def number_repeats(rows: DataFrame, tables: Scratch) -> DataFrame:
+def number_repeats(rows: DataFrame, tables: Scratch, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``rows`` with ``repeat``: 0, or the number of a row among those of its (doc_id, size).
 
     Numbers run on over the partitions a group lies in, so no task sees more of a group than
     one partition holds of it, or one count for each partition. Which of a group's equal rows
-    has which number does not matter.
+    has which number does not matter. ``keep`` stages what the result still reads (default: ``tables``).
     """
+    keep = keep or tables.put
     same = ["doc_id", "size"]
-    groups = tables.put(rows.groupBy(*same).agg(F.count("*").alias("n")).where("n > 1").select(*[F.col(c).alias(f"of_{c}") for c in same]))
+    groups = keep(rows.groupBy(*same).agg(F.count("*").alias("n")).where("n > 1").select(*[F.col(c).alias(f"of_{c}") for c in same]))
     if not groups.limit(1).count():
         return rows.withColumn("repeat", F.lit(0).cast("long"))
     is_one = F.col("doc_id").eqNullSafe(F.col("of_doc_id")) & (F.col("size") == F.col("of_size"))
@@ -177,7 +178,7 @@ def number_repeats(rows: DataFrame, tables: Scratch) -> DataFrame:
     )
     at = F.row_number().over(Window.partitionBy(*same, "part").orderBy(F.lit(0))) - 1
     placed = many.withColumn("at", at).join(counts, is_one & (F.col("part") == F.col("of_part")))
-    numbered = placed.withColumn("repeat", F.col("before") + F.col("at")).select(*rows.columns, "repeat")
+    numbered = keep(placed.withColumn("repeat", F.col("before") + F.col("at")).select(*rows.columns, "repeat"))
     single = marked.where("many IS NULL").withColumn("repeat", F.lit(0).cast("long")).select(*rows.columns, "repeat")
     return single.unionByName(numbered)
 
@@ -277,12 +278,19 @@ def copies(sized: DataFrame, sources: DataFrame, cap: float = 2.0, seed: int = 0
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every row of ``docs`` as often as its copies say, same columns."""
+    """The mix itself: every row of ``docs`` as often as its copies say, same columns.
+
+    The plan is made and staged now, with the rows of repeated (doc_id, size); the others are
+    taken from ``docs`` when the mix is read.
+    """
     from tabbridge.llm.staging import result
 
+    def keep(table: DataFrame) -> DataFrame:
+        return result(table, "mix")
+
     spark, names = docs.sparkSession, docs.columns
     with scratch(spark, "mix") as tables:
-        _, sources = plan_mix(docs, tables, **options)
+        sources = keep(plan_mix(docs, tables, **options)[1])
         own = {"cap": options.get("cap", 2.0), "seed": options.get("seed", 0)}
         packed = docs.select(
             F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"),
@@ -290,10 +298,9 @@ def mix(docs: DataFrame, **options) -> DataFrame:
             word_count(F.col("text")).alias("size"),
             source_key(F.col("source")).alias("key"),
         )
-        dealt = copies(number_repeats(packed, tables), sources, **own)
-        return result(
-            dealt.withColumn("copy", F.explode(F.sequence(F.lit(1), F.greatest("copies", F.lit(1)))))
-            .where(F.col("copies") > 0)
-            .select("row.*"),
-            "mix",
-        )
+        dealt = copies(number_repeats(packed, tables, keep), sources, **own)
+    return (
+        dealt.withColumn("copy", F.explode(F.sequence(F.lit(1), F.greatest("copies", F.lit(1)))))
+        .where(F.col("copies") > 0)
+        .select("row.*")
+    )

@@ -441,7 +441,10 @@ def ngram_join(docs: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents with the smallest id of each group, and one row of repeated ones."""
+    """The documents with the smallest id of each group, and one row of repeated ones.
+
+    Only the ids that stay are staged; the rows are taken from ``docs`` when they are read.
+    """
     names = docs.columns
     with scratch(docs.sparkSession, "ngrams") as tables:
         groups = ngram_groups(docs, tables)
@@ -451,11 +454,11 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
         kept = groups.groupBy(*group).agg(F.min(place).alias("p")).select(
             F.col("p.doc_id").alias("kept_id"), F.coalesce("p.tie", F.lit(0)).alias("kept_tie")
         ).distinct()
-        rows = docs.select(
-            F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"),
-            F.col("doc_id"),
-            F.coalesce(F.xxhash64("text"), F.lit(0)).alias("tie"),
-        )
-        same = rows["doc_id"].eqNullSafe(kept["kept_id"]) & (rows["tie"] == kept["kept_tie"])
-        stay = rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "tie"])
-        return result(stay.select("row.*"), "ngrams")
+        kept = result(kept, "ngrams")
+    rows = docs.select(
+        F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"),
+        F.col("doc_id"),
+        F.coalesce(F.xxhash64("text"), F.lit(0)).alias("tie"),
+    )
+    same = rows["doc_id"].eqNullSafe(kept["kept_id"]) & (rows["tie"] == kept["kept_tie"])
+    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "tie"]).select("row.*")
