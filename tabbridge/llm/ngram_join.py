@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabbridge.llm.grouping import HotKeys, by_key, components, keyed_batch, runs, seen_before
+from tabbridge.llm.grouping import HotKeys, components, seen_before
 from tabbridge.llm.staging import Scratch, result, scratch
 from tabbridge.llm.words import FOLDED, Block, blocks, mix, shingles
 
@@ -46,6 +46,8 @@ SHINGLE = 5
 SMALL = 8
 CENTRES = 3
 CLASSES = 256
+SLICE_BITS = 12  # signatures go to the buckets in so many slices, by their first bits
+PACK = 1 << 19  # and a task sends so many at a time
 _U = np.uint64
 
 
@@ -67,13 +69,14 @@ class Sets:
         count = np.diff(block.bounds)
         hashes, at = shingles(block, SHINGLE)
         doc = np.searchsorted(block.bounds, at, side="right") - 1
+        of_doc = np.append(0, np.cumsum(np.maximum(count - SHINGLE + 1, 0)))
+        for d in np.flatnonzero(count > SHINGLE).tolist():
+            hashes[of_doc[d] : of_doc[d + 1]].sort()
         short = np.flatnonzero((count > 0) & (count < SHINGLE))
         if len(short):
             whole = [self._sequence(block.hash[block.bounds[d] : block.bounds[d + 1]]) for d in short]
-            hashes = np.concatenate([hashes, np.array(whole, np.uint64)])
-            doc = np.concatenate([doc, short])
-        order = np.lexsort((hashes, doc))
-        hashes, doc = hashes[order], doc[order]
+            place = np.searchsorted(doc, short)
+            hashes, doc = np.insert(hashes, place, np.array(whole, np.uint64)), np.insert(doc, place, short)
         first = np.ones(len(doc), bool)
         first[1:] = (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])
         self.hash, self.doc = hashes[first], doc[first]
@@ -114,52 +117,62 @@ class Sets:
         ``spare`` is how many signatures of a set may lie in large buckets before it can
         miss a partner in the others.
         """
+        element = mix(self.hash ^ _U(0x5851F42D4C957F2D))
+        mixed = mix(element)
+        halves = (mixed & _U(0xFFFFFFFF)).astype(float), (mixed >> _U(32)).astype(float)
         for docs, band, bound in self.instances():
             slack = 2 + BANDS[band] // 12
             parts = 12 + -(-BANDS[band] * 7 // 10)
             of_doc = np.full(len(self.size), -1, np.int64)
             of_doc[docs] = np.arange(len(docs))
             mine = of_doc[self.doc]
-            rows = np.flatnonzero(mine >= 0)
-            mine, element = mine[rows], mix(self.hash[rows] ^ _U(0x5851F42D4C957F2D))
-            part = ((element >> _U(32)) * parts[mine].astype(np.uint64)) >> _U(32)
-            cell = (mine.astype(np.uint64) << _U(32)) | part
-            order = np.argsort(cell, kind="stable")
-            cell, element = cell[order], element[order]
-            start = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
-            content = np.add.reduceat(mix(element), start) if len(start) else np.zeros(0, np.uint64)
-            cell = cell[start]
-            of = (cell >> _U(32)).astype(np.int64)
+            rows = mine >= 0
+            mine = mine[rows]
+            part = ((element[rows] >> _U(32)) * parts[mine].astype(np.uint64)) >> _U(32)
+            # the partitions of all sets, one after the other; sums of 32-bit halves are exact in doubles
+            before = np.append(0, np.cumsum(parts))
+            cell = before[mine] + part.astype(np.int64)
+            low, high = (np.bincount(cell, x[rows], before[-1]).astype(np.uint64) for x in halves)
+            cell = np.flatnonzero(np.bincount(cell, minlength=before[-1]))
+            content = low[cell] + (high[cell] << _U(32))
+            of = np.repeat(np.arange(len(docs)), parts)[cell]
+            cell -= before[of]
             filled = np.bincount(of, minlength=len(docs))
             rank = np.arange(len(of)) - (np.cumsum(filled) - filled)[of]
             signed = rank < (bound + 1 + slack)[of]
-            code = ((band[of].astype(np.uint64) << _U(40)) | (cell & _U(0xFFFFFFFF)))[signed]
-            signature, of = mix(content[signed] + mix(code)), of[signed]
+            code = ((band[of] << 40) | cell).astype(np.uint64)[signed]
+            signature, signer = mix(content[signed] + mix(code)), of[signed]
             for k in np.flatnonzero(filled <= bound):
-                empty = np.setdiff1d(np.arange(parts[k]), (cell[(cell >> _U(32)) == _U(k)] & _U(0xFFFFFFFF)).astype(np.int64))
+                empty = np.setdiff1d(np.arange(parts[k]), cell[of == k])
                 code = (_U(int(band[k])) << _U(40)) | empty.astype(np.uint64)
                 signature = np.concatenate([signature, mix(mix(code) ^ _U(0xA5A5A5A5))])
-                of = np.concatenate([of, np.full(len(empty), k)])
+                signer = np.concatenate([signer, np.full(len(empty), k)])
             # the last bit tells the two bands a set signs for apart
-            signature = (signature & ~_U(1)) | (band[of] & 1).astype(np.uint64)
+            signature = (signature & ~_U(1)) | (band[signer] & 1).astype(np.uint64)
             spare = np.minimum(filled, bound + 1 + slack) - bound - 1
-            yield docs, band, spare, signature, docs[of]
+            yield docs, band, spare, signature, docs[signer]
 
 
 _PROFILE = "tie long, n_shingles long, id long, odd int, own_spare int, low_spare int, classes binary"
 
 
-def _profiles(batches):
+def _profiles(batches, packed: Packed | None = None):
+    """A row of each document; the signatures of its set go to ``packed``."""
+    known = set()
     for batch in batches:
         parts = []
         for block in blocks(batch.column("text"), FOLDED):
             sets = Sets(block)
             n = len(sets.size)
             spare, odd = np.zeros((2, n), np.int32), np.zeros(n, np.int32)
-            for kind, (docs, band, left, _, _) in enumerate(sets.signatures()):
+            fresh = None if packed is None else ~seen_before(known, sets.id)
+            for kind, (docs, band, left, signature, doc) in enumerate(sets.signatures()):
                 spare[kind, docs] = left
                 if kind == 0:
                     odd[docs] = band & 1
+                if packed is not None:
+                    new = fresh[doc]
+                    packed.add(signature[new], sets.id[doc[new]])
             wide = np.minimum(sets.classes(), 255).astype(np.uint8)
             parts.append((sets.size, sets.id, odd, spare[0], spare[1], [row.tobytes() for row in wide]))
         columns = [np.concatenate(c) if i < 5 else sum(c, []) for i, c in enumerate(zip(*parts))] or [[]] * 6
@@ -168,63 +181,122 @@ def _profiles(batches):
         yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", *[x.split()[0] for x in _PROFILE.split(", ")]])
 
 
-def _sign(batches):
-    hot, known = HotKeys(), set()
-    for batch in batches:
-        for block in blocks(batch.column("text"), FOLDED):
-            sets = Sets(block)
-            fresh = ~seen_before(known, sets.id)
-            for _, _, _, signature, doc in sets.signatures():
-                new = fresh[doc]
-                yield keyed_batch(*hot.route(signature[new], sets.id[doc[new]]))
+class Packed:
+    """Signatures and their sets on the way to the buckets, many in a row.
+
+    A row holds those of one slice of the signatures' range; a salted one (see ``HotKeys``)
+    only those beyond the limit.
+    """
+
+    def __init__(self):
+        self.hot, self.held, self.n = HotKeys(), [], 0
+
+    def add(self, signatures: np.ndarray, ids: np.ndarray) -> None:
+        self.held.append(self.hot.route(signatures, ids))
+        self.n += len(self.held[-1][0])
+
+    def rows(self) -> dict[str, pa.Array]:
+        """Columns slice, salt, keys and ids of what has been added since the last call."""
+        keys, salts, ids = (np.concatenate(x) for x in zip(*self.held))
+        self.held, self.n = [], 0
+        # the salt of a task is always the same
+        place = (keys >> _U(64 - SLICE_BITS)).astype(np.uint16) | ((salts > 0).astype(np.uint16) << np.uint16(SLICE_BITS))
+        order = np.argsort(place, kind="stable")
+        many = np.bincount(place, minlength=2 << SLICE_BITS)
+        full = np.flatnonzero(many)
+        ends = pa.py_buffer(np.append(0, 8 * np.cumsum(many[full])).astype(np.int32))
+        keys, ids = (pa.Array.from_buffers(pa.binary(), len(full), [None, ends, pa.py_buffer(x[order])]) for x in (keys, ids))
+        salt = np.where(full >> SLICE_BITS, self.hot.salt, 0).astype(np.int32)
+        return {"slice": pa.array((full & ((1 << SLICE_BITS) - 1)).astype(np.int32)), "salt": pa.array(salt), "keys": keys, "ids": ids}
+
+
+def _filled(columns: dict[str, pa.Array], schema: pa.Schema) -> pa.RecordBatch:
+    """A batch of all columns of ``schema``; those not given are null."""
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+
+_SIGNED = "slice int, salt int, keys binary, ids binary"
+_FOUND = "key long, centre long, large boolean"
+
+
+def _profile_and_sign(batches):
+    """Profile rows, dealt over all slices below 0, and rows of packed signatures."""
+    packed, schema = Packed(), None
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
+    for batch in _profiles(batches, packed):
+        if schema is None:
+            schema = pa.schema([*batch.schema, *[(x.split()[0], t) for x, t in zip(_SIGNED.split(", "), kinds)]])
+        n = len(batch)
+        spread = {"slice": pa.array(-1 - np.arange(n, dtype=np.int32) % (1 << SLICE_BITS)), "salt": pa.array(np.zeros(n, np.int32))}
+        yield _filled(dict(zip(batch.schema.names, batch.columns)) | spread, schema)
+        if packed.n >= PACK:
+            yield _filled(packed.rows(), schema)
+    if packed.n:
+        yield _filled(packed.rows(), schema)
+
+
+def _values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit values of all rows of a binary column, and where each row starts."""
+    column = column.cast(pa.large_binary())
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.int64, (ends[-1] - ends[0]) // 8, ends[0]), (ends - ends[0]) // 8
+
+
+def _bucket_rows(key: np.ndarray, id: np.ndarray, salted: bool) -> dict[str, pa.Array]:
+    """Columns key, id, centre and large of the keys with several sets."""
+    order = np.argsort(key)
+    key, id = key[order], id[order]
+    again = key[1:] == key[:-1]
+    shared = np.append(False, again) | np.append(again, False)
+    key, id = key[shared], id[shared]
+    order = np.lexsort((id, key))
+    key, id = key[order], id[order]
+    fresh = np.append(True, (key[1:] != key[:-1]) | (id[1:] != id[:-1]))[: len(key)]
+    key, id = key[fresh], id[fresh]
+    start = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    n = np.diff(np.append(start, len(key)))
+    columns = key, id, np.repeat(id[start], n), np.repeat((n > SMALL) | salted, n)
+    several = np.repeat(n > 1, n)
+    return dict(zip(("key", "id", "centre", "large"), (pa.array(x[several]) for x in columns)))
 
 
 def _buckets(batches):
-    """Rows (key, id, centre, large) of the buckets with several sets."""
-    held: list[tuple[int, int]] = []  # up to SMALL + 1 sets of the open bucket
-    state = {"key": None, "n": 0}
-
-    def emit(rows, large):
-        return [(k, x, rows[0][1], large) for k, x in rows] if len(rows) > 1 or large else []
-
-    def batch_of(rows):
-        columns = list(zip(*rows))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["key", "id", "centre", "large"])
-
-    centre = None
-    for key, salt, id, start in runs(batches):
-        out = []
-        fresh = np.ones(len(id), bool)
-        fresh[1:] = start[1:] | (id[1:] != id[:-1])
-        bounds = np.append(np.flatnonzero(start), len(key))
-        length = np.diff(bounds)
-        # a run inside the batch with one row is done: most are
-        many = length > 1
-        many[0] = many[-1] = True
-        for r in np.flatnonzero(many):
-            lo, hi = bounds[r], bounds[r + 1]
-            name = (int(key[lo]), int(salt[lo]))
-            if name != state["key"]:
-                out += emit(held, False)
-                held, centre = [], None
-                state["key"] = name
-            ids = id[lo:hi][fresh[lo:hi]].tolist()
-            for x in ids:
-                if centre is not None:
-                    if x != last:
-                        out.append((name[0], x, centre, True))
-                elif not held or held[-1][1] != x:
-                    held.append((name[0], x))
-                    if len(held) > SMALL or (name[1] and len(held) > 1):
-                        out += emit(held, True)
-                        centre, held = held[0][1], []
-                last = x
-        if out:
-            yield batch_of(out)
-    out = emit(held, False)
-    if out:
-        yield batch_of(out)
+    """Profile rows as they are, and rows (key, id, centre, large) of the buckets with several sets.
+
+    Rows come in order of slice and salt; a task holds the signatures of one slice.
+    """
+    open_slice, held, schema = None, [], None
+
+    def close():
+        key, id = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        return _filled(_bucket_rows(key, id, open_slice[1] > 0), schema)
+
+    for batch in batches:
+        if schema is None:
+            kinds = (pa.int64(), pa.int64(), pa.bool_())
+            profile = batch.schema.names[: -len(_SIGNED.split(", "))]
+            schema = pa.schema([*[batch.schema.field(x) for x in profile], *[(x.split()[0], t) for x, t in zip(_FOUND.split(", "), kinds)]])
+        signed = batch.column("slice").to_numpy() >= 0
+        if not signed.all():
+            rows = batch.filter(pa.array(~signed))
+            yield _filled({x: rows.column(x) for x in profile}, schema)
+            batch = batch.filter(pa.array(signed))
+        if not len(batch):
+            continue
+        place, salt = batch.column("slice").to_numpy(), batch.column("salt").to_numpy()
+        (keys, at), (ids, _) = _values(batch.column("keys")), _values(batch.column("ids"))
+        start = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (salt[1:] != salt[:-1])))
+        for lo, hi in zip(start, np.append(start[1:], len(batch))):
+            name = int(place[lo]), int(salt[lo])
+            if held and name != open_slice:
+                yield close()
+            open_slice = name
+            held.append((keys[at[lo] : at[hi]].copy(), ids[at[lo] : at[hi]].copy()))
+    if held:
+        yield close()
 
 
 def _pack(batches):
@@ -371,7 +443,11 @@ def ngram_groups(docs: DataFrame, tables: Scratch) -> DataFrame:
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
-    profiles = tables.put(rows.mapInArrow(_profiles, f"doc_id {kind}, {_PROFILE}"))
+    signed = rows.mapInArrow(_profile_and_sign, f"doc_id {kind}, {_PROFILE}, {_SIGNED}")
+    dealt = signed.repartition("slice", "salt").sortWithinPartitions("slice", "salt")
+    found = tables.put(dealt.mapInArrow(_buckets, f"doc_id {kind}, {_PROFILE}, {_FOUND}"))
+    profiles = found.where("large IS NULL").drop("key", "centre", "large")
+    buckets = found.where("large IS NOT NULL").select("key", "id", "centre", "large")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tie"))
     sets = tables.put(
         profiles.where("n_shingles >= 3")
@@ -382,8 +458,6 @@ def ngram_groups(docs: DataFrame, tables: Scratch) -> DataFrame:
         )
         .select("id", "f.doc_id", "f.tie", "n", "odd", "own_spare", "low_spare", "classes")
     )
-    signed = docs.select("text").mapInArrow(_sign, "key long, salt int, id long")
-    buckets = tables.put(by_key(signed).mapInArrow(_buckets, "key long, id long, centre long, large boolean"))
 
     met = buckets.where("id <> centre").groupBy("id", "centre").agg(F.count("*").alias("n"))
     often = met.groupBy("id").agg(F.max_by("centre", F.struct("n", -F.col("centre"))).alias("centre"))
