@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabbridge.llm.staging import released
 from tabbridge.llm.words import PLAIN, Block, blocks
 
 WINDOW = 10
@@ -168,6 +169,7 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     for part in _parts_or_none(item_windows(benchmark, window)):
         shared = spark.sparkContext.broadcast(part)
 
+        @released
         def scan(batches, shared=shared):
             searches = _patterns(shared.value, window)
             for batch in batches:

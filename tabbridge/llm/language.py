@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabbridge.llm.staging import result, scratch, step_settings
+from tabbridge.llm.staging import released, result, scratch, step_settings
 from tabbridge.llm.words import BLOCK_BYTES, byte_blocks
 
 FAMILIES = {
@@ -182,6 +182,7 @@ def learn(docs: DataFrame, per_language: int, most_rows: int, families: dict) ->
 
 
 def _predict(model):
+    @released
     def predict(batches):
         fitted = model.value
         for batch in batches:

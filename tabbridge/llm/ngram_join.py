@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabbridge.llm.grouping import HotKeys, components, seen_before
-from tabbridge.llm.staging import Scratch, result, scratch
+from tabbridge.llm.staging import Scratch, released, result, scratch
 from tabbridge.llm.words import FOLDED, Block, blocks, mix, shingles
 
 SHINGLE = 5
@@ -47,7 +47,8 @@ SMALL = 8
 CENTRES = 3
 CLASSES = 256
 SLICE_BITS = 12  # signatures go to the buckets in so many slices, by their first bits
-PACK = 1 << 19  # and a task sends so many at a time
+PACK = 1 << 18  # and a task sends so many at a time
+BATCH_BYTES = 2 << 20  # the JVM and the Python worker both hold a batch
 _U = np.uint64
 
 
@@ -220,6 +221,7 @@ _SIGNED = "slice int, salt int, keys binary, ids binary"
 _FOUND = "key long, centre long, large boolean"
 
 
+@released
 def _profile_and_sign(batches):
     """Profile rows, dealt over all slices below 0, and rows of packed signatures."""
     packed, schema = Packed(), None
@@ -262,6 +264,7 @@ def _bucket_rows(key: np.ndarray, id: np.ndarray, salted: bool) -> dict[str, pa.
     return dict(zip(("key", "id", "centre", "large"), (pa.array(x[several]) for x in columns)))
 
 
+@released
 def _buckets(batches):
     """Profile rows as they are, and rows (key, id, centre, large) of the buckets with several sets.
 
@@ -299,6 +302,7 @@ def _buckets(batches):
         yield close()
 
 
+@released
 def _pack(batches):
     """(id, elements) of the texts whose set is the one asked for."""
     for batch in batches:
@@ -322,6 +326,7 @@ def _near(size_a, size_b, common):
     return 100 * common >= 75 * (size_a + size_b - common)
 
 
+@released
 def _by_classes(batches):
     """Pairs whose class counts do not rule them out."""
     for batch in batches:
@@ -333,6 +338,7 @@ def _by_classes(batches):
         yield batch.filter(pa.array(_near(n1, n2, (n1 + n2 - differ) / 2))).select(["a", "b"])
 
 
+@released
 def _by_elements(batches):
     for batch in batches:
         keep = []
@@ -509,7 +515,7 @@ def ngram_groups(docs: DataFrame, tables: Scratch) -> DataFrame:
 
 def ngram_join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
-    with scratch(docs.sparkSession, "ngrams") as tables:
+    with scratch(docs.sparkSession, "ngrams", maxBytesPerBatch=BATCH_BYTES) as tables:
         groups = ngram_groups(docs, tables)
         return result(groups.select("doc_id", "n_shingles", "component_id"), "ngrams")
 
@@ -520,7 +526,7 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     Only the ids that stay are staged; the rows are taken from ``docs`` when they are read.
     """
     names = docs.columns
-    with scratch(docs.sparkSession, "ngrams") as tables:
+    with scratch(docs.sparkSession, "ngrams", maxBytesPerBatch=BATCH_BYTES) as tables:
         groups = ngram_groups(docs, tables)
         place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")
         alone = F.when(F.col("component").isNull(), F.struct("doc_id", "tie"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tabbridge.session import stage, workspace
@@ -17,10 +20,29 @@ _STEP_CONF = {
 }
 
 
+def released(step: Callable) -> Callable:
+    """``step`` over Arrow batches; what its task has freed goes back to the system.
+
+    Spark keeps Python workers for later steps, and the allocators would keep that memory with them.
+    """
+
+    @wraps(step)
+    def run(batches):
+        yield from step(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim:
+            trim(0)
+
+    return run
+
+
 @contextmanager
-def step_settings(spark: SparkSession) -> Iterator[None]:
-    before = {key: spark.conf.get(key, None) for key in _STEP_CONF}
-    for key, value in _STEP_CONF.items():
+def step_settings(spark: SparkSession, **batch: int) -> Iterator[None]:
+    """``batch``: another value of an Arrow batch's limits, by the last part of their names."""
+    settings = _STEP_CONF | {f"spark.sql.execution.arrow.{key}": str(value) for key, value in batch.items()}
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
         spark.conf.set(key, value)
     try:
         yield
@@ -64,9 +86,9 @@ class Scratch:
 
 
 @contextmanager
-def scratch(spark: SparkSession, tag: str) -> Iterator[Scratch]:
+def scratch(spark: SparkSession, tag: str, **batch: int) -> Iterator[Scratch]:
     tables = Scratch(spark, tag)
-    with step_settings(spark):
+    with step_settings(spark, **batch):
         try:
             yield tables
         finally:

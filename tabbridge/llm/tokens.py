@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabbridge.llm.staging import step_settings
+from tabbridge.llm.staging import released, step_settings
 from tabbridge.session import workspace
 
 END = 0
@@ -247,6 +247,7 @@ def encode_texts(texts: list[str | None], path: str) -> list[bytes]:
 
 
 def _encoder(path: str):
+    @released
     def encode(batches):
         start = 0
         for batch in batches:
@@ -306,6 +307,7 @@ def part_starts(tokens: DataFrame) -> DataFrame:
     return sums.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("part_start"))
 
 
+@released
 def _checksums(batches):
     for batch in batches:
         lists = batch.column("ids")
